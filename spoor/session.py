@@ -13,6 +13,7 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSe
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("spoor")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -29,11 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local master may fall back to a temporary folder: on a cluster a
     machine-local path would be lost together with the machine.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    folder = tempfile.mkdtemp(prefix="spoor-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spoor-"))
+    return context.getCheckpointDir()
