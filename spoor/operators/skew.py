@@ -1,0 +1,48 @@
+"""Equi-join of many rows with one row per key, safe against hot keys."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A key with more rows than this is spread, the most frequent keys first.
+HOT_ROWS = 10_000
+# Bounds the keys named in the plan; a key beyond them holds less than a
+# thousandth of the rows.
+MAX_HOT_KEYS = 1_000
+# Parts that a hot key is spread over.
+SALTS = 64
+
+
+def join_lookup(
+    rows: DataFrame,
+    lookup: DataFrame,
+    copies: DataFrame,
+    key: str,
+    spread_by: str,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Inner join of ``rows`` with ``lookup``, which has one row per ``key``.
+
+    ``copies (key, copies)`` counts the rows per key. The lookup rows of hot keys are
+    repeated once per salt, and their rows are spread by ``spread_by``; all other
+    keys join as they are. Hot keys are told by a hash, the same on both sides, so a
+    collision only salts one key more.
+    """
+    found = (
+        copies.filter(F.col("copies") > hot_rows)
+        .orderBy(F.col("copies").desc(), key)
+        .limit(MAX_HOT_KEYS)
+        .select(F.xxhash64(key))
+        .collect()
+    )
+    if not found:
+        return rows.join(lookup, key)
+    is_hot = F.xxhash64(key).isin([row[0] for row in found])
+    salt = F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return (
+        rows.withColumn("salt", F.when(is_hot, salt).otherwise(0))
+        .join(lookup.withColumn("salt", F.explode(salts)), [key, "salt"])
+        .drop("salt")
+    )
