@@ -25,13 +25,13 @@ def event_flows(events: DataFrame) -> DataFrame:
     key = F.get_json_object("props", "$.k")
     return events.select(
         F.col("user_id").cast("string").alias("entity"),
-        "ts",
+        F.col("ts").cast("timestamp").alias("ts"),
         F.concat("event_type", F.lit(" k:"), key).alias("line"),
     )
 
 
 def _before_split():
-    return F.col("ts") < F.to_timestamp_ntz(F.lit(SPLIT))
+    return F.col("ts") < F.to_timestamp(F.lit(SPLIT))
 
 
 def reference_sets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,12 @@ def norm(vector: Column) -> Column:
 
 
 def l2_normalise(vector: Column) -> Column:
-    """Unit vector in double precision; the zero vector stays as it is."""
+    """Unit vector in double precision; the zero vector stays as it is.
+
+    The length is repeated as a second array, because an expression inside the
+    lambda would be evaluated once per element.
+    """
     length = norm(vector)
     scale = F.when(length == 0, F.lit(1.0)).otherwise(length)
-    return F.transform(vector, lambda x: x.cast("double") / scale)
+    scales = F.array_repeat(scale, F.size(vector))
+    return F.zip_with(vector, scales, lambda x, n: x.cast("double") / n)

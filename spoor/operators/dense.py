@@ -96,7 +96,8 @@ def _spread(df: DataFrame, label: str, tile_rows: int, tiles: int) -> DataFrame:
 def _queries(df: DataFrame) -> DataFrame:
     """One row per distinct vector of a query, with its number of copies."""
     keys = ["query", "expected", "text", "unseen", "embedding"]
-    filled = df
+    # New column identities: both sides may come from one bank.
+    filled = df.toDF(*df.columns)
     for name, kind in (("text", "string"), ("unseen", "boolean")):
         if name not in df.columns:
             filled = filled.withColumn(name, F.lit(None).cast(kind))

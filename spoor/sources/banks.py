@@ -11,7 +11,7 @@ from spoor.sources.guards import first_column, require_columns, require_rows
 
 # Column names accepted for vectors and labels, in order of preference.
 VECTOR_COLUMNS = ("embedding", "embeddings", "original_embeddings")
-LABEL_COLUMNS = ("device", "devices", "name", "names")
+LABEL_COLUMNS = ("label", "device", "devices", "name", "names")
 TEXT_COLUMNS = ("text", "ace_text", "ace_texts")
 
 # Fields of a whole-profile embedding file.
