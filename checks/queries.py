@@ -232,9 +232,11 @@ def _semantic_banks(spark, sf_dir):
     row_id = F.xxhash64("entity", "line").alias("row_id")
     q = queries.withColumn("entity", F.col("query")).join(vectors, "line")
     r = references.withColumn("entity", F.col("device")).join(vectors, "line")
+    # Banks are made once and read several times.
+    shared_dir(spark)
     return (
-        q.select("query", "expected", row_id, "embedding"),
-        r.select("device", row_id, "embedding"),
+        q.select("query", "expected", row_id, "embedding").checkpoint(),
+        r.select("device", row_id, "embedding").checkpoint(),
     )
 
 

@@ -146,7 +146,10 @@ def profile_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('{"aces":null},{"aces":{"ace":[{"matches":{"eth":{"ethertype":null}}}]}}]}}'),
     )
     broken = F.when(F.col("value") > 100, F.substring(text, 1, 60)).otherwise(text)
-    return table(spark, sf_dir, "events").select(
+    # The table is one small file; documents are dear to parse.
+    events = table(spark, sf_dir, "events")
+    events = events.repartition(spark.sparkContext.defaultParallelism, "event_id")
+    return events.select(
         F.col("event_id").alias("doc_id"),
         F.col("user_id").cast("string").alias("entity"),
         broken.alias("text"),

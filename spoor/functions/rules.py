@@ -1,7 +1,8 @@
 """Render one access-control entry as one short line of text.
 
-All builders work on a VARIANT column, because the rules for a field tell a key
-that is *present* (even with a null value) from a value that is *non-empty*.
+The blocks of an entry are maps of VARIANT values, because the rules for a field
+tell a key that is *present* (even with a null value) from a value that is
+*non-empty*.
 """
 
 from __future__ import annotations
@@ -12,40 +13,43 @@ from pyspark.sql import functions as F
 # Readable names of IP protocol numbers.
 PROTOCOL_NAMES = {2: "igmp", 6: "tcp", 17: "udp", 58: "icmpv6"}
 
-# JSON paths of the fields that make up a line.
-MUD = '$.matches["ietf-mud:mud"]'
-ETH = "$.matches.eth"
-DIRECTION_KEY = '["ietf-mud:direction-initiated"]'
-SRC_DNS_KEY = '["ietf-acldns:src-dnsname"]'
-DST_DNS_KEY = '["ietf-acldns:dst-dnsname"]'
+# The blocks of an entry and the keys that make up a line.
+MUD, ETH = "ietf-mud:mud", "eth"
+FAMILIES, LAYERS = ("ipv4", "ipv6"), ("tcp", "udp")
+DIRECTION_KEY = "ietf-mud:direction-initiated"
+SRC_DNS_KEY, DST_DNS_KEY = "ietf-acldns:src-dnsname", "ietf-acldns:dst-dnsname"
 
+MATCHES_TYPE = (
+    "struct<"
+    + ", ".join(f"`{block}`: map<string, variant>" for block in (MUD, ETH, *FAMILIES, *LAYERS))
+    + ">"
+)
 
-def _value(entry: Column, path: str) -> Column:
-    return F.try_variant_get(entry, path, "string")
 
+def matches(entry: Column) -> Column:
+    """The blocks of an entry, all taken in one pass over the VARIANT."""
+    return F.try_variant_get(entry, "$.matches", MATCHES_TYPE)
 
-def _present(entry: Column, path: str) -> Column:
-    return F.try_variant_get(entry, path, "variant").isNotNull()
 
+def _get(block: Column, key: str) -> Column:
+    return F.try_element_at(block, F.lit(key))
 
-def _text(entry: Column, path: str) -> Column:
+
+def _value(raw: Column) -> Column:
+    return F.try_variant_get(raw, "$", "string")
+
+
+def _text(raw: Column) -> Column:
     """Text of a present key; a JSON null reads ``None``, a missing key is NULL."""
-    raw = F.try_variant_get(entry, path, "variant")
-    return F.when(F.is_variant_null(raw), F.lit("None")).otherwise(_value(entry, path))
+    return F.when(F.is_variant_null(raw), F.lit("None")).otherwise(_value(raw))
 
 
-def _filled(entry: Column, path: str) -> Column:
+def _filled(raw: Column) -> Column:
     """Text of a key that holds a non-empty value, else NULL."""
-    value = _value(entry, path)
+    value = _value(raw)
     return F.when(value != "", value)
 
 
-def _has_fields(entry: Column, path: str) -> Column:
-    """The block at ``path`` is an object with at least one key."""
-    shape = F.schema_of_variant(F.try_variant_get(entry, path, "variant"))
-    return shape.startswith("OBJECT") & (shape != "OBJECT<>")
-
-
 def protocol_label(number: Column, text: Column) -> Column:
     """Readable protocol name; anything without a known number stays as text."""
     names = F.create_map(*[F.lit(x) for pair in PROTOCOL_NAMES.items() for x in pair])
@@ -65,20 +69,19 @@ def controller_hint(controller: Column) -> Column:
     )
 
 
-def _endpoint(entry: Column, prefix: str, dns_path: str, network_path: str) -> Column:
-    return F.concat(
-        F.lit(prefix), F.coalesce(_filled(entry, dns_path), _text(entry, network_path))
-    )
+def _endpoint(block: Column, prefix: str, dns_key: str, network_key: str) -> Column:
+    name = F.coalesce(_filled(_get(block, dns_key)), _text(_get(block, network_key)))
+    return F.concat(F.lit(prefix), name)
 
 
-def _protocol_token(entry: Column, family: str) -> Column:
-    path = f"$.matches.{family}.protocol"
-    return protocol_label(F.try_variant_get(entry, path, "int"), _text(entry, path))
+def _protocol_token(block: Column) -> Column:
+    raw = _get(block, "protocol")
+    return protocol_label(F.try_variant_get(raw, "$", "int"), _text(raw))
 
 
-def _annotate(tokens: dict[str, Column], entry: Column, layer: str) -> dict[str, Column]:
+def _annotate(tokens: dict[str, Column], block: Column, layer: str) -> dict[str, Column]:
     """Add the initiating side to the first protocol token that names ``layer``."""
-    side = _filled(entry, f"$.matches.{layer}{DIRECTION_KEY}")
+    side = _filled(_get(block, DIRECTION_KEY))
     marked = F.concat(F.lit(f"{layer} (direction-initiated:"), side, F.lit(")"))
     out, taken = {}, F.lit(False)
     for family, token in tokens.items():
@@ -88,36 +91,40 @@ def _annotate(tokens: dict[str, Column], entry: Column, layer: str) -> dict[str,
     return out
 
 
-def _port(entry: Column, layer: str, key: str, prefix: str) -> Column:
-    return F.concat(F.lit(prefix), _text(entry, f'$.matches.{layer}["{key}"].port'))
+def _port(block: Column, key: str, prefix: str) -> Column:
+    port = F.try_variant_get(_get(block, key), "$.port", "variant")
+    return F.concat(F.lit(prefix), _text(port))
 
 
-def rule_line(acl_name: Column, entry: Column) -> Column:
-    """One line per entry; tokens that do not apply are NULL and fall out."""
-    families = ("ipv4", "ipv6")
-    used = {f: _has_fields(entry, f"$.matches.{f}") for f in families}
-    tokens = {f: F.when(used[f], _protocol_token(entry, f)) for f in families}
-    for layer in ("tcp", "udp"):
-        tokens = _annotate(tokens, entry, layer)
+def protocol_tokens(blocks: Column) -> dict[str, Column]:
+    """The protocol token of each family, with the initiating side where one is known."""
+    tokens = {f: _protocol_token(blocks[f]) for f in FAMILIES}
+    for layer in LAYERS:
+        tokens = _annotate(tokens, blocks[layer], layer)
+    return tokens
 
+
+def rule_line(acl_name: Column, blocks: Column, tokens: dict[str, Column]) -> Column:
+    """One line per entry; tokens that do not apply are NULL and fall out."""
+    mud, eth = blocks[MUD], blocks[ETH]
     parts = [
         direction_label(acl_name),
-        controller_hint(_value(entry, f"{MUD}.controller")),
-        F.when(_present(entry, f'{MUD}["local-networks"]'), "local"),
-        F.concat(F.lit("eth:"), _text(entry, f"{ETH}.ethertype")),
-        F.concat(F.lit("mac:"), _text(entry, f'{ETH}["destination-mac-address"]')),
+        controller_hint(_value(_get(mud, "controller"))),
+        F.when(_get(mud, "local-networks").isNotNull(), "local"),
+        F.concat(F.lit("eth:"), _text(_get(eth, "ethertype"))),
+        F.concat(F.lit("mac:"), _text(_get(eth, "destination-mac-address"))),
     ]
-    for f in families:
-        at = f"$.matches.{f}"
+    for f in FAMILIES:
+        block = blocks[f]
         parts += [
-            F.when(used[f], f),
+            F.when(F.size(block) > 0, f),
             tokens[f],
-            _endpoint(entry, "src:", at + SRC_DNS_KEY, f'{at}["source-{f}-network"]'),
-            _endpoint(entry, "dst:", at + DST_DNS_KEY, f'{at}["destination-{f}-network"]'),
+            _endpoint(block, "src:", SRC_DNS_KEY, f"source-{f}-network"),
+            _endpoint(block, "dst:", DST_DNS_KEY, f"destination-{f}-network"),
         ]
-    for layer in ("tcp", "udp"):
+    for layer in LAYERS:
         parts += [
-            _port(entry, layer, "source-port", "src-port:"),
-            _port(entry, layer, "destination-port", "dst-port:"),
+            _port(blocks[layer], "source-port", "src-port:"),
+            _port(blocks[layer], "destination-port", "dst-port:"),
         ]
     return F.concat_ws(" ", *parts)

@@ -29,6 +29,8 @@ from spoor.operators.ranking import is_ahead, order_score, top_k
 
 # Rows of one tile side; 16,384 vectors of 1,024 doubles are 128 MB.
 TILE_ROWS = 16_384
+# A block of queries has at least this many rows, if there are as many.
+MIN_BLOCK_ROWS = 1_024
 # Query rows per matrix product inside a tile.
 STEP_ROWS = 512
 # Scores closer than this tie, so that the name decides (see order_score).
@@ -60,8 +62,8 @@ def _order(score: Column) -> Column:
     return F.when(F.col("method").isin(*VECTOR_METHODS), order_score(score)).otherwise(score)
 
 
-def _tile_count(df: DataFrame, tile_rows: int) -> int:
-    return max(1, -(-df.count() // tile_rows))
+def _tile_count(rows: int, tile_rows: int) -> int:
+    return max(1, -(-rows // tile_rows))
 
 
 def _spread(df: DataFrame, label: str, tile_rows: int, tiles: int) -> DataFrame:
@@ -388,9 +390,12 @@ class _Tiles:
     def __init__(self, queries, references, methods, tile_rows):
         self.methods = methods
         q, r = _queries(queries), _references(references)
-        self.blocks = _tile_count(queries, tile_rows)
-        self.tiles = _tile_count(references, tile_rows)
-        self.queries = _spread(q, "query", tile_rows, self.blocks).withColumnRenamed(
+        # Few queries still make a block per core.
+        n_q, cores = queries.count(), queries.sparkSession.sparkContext.defaultParallelism
+        block_rows = min(tile_rows, max(MIN_BLOCK_ROWS, n_q // cores))
+        self.blocks = _tile_count(n_q, block_rows)
+        self.tiles = _tile_count(references.count(), tile_rows)
+        self.queries = _spread(q, "query", block_rows, self.blocks).withColumnRenamed(
             "tile", "block"
         )
         self.references = _spread(r, "device", tile_rows, self.tiles)

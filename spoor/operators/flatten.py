@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoor.functions.rules import rule_line
+from spoor.functions.rules import matches, protocol_tokens, rule_line
 
 # Where the access lists sit in a profile document.
 ACL_PATH = '$["ietf-access-control-list:access-lists"].acl'
@@ -16,14 +16,10 @@ def parse_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents with their ``acls``, and apart from them those without any.
 
     The second DataFrame is the quarantine: text that is no JSON, or JSON without
-    the list of access lists.
+    the list of access lists. ``acls`` is NULL for them in the first.
     """
-    root = F.try_parse_json(F.col("text"))
-    parsed = documents.withColumn("acls", F.try_variant_get(root, ACL_PATH, "array<variant>"))
-    return (
-        parsed.filter(F.col("acls").isNotNull()),
-        parsed.filter(F.col("acls").isNull()).drop("acls"),
-    )
+    acls = F.try_variant_get(F.try_parse_json(F.col("text")), ACL_PATH, "array<variant>")
+    return documents.withColumn("acls", acls), documents.filter(acls.isNull())
 
 
 def entries(parsed: DataFrame, *keys: str) -> DataFrame:
@@ -40,9 +36,18 @@ def entries(parsed: DataFrame, *keys: str) -> DataFrame:
 
 
 def render(found: DataFrame, *keys: str) -> DataFrame:
-    """``(*keys, acl_pos, ace_pos, line)`` without empty lines."""
-    line = rule_line(F.col("acl_name"), F.col("ace"))
-    return found.select(*keys, "acl_pos", "ace_pos", line.alias("line")).filter("line <> ''")
+    """``(*keys, acl_pos, ace_pos, line)`` without empty lines.
+
+    Empty lines leave through an explode and not through a filter, which would be
+    pushed below and render every line a second time.
+    """
+    kept = [*keys, "acl_pos", "ace_pos"]
+    blocks = found.select(*kept, "acl_name", matches(F.col("ace")).alias("blocks"))
+    tokens = protocol_tokens(F.col("blocks"))
+    blocks = blocks.withColumns({f"_{f}": token for f, token in tokens.items()})
+    line = rule_line(F.col("acl_name"), F.col("blocks"), {f: F.col(f"_{f}") for f in tokens})
+    lines = F.array_compact(F.array(F.nullif(line, F.lit(""))))
+    return blocks.select(*kept, F.explode(lines).alias("line"))
 
 
 def ordered_distinct(lines: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

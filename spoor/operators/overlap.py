@@ -89,12 +89,15 @@ class _Sides:
         self.query_profiles = _profiles(self.queries, "query", "n_q", "mask_q")
         self.devices = _profiles(self.references, "device", "n_r", "mask_r")
 
-    def cold_pairs(self) -> DataFrame:
-        """``(query, device)``, one row per shared cold rule."""
+    def cold_pairs(self, query_profiles: DataFrame, devices: DataFrame) -> DataFrame:
+        """One row per query, device and shared cold rule, with all profile columns.
+
+        The columns join the rules, of which there are far fewer than pairs.
+        """
         cold = F.col("bit").isNull() & F.col("line").isNotNull()
-        left = self.queries.filter(cold).select("query", "line")
-        right = self.references.filter(cold).select("device", "line")
-        return left.join(right, "line").select("query", "device")
+        left = self.queries.filter(cold).drop("bit").join(query_profiles, "query")
+        right = self.references.filter(cold).drop("bit").join(devices, "device")
+        return left.join(right, "line").drop("line")
 
     def class_pairs(self, reference_classes: DataFrame) -> DataFrame:
         """Query classes x reference classes that share at least one hot rule.
@@ -146,14 +149,16 @@ def overlap_topk(
     then the join finds it; the three sources together hold the whole top k.
     """
     sides = _Sides(queries, references, pair_budget, max_hot)
-    found = sides.cold_pairs().withColumn("cold", F.lit(1))
+    pair = ["query", "n_q", "mask_q", "device", "n_r", "mask_r"]
+    cold, none = F.lit(1).alias("cold"), F.lit(0).alias("cold")
+    found = sides.cold_pairs(sides.query_profiles, sides.devices).select(*pair, cold)
 
-    names = [row[0] for row in sides.devices.select("device").orderBy("device").limit(k).collect()]
-    first = F.array(*[F.lit(name) for name in names])
-    padding = sides.query_profiles.select(
-        "query", F.explode(first).alias("device"), F.lit(0).alias("cold")
-    )
-    found = found.union(padding)
+    # k rows.
+    first = sides.devices.orderBy("device").limit(k).collect()
+    fields = ("device", "n_r", "mask_r")
+    names = F.array(*[F.struct(*[F.lit(row[f]).alias(f) for f in fields]) for row in first])
+    padding = sides.query_profiles.withColumn("first", F.explode(names))
+    found = found.union(padding.select("query", "n_q", "mask_q", "first.*", none))
 
     if sides.hot:
         members = top_k(
@@ -162,16 +167,14 @@ def overlap_topk(
         scored = sides.class_pairs(members).withColumn("score", _score(method, F.col("hits")))
         best = top_k(scored, ["mask_q", "n_q"], k, F.col("score"))
         found = found.union(
-            sides.query_profiles.join(best.select("mask_q", "n_q", "device"), ["mask_q", "n_q"])
-            .select("query", "device", F.lit(0).alias("cold"))
+            sides.query_profiles.join(best.drop("hits", "score", "rank"), ["mask_q", "n_q"])
+            .select(*pair, none)
         )
 
     hits = F.col("cold") + _hot_hits()
     scored = (
-        found.groupBy("query", "device")
+        found.groupBy(*pair)
         .agg(F.sum("cold").alias("cold"))
-        .join(sides.query_profiles, "query")
-        .join(sides.devices, "device")
         .select(
             "query",
             "device",
@@ -242,13 +245,9 @@ def overlap_ranks(
 
 def _ahead_by_cold_rules(sides, own, devices, method) -> DataFrame:
     """Change in the count once the cold hits of a pair are added."""
-    pairs = (
-        sides.cold_pairs()
-        .groupBy("query", "device")
-        .agg(F.count(F.lit(1)).alias("cold"))
-        .join(own.filter("own is not null"), "query")
-        .join(devices.select("device", "n_r", "mask_r"), "device")
-    )
+    known = own.filter("own is not null").drop("own_position")
+    pairs = sides.cold_pairs(known, devices.drop("position"))
+    pairs = pairs.groupBy(*pairs.columns).agg(F.count(F.lit(1)).alias("cold"))
 
     def counted(hits):
         return is_ahead(

@@ -24,9 +24,9 @@ class Compacted:
 
 def compact(documents: DataFrame, key: str = "path") -> Compacted:
     """``documents (key, text)`` to distinct lines in first-occurrence order."""
-    good, bad = parse_documents(documents)
-    lines = ordered_distinct(render(entries(good, key), key), [key], ORDER)
-    stats = reduction_stats(good, lines, key)
+    parsed, bad = parse_documents(documents)
+    lines = ordered_distinct(render(entries(parsed, key), key), [key], ORDER)
+    stats = reduction_stats(parsed.filter("acls is not null"), lines, key)
     return Compacted(lines, stats, reduction_summary(stats), bad)
 
 
@@ -36,8 +36,8 @@ def compact_folder(spark: SparkSession, source: str, target: str) -> Compacted:
     write_lines(compacted.lines, f"{target}/lines", ORDER)
     # The other sinks read the lines just written instead of parsing again.
     lines = spark.read.parquet(f"{target}/lines")
-    good, _ = parse_documents(read_documents(spark, source))
-    stats = reduction_stats(good, lines)
+    parsed, _ = parse_documents(read_documents(spark, source))
+    stats = reduction_stats(parsed.filter("acls is not null"), lines)
     write_rule_texts(lines, f"{target}/texts", ORDER)
     write_report(stats, f"{target}/reduction_stats")
     stats = spark.read.schema(stats.schema).json(f"{target}/reduction_stats")
