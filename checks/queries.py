@@ -23,7 +23,7 @@ from spoor.operators.whiten import fit_whitening
 from spoor.plans.compaction import ORDER, compact
 from spoor.plans.evaluation import summarise
 from spoor.plans.retrieval import rank_sets
-from spoor.session import shared_dir
+from spoor.session import shared_dir, stored
 from spoor.sources.banks import query_bank, reference_bank, resolve_bank
 from spoor.sources.profiles import rule_lines
 from spoor.streaming.runtime import match_stream, match_windows
@@ -233,10 +233,9 @@ def _semantic_banks(spark, sf_dir):
     q = queries.withColumn("entity", F.col("query")).join(vectors, "line")
     r = references.withColumn("entity", F.col("device")).join(vectors, "line")
     # Banks are made once and read several times.
-    shared_dir(spark)
     return (
-        q.select("query", "expected", row_id, "embedding").checkpoint(),
-        r.select("device", row_id, "embedding").checkpoint(),
+        stored(q.select("query", "expected", row_id, "embedding")),
+        stored(r.select("device", row_id, "embedding")),
     )
 
 

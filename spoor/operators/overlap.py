@@ -12,20 +12,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from spoor.functions.numbers import ratio
-from spoor.operators.ranking import (
-    is_ahead,
-    name_positions,
-    top_k,
-)
+from spoor.operators.ranking import is_ahead, name_positions, top_k
+from spoor.session import stored
 
 # A rule is hot if it alone would emit more pairs than this.
 PAIR_BUDGET = 1_000_000
 # Bits of the mask. Bounds the rules kept on the driver and the distinct masks.
 MAX_HOT_RULES = 24
+# Pairs that one task of the join should emit.
+PAIRS_PER_TASK = 250_000
+MAX_JOIN_TASKS = 20_000
+# References up to this size are broadcast, with this much per row beside its texts.
+BROADCAST_BYTES = 64 << 20
+ROW_BYTES = 64
+# A query with more rules than this is spread over several tasks of the join.
+QUERY_RULES_PER_TASK = 2_000
 # Positions per block when names are counted inside a class.
 BLOCK = 16_384
 
@@ -46,19 +51,22 @@ SCORERS: dict[str, Callable[[Column, Column, Column], Column]] = {
 
 def hot_rules(
     queries: DataFrame, references: DataFrame, pair_budget: int, limit: int = MAX_HOT_RULES
-) -> list[str]:
-    """The rules that would emit the most pairs; at most ``limit`` of them."""
+) -> tuple[list[str], int]:
+    """At most ``limit`` rules that would emit the most pairs, and the pairs of all others."""
     n_q = queries.groupBy("line").agg(F.count(F.lit(1)).alias("n_q"))
     n_r = references.groupBy("line").agg(F.count(F.lit(1)).alias("n_r"))
-    pairs = F.col("n_q") * F.col("n_r")
-    found = (
+    seen = Observation()
+    rows = (
         n_q.join(n_r, "line")
-        .filter(F.col("line").isNotNull() & (pairs > pair_budget))
-        .orderBy(pairs.desc(), "line")
+        .select("line", (F.col("n_q") * F.col("n_r")).alias("pairs"))
+        .observe(seen, F.sum("pairs").alias("pairs"))
+        .filter(F.col("line").isNotNull() & (F.col("pairs") > pair_budget))
+        .orderBy(F.col("pairs").desc(), "line")
         .limit(limit)
-        .select("line")
+        .collect()
     )
-    return [row[0] for row in found.collect()]
+    total = seen.get["pairs"] or 0
+    return [row["line"] for row in rows], total - sum(row["pairs"] for row in rows)
 
 
 def _hot_bit(hot: list[str]) -> Column:
@@ -80,9 +88,13 @@ class _Sides:
     """Both inputs, split into cold rules and profile classes."""
 
     def __init__(self, queries, references, pair_budget, max_hot):
-        queries = queries.select("query", "line").distinct()
-        references = references.select("device", "line").distinct()
-        self.hot = hot_rules(queries, references, pair_budget, max_hot)
+        # Several jobs read the sets, which are far smaller than what they come from.
+        queries = stored(queries.select("query", "line").distinct())
+        references = stored(references.select("device", "line").distinct())
+        self.hot, pairs = hot_rules(queries, references, pair_budget, max_hot)
+        self.join_tasks = min(max(1, pairs // PAIRS_PER_TASK), MAX_JOIN_TASKS)
+        size = F.octet_length("device") + F.coalesce(F.octet_length("line"), F.lit(0)) + ROW_BYTES
+        self.broadcast = (references.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
         bit = _hot_bit(self.hot)
         self.queries = queries.withColumn("bit", bit)
         self.references = references.withColumn("bit", bit)
@@ -92,11 +104,20 @@ class _Sides:
     def cold_pairs(self, query_profiles: DataFrame, devices: DataFrame) -> DataFrame:
         """One row per query, device and shared cold rule, with all profile columns.
 
-        The columns join the rules, of which there are far fewer than pairs.
+        The columns join the rules, of which there are far fewer than pairs. The tasks
+        are counted by the pairs they will emit; the size of the rules says little
+        about that. Where the references are small enough to broadcast, a query stays
+        in one task, so that its hits add up there, unless it is large.
         """
         cold = F.col("bit").isNull() & F.col("line").isNotNull()
         left = self.queries.filter(cold).drop("bit").join(query_profiles, "query")
         right = self.references.filter(cold).drop("bit").join(devices, "device")
+        if self.broadcast:
+            part = F.pmod(F.xxhash64("line"), F.ceil(F.col("n_q") / QUERY_RULES_PER_TASK))
+            left = left.repartition(self.join_tasks, F.col("query"), part)
+            right = F.broadcast(right)
+        elif self.join_tasks > 1:
+            left = left.repartition(self.join_tasks, "line")
         return left.join(right, "line").drop("line")
 
     def class_pairs(self, reference_classes: DataFrame) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -38,3 +39,14 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="spoor-"))
     return context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder once and read it from there.
+
+    For results that several jobs read: they survive lost executors, and unlike a
+    cached result they carry their true size into the next plan.
+    """
+    path = f"{shared_dir(df.sparkSession)}/spoor-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
