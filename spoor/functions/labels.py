@@ -12,13 +12,15 @@ VARIANT_MARKERS = ("_test_", "_loo_", "_family_", "_ipbits")
 
 
 def clean_label(name: Column) -> Column:
-    """Strip the suffix, then cut at the first marker that occurs in the name."""
-    base = F.when(
-        name.endswith(COMPACT_SUFFIX),
-        F.substring(name, F.lit(1), F.length(name) - len(COMPACT_SUFFIX)),
-    ).otherwise(name)
-    cuts = [F.when(base.contains(m), F.substring_index(base, m, 1)) for m in VARIANT_MARKERS]
-    return F.coalesce(*cuts, base)
+    """Strip the suffix, then cut at the first marker that occurs in the name.
+
+    An earlier alternative of the pattern is tried over the whole name before the
+    next one, which gives the markers their precedence.
+    """
+    base = F.regexp_replace(name, COMPACT_SUFFIX + r"\z", "")
+    heads = "|".join(f"(.*?){marker}" for marker in VARIANT_MARKERS)
+    groups = "".join(f"${i + 1}" for i in range(len(VARIANT_MARKERS)))
+    return F.regexp_replace(base, rf"(?s)^(?:{heads}).*\z", groups)
 
 
 def file_stem(path: Column) -> Column:

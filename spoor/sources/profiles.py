@@ -22,10 +22,9 @@ def _relative(folder: str) -> Column:
 
 def _files(spark: SparkSession, folder: str, glob: str, recursive: bool) -> DataFrame:
     return (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", glob)
-        .option("recursiveFileLookup", recursive)
-        .text(folder)
+        spark.read.text(
+            folder, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=recursive
+        )
         .select(_relative(folder).alias("path"), F.col("value").alias("text"))
     )
 
