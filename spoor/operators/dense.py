@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from spoor.functions.numbers import ratio
 from spoor.operators.pooling import mean_vectors
 from spoor.operators.ranking import is_ahead, order_score, top_k
-from spoor.session import stored
+from spoor.session import ship_package, stored
 
 # Rows of one tile side; 16,384 vectors of 1,024 doubles are 128 MB.
 TILE_ROWS = 16_384
@@ -390,6 +390,7 @@ def _merge(parts: DataFrame) -> DataFrame:
 class _Tiles:
     def __init__(self, queries, references, methods, tile_rows, passes=1):
         self.methods = methods
+        ship_package(queries.sparkSession)
         q, r = _queries(queries), _references(references)
         if passes > 1:
             q, r = stored(q), stored(r)

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spoor.functions.vectors import l2_normalise
+from spoor.session import ship_package
+from spoor.sources.guards import require_rows
 
 DEFAULT_K = 256
 # Fixed value: spacing of single-precision floats at 1, the unit of the rank threshold.
@@ -44,6 +46,7 @@ class WhiteningModel:
         k = min(k, self.rank)
         scale = np.sqrt(self.reference_rows - 1) / self.singular_values[:k]
         spark = bank.sparkSession
+        ship_package(spark)
         # d x k doubles: 8 MB for 4,096 dimensions and k = 256.
         model = spark.sparkContext.broadcast((self.mean, self.components[:k].T * scale))
         schema = T.StructType(
@@ -118,12 +121,10 @@ def fit_whitening(
     max(rows, dim) * FLOAT_EPS, which needs fewer than about 8 million rows.
     """
     unit = l2_normalise(F.col(vector))
-    vectors = reference.select(unit.alias("unit"))
+    vectors = require_rows(reference, "the reference bank is empty").select(unit.alias("unit"))
     n, mean = vectors.agg(
         F.count(F.lit(1)), Summarizer.mean(array_to_vector("unit"))
     ).first()
-    if not n:
-        raise ValueError("the reference bank is empty")
     mean = mean.toArray()
     threshold = max(n, len(mean)) * FLOAT_EPS if rcond is None else rcond
     if threshold >= 1:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -50,3 +52,23 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/spoor-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Spark copies the archive to every executor, as it does for ``--py-files``.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="spoor-package-"), "spoor")
+    archive = shutil.make_archive(
+        base, "zip", os.path.dirname(package), os.path.basename(package)
+    )
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)

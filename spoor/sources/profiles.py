@@ -52,9 +52,8 @@ def rule_lines(files: DataFrame, *keys: str, text: str = "text") -> DataFrame:
 
 def rule_sets(files: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``(key, line)`` without duplicates; a blank file keeps one row with a NULL line."""
-    found = files.select(key, F.explode_outer(lines(F.col(text))).alias("line"))
-    stripped = strip(F.col("line"))
-    return found.select(key, F.when(stripped != "", stripped).alias("line")).distinct()
+    kept = F.filter(F.transform(lines(F.col(text)), strip), lambda line: line != "")
+    return files.select(key, F.explode_outer(kept).alias("line")).distinct()
 
 
 def read_reference_sets(spark: SparkSession, folder: str) -> DataFrame:
