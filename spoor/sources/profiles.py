@@ -35,7 +35,10 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_rule_files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """``(path, text)`` of every ``*.txt``; the whole text in one string."""
+    """``(path, text)`` of every ``*.txt``; the whole text in one string.
+
+    A blank file counts as a profile; Spark skips a file of zero bytes.
+    """
     return require_rows(
         _files(spark, folder, "*.txt", recursive), f"no rule texts in {folder}"
     )

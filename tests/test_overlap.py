@@ -98,7 +98,7 @@ def test_text_folders(spark, tmp_path):
     (refs / "plug_compact.txt").write_text("a b\na b")
     (refs / "blank.txt").write_text("\n \n")
     (queries / "cam_test_1" / "x.txt").write_text("a b\nc\nzz")
-    (queries / "plug.txt").write_text("")
+    (queries / "plug.txt").write_text("\n")
     sets = {}
     for r in read_reference_sets(spark, str(refs)).collect():
         sets.setdefault(r["device"], set()).add(r["line"])
