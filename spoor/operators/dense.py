@@ -32,8 +32,9 @@ from spoor.session import ship_package, stored
 TILE_ROWS = 16_384
 # A block of queries has at least this many rows, if there are as many.
 MIN_BLOCK_ROWS = 1_024
+MAX_TASKS = 20_000
 # Query rows per matrix product inside a tile.
-STEP_ROWS = 512
+STEP_ROWS = 128
 # Scores closer than this tie, so that the name decides (see order_score).
 ORDER_DIGITS = 9
 
@@ -353,6 +354,25 @@ def _kernel(mode: str, methods: Sequence[str], k: int):
 # ---------------------------------------------------------------- plans
 
 
+def _merge_maxsim(parts: DataFrame) -> DataFrame:
+    """``_merge`` where maxsim is the only method: plain sums, no vectors."""
+    keys = ["query", "method", "device"]
+    product = F.coalesce(F.col("best") * F.col("weight"), F.lit(0.0))
+    merged = (
+        parts.groupBy(*keys, "part")
+        .agg(*[F.max(c).alias(c) for c in ("best", "weight", "counted")])
+        .groupBy(*keys)
+        .agg(
+            F.sum(product).alias("total"),
+            F.sum("weight").alias("weight"),
+            F.max("counted").alias("counted"),
+        )
+    )
+    total, weight = F.col("total"), F.col("weight")
+    score = F.when(F.col("device").isNull(), total).otherwise(ratio(total, weight))
+    return merged.select(*keys, score.alias("score"), "counted")
+
+
 def _merge(parts: DataFrame) -> DataFrame:
     """``(query, method, device, score, counted)`` from the rows of the kernel.
 
@@ -408,16 +428,22 @@ class _Tiles:
     def _each(self, n: int, name: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
 
-    def run(self, queries: DataFrame, mode: str, k: int = 0) -> DataFrame:
-        """Every block of queries against every tile of references."""
-        left = queries.select("*", self._each(self.tiles, "tile"))
+    def _score(self, left: DataFrame, tile: str, mode: str, k: int = 0) -> DataFrame:
+        """Cogroup both sides by pair of tiles, as many tasks as pairs while those are few."""
         right = self.references.select("*", self._each(self.blocks, "block"))
-        return _merge(
-            left.groupBy("tile", "block")
-            .cogroup(right.groupBy("tile", "block"))
+        tasks = min(self.tiles * self.blocks, MAX_TASKS)
+        merge = _merge_maxsim if set(self.methods) == {"maxsim"} else _merge
+        return merge(
+            left.repartition(tasks, tile, "block")
+            .groupBy(tile, "block")
+            .cogroup(right.repartition(tasks, "tile", "block").groupBy("tile", "block"))
             .applyInArrow(_kernel(mode, self.methods, k), PARTS_SCHEMA)
         )
 
+    def run(self, queries: DataFrame, mode: str, k: int = 0) -> DataFrame:
+        """Every block of queries against every tile of references."""
+        return self._score(queries.select("*", self._each(self.tiles, "tile")), "tile", mode, k)
+
     def own(self) -> DataFrame:
         """``(query, own_<method>...)``: score of each query's expected device.
 
@@ -426,13 +452,7 @@ class _Tiles:
         places = self.references.select(
             F.col("device").alias("expected"), F.col("tile").alias("own_tile")
         ).distinct()
-        left = self.queries.join(places, "expected")
-        right = self.references.select("*", self._each(self.blocks, "block"))
-        scores = _merge(
-            left.groupBy("own_tile", "block")
-            .cogroup(right.groupBy("tile", "block"))
-            .applyInArrow(_kernel("own", self.methods, 0), PARTS_SCHEMA)
-        )
+        scores = self._score(self.queries.join(places, "expected"), "own_tile", "own")
         return scores.groupBy("query").agg(
             *[
                 F.max(F.when(F.col("method") == m, F.col("score"))).alias("own_" + m)

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 def local_session(cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
+    # One thread per Python worker; the workers already share the cores.
+    os.environ.setdefault("OMP_NUM_THREADS", "1")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("spoor")
