@@ -47,6 +47,8 @@ def sample_episodes(
             raise ValueError("partial mode needs at least one exact or unseen rule")
     else:
         raise ValueError(f"unknown mode: {mode}")
+    if episodes_per_device < 1:
+        raise ValueError("episodes_per_device must be at least 1")
     numbered = first_rows(bank).withColumn(
         "episode", F.explode(F.sequence(F.lit(0), F.lit(episodes_per_device - 1)))
     )

@@ -176,6 +176,8 @@ def overlap_topk(
 
     # k rows.
     first = sides.devices.orderBy("device").limit(k).collect()
+    if not first:
+        raise ValueError("no reference profiles")
     fields = ("device", "n_r", "mask_r")
     names = F.array(*[F.struct(*[F.lit(row[f]).alias(f) for f in fields]) for row in first])
     padding = sides.query_profiles.withColumn("first", F.explode(names))

@@ -6,6 +6,9 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +48,9 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_opened: ContextVar[list[str] | None] = ContextVar("opened", default=None)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder once and read it from there.
 
@@ -52,10 +58,26 @@ def stored(df: DataFrame) -> DataFrame:
     cached result they carry their true size into the next plan.
     """
     path = f"{shared_dir(df.sparkSession)}/spoor-{uuid.uuid4().hex}"
+    if _opened.get() is not None:
+        _opened.get().append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def discard_stored(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what ``stored`` wrote inside, for jobs that run over and over."""
+    token = _opened.set([])
+    try:
+        yield
+    finally:
+        paths = _opened.get()
+        _opened.reset(token)
+        for name in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _shipped: set[str] = set()
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from spoor.operators.overlap import overlap_topk
+from spoor.session import discard_stored
 
 
 def _query_name() -> Column:
@@ -79,8 +80,9 @@ def _writer(
     def write(rules: DataFrame, batch: int) -> None:
         rules.persist()
         if not rules.isEmpty():
-            ranked = _ranked(rules, references, method, k)
-            ranked.write.mode("overwrite").parquet(f"{target}/batch={batch}")
+            with discard_stored(rules.sparkSession):
+                ranked = _ranked(rules, references, method, k)
+                ranked.write.mode("overwrite").parquet(f"{target}/batch={batch}")
         rules.unpersist()
 
     return write

@@ -1,5 +1,9 @@
 """Runtime traces: schema, window matching, and the stream against the batch."""
 
+import os
+from urllib.parse import urlparse
+
+from spoor.session import shared_dir
 from spoor.sources.flows import flow_rules, read_flows, stream_flows
 from spoor.streaming.runtime import match_stream, match_windows
 
@@ -43,11 +47,15 @@ def test_stream_equals_batch_on_closed_windows(spark, tmp_path):
     batch = match_windows(
         flow_rules(read_flows(spark, str(source))), references(spark), "7 days", k=2
     ).collect()
+    before = set(os.listdir(urlparse(shared_dir(spark)).path))
     query = match_stream(
         flow_rules(stream_flows(spark, str(source))), references(spark), "7 days", "1 day",
         str(tmp_path / "out"), str(tmp_path / "state"), k=2, trigger={"availableNow": True},
     )
     query.awaitTermination()
+    # The micro-batches leave nothing behind in the shared folder.
+    left = set(os.listdir(urlparse(shared_dir(spark)).path)) - before
+    assert not [name for name in left if name.startswith("spoor-")]
     columns = ["window_start", "entity", "device", "score", "hit_count", "rank"]
     stream = spark.read.parquet(str(tmp_path / "out")).select(columns).collect()
     best = {(r["window_start"], r["entity"]): (r["device"], r["score"]) for r in batch if r["rank"] == 1}
