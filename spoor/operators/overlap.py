@@ -225,7 +225,7 @@ def overlap_ranks(
     """
     sides = _Sides(queries, references, pair_budget, max_hot)
     positions = name_positions(sides.devices, "device")
-    devices = sides.devices.join(positions, "device")
+    devices = stored(sides.devices.join(positions, "device"))
 
     own_hits = (
         expected.join(sides.queries.filter("line is not null"), "query")
@@ -247,9 +247,11 @@ def overlap_ranks(
         .join(own_hits, "query", "left")
     )
     hits = F.coalesce("own_hits", F.lit(0))
-    own = own.withColumn(
-        "own", F.when(F.col("own_position").isNotNull(), _score(method, hits))
-    ).drop("n_r", "own_hits")
+    own = stored(
+        own.withColumn(
+            "own", F.when(F.col("own_position").isNotNull(), _score(method, hits))
+        ).drop("n_r", "own_hits")
+    )
 
     ahead = own.select(
         "query", F.when(F.col("own") == 0, F.col("own_position")).otherwise(0).alias("ahead")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spoor.operators.dense import dense_ranks, dense_topk, pooled
 from spoor.operators.overlap import SCORERS, overlap_ranks, overlap_topk
 from spoor.operators.ranking import retrieval_metrics
+from spoor.session import stored
 from spoor.sources.banks import query_bank, read_bank, reference_bank
 from spoor.sources.profiles import read_query_sets, read_reference_sets
 from spoor.sources.sinks import write_report
@@ -19,6 +20,8 @@ VECTOR_SCORERS = ("asymmetric_maxsim", "mean_pool")
 
 @dataclass(frozen=True)
 class Retrieval:
+    """Stored results: the report and the metrics read them again."""
+
     top: DataFrame  # (query, device, score[, hit_count], rank)
     ranks: DataFrame  # (query, expected, score, rank)
     metrics: DataFrame  # one row
@@ -51,8 +54,8 @@ def rank_sets(
     if method not in SCORERS:
         raise ValueError(f"method must be one of {sorted(SCORERS)}")
     expected = queries.select("query", "expected").distinct()
-    top = overlap_topk(queries, references, method, k, **options)
-    ranks = overlap_ranks(queries, references, expected, method, **options)
+    top = stored(overlap_topk(queries, references, method, k, **options))
+    ranks = stored(overlap_ranks(queries, references, expected, method, **options))
     return Retrieval(top, ranks, _metrics(ranks, method, k))
 
 
@@ -68,8 +71,8 @@ def rank_vectors(
         raise ValueError(f"method must be one of {VECTOR_SCORERS}")
     if method == "mean_pool":
         queries, references = pooled(queries, references)
-    top = dense_topk(queries, references, k=k, **options).drop("method")
-    ranks = dense_ranks(queries, references, **options).drop("method")
+    top = stored(dense_topk(queries, references, k=k, **options).drop("method"))
+    ranks = stored(dense_ranks(queries, references, **options).drop("method"))
     return Retrieval(top, ranks, _metrics(ranks, method, k))
 
 
