@@ -100,6 +100,8 @@ class _Sides:
         self.references = references.withColumn("bit", bit)
         self.query_profiles = _profiles(self.queries, "query", "n_q", "mask_q")
         self.devices = _profiles(self.references, "device", "n_r", "mask_r")
+        largest = self.query_profiles.agg(F.max("n_q")).first()[0] or 0
+        self.large_queries = largest > QUERY_RULES_PER_TASK
 
     def cold_pairs(self, query_profiles: DataFrame, devices: DataFrame) -> DataFrame:
         """One row per query, device and shared cold rule, with all profile columns.
@@ -107,14 +109,16 @@ class _Sides:
         The columns join the rules, of which there are far fewer than pairs. The tasks
         are counted by the pairs they will emit; the size of the rules says little
         about that. Where the references are small enough to broadcast, a query stays
-        in one task, so that its hits add up there, unless it is large.
+        in one task, so that its pairs add up and rank there without a shuffle; if any
+        query is large, all are spread by parts and add up after one.
         """
         cold = F.col("bit").isNull() & F.col("line").isNotNull()
         left = self.queries.filter(cold).drop("bit").join(query_profiles, "query")
         right = self.references.filter(cold).drop("bit").join(devices, "device")
         if self.broadcast:
             part = F.pmod(F.xxhash64("line"), F.ceil(F.col("n_q") / QUERY_RULES_PER_TASK))
-            left = left.repartition(self.join_tasks, F.col("query"), part)
+            spread = [F.col("query"), part] if self.large_queries else [F.col("query")]
+            left = left.repartition(self.join_tasks, *spread)
             right = F.broadcast(right)
         elif self.join_tasks > 1:
             left = left.repartition(self.join_tasks, "line")
@@ -167,12 +171,14 @@ def overlap_topk(
     rules has one row with a NULL line. Devices without a hit score 0 and follow in
     name order, so the k smallest names are candidates of every query. A device
     outside the best k by hot rules alone can only enter through a cold rule, and
-    then the join finds it; the three sources together hold the whole top k.
+    then the join finds it; the best k of the three sources hold the whole top k.
     """
     sides = _Sides(queries, references, pair_budget, max_hot)
     pair = ["query", "n_q", "mask_q", "device", "n_r", "mask_r"]
-    cold, none = F.lit(1).alias("cold"), F.lit(0).alias("cold")
-    found = sides.cold_pairs(sides.query_profiles, sides.devices).select(*pair, cold)
+    cold = F.count(F.lit(1)) + F.bit_count(F.col("mask_q").bitwiseAND(F.col("mask_r")))
+    pairs = sides.cold_pairs(sides.query_profiles, sides.devices).groupBy(*pair)
+    found = pairs.agg(cold.alias("hits")).withColumn("score", _score(method, F.col("hits")))
+    found = top_k(found, ["query"], k, F.col("score")).select(*pair, "hits")
 
     # k rows.
     first = sides.devices.orderBy("device").limit(k).collect()
@@ -181,7 +187,9 @@ def overlap_topk(
     fields = ("device", "n_r", "mask_r")
     names = F.array(*[F.struct(*[F.lit(row[f]).alias(f) for f in fields]) for row in first])
     padding = sides.query_profiles.withColumn("first", F.explode(names))
-    found = found.union(padding.select("query", "n_q", "mask_q", "first.*", none))
+    found = found.union(
+        padding.select("query", "n_q", "mask_q", "first.*").withColumn("hits", _hot_hits())
+    )
 
     if sides.hot:
         members = top_k(
@@ -191,18 +199,18 @@ def overlap_topk(
         best = top_k(scored, ["mask_q", "n_q"], k, F.col("score"))
         found = found.union(
             sides.query_profiles.join(best.drop("hits", "score", "rank"), ["mask_q", "n_q"])
-            .select(*pair, none)
+            .select(*pair, _hot_hits())
         )
 
-    hits = F.col("cold") + _hot_hits()
+    # At most 3 k rows per query. A device found twice has its true hits in the larger.
     scored = (
-        found.groupBy(*pair)
-        .agg(F.sum("cold").alias("cold"))
+        found.groupBy("query", "n_q", "device", "n_r")
+        .agg(F.max("hits").alias("hits"))
         .select(
             "query",
             "device",
-            _score(method, hits).alias("score"),
-            hits.cast("long").alias("hit_count"),
+            _score(method, F.col("hits")).alias("score"),
+            F.col("hits").cast("long").alias("hit_count"),
         )
     )
     return top_k(scored, ["query"], k, F.col("score"))

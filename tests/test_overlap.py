@@ -48,8 +48,12 @@ def brute(method):
 
 
 @pytest.mark.parametrize("method", ["jaccard", "exact_hit_count"])
-@pytest.mark.parametrize("budget,max_hot,limit", [(10**9, 24, 1 << 26), (30, 24, 0), (30, 2, 1 << 26)])
-def test_against_brute_force(spark, monkeypatch, method, budget, max_hot, limit):
+@pytest.mark.parametrize(
+    "budget,max_hot,limit,large",
+    [(10**9, 24, 1 << 26, 2000), (30, 24, 0, 2000), (30, 2, 1 << 26, 3)],
+)
+def test_against_brute_force(spark, monkeypatch, method, budget, max_hot, limit, large):
+    monkeypatch.setattr(overlap, "QUERY_RULES_PER_TASK", large)
     monkeypatch.setattr(overlap, "BROADCAST_BYTES", limit)
     monkeypatch.setattr(overlap, "PAIRS_PER_TASK", 200)
     monkeypatch.setattr(overlap, "BLOCK", 7)
