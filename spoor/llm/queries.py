@@ -7,7 +7,21 @@ from pyspark.sql import functions as F
 from spoor.llm.common import table
 from spoor.llm.fuzzy import group_near
 from spoor.llm.packing import pack
+from spoor.llm.pseudonyms import pseudonymise
 from spoor.llm.quality import measure_quality
+from spoor.llm.secrets import secret_digests
+from spoor.llm.sharding import shard
+
+
+def op1_secrets(spark, sf_dir):
+    return secret_digests(table(spark, sf_dir, "documents"))
+
+
+def op2_sharding(spark, sf_dir):
+    return shard(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
 
 
 def op3_packing(spark, sf_dir):
@@ -18,13 +32,21 @@ def op4_simhash(spark, sf_dir):
     return group_near(table(spark, sf_dir, "documents"))
 
 
+def op7_pseudonyms(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return pseudonymise(docs, kinds="kinds").select("doc_id", "text", "kinds")
+
+
 def op8_quality(spark, sf_dir):
     return measure_quality(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_secrets": op1_secrets,
+    "op2_sharding": op2_sharding,
     "op3_packing": op3_packing,
     "op4_simhash": op4_simhash,
+    "op7_pseudonyms": op7_pseudonyms,
     "op8_quality": op8_quality,
 }
 
