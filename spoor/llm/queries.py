@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spoor.llm.common import table
+from spoor.llm.decontaminate import find_leaks
 from spoor.llm.fuzzy import group_near
 from spoor.llm.packing import pack
+from spoor.llm.pages import extract_pages
 from spoor.llm.pseudonyms import pseudonymise
 from spoor.llm.quality import measure_quality
 from spoor.llm.secrets import secret_digests
 from spoor.llm.sharding import shard
+from spoor.llm.toxicity import score_toxicity
 
 
 def op1_secrets(spark, sf_dir):
@@ -32,6 +35,14 @@ def op4_simhash(spark, sf_dir):
     return group_near(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark, sf_dir):
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_decontamination(spark, sf_dir):
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_pseudonyms(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return pseudonymise(docs, kinds="kinds").select("doc_id", "text", "kinds")
@@ -41,13 +52,20 @@ def op8_quality(spark, sf_dir):
     return measure_quality(table(spark, sf_dir, "documents"))
 
 
+def op9_pages(spark, sf_dir):
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_sharding": op2_sharding,
     "op3_packing": op3_packing,
     "op4_simhash": op4_simhash,
+    "op5_toxicity": op5_toxicity,
+    "op6_decontamination": op6_decontamination,
     "op7_pseudonyms": op7_pseudonyms,
     "op8_quality": op8_quality,
+    "op9_pages": op9_pages,
 }
 
 ORACLE: dict[str, str] = {}
