@@ -199,27 +199,34 @@ class LabelModel:
         return _logistic(prior + self._votes_odds(patterns).sum(1))
 
     def _correlations(self, patterns, counts, known) -> np.ndarray:
-        """Correlation of two votes within the classes, as the other voters tell the classes.
+        """How much oftener two voters vote together than the classes explain, per unit of spread.
 
-        Were the two voters asked as well, a pair of copies would be the class itself.
+        The classes are told by the other voters: were the two asked as well, a pair of copies
+        would be the class itself.
         """
         odds = self._votes_odds(patterns)
         prior = math.log(self.balance / (1 - self.balance))
         votes = ((patterns[:, None] >> np.arange(len(self.names))) & 1).astype(float)
-        out = np.zeros((len(self.names),) * 2)
+        share = counts / counts.sum()
         owner = {v: g for g, group in enumerate(self.groups) for v in group}
+        # How often each voter votes, by class.
+        rate = np.zeros((len(self.names), 2))
+        for g, group in enumerate(self.groups):
+            outcome = np.arange(1 << len(group))
+            for place, v in enumerate(group):
+                rate[v] = np.exp(self.tables[g])[:, (outcome >> place) & 1 == 1].sum(1)
+        out = np.zeros((len(self.names),) * 2)
         for a, b in combinations(range(len(self.names)), 2):
             if owner[a] == owner[b]:
                 continue
             told = _logistic(prior + odds.sum(1) - odds[:, owner[a]] - odds[:, owner[b]])
             told = np.where(known >= 0, known, told)
-            for w in (counts * (1 - told), counts * told):
-                if w.sum() <= 1:
-                    continue
-                x, y = (votes[:, v] - np.average(votes[:, v], weights=w) for v in (a, b))
-                scale = math.sqrt(np.average(x * x, weights=w) * np.average(y * y, weights=w))
-                if scale > 1e-9:
-                    out[a, b] += np.average(x * y, weights=w) / scale * w.sum() / counts.sum()
+            toxic = float(share @ told)
+            mix = np.array([1 - toxic, toxic])
+            expected = float(mix @ (rate[a] * rate[b]))
+            spread = math.sqrt(np.prod([mix @ (rate[v] * (1 - rate[v])) for v in (a, b)]))
+            if spread > 1e-6:
+                out[a, b] = (float(share @ (votes[:, a] * votes[:, b])) - expected) / spread
         return out
 
     def fit(self, patterns: np.ndarray, counts: np.ndarray, known: np.ndarray) -> LabelModel:
