@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from spoor.session import shared_dir, ship_package
 
@@ -22,7 +23,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def over_batches(
-    df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str
+    df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table],
+    schema: str | StructType,
 ) -> DataFrame:
     """Map Arrow batches; Spark bounds a batch by rows and by bytes."""
     ship_package(df.sparkSession)

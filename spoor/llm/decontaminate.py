@@ -17,9 +17,11 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -248,25 +250,15 @@ def find_leaks(
     The items are read to the driver in sets of at most ``INDEX_BYTES``, however many there are,
     and the documents are passed once for each set.
     """
-    spark = docs.sparkSession
-    items = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    sets = -(-size // INDEX_BYTES)
     key_type, item_type = (
-        df.schema[name].dataType.simpleString() for df, name in ((docs, key), (items, "item"))
+        df.schema[name].dataType.simpleString() for df, name in ((docs, key), (items, item_key))
     )
     schema = (
         f"{key} {key_type}, {item_key} {item_type}, score double, overlap double, "
         "question_overlap double, answer_overlap double"
     )
-    out = spark.createDataFrame([], schema)
-    for part in range(sets):
-        # A set is bounded by its bytes: items are dealt by a hash of their text.
-        mine = items.filter(F.pmod(F.xxhash64("text", "item"), F.lit(sets)) == part)
-        index = Index(mine.collect(), threshold)
-        if not index.items:
-            continue
-        shared = spark.sparkContext.broadcast(index)
+    out = docs.sparkSession.createDataFrame([], schema)
+    for part, shared in enumerate(_indexes(items, item_key, item_text, threshold)):
 
         def work(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
             rows = search(shared.value, batch.column(1).to_pylist())
@@ -281,10 +273,44 @@ def find_leaks(
             )
 
         found = over_batches(docs.select(key, text), work, schema)
-        out = found if part == 0 else out.unionByName(found)
+        out = out.unionByName(found) if part else found
     return out
 
 
+def drop_leaks(
+    docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id",
+    item_text: str = "text", threshold: float = THRESHOLD,
+) -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all of their columns."""
+    place = docs.columns.index(text)
+    for shared in _indexes(items, item_key, item_text, threshold):
+
+        def work(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
+            found = {r[0] for r in search(shared.value, batch.column(place).to_pylist())}
+            return batch.filter(
+                pa.array([i not in found for i in range(batch.num_rows)], pa.bool_())
+            )
+
+        docs = over_batches(docs, work, docs.schema)
+    return docs
+
+
+def _indexes(
+    items: DataFrame, key: str, text: str, threshold: float
+) -> Iterator[Broadcast[Index]]:
+    """The indexes of all items, each broadcast; a set is bounded by the bytes of its texts."""
+    context = items.sparkSession.sparkContext
+    items = items.select(F.col(key).alias("item"), F.col(text).alias("text"))
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sets = -(-size // INDEX_BYTES)
+    for part in range(sets):
+        # Items are dealt by a hash.
+        mine = items.filter(F.pmod(F.xxhash64("text", "item"), F.lit(sets)) == part)
+        index = Index(mine.collect(), threshold)
+        if index.items:
+            yield context.broadcast(index)
+
+
 def _arrow_type(name: str) -> pa.DataType:
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
     return kinds[name]

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoor.llm.common import Scratch, find_words, over_batches
@@ -248,3 +248,26 @@ def group_near(
     return marked.join(of_class, "fp").select(
         key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates, with all of its columns.
+
+    The row with the least key stays; a null key comes after all others. Of rows that are equal
+    in every column one stays.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    marks = docs.withColumns(
+        {"__a": F.xxhash64(*columns), "__b": F.xxhash64(F.lit(1), *reversed(columns))}
+    )
+    rows = marks.select(
+        F.struct(F.col(key).isNull().alias("last"), key, "__a", "__b").alias("__row"), text
+    )
+    chosen = group_near(rows, "__row", text).select("component_id.__a", "component_id.__b").distinct()
+    once = Window.partitionBy("__a", "__b").orderBy("__a")
+    return (
+        marks.join(chosen, ["__a", "__b"], "left_semi")
+        .withColumn("__n", F.row_number().over(once))
+        .filter("__n = 1")
+        .drop("__a", "__b", "__n")
+    )

@@ -133,3 +133,16 @@ def measure_quality(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         )
 
     return over_batches(docs.select(key, text), work, f"{key} {key_type}, {SCHEMA}")
+
+
+def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text passes, with all of their columns."""
+    place = docs.columns.index(text)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(place)
+        return batch.filter(
+            pa.array([measure(texts[i].as_py())[6] for i in range(batch.num_rows)], pa.bool_())
+        )
+
+    return over_batches(docs, work, docs.schema)
