@@ -11,6 +11,7 @@ from spoor.llm.packing import pack
 from spoor.llm.pages import extract_pages
 from spoor.llm.pseudonyms import pseudonymise
 from spoor.llm.quality import measure_quality
+from spoor.llm.repeats import repeat_digests
 from spoor.llm.secrets import secret_digests
 from spoor.llm.sharding import shard
 from spoor.llm.toxicity import score_toxicity
@@ -56,6 +57,10 @@ def op9_pages(spark, sf_dir):
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op10_repeats(spark, sf_dir):
+    return repeat_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_sharding": op2_sharding,
@@ -66,6 +71,7 @@ QUERIES = {
     "op7_pseudonyms": op7_pseudonyms,
     "op8_quality": op8_quality,
     "op9_pages": op9_pages,
+    "op10_repeats": op10_repeats,
 }
 
 ORACLE: dict[str, str] = {}
