@@ -194,28 +194,23 @@ def near_links(fps: DataFrame, scratch: Scratch, limit: int = MAX_BITS, part: in
     meets in a task of its own.
     """
     keyed = _keyed(fps)
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    sizes = scratch.put(counts)
-    big = sizes.filter(F.col("n") > part)
-    # Rows whose key nothing else has are left out before the sort.
-    met = keyed.join(sizes, "key")
-    small = met.filter(F.col("n") <= part).select("key", "fp")
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    big = scratch.put(counts.filter(F.col("n") > part))
+    if big.isEmpty():
+        return _links(keyed.repartition("key").sortWithinPartitions("key"), limit).distinct()
+    small = keyed.join(big, "key", "left_anti")
     found = _links(small.repartition("key").sortWithinPartitions("key"), limit)
-    if not big.isEmpty():
-        tiles = F.ceil(F.col("n") / part).cast("long")
-        mine = F.pmod(F.xxhash64("fp"), tiles)
-        grid = (
-            met.filter(F.col("n") > part)
-            .withColumn("mine", mine)
-            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
-            .select(
-                F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"),
-                "fp",
-            )
-        )
-        found = found.unionByName(
-            _links(grid.repartition("key").sortWithinPartitions("key"), limit)
+    tiles = F.ceil(F.col("n") / part).cast("long")
+    grid = (
+        keyed.join(big, "key")
+        .withColumn("mine", F.pmod(F.xxhash64("fp"), tiles))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
+        .select(
+            F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"),
+            "fp",
         )
+    )
+    found = found.unionByName(_links(grid.repartition("key").sortWithinPartitions("key"), limit))
     return found.distinct()
 
 
