@@ -489,6 +489,20 @@ FROM episodes""",
     "episode_ranks_partial_tiled": _episode_ranks("partial"),
     "episode_summary_strict": _episode_summary("strict-unseen"),
     "episode_summary_partial": _episode_summary("partial"),
+    "whiten_covariance": """WITH d AS (SELECT max(len(embedding)) AS dim FROM embeddings)
+SELECT i.range AS i, j.range AS j, CASE WHEN i.range = j.range THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS covariance,
+       CAST(d.dim AS BIGINT) AS dim
+FROM d, range((SELECT dim FROM d)) i, range((SELECT dim FROM d)) j""",
+    "whiten_energy": f"""WITH {BANK},
+one AS (
+  SELECT row_id, unnest(range(len(v))) AS i, unnest(v) AS x, unnest(v) / sqrt(list_dot_product(v, v)) AS u
+  FROM bank),
+centred AS (SELECT row_id, i, u - avg(u) OVER (PARTITION BY i) AS c FROM one),
+scatter AS (
+  SELECT a.i, b.i AS j, sum(a.c * b.c) AS s FROM centred a JOIN centred b USING (row_id) GROUP BY ALL)
+SELECT (SELECT count(*) FROM embeddings) AS rows,
+       round(sum(s) FILTER (WHERE i = j), 4) AS second, round(sum(s * s), 2) AS fourth
+FROM scatter""",
     "whiten_metadata": """
 SELECT count(*) AS input_rows, count(*) AS reference_rows,
        CAST(max(len(embedding)) AS BIGINT) AS input_dim,

@@ -315,6 +315,39 @@ def whiten_maxsim(spark, sf_dir):
     return dense_topk(model.transform(queries, 32), model.transform(references, 32)).drop("method")
 
 
+def whiten_covariance(spark, sf_dir):
+    """Covariance of the whitened vectors before their last scaling, every entry."""
+    bank = views.bank(spark, sf_dir).select("row_id", "embedding")
+    white = fit_whitening(bank).project(bank)
+    dim = len(white.first()["embedding"])
+    # d x d sums, added up per task: each row adds the products of its entries.
+    rows = white.select(
+        "embedding", F.posexplode("embedding").alias("i", "x")
+    ).select("i", "x", F.posexplode("embedding").alias("j", "y"))
+    sums = rows.groupBy("i", "j").agg(
+        F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum("x").alias("x"), F.sum("y").alias("y"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    covariance = (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / (F.col("n") - 1)
+    # Zero rounds to either sign of zero.
+    return sums.select(
+        F.col("i").cast("long"), F.col("j").cast("long"),
+        (F.round(covariance, 5) + F.lit(0.0)).alias("covariance"), F.lit(dim).cast("long").alias("dim"),
+    )
+
+
+def whiten_energy(spark, sf_dir):
+    """Sums of the second and fourth powers of the singular values."""
+    bank = views.bank(spark, sf_dir)
+    values = fit_whitening(bank).singular_values
+    meta = bank.agg(F.count(F.lit(1)).alias("rows"))
+    return meta.select(
+        "rows",
+        F.round(F.lit(float((values**2).sum())), 4).alias("second"),
+        F.round(F.lit(float((values**4).sum())), 2).alias("fourth"),
+    )
+
+
 # ------------------------------------------------ embedding
 
 
@@ -348,7 +381,13 @@ def runtime_window_match(spark, sf_dir):
     found = match_windows(
         views.flows(spark, sf_dir), views.reference_sets(spark, sf_dir), WINDOW
     )
-    return _rounded(found.withColumn("rank", F.col("rank").cast("long")), "score")
+    return _windows_out(found)
+
+
+def _windows_out(found):
+    start = F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")
+    found = found.withColumns({"window_start": start, "rank": F.col("rank").cast("long")})
+    return _rounded(found, "score")
 
 
 def runtime_stream_match(spark, sf_dir):
@@ -365,8 +404,7 @@ def runtime_stream_match(spark, sf_dir):
         trigger={"availableNow": True},
     )
     query.awaitTermination()
-    found = spark.read.parquet(f"{base}/out").drop("batch")
-    return _rounded(found.withColumn("rank", F.col("rank").cast("long")), "score")
+    return _windows_out(spark.read.parquet(f"{base}/out").drop("batch"))
 
 
 QUERIES = {
@@ -416,6 +454,8 @@ QUERIES = {
     "episode_summary_strict": _episode_summary(ep.STRICT),
     "episode_summary_partial": _episode_summary(ep.PARTIAL),
     "whiten_metadata": whiten_metadata,
+    "whiten_covariance": whiten_covariance,
+    "whiten_energy": whiten_energy,
     "whiten_apply": whiten_apply,
     "whiten_maxsim": whiten_maxsim,
     "embed_per_rule": embed_per_rule,

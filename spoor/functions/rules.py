@@ -19,6 +19,9 @@ FAMILIES, LAYERS = ("ipv4", "ipv6"), ("tcp", "udp")
 DIRECTION_KEY = "ietf-mud:direction-initiated"
 SRC_DNS_KEY, DST_DNS_KEY = "ietf-acldns:src-dnsname", "ietf-acldns:dst-dnsname"
 
+# How values without content look as text, the empty string aside.
+EMPTY = r"^(?:-?0(?:\.0*)?(?:[eE][-+]?[0-9]+)?|false|\[\]|\{\})$"
+
 MATCHES_TYPE = (
     "struct<"
     + ", ".join(f"`{block}`: map<string, variant>" for block in (MUD, ETH, *FAMILIES, *LAYERS))
@@ -45,9 +48,13 @@ def _text(raw: Column) -> Column:
 
 
 def _filled(raw: Column) -> Column:
-    """Text of a key that holds a non-empty value, else NULL."""
+    """Text of a key that holds a non-empty value, else NULL.
+
+    Empty are the empty string, list and object, zero and false, but not their text.
+    """
     value = _value(raw)
-    return F.when(value != "", value)
+    empty = value.rlike(EMPTY) & (F.schema_of_variant(raw) != "STRING")
+    return F.when((value != "") & ~F.coalesce(empty, F.lit(False)), value)
 
 
 def protocol_label(number: Column, text: Column) -> Column:
@@ -63,10 +70,8 @@ def direction_label(acl_name: Column) -> Column:
 
 
 def controller_hint(controller: Column) -> Column:
-    """Last part of a URN such as ``urn:x:dns``; empty counts as absent."""
-    return F.when(
-        controller != "", F.concat(F.lit("controller:"), F.substring_index(controller, ":", -1))
-    )
+    """Last part of a URN such as ``urn:x:dns``."""
+    return F.concat(F.lit("controller:"), F.substring_index(controller, ":", -1))
 
 
 def _endpoint(block: Column, prefix: str, dns_key: str, network_key: str) -> Column:
@@ -109,7 +114,7 @@ def rule_line(acl_name: Column, blocks: Column, tokens: dict[str, Column]) -> Co
     mud, eth = blocks[MUD], blocks[ETH]
     parts = [
         direction_label(acl_name),
-        controller_hint(_value(_get(mud, "controller"))),
+        controller_hint(_filled(_get(mud, "controller"))),
         F.when(_get(mud, "local-networks").isNotNull(), "local"),
         F.concat(F.lit("eth:"), _text(_get(eth, "ethertype"))),
         F.concat(F.lit("mac:"), _text(_get(eth, "destination-mac-address"))),

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def dot(left: Column, right: Column) -> Column:
-    products = F.zip_with(left, right, lambda a, b: a.cast("double") * b.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
-
-
 def norm(vector: Column) -> Column:
     return F.sqrt(
         F.aggregate(
@@ -29,3 +26,14 @@ def l2_normalise(vector: Column) -> Column:
     scale = F.when(length == 0, F.lit(1.0)).otherwise(length)
     scales = F.array_repeat(scale, F.size(vector))
     return F.zip_with(vector, scales, lambda x, n: x.cast("double") / n)
+
+
+def matrix_of(column: pa.Array | pa.ChunkedArray, size: int | None = None) -> np.ndarray:
+    """The vectors of a list column as rows; all must have one length, ``size`` if given."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    lengths = np.diff(column.offsets.to_numpy())
+    size = int(lengths[0]) if size is None else size
+    if column.null_count or (lengths != size).any():
+        raise ValueError(f"a vector is NULL or has not {size} entries, as others have")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)

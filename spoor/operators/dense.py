@@ -16,7 +16,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -24,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from spoor.functions.numbers import ratio
+from spoor.functions.vectors import l2_normalise, matrix_of
 from spoor.operators.pooling import mean_vectors
 from spoor.operators.ranking import is_ahead, order_score, top_k
 from spoor.session import ship_package, stored
@@ -32,6 +32,8 @@ from spoor.session import ship_package, stored
 TILE_ROWS = 16_384
 # A block of queries has at least this many rows, if there are as many.
 MIN_BLOCK_ROWS = 1_024
+# Queries make at least this many blocks, if those are not smaller.
+LEAST_BLOCKS = 64
 MAX_TASKS = 20_000
 # Query rows per matrix product inside a tile.
 STEP_ROWS = 128
@@ -68,23 +70,28 @@ def _tile_count(rows: int, tile_rows: int) -> int:
     return max(1, -(-rows // tile_rows))
 
 
-def _spread(df: DataFrame, label: str, tile_rows: int, tiles: int) -> DataFrame:
+def _spread(
+    df: DataFrame, label: str, tile_rows: int, tiles: int, split: bool = True
+) -> DataFrame:
     """Adds ``tile``, ``spans`` (tiles the label takes) and ``whole``.
 
-    A label keeps to one tile unless it has more rows than a tile. At most
-    ``tiles`` labels can be that large, so the table of them is small.
+    A label keeps to one tile unless it has more rows than a tile, and always without
+    ``split``.
     """
     if tiles == 1:
         return df.withColumns(
             {"tile": F.lit(0), "spans": F.lit(1), "whole": F.lit(True)}
         )
+    if not split:
+        tile = F.pmod(F.xxhash64(label), F.lit(tiles)).cast("int")
+        return df.withColumns({"tile": tile, "spans": F.lit(1), "whole": F.lit(True)})
     large = (
         df.groupBy(label)
         .agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") > tile_rows)
         .select(label, F.ceil(F.col("n") / tile_rows).cast("int").alias("spans"))
     )
-    marked = df.join(F.broadcast(large), label, "left").withColumn(
+    marked = df.join(large, label, "left").withColumn(
         "spans", F.coalesce("spans", F.lit(1))
     )
     # Rows of one text stay together, so that texts are counted once.
@@ -105,31 +112,24 @@ def _queries(df: DataFrame) -> DataFrame:
     for name, kind in (("text", "string"), ("unseen", "boolean")):
         if name not in df.columns:
             filled = filled.withColumn(name, F.lit(None).cast(kind))
-    return filled.groupBy(*keys).agg(
+    grouped = filled.groupBy(*keys).agg(
         F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("copies")
     )
+    return grouped.withColumn("embedding", l2_normalise(F.col("embedding")))
 
 
 def _references(df: DataFrame) -> DataFrame:
     keys = ["device", "text", "embedding"]
     filled = df if "text" in df.columns else df.withColumn("text", F.lit(None).cast("string"))
-    return filled.groupBy(*keys).agg(
+    grouped = filled.groupBy(*keys).agg(
         F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("copies")
     )
+    return grouped.withColumn("embedding", l2_normalise(F.col("embedding")))
 
 
 # ---------------------------------------------------------------- kernel
 
 
-def _matrix(rows: pa.Table) -> np.ndarray:
-    """Unit rows in double precision; a zero row stays zero."""
-    flat = pc.list_flatten(rows["embedding"]).to_numpy().astype(np.float64)
-    matrix = flat.reshape(len(rows), -1)
-    lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
-    lengths[lengths == 0.0] = 1.0
-    return matrix / lengths
-
-
 def _names(rows: pa.Table, column: str) -> np.ndarray:
     return np.array(rows[column].to_pylist(), dtype=object)
 
@@ -149,7 +149,7 @@ class _Tile:
         self.whole = rows["whole"].to_numpy()[self.starts]
         lengths = np.diff(np.r_[self.starts, len(labels)])
         self.column_device = np.repeat(np.arange(len(self.starts)), lengths)
-        self.matrix = _matrix(rows)
+        self.matrix = matrix_of(rows["embedding"])
         columns_of = defaultdict(list)
         for column, text in enumerate(rows["text"].to_pylist()):
             if text is not None:
@@ -294,7 +294,9 @@ def _emit_parts(out: _Rows, query: _Query, item: _Scored, tile: _Tile, at, key)
 
 def _emit(out: _Rows, query: _Query, item: _Scored, tile: _Tile, mode: str, k: int, key) -> None:
     if mode == "own":
-        _emit_parts(out, query, item, tile, np.flatnonzero(tile.devices == query.expected), key)
+        at = int(np.searchsorted(tile.devices, query.expected)) if query.expected else 0
+        here = at < len(tile.devices) and tile.devices[at] == query.expected
+        _emit_parts(out, query, item, tile, [at] if here else [], key)
         return
     final = tile.whole & query.whole
     _emit_parts(out, query, item, tile, np.flatnonzero(~final), key)
@@ -329,13 +331,11 @@ def _kernel(mode: str, methods: Sequence[str], k: int):
         key = tuple(part.as_py() for part in key)
         tile = _Tile(r, methods)
         q = q.sort_by([("query", "ascending"), ("row_id", "ascending")])
-        vectors = _matrix(q)
+        vectors = matrix_of(q["embedding"])
         products = _Products(vectors, tile)
         starts = _starts(_names(q, "query")).tolist()
         for start, end in zip(starts, [*starts[1:], len(q)]):
             query = _Query(q.slice(start, end - start), start, end, tile)
-            if not query.whole and set(methods) != {"maxsim"}:
-                raise ValueError(f"{query.name} is larger than a tile; only maxsim can split it")
             scored = []
             if "maxsim" in methods:
                 scored.append(_maxsim(query, products, tile))
@@ -410,17 +410,21 @@ def _merge(parts: DataFrame) -> DataFrame:
 class _Tiles:
     def __init__(self, queries, references, methods, tile_rows, passes=1):
         self.methods = methods
+        masked = "unseen" in queries.columns
         ship_package(queries.sparkSession)
         q, r = _queries(queries), _references(references)
         if passes > 1:
             q, r = stored(q), stored(r)
             queries, references = q, r
-        # Few queries still make a block per core.
-        n_q, cores = queries.count(), queries.sparkSession.sparkContext.defaultParallelism
-        block_rows = min(tile_rows, max(MIN_BLOCK_ROWS, n_q // cores))
+        n_q = queries.count()
+        block_rows = min(tile_rows, max(MIN_BLOCK_ROWS, n_q // LEAST_BLOCKS))
         self.blocks = _tile_count(n_q, block_rows)
+        # Only maxsim adds up over the rows of a query, and only if the query takes nothing
+        # out of the references. Otherwise a query stays whole, however many rows it has: its
+        # products are made a step at a time.
+        split = set(methods) == {"maxsim"} and not masked
         self.tiles = _tile_count(references.count(), tile_rows)
-        self.queries = _spread(q, "query", block_rows, self.blocks).withColumnRenamed(
+        self.queries = _spread(q, "query", block_rows, self.blocks, split).withColumnRenamed(
             "tile", "block"
         )
         self.references = _spread(r, "device", tile_rows, self.tiles)

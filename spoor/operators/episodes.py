@@ -56,8 +56,10 @@ def sample_episodes(
     order = Window.partitionBy("device", "episode").orderBy("draw", "text")
     head = (
         numbered.withColumn("draw", draw)
-        .withColumn("pos", F.row_number().over(order) - 1)
-        .filter(F.col("pos") <= size)
+        # Numbered from 1 and filtered on that: then a group limit runs below the shuffle.
+        .withColumn("place", F.row_number().over(order))
+        .filter(F.col("place") <= size + 1)
+        .withColumn("pos", F.col("place") - 1)
     )
     taken = F.count(F.lit(1)).over(Window.partitionBy("device", "episode"))
     return (
@@ -76,7 +78,7 @@ def sample_episodes(
 
 
 def masked_counts(bank: DataFrame, episodes: DataFrame) -> DataFrame:
-    """``(episode_id, rows_removed, rows_left)`` of the masked bank.
+    """``(episode_id, rows_removed, rows_left)`` of the masked bank, for every episode.
 
     The rows of a text are counted first, so that no pair of an episode and a
     removed row is built.
@@ -89,7 +91,11 @@ def masked_counts(bank: DataFrame, episodes: DataFrame) -> DataFrame:
         .agg(F.sum("n").alias("rows_removed"))
     )
     total = bank.count()
-    return removed.withColumn("rows_left", F.lit(total) - F.col("rows_removed"))
+    gone = F.coalesce("rows_removed", F.lit(0).cast("long"))
+    every = episodes.select("episode_id").distinct().join(removed, "episode_id", "left")
+    return every.select(
+        "episode_id", gone.alias("rows_removed"), (F.lit(total) - gone).alias("rows_left")
+    )
 
 
 def masked_own_profile(bank: DataFrame, episodes: DataFrame) -> DataFrame:
@@ -104,8 +110,8 @@ def masked_own_profile(bank: DataFrame, episodes: DataFrame) -> DataFrame:
 
 def episode_queries(bank: DataFrame, episodes: DataFrame) -> DataFrame:
     """Episodes with the vectors of their rules, as input of the dense scorers."""
-    vectors = bank.select("row_id", "embedding")
-    return episodes.join(vectors, "row_id").select(
+    vectors = bank.select(F.col("device").alias("expected"), "text", "row_id", "embedding")
+    return episodes.join(vectors, ["expected", "text", "row_id"]).select(
         F.col("episode_id").alias("query"),
         "expected",
         "row_id",

@@ -8,18 +8,28 @@ from pyspark.sql import functions as F
 from spoor.functions.rules import matches, protocol_tokens, rule_line
 
 # Where the access lists sit in a profile document.
-ACL_PATH = '$["ietf-access-control-list:access-lists"].acl'
+ACL_PATH = "$['ietf-access-control-list:access-lists'].acl"
 ACE_PATH = "$.aces.ace"
 
 
 def parse_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents with their ``acls``, and apart from them those without any.
 
-    The second DataFrame is the quarantine: text that is no JSON, or JSON without
-    the list of access lists. ``acls`` is NULL for them in the first.
+    The second DataFrame is the quarantine, with a ``reason``: text that is no JSON
+    object, or one without the list of access lists. ``acls`` is NULL for them in the
+    first. A document that is too large for one VARIANT, or that repeats a key, is
+    read list by list.
     """
-    acls = F.try_variant_get(F.try_parse_json(F.col("text")), ACL_PATH, "array<variant>")
-    return documents.withColumn("acls", acls), documents.filter(acls.isNull())
+    text = F.col("text")
+    whole = F.try_variant_get(F.try_parse_json(text), ACL_PATH, "array<variant>")
+    lists = F.from_json(F.get_json_object(text, ACL_PATH), "array<string>")
+    is_object = F.json_object_keys(text).isNotNull()
+    acls = F.coalesce(whole, F.when(is_object, F.transform(lists, F.try_parse_json)))
+    reason = F.when(is_object, "no access lists").otherwise("no JSON object")
+    return (
+        documents.withColumn("acls", acls),
+        documents.filter(acls.isNull()).withColumn("reason", reason),
+    )
 
 
 def entries(parsed: DataFrame, *keys: str) -> DataFrame:
@@ -30,9 +40,10 @@ def entries(parsed: DataFrame, *keys: str) -> DataFrame:
     acls = parsed.select(*keys, F.posexplode("acls").alias("acl_pos", "acl"))
     name = F.coalesce(F.try_variant_get("acl", "$.name", "string"), F.lit(""))
     aces = F.try_variant_get("acl", ACE_PATH, "array<variant>")
+    is_object = F.try_variant_get("ace", "$", "map<string, variant>").isNotNull()
     return acls.select(
         *keys, "acl_pos", name.alias("acl_name"), F.posexplode(aces).alias("ace_pos", "ace")
-    ).filter(F.schema_of_variant("ace").startswith("OBJECT"))
+    ).filter(is_object)
 
 
 def render(found: DataFrame, *keys: str) -> DataFrame:

@@ -49,16 +49,20 @@ SCORERS: dict[str, Callable[[Column, Column, Column], Column]] = {
 }
 
 
+def rule_pairs(queries: DataFrame, per_reference: DataFrame) -> DataFrame:
+    """``(line, n_q, n_r, pairs)`` of the rules that both sides hold."""
+    n_q = queries.groupBy("line").agg(F.count(F.lit(1)).alias("n_q"))
+    pairs = F.col("n_q").cast("double") * F.col("n_r")
+    return n_q.join(per_reference, "line").withColumn("pairs", pairs)
+
+
 def hot_rules(
-    queries: DataFrame, references: DataFrame, pair_budget: int, limit: int = MAX_HOT_RULES
-) -> tuple[list[str], int]:
+    counts: DataFrame, pair_budget: int, limit: int = MAX_HOT_RULES
+) -> tuple[list[str], float]:
     """At most ``limit`` rules that would emit the most pairs, and the pairs of all others."""
-    n_q = queries.groupBy("line").agg(F.count(F.lit(1)).alias("n_q"))
-    n_r = references.groupBy("line").agg(F.count(F.lit(1)).alias("n_r"))
     seen = Observation()
     rows = (
-        n_q.join(n_r, "line")
-        .select("line", (F.col("n_q") * F.col("n_r")).alias("pairs"))
+        counts.select("line", "pairs")
         .observe(seen, F.sum("pairs").alias("pairs"))
         .filter(F.col("line").isNotNull() & (F.col("pairs") > pair_budget))
         .orderBy(F.col("pairs").desc(), "line")
@@ -84,17 +88,59 @@ def _profiles(rules: DataFrame, key: str, size: str, mask: str) -> DataFrame:
     )
 
 
+def _grids(counts: DataFrame) -> DataFrame:
+    """``(line, parts_q, parts_r)`` of the rules whose pairs exceed one task's.
+
+    The cells are about square, so that a row is repeated as little as possible.
+    """
+    cells = F.ceil(F.col("pairs") / PAIRS_PER_TASK)
+    wide = F.ceil(F.sqrt(cells * F.col("n_q") / F.col("n_r")))
+    parts_q = F.greatest(F.lit(1), F.least(wide, F.col("n_q"))).cast("int")
+    return (
+        counts.filter(F.col("pairs") > PAIRS_PER_TASK)
+        .withColumn("parts_q", parts_q)
+        .select("line", "parts_q", F.ceil(cells / F.col("parts_q")).cast("int").alias("parts_r"))
+    )
+
+
+def _cells(rows: DataFrame, name: str, own: str, other: str) -> DataFrame:
+    """``rows`` with the part of their own side, once for each part of the other side."""
+    part = F.pmod(F.xxhash64(name), F.coalesce(f"parts_{own}", F.lit(1))).cast("int")
+    others = F.sequence(F.lit(0), F.coalesce(f"parts_{other}", F.lit(1)) - 1)
+    return (
+        rows.withColumn(f"cell_{own}", part)
+        .withColumn(f"cell_{other}", F.explode(others))
+        .drop("parts_q", "parts_r")
+    )
+
+
+class References:
+    """Reference profiles made ready once, for any number of query sets."""
+
+    def __init__(self, references: DataFrame):
+        # Several jobs read the sets, which are far smaller than what they come from.
+        self.rules = stored(references.select("device", "line").distinct())
+        self.per_rule = stored(self.rules.groupBy("line").agg(F.count(F.lit(1)).alias("n_r")))
+        size = F.octet_length("device") + F.coalesce(F.octet_length("line"), F.lit(0)) + ROW_BYTES
+        self.broadcast = (self.rules.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def prepared(references: DataFrame | References) -> References:
+    return references if isinstance(references, References) else References(references)
+
+
 class _Sides:
     """Both inputs, split into cold rules and profile classes."""
 
     def __init__(self, queries, references, pair_budget, max_hot):
-        # Several jobs read the sets, which are far smaller than what they come from.
+        ready = prepared(references)
         queries = stored(queries.select("query", "line").distinct())
-        references = stored(references.select("device", "line").distinct())
-        self.hot, pairs = hot_rules(queries, references, pair_budget, max_hot)
-        self.join_tasks = min(max(1, pairs // PAIRS_PER_TASK), MAX_JOIN_TASKS)
-        size = F.octet_length("device") + F.coalesce(F.octet_length("line"), F.lit(0)) + ROW_BYTES
-        self.broadcast = (references.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
+        references, self.broadcast = ready.rules, ready.broadcast
+        counts = rule_pairs(queries, ready.per_rule)
+        self.hot, pairs = hot_rules(counts, pair_budget, max_hot)
+        self.join_tasks = int(min(max(1, pairs // PAIRS_PER_TASK), MAX_JOIN_TASKS))
+        # Rules with more pairs than one task should emit; the hot ones never join.
+        self.heavy = _grids(counts.filter(~F.col("line").isin(self.hot)))
         bit = _hot_bit(self.hot)
         self.queries = queries.withColumn("bit", bit)
         self.references = references.withColumn("bit", bit)
@@ -121,7 +167,13 @@ class _Sides:
             left = left.repartition(self.join_tasks, *spread)
             right = F.broadcast(right)
         elif self.join_tasks > 1:
-            left = left.repartition(self.join_tasks, "line")
+            # Queries and references of a heavy rule are cut into parts, and each pair of
+            # parts meets in a cell of its own.
+            left = _cells(left.join(self.heavy, "line", "left"), "query", "q", "r")
+            right = _cells(right.join(self.heavy, "line", "left"), "device", "r", "q")
+            cell = ["line", "cell_q", "cell_r"]
+            left, right = (df.repartition(self.join_tasks, *cell) for df in (left, right))
+            return left.join(right, cell).drop(*cell)
         return left.join(right, "line").drop("line")
 
     def class_pairs(self, reference_classes: DataFrame) -> DataFrame:

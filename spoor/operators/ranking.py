@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-NAME_CUTS = 64
+from spoor.session import stored
 
 
 def order_score(score: Column) -> Column:
@@ -29,42 +29,26 @@ def top_k(scored: DataFrame, keys: list[str], k: int, score: Column | None = Non
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def name_cuts(names: DataFrame, column: str, cuts: int = NAME_CUTS) -> list[str]:
-    """At most ``cuts`` names that split the names into ranges of similar size.
-
-    They come from a hash-ordered sample of fixed size. Any cuts give right
-    results below; even cuts give even work.
-    """
-    chosen = names.select(column).orderBy(F.xxhash64(column), column).limit(cuts).collect()
-    return sorted(row[0] for row in chosen)
-
-
-def name_range(name: Column, cuts: list[str]) -> Column:
-    """Number of the name range that ``name`` falls into."""
-    if not cuts:
-        return F.lit(0)
-    bounds = F.array(*[F.lit(c) for c in cuts])
-    return F.size(F.filter(bounds, lambda bound: bound <= name))
-
-
 def name_positions(names: DataFrame, column: str) -> DataFrame:
     """``(column, position)``: how many names sort before this one.
 
-    Counted per name range, so that no task orders all names.
+    Names are sorted in ranges, one per task. A position is the place in the range
+    plus the names of the ranges before, of which there are as many as tasks.
     """
-    cuts = name_cuts(names, column)
-    ranged = names.select(column, name_range(F.col(column), cuts).alias("range"))
-    starts = ranged.groupBy("range").count()
-    # At most len(cuts) + 1 rows.
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select(
-        "range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start")
+    ranged = stored(
+        names.select(column)
+        .repartitionByRange(column)
+        .sortWithinPartitions(column)
+        .withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()})
+    )
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        ranged.groupBy("part")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"))
+        .select("part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
     )
-    inside = F.row_number().over(Window.partitionBy("range").orderBy(column)) - 1
-    return (
-        ranged.withColumn("inside", inside)
-        .join(F.broadcast(starts), "range")
-        .select(column, (F.col("start") + F.col("inside")).alias("position"))
+    return ranged.join(starts, "part").select(
+        column, (F.col("row") + F.col("shift")).alias("position")
     )
 
 

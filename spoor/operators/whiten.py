@@ -7,16 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from spoor.functions.vectors import l2_normalise
+from spoor.functions.vectors import l2_normalise, matrix_of
 from spoor.session import ship_package
 from spoor.sources.guards import require_rows
 
@@ -36,6 +34,7 @@ class WhiteningModel:
     mean: np.ndarray
     components: np.ndarray
     singular_values: np.ndarray
+    rcond: float = 0.0
 
     @property
     def rank(self) -> int:
@@ -43,32 +42,35 @@ class WhiteningModel:
 
     def transform(self, bank: DataFrame, k: int = DEFAULT_K, vector: str = "embedding"):
         """Whitened unit vectors; all other columns pass through."""
+        white = self.project(bank, k, vector)
+        return white.withColumn(vector, l2_normalise(F.col(vector)).cast("array<float>"))
+
+    def project(self, bank: DataFrame, k: int = DEFAULT_K, vector: str = "embedding"):
+        """The same before the last scaling to unit length: covariance one on the fit set."""
         k = min(k, self.rank)
         scale = np.sqrt(self.reference_rows - 1) / self.singular_values[:k]
-        spark = bank.sparkSession
-        ship_package(spark)
+        ship_package(bank.sparkSession)
         # d x k doubles: 8 MB for 4,096 dimensions and k = 256.
-        model = spark.sparkContext.broadcast((self.mean, self.components[:k].T * scale))
-        schema = T.StructType(
-            [
-                T.StructField(f.name, T.ArrayType(T.FloatType())) if f.name == vector else f
-                for f in bank.schema
-            ]
+        model = bank.sparkSession.sparkContext.broadcast(
+            (self.mean, self.components[:k].T * scale)
         )
-        return bank.mapInArrow(_whitener(model, vector), schema)
+        unit = bank.withColumn(vector, l2_normalise(F.col(vector)))
+        return unit.mapInArrow(_projector(model, vector), unit.schema)
 
-    def metadata(self, input_rows: int, k: int = DEFAULT_K) -> dict[str, int]:
+    def metadata(self, input_rows: int, k: int = DEFAULT_K) -> dict[str, int | float]:
         return {
             "reference_rows": self.reference_rows,
             "input_rows": input_rows,
             "input_dim": len(self.mean),
             "rank": self.rank,
             "k": min(k, self.rank),
+            "rcond": self.rcond,
+            "dropped": len(self.mean) - self.rank,
         }
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """One row per direction, the mean as row -1."""
-        rows = [(-1, float(self.reference_rows), self.mean.tolist())]
+        """One row per direction, the mean as row -1, the threshold as row -2."""
+        rows = [(-2, self.rcond, []), (-1, float(self.reference_rows), self.mean.tolist())]
         rows += [
             (i, float(s), c.tolist())
             for i, (s, c) in enumerate(zip(self.singular_values, self.components))
@@ -78,40 +80,35 @@ class WhiteningModel:
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> WhiteningModel:
-        first, *rest = spark.read.parquet(path).orderBy("component").collect()
+        rows = spark.read.parquet(path).orderBy("component").collect()
+        limits = [r["singular_value"] for r in rows if r["component"] == -2]
+        first, *rest = [r for r in rows if r["component"] >= -1]
         return WhiteningModel(
             int(first["singular_value"]),
             np.array(first["direction"]),
             np.array([r["direction"] for r in rest]).reshape(len(rest), -1),
             np.array([r["singular_value"] for r in rest]),
+            *limits,
         )
 
 
-def _unit_rows(matrix: np.ndarray) -> np.ndarray:
-    lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
-    lengths[lengths == 0.0] = 1.0
-    return matrix / lengths
-
-
-def _whitener(model, vector: str):
-    def whiten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _projector(model, vector: str):
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mean, projection = model.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             at = batch.schema.get_field_index(vector)
-            flat = pc.list_flatten(batch.column(at)).to_numpy(zero_copy_only=False)
-            rows = _unit_rows(flat.astype(np.float64).reshape(batch.num_rows, -1))
-            out = _unit_rows((rows - mean) @ projection).astype(np.float32)
+            out = (matrix_of(batch.column(at), len(mean)) - mean) @ projection
             ends = np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]
             column = pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))
             yield batch.set_column(at, pa.field(vector, column.type), column)
 
-    return whiten
+    return project
 
 
 def fit_whitening(
-    reference: DataFrame, vector: str = "embedding", rcond: float | None = None
+    reference: DataFrame, vector: str = "embedding", rcond: float | str | None = None
 ) -> WhiteningModel:
     """Mean and singular vectors of the unit rows of ``reference``.
 
@@ -126,9 +123,12 @@ def fit_whitening(
         F.count(F.lit(1)), Summarizer.mean(array_to_vector("unit"))
     ).first()
     mean = mean.toArray()
-    threshold = max(n, len(mean)) * FLOAT_EPS if rcond is None else rcond
+    if rcond is None or rcond == "rows":
+        threshold = (len(mean) if rcond is None else max(n, len(mean))) * FLOAT_EPS
+    else:
+        threshold = float(rcond)
     if threshold >= 1:
-        raise ValueError("no direction passes the default threshold; set rcond")
+        raise ValueError(f"no direction passes the threshold {threshold}")
     centre = F.array(*[F.lit(float(x)) for x in mean])
     centred = vectors.select(
         array_to_vector(F.zip_with("unit", centre, lambda x, m: x - m)).alias("centred")
@@ -137,4 +137,4 @@ def fit_whitening(
     svd = matrix.computeSVD(len(mean), computeU=False, rCond=threshold)
     values = svd.s.toArray()
     directions = svd.V.toArray().T
-    return WhiteningModel(n, mean, directions, values)
+    return WhiteningModel(n, mean, directions, values, threshold)

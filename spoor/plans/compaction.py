@@ -19,7 +19,7 @@ class Compacted:
     lines: DataFrame  # (key, acl_pos, ace_pos, line)
     stats: DataFrame  # one row per document
     summary: DataFrame  # one row
-    quarantine: DataFrame  # (key, text) of documents without access lists
+    quarantine: DataFrame  # (key, text, reason) of documents without access lists
 
 
 def compact(documents: DataFrame, key: str = "path") -> Compacted:
@@ -31,14 +31,20 @@ def compact(documents: DataFrame, key: str = "path") -> Compacted:
 
 
 def compact_folder(spark: SparkSession, source: str, target: str) -> Compacted:
-    """Compact every profile below ``source``; results go below ``target``."""
+    """Compact every profile below ``source``; results go below ``target``.
+
+    A profile without rules keeps a row with a NULL line, and a text without rules.
+    """
     compacted = compact(read_documents(spark, source))
-    write_lines(compacted.lines, f"{target}/lines", ORDER)
+    profiles = compacted.stats.select("path")
+    write_lines(profiles.join(compacted.lines, "path", "left"), f"{target}/lines", ORDER)
+    write_report(compacted.quarantine, f"{target}/quarantine")
     # The other sinks read the lines just written instead of parsing again.
-    lines = spark.read.parquet(f"{target}/lines")
+    written = spark.read.parquet(f"{target}/lines")
+    lines = written.filter("line is not null")
     parsed, _ = parse_documents(read_documents(spark, source))
     stats = reduction_stats(parsed.filter("acls is not null"), lines)
-    write_rule_texts(lines, f"{target}/texts", ORDER)
+    write_rule_texts(written, f"{target}/texts", ORDER)
     write_report(stats, f"{target}/reduction_stats")
     stats = spark.read.schema(stats.schema).json(f"{target}/reduction_stats")
     write_report(reduction_summary(stats), f"{target}/reduction_summary")

@@ -8,11 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoor.operators.dense import dense_ranks, dense_topk, pooled
-from spoor.operators.overlap import SCORERS, overlap_ranks, overlap_topk
+from spoor.operators.overlap import SCORERS, overlap_ranks, overlap_topk, prepared
 from spoor.operators.ranking import retrieval_metrics
 from spoor.session import stored
 from spoor.sources.banks import query_bank, read_bank, reference_bank
-from spoor.sources.profiles import read_query_sets, read_reference_sets
+from spoor.sources.profiles import (
+    line_query_sets,
+    line_reference_sets,
+    read_lines,
+    read_query_sets,
+    read_reference_sets,
+)
 from spoor.sources.sinks import write_report
 
 VECTOR_SCORERS = ("asymmetric_maxsim", "mean_pool")
@@ -54,6 +60,7 @@ def rank_sets(
     if method not in SCORERS:
         raise ValueError(f"method must be one of {sorted(SCORERS)}")
     expected = queries.select("query", "expected").distinct()
+    references = prepared(references)
     top = stored(overlap_topk(queries, references, method, k, **options))
     ranks = stored(overlap_ranks(queries, references, expected, method, **options))
     return Retrieval(top, ranks, _metrics(ranks, method, k))
@@ -85,6 +92,18 @@ def rank_text_folders(
     )
 
 
+def rank_lines(
+    spark: SparkSession, reference_path: str, query_path: str, method: str = "jaccard", k: int = 5
+) -> Retrieval:
+    """Compacted profiles against each other, as ``write_lines`` left them."""
+    return rank_sets(
+        line_query_sets(read_lines(spark, query_path)),
+        line_reference_sets(read_lines(spark, reference_path)),
+        method,
+        k,
+    )
+
+
 def rank_banks(
     spark: SparkSession,
     reference_path: str,

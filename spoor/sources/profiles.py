@@ -12,36 +12,79 @@ from spoor.functions.text import lines, strip
 from spoor.sources.guards import require_rows
 
 
-def _relative(folder: str) -> Column:
+def _relative(folder: str, file: Column | None = None) -> Column:
     """Path of the scanned file below ``folder``, percent escapes undone."""
     base = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", folder).rstrip("/")
-    escaped = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    file = F.col("_metadata.file_path") if file is None else file
+    escaped = F.replace(file, F.lit("+"), F.lit("%2B"))
     prefix = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?" + re.escape(base) + "/+"
     return F.regexp_replace(F.url_decode(escaped), prefix, "")
 
 
-def _files(spark: SparkSession, folder: str, glob: str, recursive: bool) -> DataFrame:
-    return (
-        spark.read.text(
-            folder, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=recursive
-        )
-        .select(_relative(folder).alias("path"), F.col("value").alias("text"))
+def _files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
+    """``(path, text)`` of all matching files below ``folder``, those of zero bytes included.
+
+    Spark's scan leaves out files of zero bytes, but its file index lists them; the
+    names are on the driver with the index anyway.
+    """
+    scan = spark.read.text(folder, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
+    found = scan.select(_relative(folder).alias("path"), F.col("value").alias("text"))
+    listed = spark.createDataFrame([(name,) for name in scan.inputFiles()], "file string")
+    names = listed.select(_relative(folder, F.col("file")).alias("path"))
+    blank = names.join(found.select("path"), "path", "left_anti")
+    return found.unionByName(blank.withColumn("text", F.lit("")))
+
+
+def _joined_parts(files: DataFrame) -> DataFrame:
+    """Texts written as ``profile=<name>/part-*`` as one text each, named ``<name>.txt``."""
+    layout = r"^(?:.*/)?profile=([^/]*)/part-[^/]*$"
+    name = F.concat(F.url_decode(F.regexp_extract("path", layout, 1)), F.lit(".txt"))
+    in_order = F.array_sort(F.collect_list(F.struct("path", "text")))
+    parts = (
+        files.filter(F.col("path").rlike(layout))
+        .groupBy(name.alias("name"))
+        .agg(F.array_join(F.transform(in_order, lambda p: p["text"]), "").alias("text"))
     )
+    plain = files.filter(~F.col("path").rlike(layout))
+    return plain.unionByName(parts.withColumnRenamed("name", "path"))
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """``(path, text)`` of every ``*.json`` below ``folder``."""
-    return require_rows(_files(spark, folder, "*.json", True), f"no profiles in {folder}")
+    return require_rows(_files(spark, folder, "*.json"), f"no profiles in {folder}")
 
 
 def read_rule_files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
     """``(path, text)`` of every ``*.txt``; the whole text in one string.
 
-    A blank file counts as a profile; Spark skips a file of zero bytes.
+    A blank file counts as a profile, also one of zero bytes. Folders written by
+    ``write_rule_texts`` count as one file per profile.
     """
-    return require_rows(
-        _files(spark, folder, "*.txt", recursive), f"no rule texts in {folder}"
+    files = _joined_parts(_files(spark, folder, "*.txt"))
+    if not recursive:
+        files = files.filter(~F.col("path").contains("/"))
+    return require_rows(files, f"no rule texts in {folder}")
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, ..., line)`` as written by ``write_lines``."""
+    return require_rows(spark.read.parquet(path), f"no profiles in {path}")
+
+
+def line_reference_sets(lines: DataFrame) -> DataFrame:
+    """``(device, line)`` of compacted profiles; the last path of a cleaned name wins whole."""
+    named = lines.select(
+        clean_label(file_stem(F.col("path"))).alias("device"), "path", "line"
     )
+    latest = named.groupBy("device").agg(F.max("path").alias("path"))
+    return named.join(latest, ["device", "path"], "left_semi").select("device", "line").distinct()
+
+
+def line_query_sets(lines: DataFrame) -> DataFrame:
+    """``(query, expected, line)`` of compacted profiles; key = their path."""
+    return lines.select(
+        F.col("path").alias("query"), expected_label(F.col("path")).alias("expected"), "line"
+    ).distinct()
 
 
 def rule_lines(files: DataFrame, *keys: str, text: str = "text") -> DataFrame:

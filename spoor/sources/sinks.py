@@ -9,14 +9,18 @@ from spoor.functions.labels import file_stem
 
 
 def write_lines(lines: DataFrame, path: str, order: list[str]) -> None:
-    """The canonical form of compacted profiles: ``(path, *order, line)`` as parquet."""
+    """The canonical form of compacted profiles: ``(path, *order, line)`` as parquet.
+
+    A profile without rules has one row whose order and line are NULL.
+    """
     lines.write.mode("overwrite").parquet(path)
 
 
 def write_rule_texts(lines: DataFrame, path: str, order: list[str]) -> None:
-    """One folder per profile that keeps its relative path, one rule per row of text.
+    """One folder per profile, named by its relative path, one rule per row of text.
 
-    Rows are ranged by profile and place, so that a very large profile is written by
+    The readers of rule texts take the profile's name from the folder. A profile
+    without rules is one blank row. Rows are ranged by profile and place, so that a very large profile is written by
     several tasks, as several files whose names are in order.
     """
     stem = file_stem(F.col("path"))
@@ -25,7 +29,7 @@ def write_rule_texts(lines: DataFrame, path: str, order: list[str]) -> None:
     (
         named.repartitionByRange("profile", *order)
         .sortWithinPartitions("profile", *order)
-        .select("profile", F.col("line").alias("value"))
+        .select("profile", F.coalesce("line", F.lit("")).alias("value"))
         .write.mode("overwrite")
         .partitionBy("profile")
         .text(path)

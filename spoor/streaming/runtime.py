@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from spoor.operators.overlap import overlap_topk
-from spoor.session import discard_stored
+from spoor.operators.dense import dense_topk
+from spoor.operators.encode import Encoder, encode_distinct
+from spoor.operators.overlap import overlap_topk, prepared
+from spoor.session import discard_stored, stored
 
 
-def _query_name() -> Column:
-    return F.concat_ws("@", "entity", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+WINDOW_KEY = "micros bigint, entity string"
 
 
 def _window_rules(flows: DataFrame, width: str) -> DataFrame:
@@ -30,13 +31,34 @@ def _window_rules(flows: DataFrame, width: str) -> DataFrame:
     )
 
 
-def _ranked(rules: DataFrame, references: DataFrame, method: str, k: int) -> DataFrame:
-    queries = rules.select(_query_name().alias("query"), "line")
+def _window_key() -> Column:
+    """The window and its entity as one text: microseconds, so no time zone can blur them."""
+    return F.to_json(F.struct(F.unix_micros("window_start").alias("micros"), "entity"))
+
+
+def _by_window(found: DataFrame) -> DataFrame:
+    key = F.from_json("query", WINDOW_KEY)
+    rest = [c for c in found.columns if c not in ("query", "method")]
+    return found.select(
+        F.timestamp_micros(key["micros"]).alias("window_start"), key["entity"].alias("entity"), *rest
+    )
+
+
+def _ranked(rules: DataFrame, references, method: str, k: int) -> DataFrame:
+    queries = rules.select(_window_key().alias("query"), "line")
     found = overlap_topk(queries, references, method, k)
-    at = F.substring_index("query", "@", -1).alias("window_start")
-    cut = F.length("query") - F.length(F.substring_index("query", "@", -1)) - 1
-    entity = F.substring("query", F.lit(1), cut).alias("entity")
-    return found.select(at, entity, "device", "score", "hit_count", "rank")
+    return _by_window(found).select(
+        "window_start", "entity", "device", "score", "hit_count", "rank"
+    )
+
+
+def _ranked_vectors(rules: DataFrame, bank: DataFrame, encoder: Encoder, k: int) -> DataFrame:
+    queries = rules.select(_window_key().alias("query"), "line")
+    vectors = encode_distinct(queries, encoder, "line").select(
+        "query", F.lit(None).cast("string").alias("expected"),
+        F.xxhash64("query", "line").alias("row_id"), "embedding",
+    )
+    return _by_window(dense_topk(vectors, bank, ("maxsim",), k))
 
 
 def match_windows(
@@ -49,6 +71,16 @@ def match_windows(
     return _ranked(_window_rules(flows, width), references, method, k)
 
 
+def match_windows_by_meaning(
+    flows: DataFrame, bank: DataFrame, encoder: Encoder, width: str, k: int = 5
+) -> DataFrame:
+    """``(window_start, entity, device, score, rank)`` by MaxSim of the rules' vectors.
+
+    ``bank (device, row_id, embedding)`` holds the reference vectors of the same encoder.
+    """
+    return _ranked_vectors(_window_rules(flows, width), bank, encoder, k)
+
+
 def match_stream(
     flows: DataFrame,
     references: DataFrame,
@@ -60,14 +92,42 @@ def match_stream(
     k: int = 5,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """The same for closed windows of a stream, as parquet in ``target``.
+    """The same as ``match_windows`` for closed windows of a stream, as parquet in ``target``.
 
-    Every micro-batch writes its own folder, so a repeated batch replaces itself.
+    Every micro-batch writes its own folder, so a repeated batch replaces itself. The
+    references are made ready once, when the stream starts.
     """
+    ready = prepared(references)
+    return _started(
+        flows, width, delay, target, checkpoint, trigger,
+        lambda rules: _ranked(rules, ready, method, k),
+    )
+
+
+def match_stream_by_meaning(
+    flows: DataFrame,
+    bank: DataFrame,
+    encoder: Encoder,
+    width: str,
+    delay: str,
+    target: str,
+    checkpoint: str,
+    k: int = 5,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """The same as ``match_windows_by_meaning`` for closed windows of a stream."""
+    ready = stored(bank)
+    return _started(
+        flows, width, delay, target, checkpoint, trigger,
+        lambda rules: _ranked_vectors(rules, ready, encoder, k),
+    )
+
+
+def _started(flows, width, delay, target, checkpoint, trigger, rank) -> StreamingQuery:
     rules = _window_rules(flows.withWatermark("ts", delay), width)
     return (
         rules.writeStream.outputMode("append")
-        .foreachBatch(_writer(references, target, method, k))
+        .foreachBatch(_writer(rank, target))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "1 minute"}))
         .start()
@@ -75,14 +135,13 @@ def match_stream(
 
 
 def _writer(
-    references: DataFrame, target: str, method: str, k: int
+    rank: Callable[[DataFrame], DataFrame], target: str
 ) -> Callable[[DataFrame, int], None]:
     def write(rules: DataFrame, batch: int) -> None:
         rules.persist()
         if not rules.isEmpty():
             with discard_stored(rules.sparkSession):
-                ranked = _ranked(rules, references, method, k)
-                ranked.write.mode("overwrite").parquet(f"{target}/batch={batch}")
+                rank(rules).write.mode("overwrite").parquet(f"{target}/batch={batch}")
         rules.unpersist()
 
     return write

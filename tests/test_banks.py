@@ -7,8 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from spoor.operators import episodes as ep
-from spoor.operators import skew
-from spoor.operators.encode import embed_mean, embed_rules, hashed_encoder, model_encoder
+from spoor.operators.dense import dense_topk
+from spoor.operators.encode import (
+    embed_mean,
+    embed_rules,
+    encode_distinct,
+    hashed_encoder,
+    model_encoder,
+)
 from spoor.operators.whiten import WhiteningModel, fit_whitening
 from spoor.plans.banks import embed_folder, whiten_bank
 from spoor.plans.evaluation import evaluate
@@ -72,16 +78,19 @@ def test_empty_rules_are_an_error(spark, tmp_path):
         embed_folder(spark, str(tmp_path), hashed_encoder(), str(tmp_path / "out"))
 
 
-def test_hot_texts_are_salted_and_kept(spark, monkeypatch):
-    monkeypatch.setattr(skew, "SALTS", 3)
+def test_a_text_that_most_rows_hold_is_encoded_once(spark):
     rows = [(i, "hot" if i % 3 else f"cold{i}") for i in range(90)]
     df = spark.createDataFrame(rows, "id int, line string")
-    lookup = df.select("line").distinct().withColumn("x", F.length("line"))
-    copies = df.groupBy("line").agg(F.count(F.lit(1)).alias("copies"))
-    joined = skew.join_lookup(df, lookup, copies, "line", "id", hot_rows=10)
-    assert sorted((r["id"], r["line"], r["x"]) for r in joined.collect()) == [
-        (i, t, len(t)) for i, t in rows
-    ]
+    seen = spark.sparkContext.accumulator(0)
+    plain = hashed_encoder(4)
+
+    def encoder(texts):
+        seen.add(texts.count())
+        return plain(texts)
+
+    out = encode_distinct(df, encoder, "line").collect()
+    assert sorted((r["id"], r["line"]) for r in out) == rows
+    assert seen.value == 31
 
 
 def test_hashed_encoder_is_unit_and_blank_is_zero(spark):
@@ -96,19 +105,7 @@ def test_hashed_encoder_is_unit_and_blank_is_zero(spark):
     assert embed_mean(df, hashed_encoder(16), "key").count() == 2
 
 
-def numpy_whitened(reference, rows, k):
-    reference = reference / np.linalg.norm(reference, axis=1, keepdims=True)
-    mean = reference.mean(0)
-    _, s, c = np.linalg.svd(reference - mean, full_matrices=False)
-    keep = s > max(reference.shape) * np.finfo(np.float32).eps * s.max()
-    s, c = s[keep], c[keep]
-    n = np.linalg.norm(rows, axis=1, keepdims=True)
-    n[n == 0] = 1
-    out = (rows / n - mean) @ c[:k].T * (np.sqrt(len(reference) - 1) / s[:k])
-    return out / np.linalg.norm(out, axis=1, keepdims=True), len(s)
-
-
-def test_whitening_matches_numpy_up_to_signs(spark, tmp_path):
+def test_whitening_by_its_invariants(spark, tmp_path):
     rng = np.random.default_rng(0)
     matrix = rng.normal(size=(60, 8)) * np.arange(1, 9)
     matrix[:, 7] = matrix[:, 6]  # one direction less
@@ -121,8 +118,17 @@ def test_whitening_matches_numpy_up_to_signs(spark, tmp_path):
         spark, str(tmp_path / "bank"), str(tmp_path / "bank"), str(tmp_path / "white"),
         str(tmp_path / "meta"), k=5,
     )
-    want, rank = numpy_whitened(matrix, matrix, 5)
-    assert model.rank == rank == 7
+    assert model.rank == 7 and model.metadata(0)["dropped"] == 1
+    fitted = spark.read.parquet(str(tmp_path / "bank"))
+    out = np.array([r["embedding"] for r in model.project(fitted).orderBy("row_id").collect()])
+    assert out.mean(0) == pytest.approx(np.zeros(7), abs=1e-6)
+    assert np.cov(out.T) == pytest.approx(np.eye(7), abs=1e-4)
+    # With all directions, inner products are those of the inverse covariance.
+    unit = matrix / np.sqrt((matrix**2).sum(1))[:, None]
+    centred = unit - unit.mean(0)
+    inverse = np.linalg.pinv(np.cov(unit.T), rcond=1e-6)
+    assert out @ out.T == pytest.approx(centred @ inverse @ centred.T, abs=1e-3)
+    want = out[:, :5] / np.sqrt((out[:, :5] ** 2).sum(1))[:, None]
     white = spark.read.parquet(str(tmp_path / "white")).orderBy("row_id").collect()
     got = np.array([r["embedding"] for r in white])
     assert got @ got.T == pytest.approx(want @ want.T, abs=1e-5)
@@ -134,10 +140,35 @@ def test_whitening_matches_numpy_up_to_signs(spark, tmp_path):
     assert again.components == pytest.approx(model.components)
     other = spark.createDataFrame([(0, [0.0] * 8), (1, [1.0] * 8)], "row_id int, embedding array<float>")
     assert again.transform(other, 3).count() == 2
+    assert again.rcond == model.rcond
     with pytest.raises(ValueError):
         fit_whitening(other.limit(0))
 
 
+def test_rank_does_not_depend_on_the_number_of_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [((rng.normal(size=4) * [1, 1, 1, 0.004]).tolist(),) for _ in range(40)]
+    small = spark.createDataFrame(rows, "embedding array<double>")
+    large = small.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(2000)))).drop("again")
+    assert fit_whitening(small).rank == fit_whitening(large).rank == 4
+    assert fit_whitening(large, rcond="rows").rank == 3
+
+
+@pytest.mark.parametrize("bad", [None, [1.0, 2.0], [1.0] * 4])
+def test_vectors_of_another_length_raise(spark, bad):
+    good = [("a", 0, [1.0, 0.0, 0.0]), ("b", 1, [0.0, 1.0, 0.0])]
+    schema = "device string, row_id long, embedding array<double>"
+    bank = spark.createDataFrame([*good, ("c", 2, bad)], schema)
+    queries = spark.createDataFrame(good, schema).withColumnRenamed("device", "query").withColumn(
+        "expected", F.col("query")
+    )
+    with pytest.raises(Exception, match="vector is NULL or has not"):
+        dense_topk(queries, bank).collect()
+    model = fit_whitening(spark.createDataFrame(good, schema))
+    with pytest.raises(Exception, match="vector is NULL or has not"):
+        model.transform(bank).collect()
+
+
 BANK = [
     (f"d{d}", d * 100 + i, f"t{(d * 3 + i) % 17}", np.random.default_rng((d * 3 + i) % 17).normal(size=5).tolist())
     for d in range(6)

@@ -6,7 +6,16 @@ import pytest
 
 from spoor.functions.labels import clean_label, expected_label, file_stem
 from spoor.operators.flatten import entries, parse_documents, render
+from spoor.operators.encode import hashed_encoder
+from spoor.plans.banks import embed_folder, embed_lines
 from spoor.plans.compaction import compact, compact_folder
+from spoor.plans.retrieval import rank_lines
+from spoor.sources.profiles import (
+    line_query_sets,
+    read_lines,
+    read_query_sets,
+    read_reference_sets,
+)
 from pyspark.sql import functions as F
 
 ROOT = "ietf-access-control-list:access-lists"
@@ -37,6 +46,10 @@ CASES = [
     ("a", ace(eth={"ethertype": "0x888e", "destination-mac-address": "ff:ff"}),
      "eth:0x888e mac:ff:ff"),
     ("a", ace(eth={"ethertype": None}), "eth:None"),
+    ("a", ace(mud={"controller": 0, "local-networks": 0}), "local"),
+    ("a", ace(mud={"controller": "0"}), "controller:0"),
+    ("a", ace(mud={"controller": False}, ipv4={"protocol": 6}, tcp={SIDE: []}), "ipv4 tcp"),
+    ("a", ace(ipv4={SRC: {}, DST: 0.0, "source-ipv4-network": "s"}), "ipv4 src:s"),
     ("a", ace(ipv4={}), None),
     ("a", ace(ipv4={"unknown": 1}), "ipv4"),
     ("a", ace(ipv4={"protocol": 2}), "ipv4 igmp"),
@@ -119,6 +132,65 @@ def test_folder_keeps_order_layout_and_sizes(spark, tmp_path):
     assert total["total_reduction_bytes"] == sum(r["reduction_bytes"] for r in stats.values())
 
 
+def test_repeated_keys_and_reasons(spark):
+    good = doc(acl("from-x", ace(ipv4={"protocol": 6})))
+    rows = [
+        ("twice", good[:-1] + ', "other": 1, "other": 2}'), ("cut", good[:-5]), ("none", "{}"),
+        ("text", "plain"),
+    ]
+    done = compact(spark.createDataFrame(rows, "path string, text string"))
+    assert [(r["path"], r["line"]) for r in done.lines.collect()] == [("twice", "egress ipv4 tcp")]
+    reasons = {r["path"]: r["reason"] for r in done.quarantine.collect()}
+    assert reasons == {
+        "cut": "no JSON object", "none": "no access lists", "text": "no JSON object",
+    }
+
+
+def test_stages_chain(spark, tmp_path):
+    """Compacted profiles feed ranking and embedding, those without rules included."""
+    source, out = tmp_path / "in", tmp_path / "out"
+    (source / "sub").mkdir(parents=True)
+    ports = {"cam": [1, 2], "plug": [2, 3], "sub/deep": [4], "empty": []}
+    for name, protocols in ports.items():
+        text = doc(acl("from-x", *[ace(ipv4={"protocol": 100 + p}) for p in protocols]))
+        (source / f"{name}.json").write_text(text)
+    (source / "bad.json").write_text("{no")
+    compact_folder(spark, str(source), str(out))
+    assert spark.read.json(f"{out}/quarantine").first()["reason"] == "no JSON object"
+
+    result = rank_lines(spark, f"{out}/lines", f"{out}/lines")
+    metrics = result.metrics.first()
+    assert metrics["queries"] == 4
+    ranks = {r["query"]: r["rank"] for r in result.ranks.collect()}
+    assert {ranks[f"{n}.json"] for n in ("cam", "plug")} == {1}
+    assert line_query_sets(read_lines(spark, f"{out}/lines")).filter("line is null").count() == 1
+
+    references = read_reference_sets(spark, f"{out}/texts").collect()
+    assert {r["device"] for r in references} == {"cam", "plug", "empty"}
+    queries = read_query_sets(spark, f"{out}/texts").collect()
+    assert {r["query"] for r in queries} == {
+        "cam_compact.txt", "plug_compact.txt", "sub/deep_compact.txt", "empty_compact.txt"
+    }
+    assert {r["line"] for r in queries if r["query"].startswith("empty")} == {None}
+
+    encoder = hashed_encoder(8)
+    texts = embed_folder(spark, f"{out}/texts", encoder, str(tmp_path / "a"))
+    lines = embed_lines(spark, f"{out}/lines", encoder, str(tmp_path / "b"))
+    want = [("cam", 101), ("cam", 102), ("deep", 104), ("plug", 102), ("plug", 103)]
+    for bank, tail in ((texts, "_compact"), (lines, "")):
+        got = sorted((r["device"], r["text"]) for r in bank.collect())
+        assert got == [(d + tail, f"egress ipv4 {p}") for d, p in want]
+    whole = embed_lines(spark, f"{out}/lines", encoder, str(tmp_path / "c"), "whole")
+    assert {r["device"] for r in whole.collect()} == {"cam", "plug", "deep", "empty"}
+
+
+def test_files_of_zero_bytes_are_profiles(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x\ny")
+    (tmp_path / "em pty.txt").write_text("")
+    found = {(r["device"], r["line"]) for r in read_reference_sets(spark, str(tmp_path)).collect()}
+    assert found == {("a", "x"), ("a", "y"), ("em pty", None)}
+
+
 def test_empty_folder_is_an_error(spark, tmp_path):
     with pytest.raises(ValueError):
         compact_folder(spark, str(tmp_path), str(tmp_path / "out"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spoor.operators import dense
+from spoor.operators import dense, episodes
 from spoor.operators.dense import METHODS, dense_ranks, dense_topk
 
 RNG, RND = np.random.default_rng(3), random.Random(3)
@@ -113,6 +113,44 @@ def test_a_query_larger_than_a_tile(spark, monkeypatch):
     assert dense_ranks(queries, bank, tile_rows=15).first()["rank"] == rank
 
 
+def test_large_queries_with_all_methods(spark, monkeypatch):
+    """A query of more rows than a block stays whole where its scores do not add up."""
+    monkeypatch.setattr(dense, "MIN_BLOCK_ROWS", 15)
+    bank = spark.createDataFrame(
+        BANK, "device string, row_id long, text string, embedding array<float>"
+    )
+    queries = spark.createDataFrame(
+        [("big", "d7", *q[2:]) for q in QUERIES],
+        "query string, expected string, row_id long, embedding array<float>, text string,"
+        " unseen boolean",
+    )
+    order = ["method", "rank"]
+    whole = dense_topk(queries, bank, METHODS, 10).orderBy(order).collect()
+    tiled = dense_topk(queries, bank, METHODS, 10, tile_rows=15).orderBy(order).collect()
+    assert [(r["method"], r["device"]) for r in whole] == [(r["method"], r["device"]) for r in tiled]
+    assert [r["score"] for r in tiled] == pytest.approx([r["score"] for r in whole])
+
+
+def test_episodes_that_remove_nothing_are_counted(spark):
+    rows = [("a", i, f"t{i}") for i in range(6)]
+    bank = spark.createDataFrame(rows, "device string, row_id long, text string")
+    drawn = episodes.sample_episodes(bank, episodes.PARTIAL, unseen_count=0)
+    found = episodes.masked_counts(bank, drawn).collect()
+    assert [(r["rows_removed"], r["rows_left"]) for r in found] == [(0, 6)] * 5
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_repeated_row_ids_keep_their_device(spark):
+    rows = [("a", i, f"t{i}", [1.0, float(i)]) for i in range(6)]
+    rows += [("b", i, f"u{i}", [-1.0, float(i)]) for i in range(6)]
+    bank = spark.createDataFrame(
+        rows, "device string, row_id long, text string, embedding array<double>"
+    )
+    drawn = episodes.sample_episodes(bank)
+    assert episodes.episode_queries(bank, drawn).count() == drawn.count()
+
+
 def test_repeated_reference_rows_do_not_change_maxsim(spark):
     bank = spark.createDataFrame(
         [(b[0], b[1], b[3]) for b in BANK], "device string, row_id long, embedding array<float>"

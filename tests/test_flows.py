@@ -1,11 +1,18 @@
 """Runtime traces: schema, window matching, and the stream against the batch."""
 
 import os
+from datetime import datetime
 from urllib.parse import urlparse
 
 from spoor.session import shared_dir
 from spoor.sources.flows import flow_rules, read_flows, stream_flows
-from spoor.streaming.runtime import match_stream, match_windows
+from spoor.operators.encode import hashed_encoder
+from spoor.streaming.runtime import (
+    match_stream,
+    match_stream_by_meaning,
+    match_windows,
+    match_windows_by_meaning,
+)
 
 HEADER = (
     "flow_idx,first_seen,device_ip,remote_ip,ip_protocol,device_port,remote_port,direction,"
@@ -53,14 +60,70 @@ def test_stream_equals_batch_on_closed_windows(spark, tmp_path):
         str(tmp_path / "out"), str(tmp_path / "state"), k=2, trigger={"availableNow": True},
     )
     query.awaitTermination()
-    # The micro-batches leave nothing behind in the shared folder.
+    # The micro-batches leave nothing behind in the shared folder but the references,
+    # which were made ready once.
     left = set(os.listdir(urlparse(shared_dir(spark)).path)) - before
-    assert not [name for name in left if name.startswith("spoor-")]
+    assert len([name for name in left if name.startswith("spoor-")]) == 2
     columns = ["window_start", "entity", "device", "score", "hit_count", "rank"]
     stream = spark.read.parquet(str(tmp_path / "out")).select(columns).collect()
     best = {(r["window_start"], r["entity"]): (r["device"], r["score"]) for r in batch if r["rank"] == 1}
-    assert best["2019-12-26 00:00:00", "Cam_0011"] == ("cam", 1 / 3)
-    assert best["2019-12-26 00:00:00", "Plug_0022"] == ("cam", 0.0)
+    assert best[datetime(2019, 12, 26), "Cam_0011"] == ("cam", 1 / 3)
+    assert best[datetime(2019, 12, 26), "Plug_0022"] == ("cam", 0.0)
     # The watermark stands at the 26th: the window from the 23rd is still open.
-    closed = {tuple(r) for r in batch if r["window_start"] < "2020-01-23"}
+    closed = {tuple(r) for r in batch if r["window_start"] < datetime(2020, 1, 23)}
     assert {tuple(r) for r in stream} == closed and len(closed) < len(batch)
+
+
+def flow_table(spark, rows):
+    df = spark.createDataFrame(rows, "entity string, ts string, line string")
+    return df.selectExpr("entity", "timestamp(ts) as ts", "line")
+
+
+def test_windows_below_a_second_stay_apart(spark):
+    flows = flow_table(spark, [
+        ("cam", "2020-01-01 00:00:00.1", "a"), ("cam", "2020-01-01 00:00:00.7", "b"),
+        (None, "2020-01-01 00:00:00.7", "d"),
+    ])
+    found = match_windows(flows, references(spark), "500 milliseconds", k=1).collect()
+    assert sorted((r["window_start"].microsecond, str(r["entity"]), r["device"]) for r in found) == [
+        (0, "cam", "cam"), (500_000, "None", "plug"), (500_000, "cam", "cam"),
+    ]
+
+
+def test_windows_at_a_clock_change_stay_apart(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    flows = flow_table(spark, [
+        ("cam", "2020-11-01 05:30:00Z", "a"), ("cam", "2020-11-01 06:30:00Z", "b"),
+    ])
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert match_windows(flows, references(spark), "1 hour", k=1).count() == 2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_matching_by_meaning_in_batch_and_stream(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    write_traces(source)
+    encoder = hashed_encoder(16)
+    rows = references(spark).filter("line is not null")
+    vectors = encoder(rows.selectExpr("line as text").distinct()).withColumnRenamed("text", "line")
+    bank = rows.join(vectors, "line").selectExpr("device", "xxhash64(device, line) as row_id", "embedding")
+    batch = match_windows_by_meaning(
+        flow_rules(read_flows(spark, str(source))), bank, encoder, "7 days", k=2
+    ).collect()
+    best = {(r["window_start"], r["entity"]): (r["device"], r["score"]) for r in batch if r["rank"] == 1}
+    assert best[datetime(2019, 12, 26), "Cam_0011"][0] == "cam"
+    assert abs(best[datetime(2019, 12, 26), "Cam_0011"][1] - 1) < 1e-6
+    query = match_stream_by_meaning(
+        flow_rules(stream_flows(spark, str(source))), bank, encoder, "7 days", "1 day",
+        str(tmp_path / "out"), str(tmp_path / "state"), k=2, trigger={"availableNow": True},
+    )
+    query.awaitTermination()
+    stream = spark.read.parquet(str(tmp_path / "out")).collect()
+    closed = {
+        (r["window_start"], r["entity"], r["device"], round(r["score"], 6)) for r in batch
+        if r["window_start"] < datetime(2020, 1, 23)
+    }
+    assert {(r["window_start"], r["entity"], r["device"], round(r["score"], 6)) for r in stream} == closed

@@ -124,3 +124,34 @@ def test_text_folders(spark, tmp_path):
 def test_unknown_method(spark):
     with pytest.raises(ValueError):
         rank_sets(frame(spark, QUERIES, "query"), frame(spark, REFERENCES, "device"), "cosine")
+
+
+def test_heavy_rules_are_cut_into_cells(spark, monkeypatch):
+    """Many rules beyond the mask: no cell holds more than about the budget of pairs."""
+    monkeypatch.setattr(overlap, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(overlap, "PAIRS_PER_TASK", 50)
+    wide = {f"w{j}" for j in range(30)}
+    queries = {name: rules | wide for name, rules in QUERIES.items()}
+    references = {name: rules | wide for name, rules in REFERENCES.items()}
+    q, r = frame(spark, queries, "query"), frame(spark, references, "device")
+    sides = overlap._Sides(q, r, overlap.PAIR_BUDGET, 1)
+    pairs = sides.cold_pairs(sides.query_profiles, sides.devices)
+    assert pairs.count() == sum(len(a & b) for a in queries.values() for b in references.values())
+    n_q, n_r = len(queries), len(references)
+    for row in sides.heavy.filter("line like 'w%'").collect():
+        assert n_q / row["parts_q"] * n_r / row["parts_r"] <= 60
+    found = overlap_topk(q, r, k=5).orderBy("rank").collect()
+    for name, rules in queries.items():
+        scored = sorted(
+            (-len(rules & other) / len(rules | other), device) for device, other in references.items()
+        )
+        assert [x["device"] for x in found if x["query"] == name] == [d for _, d in scored[:5]]
+
+
+def test_pairs_beyond_64_bits(spark):
+    counts = overlap.rule_pairs(
+        spark.createDataFrame([("q", "a")], "query string, line string"),
+        spark.createDataFrame([("a", 9_000_000_000_000_000_000)], "line string, n_r long"),
+    )
+    doubled = counts.union(counts).union(counts)
+    assert overlap.hot_rules(doubled, 1e20, 1) == ([], pytest.approx(2.7e19))
