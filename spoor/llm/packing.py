@@ -5,6 +5,10 @@ ids, and a rest. Only the histogram of piece lengths reaches the driver, at most
 There lengths are placed longest first, each into the packing pattern with the most room, and
 the counts of the patterns are updated, never single pieces. Pieces then find their pattern by
 their rank among the pieces of equal length.
+
+Lengths that fit badly, say one length that most documents have, leave patterns with room. Their
+packs are laid end to end and cut into sequences, which splits one piece in two per sequence;
+packs with at most ``ROOM`` ids to spare stay whole.
 """
 
 from __future__ import annotations
@@ -27,7 +31,11 @@ RANKS = "byte_bpe_50k.tiktoken"
 #: The one added token of the vocabulary, which tokenizers reads as a single id.
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 
-PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
+#: Ids that a pack may lack: beyond that it is filled up by cutting.
+ROOM = 8
+
+#: ``ids`` are those of a rest, which may have to be cut; full pieces never are.
+PIECES = "start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 _encoders: dict[str, object] = {}
 
 
@@ -61,7 +69,7 @@ def cut_pieces(docs: DataFrame, key: str, text: str, path: str, size: int = SIZE
     key_type = docs.schema[key].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, starts, lengths, sums, totals = [], [], [], [], []
+        rows, starts, lengths, sums, totals, rests = [], [], [], [], [], []
         texts = batch.column(1)
         for row in range(batch.num_rows):
             ids = token_ids(texts[row].as_py() or "", path)
@@ -70,14 +78,17 @@ def cut_pieces(docs: DataFrame, key: str, text: str, path: str, size: int = SIZE
                 rows.append(row)
                 starts.append(start)
                 lengths.append(len(piece))
-                sums.append(zlib.crc32(piece.tobytes()))
+                data = piece.tobytes()
+                sums.append(zlib.crc32(data))
                 totals.append(len(ids))
+                rests.append(data if len(piece) < size else None)
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0).take(pa.array(rows, pa.int64())),
                 *(pa.array(x, pa.int64()) for x in (starts, lengths, sums, totals)),
+                pa.array(rests, pa.binary()),
             ],
-            names=[key, "start", "length", "ids_crc32", "doc_tokens"],
+            names=[key, "start", "length", "ids_crc32", "doc_tokens", "ids"],
         )
 
     return over_batches(docs.select(key, text), work, f"{key} {key_type}, {PIECES}")
@@ -110,22 +121,28 @@ def plan_patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int
     return done + [(count, lengths) for _, count, lengths in open_packs]
 
 
-def plan_places(patterns: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, int, int, int]]:
-    """Rows (length, first rank, rank after the last, sequence of the first, offset).
+def plan_places(
+    patterns: list[tuple[int, tuple[int, ...]]], size: int = SIZE, room: int = ROOM
+) -> list[tuple[int, int, int, int, int]]:
+    """Rows (length, first rank, rank after the last, position of the first, stride).
 
-    The patterns are a function of the histogram alone, so the plan has as many rows as the
-    patterns have places, whatever the number of documents.
+    A position counts ids over all sequences, and the next rank stands a stride further. Full
+    packs start at a sequence each; the others stand end to end after them. The patterns are a
+    function of the histogram alone, so the plan has as many rows as the patterns have places,
+    whatever the number of documents.
     """
     used: dict[int, int] = {}
-    places, sequence = [], 0
-    for count, lengths in patterns:
+    places, position = [], 0
+    for count, lengths in sorted(patterns, key=lambda p: sum(p[1]) < size - room):
+        total = sum(lengths)
+        stride = total if total < size - room else size
         offset = 0
         for length in lengths:
             first = used.get(length, 0)
-            places.append((length, first, first + count, sequence, offset))
+            places.append((length, first, first + count, position + offset, stride))
             used[length] = first + count
             offset += length
-        sequence += count
+        position += count * stride
     return places
 
 
@@ -136,25 +153,25 @@ def pack(
     """One row per piece: its document, ids and place in a sequence of at most ``size`` ids.
 
     A null or empty text is the end id alone. An empty table gives no rows. Rows with equal or
-    null ids are documents of their own; equal pieces of theirs may swap places, which leaves
-    the result the same.
+    null ids are documents of their own.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     path = path or public_tokenizers.path(RANKS)
-    pieces = scratch.put(cut_pieces(docs, key, text, path, size))
+    # The number of a piece is written with it, so it is the same whenever it is read.
+    pieces = scratch.put(
+        cut_pieces(docs, key, text, path, size).withColumn("piece", F.monotonically_increasing_id())
+    )
     histogram = {
         r["length"]: r["n"]
         for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
     }
-    places = plan_places(plan_patterns(histogram, size))
+    places = plan_places(plan_patterns(histogram, size), size)
     plan = spark.createDataFrame(
-        places or [(0, 0, 0, 0, 0)],
-        "length long, first_rank long, end_rank long, first_sequence long, offset long",
-    )
-    ranked = salted_rank(
-        pieces, "length", [key, "start", "ids_crc32"], sum(histogram.values()), "rank"
+        places or [(0, 0, 0, 0, 1)],
+        "length long, first_rank long, end_rank long, first_position long, stride long",
     )
+    ranked = salted_rank(pieces.drop("ids"), "length", ["piece"], sum(histogram.values()), "rank")
     # At most a few thousand places, bounded by the sequence length: safe to broadcast.
     found = ranked.join(
         F.broadcast(plan),
@@ -162,8 +179,26 @@ def pack(
         & (ranked["rank"] >= plan["first_rank"])
         & (ranked["rank"] < plan["end_rank"]),
     ).drop(plan["length"])
-    return found.select(
-        key, "start", "length", "ids_crc32", "doc_tokens",
-        (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"),
-        "offset",
+    position = F.col("first_position") + (F.col("rank") - F.col("first_rank")) * F.col("stride")
+    placed = scratch.put(found.select(
+        key, "start", "length", "ids_crc32", "doc_tokens", "piece",
+        F.floor(position / size).alias("sequence_id"), (position % size).alias("offset"),
+    ))
+    crosses = F.col("offset") + F.col("length") > size
+    whole = placed.filter(~crosses).drop("piece")
+    head = F.lit(size) - F.col("offset")
+    parts = F.array(
+        F.struct(F.lit(0).cast("long").alias("at"), head.alias("n"),
+                 F.col("sequence_id").alias("in"), F.col("offset").alias("place")),
+        F.struct(head.alias("at"), (F.col("length") - head).alias("n"),
+                 (F.col("sequence_id") + 1).alias("in"), F.lit(0).cast("long").alias("place")),
+    )
+    cut = placed.filter(crosses).join(pieces.select("piece", "ids"), "piece").select(
+        key, "start", "doc_tokens", "ids", F.explode(parts).alias("p")
     )
+    data = F.substring("ids", (F.col("p.at") * 4 + 1).cast("int"), (F.col("p.n") * 4).cast("int"))
+    return whole.unionByName(cut.select(
+        key, (F.col("start") + F.col("p.at")).alias("start"), F.col("p.n").alias("length"),
+        F.crc32(data).alias("ids_crc32"), "doc_tokens", F.col("p.in").alias("sequence_id"),
+        F.col("p.place").alias("offset"),
+    ))

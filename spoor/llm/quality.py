@@ -1,9 +1,10 @@
 """Repetition coverage: how much of a text lies inside repeated n-grams and lines.
 
 Words are numbered within their text, n-grams get rolling hashes in numpy, and the characters
-of all words inside an n-gram that occurs twice or more are added up once, however many of its
-n-grams repeat. A text is rejected if the covered share of its word characters exceeds the
-limit of any n-gram length, or if repeated lines hold too large a share.
+of all words inside an n-gram that the text has had before are added up, each word once. A text
+is rejected if that share of its word characters exceeds the limit of any n-gram length, or if
+repeated lines hold too large a share. First occurrences do not count: a heading that comes
+again at the end of a short text is no reason to drop it.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import DataFrame
 
 from spoor.llm.common import find_words, over_batches
 
-#: N-gram length to the largest share of word characters inside repeated ones.
-LIMITS = {5: 0.30, 6: 0.28, 8: 0.24, 10: 0.20}
+#: N-gram length to the largest share of word characters inside repeats.
+LIMITS = {5: 0.40, 6: 0.38, 8: 0.34, 10: 0.30}
 #: Largest share of characters in lines equal to an earlier line.
 LINE_LIMIT = 0.30
 MIN_WORDS = 50
@@ -31,15 +32,16 @@ SCHEMA = (
 )
 
 
-def _repeated(values: np.ndarray) -> np.ndarray:
-    """Which entries occur twice or more."""
+def _repeated(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries occur twice or more, and which of them have occurred before."""
     order = np.argsort(values, kind="stable")
     ranked = values[order]
     same = ranked[1:] == ranked[:-1]
-    out = np.zeros(len(values), bool)
-    out[order[1:][same]] = True
-    out[order[:-1][same]] = True
-    return out
+    again = np.zeros(len(values), bool)
+    again[order[1:][same]] = True
+    twice = again.copy()
+    twice[order[:-1][same]] = True
+    return twice, again
 
 
 def _covered(starts: np.ndarray, n: int, words: int) -> np.ndarray:
@@ -100,14 +102,14 @@ def measure(text: str | None) -> tuple:
     cover = dict.fromkeys(LIMITS, 0.0)
     if n_words >= 3:
         # A repeated longer n-gram needs a repeated 3-gram, so most texts end here.
-        hits = _repeated(_windows(ids, 3))
-        if hits.any():
-            repeat_words = int(_covered(hits, 3, n_words).sum())
+        twice, again = _repeated(_windows(ids, 3))
+        if again.any():
+            repeat_words = int(_covered(twice, 3, n_words).sum())
             for n in LIMITS:
-                if n_words < n or not hits.any():
+                if n_words < n or not again.any():
                     break
-                hits = _repeated(_windows(ids, n))
-                cover[n] = float(lengths[_covered(hits, n, n_words)].sum() / max(chars, 1))
+                _, again = _repeated(_windows(ids, n))
+                cover[n] = float(lengths[_covered(again, n, n_words)].sum() / max(chars, 1))
     failed = n_words < MIN_WORDS or 100 * repeat_words > 50 * n_words
     line_share = dup_chars / line_chars if line_chars else 0.0
     bad = line_share > LINE_LIMIT or any(cover[n] > LIMITS[n] for n in LIMITS)

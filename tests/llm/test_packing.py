@@ -35,13 +35,28 @@ def test_ids_of_any_text(text):
 def test_plan_places_each_piece_once(histogram):
     patterns = plan_patterns(histogram, 40)
     assert all(sum(lengths) <= 40 for _, lengths in patterns)
-    taken = defaultdict(list)
-    for length, first, end, _, _ in plan_places(patterns):
-        taken[length].append((first, end))
-    for length, n in histogram.items():
-        spans = sorted(taken[length])
-        assert spans[0][0] == 0 and spans[-1][1] == n
-        assert all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+    ranks, filled = defaultdict(list), []
+    for length, first, end, position, stride in plan_places(patterns, 40, 3):
+        for rank in range(first, end):
+            ranks[length].append(rank)
+            start = position + (rank - first) * stride
+            filled += range(start, start + length)
+    assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(n)) for k, n in histogram.items()}
+    assert len(set(filled)) == len(filled)
+    # Only packs that lack three ids or fewer are padded, and the last sequence.
+    missing = defaultdict(lambda: 40)
+    for position in filled:
+        missing[position // 40] -= 1
+    assert all(n <= 3 for sequence, n in missing.items() if sequence != max(missing))
+    assert sorted(missing) == list(range(len(missing)))
+
+
+def test_one_length_that_fits_badly(spark):
+    docs = [(i, "word " * 599) for i in range(40)]
+    rows = pack(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    check(rows, dict(docs))
+    tokens = sum(r["length"] for r in rows)
+    assert max(r["sequence_id"] for r in rows) + 1 == -(-tokens // SIZE)
 
 
 def check(rows, texts):
