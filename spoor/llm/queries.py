@@ -50,7 +50,10 @@ def op7_pseudonyms(spark, sf_dir):
 
 
 def op8_quality(spark, sf_dir):
-    return measure_quality(table(spark, sf_dir, "documents"))
+    return measure_quality(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept",
+    )
 
 
 def op9_pages(spark, sf_dir):
@@ -73,5 +76,3 @@ QUERIES = {
     "op9_pages": op9_pages,
     "op10_repeats": op10_repeats,
 }
-
-ORACLE: dict[str, str] = {}
