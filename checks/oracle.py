@@ -386,6 +386,20 @@ SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, entity, device,
 FROM ranked WHERE rank <= 5"""
 
 
+MEANING = f"""WITH {SEMANTIC},
+windows AS (
+  SELECT DISTINCT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS w, entity, line
+  FROM flows),
+means AS (
+  SELECT w, entity, device, avg(s) AS score FROM windows JOIN best USING (line) GROUP BY ALL),
+places AS (
+  SELECT *, row_number() OVER (
+           PARTITION BY w, entity ORDER BY round(score, 9) DESC, device) AS rank
+  FROM means)
+SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, entity, device,
+       round(score, 6) AS score, rank
+FROM places WHERE rank <= 5"""
+
 _PATH = f"""(CASE doc_id % 3 WHEN 0 THEN {VARIANT} || '.txt'
   WHEN 1 THEN {VARIANT} || '/' || lang || '.txt'
   ELSE lang || '_loo_9/deep/' || {VARIANT} || '.v1.txt' END)"""
@@ -523,5 +537,6 @@ FROM sums""",
 SELECT d.doc_id, b.dim, round(CAST(b.value AS DOUBLE), 6) AS value
 FROM documents d JOIN bags b USING (text)""",
     "runtime_window_match": _windows(closed=False),
+    "runtime_window_meaning": MEANING,
     "runtime_stream_match": _windows(closed=True),
 }

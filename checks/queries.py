@@ -12,7 +12,13 @@ from spoor.functions.labels import clean_label, expected_label
 from spoor.functions.vectors import l2_normalise
 from spoor.operators import episodes as ep
 from spoor.operators.dense import dense_ranks, dense_topk, pooled
-from spoor.operators.encode import embed_mean, embed_rules, embed_whole, hashed_encoder
+from spoor.operators.encode import (
+    embed_mean,
+    embed_rules,
+    embed_whole,
+    encode_distinct,
+    hashed_encoder,
+)
 from spoor.operators.flatten import entries, ordered_distinct, parse_documents, render
 from spoor.operators.overlap import overlap_ranks, overlap_topk
 from spoor.operators.pooling import mean_vectors
@@ -26,7 +32,7 @@ from spoor.plans.retrieval import rank_sets
 from spoor.session import shared_dir, stored
 from spoor.sources.banks import query_bank, reference_bank, resolve_bank
 from spoor.sources.profiles import rule_lines
-from spoor.streaming.runtime import match_stream, match_windows
+from spoor.streaming.runtime import match_stream, match_windows, match_windows_by_meaning
 
 ENCODER_DIM = 32
 # Small enough that every rule of the test tables counts as hot.
@@ -390,6 +396,17 @@ def _windows_out(found):
     return _rounded(found, "score")
 
 
+def runtime_window_meaning(spark, sf_dir):
+    """Windows of all flows by the vectors of their rules, against the reference rules'."""
+    encoder = hashed_encoder(ENCODER_DIM)
+    references = views.reference_sets(spark, sf_dir)
+    bank = encode_distinct(references, encoder, "line").select(
+        "device", F.xxhash64("device", "line").alias("row_id"), "embedding"
+    )
+    flows = views.flows(spark, sf_dir)
+    return _windows_out(match_windows_by_meaning(flows, stored(bank), encoder, WINDOW))
+
+
 def runtime_stream_match(spark, sf_dir):
     """The same from a stream over the events, for the windows it has closed."""
     schema = views.table(spark, sf_dir, "events").schema
@@ -461,6 +478,7 @@ QUERIES = {
     "embed_per_rule": embed_per_rule,
     "embed_mean": embed_mean_rules,
     "embed_whole": embed_whole_text,
+    "runtime_window_meaning": runtime_window_meaning,
     "runtime_window_match": runtime_window_match,
     "runtime_stream_match": runtime_stream_match,
 }

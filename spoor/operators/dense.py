@@ -433,8 +433,15 @@ class _Tiles:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
 
     def _score(self, left: DataFrame, tile: str, mode: str, k: int = 0) -> DataFrame:
-        """Cogroup both sides by pair of tiles, as many tasks as pairs while those are few."""
-        right = self.references.select("*", self._each(self.blocks, "block"))
+        """Cogroup both sides by pair of tiles, as many tasks as pairs while those are few.
+
+        For the expected devices alone, a tile goes only to the blocks that ask for it.
+        """
+        if mode == "own":
+            wanted = left.select(tile, "block").distinct().toDF("tile", "block")
+            right = self.references.join(wanted, "tile")
+        else:
+            right = self.references.select("*", self._each(self.blocks, "block"))
         tasks = min(self.tiles * self.blocks, MAX_TASKS)
         merge = _merge_maxsim if set(self.methods) == {"maxsim"} else _merge
         return merge(
