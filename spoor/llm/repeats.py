@@ -40,7 +40,12 @@ CHUNK = 1 << 22
 #: A null id counts as larger than any other.
 LAST = (1 << 63) - 1
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Session settings while the arrays are made: shuffle files go once a query has written its
+#: table, and tables bucketed by key join by key and hash as they lie.
+SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+}
 
 
 def _hashes(data: bytes) -> np.ndarray:
@@ -248,14 +253,15 @@ def cut(data: bytes, runs: list[tuple[int, int]]) -> tuple[int, int, bytes]:
 
 
 @contextmanager
-def _tidy(spark: SparkSession):
-    """Delete the shuffle files of each query once it has written its table."""
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
+def _settings(spark: SparkSession):
+    before = {name: spark.conf.get(name, None) for name in SETTINGS}
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def _edges(docs: DataFrame, batches: int) -> list[int]:
@@ -348,7 +354,7 @@ def remove_repeats(
     unique = base.groupBy("doc").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty()
     tag = F.lit(0) if unique else F.crc32("body") % (1 << 20)
     base = base.withColumn("tag", tag.cast("int"))
-    with _tidy(spark):
+    with _settings(spark):
         runs = mark_repeats(base.select("doc", "tag", "body"), batches)
     met = base.join(runs, ["doc", "tag"], "left").select("id", "body", "runs")
     id_type = docs.schema[key].dataType.simpleString()
