@@ -74,7 +74,12 @@ def _stem(size: int):
 
 
 def words(text: Column) -> Column:
-    """The distinct words of a text in lower case, and their stems with a star.
+    """The distinct words of a text in lower case, and their stems with a star."""
+    return F.array_distinct(_tokens(text))
+
+
+def _tokens(text: Column) -> Column:
+    """The same with stems that may repeat, for an intersection, which drops repeats itself.
 
     A stem is the start of a longer word: voters and classifier can go by it where a word is
     inflected or joined to others.
@@ -86,7 +91,7 @@ def words(text: Column) -> Column:
         )
         for size in STEMS
     ]
-    return F.array_distinct(F.concat(found, *stems))
+    return F.concat(found, *stems)
 
 
 def _sampled(df: DataFrame, key: str, rows: int, wanted: int) -> DataFrame:
@@ -132,7 +137,7 @@ def vote_patterns(
             lexicons[f"learned_{part}"] = mine
     every = sorted({w for ws in lexicons.values() for w in ws})
     body = F.coalesce(F.col(text), F.lit(""))
-    hits = F.array_intersect(words(body), F.array(*map(F.lit, every)))
+    hits = F.array_intersect(_tokens(body), F.array(*map(F.lit, every)))
     df = docs.select(
         key, hits.alias("__hits"), *(body.rlike(form).alias(n) for n, form in PATTERNS.items())
     )
@@ -323,7 +328,7 @@ def score(text: Column, weights: dict[str, float], intercept: float) -> Column:
     chosen = sorted(weights)
     known = F.from_json(F.lit(json.dumps(chosen)), "array<string>")
     values = F.from_json(F.lit(json.dumps([weights[w] for w in chosen])), "array<double>")
-    hits = F.array_intersect(words(text), known)
+    hits = F.array_intersect(_tokens(text), known)
     total = F.aggregate(
         hits, F.lit(float(intercept)),
         lambda acc, w: acc + F.get(values, (F.array_position(known, w) - 1).cast("int")),
