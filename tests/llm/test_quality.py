@@ -59,3 +59,16 @@ def test_repetition_rejects_and_plain_text_stays():
     part = " ".join(f"longerword{i}" for i in range(20))
     mixed = " ".join([part] * 5 + [f"x{i}" for i in range(110)])
     assert not measure(mixed)[5] and not measure(mixed)[6]
+
+
+def test_a_passage_given_twice_goes():
+    plain = " ".join(f"word{i}" for i in range(400))
+    twice = "\n".join([plain[:700]] * 2 + [plain[700:2400]])
+    assert not measure(twice)[5] and not measure(twice)[6]
+    many = " ".join(f"w{i % 131}" for i in range(131 * 2))
+    assert not measure(many)[6]
+    # What the base rules leave goes well before half of the words are repeats.
+    words = plain.split()
+    for n in (75, 95):
+        text = " ".join(words[300 : 300 + n] + words)
+        assert not measure(text)[5] and not measure(text)[6]
