@@ -25,8 +25,6 @@ SURGE = 80
 SHARE = 0.2
 #: Share of a line's text inside links from which it counts as a menu.
 LINKS = 0.6
-#: Share of a page's text from which an article element is taken as the page's only text.
-ARTICLE = 0.1
 
 #: Elements whose content is no text, elements around a text, elements that end a
 #: line, and words in class, id or role that name surroundings.
@@ -73,13 +71,12 @@ def _surrounds(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool]]:
+def lines_of(html: str) -> list[tuple[str, int]]:
     """The lines of a page outside of its surroundings, in page order.
 
-    Each is (text, code points inside links, inside an article), an empty text standing for a
-    block of surroundings.
+    Each is (text, code points inside links), an empty text standing for a block of surroundings.
     """
-    lines: list[tuple[str, int, bool]] = []
+    lines: list[tuple[str, int]] = []
     parts: list[str] = []
     links = article = anchor = at = 0
     skip, depth = "", 0
@@ -88,7 +85,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         nonlocal links
         text = _SPACE.sub(" ", unescape("".join(parts))).strip()
         if text:
-            lines.append((text, links, article > 0))
+            lines.append((text, links))
         parts.clear()
         links = 0
 
@@ -140,23 +137,19 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             parts.append(" ")
         if not closing and name not in VOID and _surrounds(name, tag[3], article > 0):
             end_line()
-            lines.append(("", 0, article > 0))
+            lines.append(("", 0))
             skip, depth = name, 1
             anchor = 0
     end_line()
     return lines
 
 
-def kept_lines(lines: list[tuple[str, int, bool]]) -> list[str]:
+def kept_lines(lines: list[tuple[str, int]]) -> list[str]:
     """The lines between the surges and dives of the distribution."""
-    sizes = np.array([len(t) for t, _, _ in lines], np.int64)
+    sizes = np.array([len(t) for t, _ in lines], np.int64)
     if not sizes.sum():
         return []
-    menu = np.array([n > LINKS * max(len(t), 1) for t, n, _ in lines])
-    inside = np.array([a for _, _, a in lines])
-    if sizes[inside].sum() >= ARTICLE * sizes.sum():
-        # The page marks its article: all of its lines are text, and none outside.
-        return [t for t, _, a in lines if a and t]
+    menu = np.array([n > LINKS * max(len(t), 1) for t, n in lines])
     sizes[menu] = 0
     if not sizes.sum():
         return []

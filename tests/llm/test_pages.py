@@ -43,3 +43,14 @@ def test_rows(spark):
     want = sorted((str(i), main_text(h), len(main_text(h))) for i, _, h, _ in rows)
     assert got == want
     assert extract_pages(df.limit(0)).collect() == []
+
+
+def test_window_sums_choose_with_and_without_an_article():
+    menu = "<ul><li><a href=/a>Home page</a><li><a href=/b>About us</a></ul>"
+    text = "".join(f"<p>{n} {LONG}</p>" for n in range(8))
+    want = "\n\n".join(f"{n} {LONG}" for n in range(8))
+    assert main_text(f"{menu}<div>{text}</div>{menu}") == want
+    # A teaser of an eighth of the text does not stand for the page, nor does a menu in it.
+    far = "<div class=ad>x</div>" * 9
+    assert main_text(f"<div>{text}</div>{far}<article><p>Card. {LONG}</p></article>") == want
+    assert main_text(f"<main>{menu}<div>{text}</div></main>") == want
