@@ -5,6 +5,9 @@ over its own format: a card becomes another card with a right check digit, a dat
 an address another address. The permutation depends on the key and the kind only, so equal
 values get equal pseudonyms in every document and different values different ones. All of it
 is SQL functions; round functions are SHA-512 of key, kind, round and the other half.
+
+Cards and printed IBANs are looked for at each group of a whole run of groups, the usual groupings
+first, so that a number beside one does not hide it.
 """
 
 from __future__ import annotations
@@ -34,7 +37,27 @@ FORMS = {
     "e164": r"(?<![0-9A-Za-z])\+[0-9]{8,15}(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
-ANY = "|".join(FORMS.values())
+#: A printed IBAN: groups of four, the last of one to four.
+SPACED_IBAN = r"[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?"
+#: A run ends before a value that is a match of its own.
+_OWN = "|".join(FORMS[kind] for kind in ("ipv4", "date", "ssn", "phone")) + (
+    r"|[A-Za-z0-9._%+-]{1,64}+@"
+)
+#: Groups of 13 digits or more, or of an IBAN's head and what follows. Possessive, so that long
+#: runs are read without recursion.
+RUN = (
+    r"(?:(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= [A-Z0-9]{4} [A-Z0-9]{3,4}(?![A-Za-z0-9]))"
+    rf"(?: (?!{_OWN})[A-Z0-9]{{1,4}}(?![A-Za-z0-9]))++"
+    r"|(?<![0-9])(?=[0-9](?:[ -]?[0-9]){12})[0-9]++)"
+    rf"(?:[ -](?!{_OWN})[0-9]++)*+"
+)
+ANY = "|".join([*(form for kind, form in FORMS.items() if kind != "card"), RUN])
+#: Digits by group of the usual cards, and how their numbers start.
+GROUPINGS = ("4 4 4 4", "4 4 4 4 3", "4 6 5", "4 6 4")
+ISSUERS = "^(?:[3-6]|2[2-7])"
+#: Longest run, in groups, of which every window is tried as a card of unusual grouping; in a
+#: longer one, like a table of numbers, only the longest window from each group is.
+ODD_GROUPS = 12
 
 #: A 400-year cycle of the calendar has 189 * 773 days; dates outside it stay.
 FIRST_DAY, LEFT_DAYS, RIGHT_DAYS = "1700-01-01", 189, 773
@@ -258,7 +281,10 @@ def kind_of(value: Column) -> Column:
 def pseudonym(value: Column, kind: Column, key: str = KEY) -> Column:
     return (
         F.when(kind == "email", _email(value, key))
-        .when(kind == "iban", _iban(value, key))
+        .when(kind == "iban", _let(
+            _let(F.replace(value, F.lit(" "), F.lit("")), lambda v: _iban(v, key)),
+            lambda new: F.when(value.contains(" "), _spaced(new)).otherwise(new),
+        ))
         .when(kind == "ipv4", _ipv4(value, key))
         .when(kind == "date", _date(value, key))
         .when(kind == "card", _card(value, key))
@@ -268,6 +294,114 @@ def pseudonym(value: Column, kind: Column, key: str = KEY) -> Column:
     )
 
 
+def _window_at(rest: Column, i: Column, n: Column, all_groups: Column) -> Column:
+    """The first ``n`` groups of ``rest``, which starts at group ``i`` of a run of
+    ``all_groups``, as (rank, turn, at, size); the rank is lower for a surer find, null for none."""
+    def judged(part):
+        usual = F.array_join(F.transform(part, F.length), " ").isin(*GROUPINGS)
+
+        def rank(digits):
+            last = F.length(digits) + F.coalesce(F.length(F.try_element_at(rest, n + 1)), F.lit(20))
+            odd = (all_groups <= ODD_GROUPS) | (last > 19)
+            card = digits.rlike("^[0-9]{13,19}$") & ((n == 1) | usual | odd)
+            return F.when(
+                digits.rlike("^[A-Z]") & F.array_join(part, " ").rlike(f"^{SPACED_IBAN}$"),
+                F.when(_mod97(digits) == 1, 0),
+            ).when(card, F.when(_luhn(digits) % 10 == 0, F.when(n == 1, 0).when(
+                usual, F.when(digits.rlike(ISSUERS), 1).otherwise(2)
+            ).otherwise(3)))
+
+        # Of the usual groupings the shorter is the likelier, of the others the longer.
+        return _let(_let(F.array_join(part, ""), rank), lambda r: F.struct(
+            r.alias("rank"), F.when(r.isin(1, 2), n).otherwise(-n).alias("turn"),
+            i.alias("at"), n.alias("size"),
+        ))
+
+    return _let(F.slice(rest, F.lit(1), n), judged)
+
+
+def _chosen(groups: Column) -> Column:
+    """Windows that do not overlap: the leftmost, unless a surer one starts within it."""
+    def best(i):
+        """The surest window that starts at group ``i``, or null."""
+        return _let(F.slice(groups, i + 1, F.lit(20)), lambda rest: F.array_min(F.filter(
+            F.transform(
+                F.sequence(F.lit(1), F.least(F.size(rest), F.lit(19))),
+                lambda n: _window_at(rest, i, n, F.size(groups)),
+            ),
+            lambda w: w["rank"].isNotNull(),
+        )))
+
+    found = F.filter(
+        F.transform(F.sequence(F.lit(0), F.size(groups) - 1), best), lambda w: w.isNotNull()
+    )
+
+    def surest(all_found):
+        return F.filter(all_found, lambda w, k: ~F.exists(
+            F.slice(all_found, k + 2, F.lit(20)),
+            lambda v: (v["at"] < w["at"] + w["size"]) & (v["rank"] < w["rank"]),
+        ))
+
+    kind = "array<struct<at:int,size:int>>"
+    empty = F.struct(F.lit(0).alias("free"), F.array().cast(kind).alias("out"))
+
+    def step(state, w):
+        one = F.array(F.struct(w["at"].alias("at"), w["size"].alias("size")))
+        return F.when(w["at"] < state["free"], state).otherwise(F.struct(
+            (w["at"] + w["size"]).alias("free"), F.concat(state["out"], one).alias("out")
+        ))
+
+    return F.aggregate(_let(found, surest), empty, step, lambda state: state["out"])
+
+
+def _spaced(iban: Column) -> Column:
+    return F.regexp_replace(iban, "(.{4})(?=.)", "$1 ")
+
+
+#: A stretch of a match: its kind, null where it stays, and its text.
+_PARTS = "array<struct<kind:string,text:string>>"
+
+
+def _run(value: Column) -> Column:
+    """A run of groups cut into its cards and printed IBANs and what is between them."""
+    # Each group with the separator before it.
+    cells = F.zip_with(
+        F.split(value, "[ -]"),
+        F.concat(F.array(F.lit("")), F.regexp_extract_all(value, F.lit("[ -]"), F.lit(0))),
+        lambda g, lead: F.struct(g.alias("group"), lead.alias("lead")),
+    )
+
+    def text(cells, first, n):
+        return F.array_join(F.transform(
+            F.slice(cells, first + 1, n), lambda c: F.concat(c["lead"], c["group"])
+        ), "")
+
+    def part(kind, text):
+        return F.struct(kind.cast("string").alias("kind"), text.alias("text"))
+
+    def written(cells, chosen):
+        def two(w, k):
+            before = F.element_at(chosen, F.greatest(k, F.lit(1)))
+            end = F.when(k == 0, 0).otherwise(before["at"] + before["size"])
+            first = F.element_at(cells, w["at"] + 1)
+            found = F.concat(first["group"], text(cells, w["at"] + 1, w["size"] - 1))
+            return F.array(
+                part(F.lit(None), F.concat(text(cells, end, w["at"] - end), first["lead"])),
+                part(F.when(found.rlike("^[A-Z]"), "iban").otherwise("card"), found),
+            )
+
+        last = F.element_at(chosen, -1)
+        rest = text(cells, last["at"] + last["size"], F.size(cells) - last["at"] - last["size"])
+        return F.when(F.size(chosen) == 0, F.array(part(F.lit(None), value))).otherwise(F.concat(
+            F.flatten(F.transform(chosen, two)), F.array(part(F.lit(None), rest))
+        ))
+
+    return _let(cells, lambda cells: _let(
+        _let(F.transform(cells, lambda c: c["group"]), _chosen),
+        lambda chosen: written(cells, chosen),
+    ))
+
+
 def pseudonymise(
     docs: DataFrame, text: str = "text", key: str = KEY, kinds: str | None = None
 ) -> DataFrame:
@@ -280,9 +414,14 @@ def pseudonymise(
     found = matches(body, ANY)
 
     def judged(m):
-        kind = kind_of(m)
-        return _let(kind, lambda k: F.struct(
-            k.alias("kind"), F.coalesce(pseudonym(m, k, key), m).alias("new")
+        groups = m.rlike("^(?:[A-Z]{2}[0-9]{2} |[0-9](?:[ -]?[0-9]){12})") & ~m.contains("@")
+        one = F.array(F.struct(kind_of(m).alias("kind"), m.alias("text")))
+        parts = F.when(groups, _run(m)).otherwise(one).cast(_PARTS)
+        return _let(parts, lambda parts: F.struct(
+            F.filter(F.transform(parts, lambda p: p["kind"]), lambda k: k.isNotNull()).alias("kinds"),
+            F.array_join(F.transform(parts, lambda p: F.coalesce(
+                pseudonym(p["text"], p["kind"], key), p["text"]
+            )), "").alias("new"),
         ))
 
     marked = docs.withColumn("__found", F.when(body.rlike(r"[0-9@]"), found)).withColumn(
@@ -295,7 +434,7 @@ def pseudonymise(
     if kinds:
         names = F.when(
             F.col("__new").isNotNull(),
-            F.filter(F.transform("__new", lambda n: n["kind"]), lambda k: k.isNotNull()),
+            F.flatten(F.transform("__new", lambda n: n["kinds"])),
         ).otherwise(F.array().cast("array<string>"))
         out = out.withColumn(kinds, names)
     return out.drop("__found", "__new")

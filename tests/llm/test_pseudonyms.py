@@ -95,3 +95,32 @@ def test_key_decides(spark):
     df = spark.createDataFrame([(1, "call +1 (988) 555-2485 now")], "doc_id long, text string")
     a, b = (pseudonymise(df, key=k).first()["text"] for k in ("one", "two"))
     assert a != b and shape(a) == shape(b)
+
+
+def test_numbers_beside_a_card_or_iban_do_not_hide_it(spark):
+    card, iban = "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00"
+    texts = [
+        f"{card} 123", "4111111111111111 05 24", f"12 {card}", f"2024 {card}", f"{card} 2024",
+        f"12 {card} 05 24 123", f"{card} 5500-0000-0000-0004", "3782 822463 10005 1234",
+        f"{card} 2021-05-03", f"{card} 10.0.0.1", f"{card} 123-45-6789", f"{card} 12@mail.com",
+        iban, f"IBAN {iban} EUR 50", f"{iban} {card}", f"{iban} 2021-05-03", f"AB12 {card}",
+        "BE68 5390 0754 7034 PAYS NOW", f"7 {iban}", "411111 1111111111 123", "DE88 3704 0044 0532 0130 00",
+    ]
+    want = [
+        ["card"], ["card"], ["card"], ["card"], ["card"], ["card"], ["card", "card"], ["card"],
+        ["card", "date"], ["card", "ipv4"], ["card", "ssn"], ["card", "email"],
+        ["iban"], ["iban"], ["iban", "card"], ["iban", "date"], ["card"],
+        ["iban"], ["iban"], ["card"], [],
+    ]
+    table = " ".join(str(n) for n in range(10, 1000))
+    new, kinds = replaced(spark, [*texts, card, "DE89370400440532013000", table])
+    assert kinds[: len(texts)] == want
+    same, bare, same_length = new[len(texts) :]
+    assert len(same_length) == len(table)
+    for text, out in zip(texts, new):
+        assert len(text) == len(out) or "10.0.0.1" in text
+        assert card not in out and iban not in out and "4111111111111111" not in out
+    assert new[:1] == [f"{same} 123"] and new[2:6] == [
+        f"12 {same}", f"2024 {same}", f"{same} 2024", f"12 {same} 05 24 123"
+    ]
+    assert new[12].replace(" ", "") == bare and new[13] == f"IBAN {new[12]} EUR 50"
