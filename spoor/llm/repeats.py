@@ -1,14 +1,15 @@
-"""Passages that an earlier document has, by a logarithmic family of sampled suffix arrays.
+"""Passages that an earlier document has, by winnowing: blocks of windows, joined by their hashes.
 
-Documents come in batches by id. A batch's suffix array is a table of sampled suffixes in the
-order of their keys; it is merge-scanned against the arrays of all earlier batches, joined to
-the family, and arrays of equal rank are merged, so that a suffix is rewritten only as often as
-the logarithm of the number of batches, and a new batch meets few arrays.
+There is no suffix array: nothing is in the order of suffixes, and no match is extended. Documents
+come in batches by id, a fixed number of them. A batch's array is a table of its distinct blocks,
+bucketed and sorted by key; it is joined by key and hash to the arrays of all earlier batches, and
+arrays of equal rank are merged.
 
-Which suffixes are sampled depends on nearby text alone. Each window of ``WINDOW`` bytes is named
+Which blocks there are depends on nearby text alone. Each window of ``WINDOW`` bytes is named
 by the least hash among its ``GRAM``-byte substrings, its anchor. Neighbouring windows with the
 same anchor form a block, on average 17 windows in 66 bytes, and an array has one row per
-distinct block: key (hash of the anchor), hash of the block's bytes, first document and place.
+distinct block: key (hash of the anchor), 64-bit hash of the block's bytes, first document and
+place. Blocks of equal key and hash are taken as equal; their bytes are not compared.
 Equal windows have equal anchors, so they lie in blocks of equal key:
 
 * if an earlier document has the whole block, all of its windows repeat;
@@ -95,7 +96,7 @@ def blocks_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """``key, hash, doc, at, n`` for each block; ``docs`` has ``doc, tag, body``."""
+    """``key, hash, doc, tag, at, n`` for each block; ``docs`` has ``doc, tag, body``."""
 
     def work(batch: pa.RecordBatch) -> pa.Table:
         out, size = [], 0
@@ -106,7 +107,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             nonlocal size
             if out:
                 parts.append(pa.record_batch(
-                    [np.concatenate(c) for c in zip(*out)], ["key", "hash", "doc", "at", "n"]
+                    [np.concatenate(c) for c in zip(*out)], ["key", "hash", "doc", "tag", "at", "n"]
                 ))
             out.clear()
             size = 0
@@ -120,23 +121,23 @@ def _blocks(docs: DataFrame) -> DataFrame:
             view = memoryview(data)
             ends = first + n + WINDOW - 1
             hashes = np.fromiter(
-                (digest(view[a:b]) & 0x7FFFFFFF for a, b in zip(first.tolist(), ends.tolist())),
-                np.int32, len(key),
+                (digest(view[a:b]) for a, b in zip(first.tolist(), ends.tolist())),
+                np.uint64, len(key),
             )
-            at = first + (tags[row].as_py() << 40)
             out.append((
-                key.view(np.int64), hashes, np.full(len(key), docs[row].as_py(), np.int64),
-                at, n.astype(np.int16),
+                key.view(np.int64), hashes.view(np.int64),
+                np.full(len(key), docs[row].as_py(), np.int64),
+                np.full(len(key), tags[row].as_py(), np.int64), first, n.astype(np.int16),
             ))
             size += len(key)
             if size > 1 << 20:
                 flush()
         flush()
-        schema = pa.schema([("key", pa.int64()), ("hash", pa.int32()), ("doc", pa.int64()),
-                            ("at", pa.int64()), ("n", pa.int16())])
+        schema = pa.schema([("key", pa.int64()), ("hash", pa.int64()), ("doc", pa.int64()),
+                            ("tag", pa.int64()), ("at", pa.int64()), ("n", pa.int16())])
         return pa.Table.from_batches(parts, schema)
 
-    return over_batches(docs, work, "key long, hash int, doc long, at long, n short")
+    return over_batches(docs, work, "key long, hash long, doc long, tag long, at long, n short")
 
 
 class Family:
@@ -176,7 +177,7 @@ class Family:
 
 def _first(df: DataFrame) -> DataFrame:
     """One row per distinct block: its first document and place."""
-    return df.groupBy("key", "hash").agg(F.min(F.struct("doc", "at", "n")).alias("x")).select(
+    return df.groupBy("key", "hash").agg(F.min(F.struct("doc", "tag", "at", "n")).alias("x")).select(
         "key", "hash", "x.*"
     )
 
@@ -188,7 +189,7 @@ def _merged(older: DataFrame, newer: DataFrame) -> DataFrame:
     return both.select(
         "key", "hash",
         *(F.when(F.col("a.doc").isNotNull(), F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c)
-          for c in ("doc", "at", "n")),
+          for c in ("doc", "tag", "at", "n")),
     )
 
 
@@ -208,8 +209,8 @@ def _scan(entries: DataFrame, own: DataFrame, arrays: list[DataFrame]) -> DataFr
         one = array.groupBy("key").agg(F.min("hash").alias(f"lo{n}"), F.max("hash").alias(f"hi{n}"))
         kinds = one if kinds is None else kinds.join(one, "key", "left")
     last = range(len(arrays) + 1)
-    low = F.least(F.lit((1 << 31) - 1), *(f"lo{n}" for n in last))
-    high = F.greatest(F.lit(-1), *(f"hi{n}" for n in last))
+    low = F.least(F.lit((1 << 63) - 1), *(f"lo{n}" for n in last))
+    high = F.greatest(F.lit(-(1 << 63)), *(f"hi{n}" for n in last))
     kinds = kinds.select("key", (low < high).alias("several"))
     verdict = found.join(kinds, "key")
     return entries.join(verdict, ["key", "hash"]).filter("several or older < doc")
@@ -273,6 +274,7 @@ def _edges(docs: DataFrame, batches: int) -> list[int]:
 def mark_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """``doc, tag, runs`` of documents (doc, tag, body): the windows that earlier ones have."""
     spark = docs.sparkSession
+    docs = docs.withColumn("tag", F.col("tag").cast("long"))
     scratch = Scratch(spark)
     family = Family(spark, scratch)
     edges = _edges(docs, batches)
@@ -294,7 +296,7 @@ def mark_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
             family.add(own)
         else:
             family.arrays.append((0, own))
-    marks = hits.filter("older < doc").select("doc", "at", F.col("n").cast("int").alias("n"))
+    marks = hits.filter("older < doc").select("doc", "tag", "at", F.col("n").cast("int").alias("n"))
 
     # Blocks of keys with several blocks, each with the bytes of its first document.
     several = scratch.put(hits.filter("several").select("key").distinct())
@@ -303,10 +305,10 @@ def mark_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         part = spark.table(array).join(several, "key", "left_semi")
         met = part if met is None else met.unionByName(part)
     met = scratch.put(_first(met))
-    wanted = met.groupBy("doc", F.shiftright("at", 40).cast("int").alias("tag")).agg(
+    wanted = met.groupBy("doc", "tag").agg(
         F.collect_list(F.struct("key", "hash", "doc", "at", "n")).alias("blocks")
     )
-    place = F.col("b.at").bitwiseAND(F.lit((1 << 40) - 1)).cast("int")
+    place = F.col("b.at").cast("int")
     blocks = scratch.put(
         docs.join(wanted, ["doc", "tag"])
         .select("body", F.explode("blocks").alias("b"))
@@ -324,14 +326,13 @@ def mark_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         blocks.join(crowded, "key", "left_anti").repartition("key")
     ).unionByName(_shared_windows(blocks.join(crowded, "key", "left_semi").repartition("key", "hash")))
     # They count for each place of the block in its first document.
-    firsts = hits.filter("several and older = doc").select("key", "hash", "doc", "at")
+    firsts = hits.filter("several and older = doc").select(
+        "key", "hash", "doc", "tag", "at"
+    )
     single = firsts.join(shared, ["key", "hash", "doc"]).select(
-        "doc", (F.col("at") + F.col("i")).alias("at"), F.lit(1).alias("n")
+        "doc", "tag", (F.col("at") + F.col("i")).alias("at"), F.lit(1).alias("n")
     )
-    runs = marks.unionByName(single)
-    tag = F.shiftright("at", 40).cast("int").alias("tag")
-    place = F.col("at").bitwiseAND(F.lit((1 << 40) - 1)).alias("at")
-    return scratch.put(_spans(runs.select("doc", tag, place, "n")))
+    return scratch.put(_spans(marks.unionByName(single)))
 
 
 def remove_repeats(
@@ -350,10 +351,10 @@ def remove_repeats(
         F.col(key).alias("id"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"),
         body.alias("body"),
     )
-    # Where keys repeat, a tag of the text tells their rows apart; equal rows share results.
+    # Where keys repeat, a 64-bit hash of the text tells their rows apart; equal rows share results.
     unique = base.groupBy("doc").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty()
-    tag = F.lit(0) if unique else F.crc32("body") % (1 << 20)
-    base = base.withColumn("tag", tag.cast("int"))
+    tag = F.lit(0) if unique else F.xxhash64("body")
+    base = base.withColumn("tag", tag.cast("long"))
     with _settings(spark):
         runs = mark_repeats(base.select("doc", "tag", "body"), batches)
     met = base.join(runs, ["doc", "tag"], "left").select("id", "body", "runs")

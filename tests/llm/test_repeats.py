@@ -120,3 +120,25 @@ def test_odd_rows(spark, odd_docs, no_docs):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("clash"))
     assert Counter(result(df)) == Counter(brute(rows))
     assert remove_repeats(no_docs).collect() == []
+
+
+def test_rows_of_one_id_and_blocks_of_one_key_have_wide_hashes(spark):
+    import zlib
+
+    # Two texts of one id that agree in 20 bits of their checksum, one with a repeat.
+    shared = "".join(f"{i:03d}" for i in range(30))
+    seen, pair = {}, None
+    for i in range(100_000):
+        text = f"{i} {shared}" if i % 2 else f"{i} " + "q" * 30
+        tag = zlib.crc32(text.encode()) % (1 << 20)
+        if tag in seen and seen[tag][0] % 2 != i % 2:
+            pair = [seen[tag][1], text]
+            break
+        seen[tag] = (i, text)
+    rows = [(1, shared), (None, pair[0]), (None, pair[1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(df) == brute(rows)
+    docs = df.select(F.col("doc_id").alias("doc"), F.lit(0).alias("tag"),
+                     F.col("text").cast("binary").alias("body")).filter("doc = 1")
+    hashes = [r["hash"] for r in repeats._blocks(docs).collect()]
+    assert max(abs(h) for h in hashes) > 1 << 32
