@@ -76,4 +76,70 @@ SELECT doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BI
        sha256(unhex(coalesce(kept || hex(b[last + 1 :]), hex(b)))) AS kept_sha256
 FROM d LEFT JOIN r USING (doc_id)"""
 
-ORACLE = {"op8_quality": QUALITY, "op10_repeats": REPEATS}
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen({value}::VARCHAR) || ':' || {value}::VARCHAR END"
+
+
+def _leaf(n_chars: str) -> str:
+    fields = ("doc_id", "source", "lang", n_chars, "text")
+    return "sha256(" + " || ".join(_field(f) for f in fields) + ")"
+
+
+def _levels(name: str, leaves: str) -> str:
+    """Nodes of all levels, and the siblings of the leaves."""
+    return f"""
+{name} AS (
+  SELECT g, 0 AS l, i, n, h FROM {leaves}
+  UNION ALL
+  SELECT g, l + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM {name}
+  WHERE n > 1 GROUP BY g, l, i // 2, n),
+{name}_steps AS (
+  SELECT d.id, v.l, (d.i >> v.l) % 2 = 1 AS is_left, s.h
+  FROM {leaves} d JOIN (SELECT DISTINCT g, l FROM {name} WHERE n > 1) v USING (g)
+  LEFT JOIN {name} s ON s.g = d.g AND s.l = v.l AND s.i = xor(d.i >> v.l, 1))"""
+
+
+# CRC-32 of the decimal id, bit by bit.
+_BITS = (
+    "[((ord(t[1 + j // 8]) >> (j % 8)) & 1)::UBIGINT FOR j IN range(8 * length(t))]"
+)
+_CRC = f"""xor(4294967295, list_reduce(list_concat([4294967295::UBIGINT], {_BITS}),
+    lambda c, b: xor(c >> 1, CASE WHEN xor(c, b) % 2 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END)))"""
+
+MANIFEST = f"""
+WITH RECURSIVE marked AS (
+  SELECT *, doc_id::VARCHAR AS t, coalesce('=' || lang, '') AS g, {_leaf("n_chars")} AS h,
+         {_leaf("(n_chars + 1)")} AS more
+  FROM documents),
+leaves AS (
+  SELECT doc_id, g, h, row_number() OVER (ORDER BY g, doc_id NULLS FIRST, h) AS id,
+         row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i,
+         count(*) OVER (PARTITION BY g) AS n,
+         CASE WHEN n_chars IS NOT NULL AND {_CRC} % 7 = 0 THEN more ELSE h END AS offered
+  FROM marked),
+{_levels("tree", "leaves").strip()},
+subroots AS (
+  SELECT g AS id, '' AS g, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n
+  FROM tree WHERE n = 1),
+{_levels("top", "subroots").strip()},
+steps AS (
+  SELECT id, l, is_left, h, row_number() OVER (PARTITION BY id ORDER BY l) AS k FROM (
+    SELECT id, l, is_left, h FROM tree_steps
+    UNION ALL
+    SELECT leaves.id, 1000 + l, is_left, s.h
+    FROM leaves JOIN top_steps s ON s.id = leaves.g)),
+folded AS (
+  SELECT id, 0 AS k, offered AS h FROM leaves
+  UNION ALL
+  SELECT id, f.k + 1, sha256(CASE WHEN s.h IS NULL THEN f.h WHEN is_left THEN s.h || f.h
+                             ELSE f.h || s.h END)
+  FROM folded f JOIN steps s USING (id) WHERE s.k = f.k + 1),
+ends AS (SELECT id, arg_max(h, k) AS folded_root FROM folded GROUP BY id),
+proofs AS (SELECT id, string_agg(h, '' ORDER BY k) AS siblings FROM steps GROUP BY id)
+SELECT doc_id, leaves.h AS leaf, s.h AS subroot, t.h AS root,
+       sha256(coalesce(siblings, '')) AS proof_sha256, folded_root, folded_root = t.h AS verified
+FROM leaves JOIN subroots s ON s.id = leaves.g JOIN ends ON ends.id = leaves.id
+LEFT JOIN proofs ON proofs.id = leaves.id CROSS JOIN (SELECT h FROM top WHERE n = 1) t"""
+
+
+ORACLE = {"op8_quality": QUALITY, "op10_repeats": REPEATS, "op12_manifest": MANIFEST}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spoor.llm.common import table
 from spoor.llm.decontaminate import find_leaks
 from spoor.llm.fuzzy import group_near
+from spoor.llm.manifest import manifest
 from spoor.llm.packing import pack
 from spoor.llm.pages import extract_pages
 from spoor.llm.pseudonyms import pseudonymise
@@ -64,6 +65,14 @@ def op10_repeats(spark, sf_dir):
     return repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_manifest(spark, sf_dir):
+    """Every document proved against the root; of every seventh a copy with one character more."""
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    more = F.col("n_chars").cast("decimal(20,0)") + 1
+    n_chars = F.when(changed, more).otherwise(F.col("n_chars"))
+    return manifest(table(spark, sf_dir, "documents"), presented={"n_chars": n_chars})
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_sharding": op2_sharding,
@@ -75,4 +84,5 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_pages": op9_pages,
     "op10_repeats": op10_repeats,
+    "op12_manifest": op12_manifest,
 }
