@@ -141,5 +141,53 @@ SELECT doc_id, leaves.h AS leaf, s.h AS subroot, t.h AS root,
 FROM leaves JOIN subroots s ON s.id = leaves.g JOIN ends ON ends.id = leaves.id
 LEFT JOIN proofs ON proofs.id = leaves.id CROSS JOIN (SELECT h FROM top WHERE n = 1) t"""
 
-
-ORACLE = {"op8_quality": QUALITY, "op10_repeats": REPEATS, "op12_manifest": MANIFEST}
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+RANKED = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, unnest({_TERMS}) AS t FROM documents),
+tfs AS (SELECT r, doc_id, t, count(*) AS tf FROM docs GROUP BY ALL),
+lengths AS (SELECT r, sum(tf)::BIGINT AS n FROM tfs GROUP BY r),
+totals AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM lengths),
+weights AS (
+  SELECT t, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM tfs, totals GROUP BY t, n_docs),
+asked AS (
+  SELECT q, item_id, t, count(*) AS times
+  FROM (SELECT row_number() OVER () AS q, item_id, unnest({_TERMS}) AS t FROM benchmark)
+  GROUP BY ALL),
+scores AS (
+  SELECT q, item_id, r, doc_id, sum(
+    w * times * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * n_docs) // n_terms))))
+  )::BIGINT AS score
+  FROM asked JOIN tfs USING (t) JOIN weights USING (t) JOIN lengths USING (r), totals
+  GROUP BY ALL),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank
+  FROM scores WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 20"""
+
+CAPS = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+good AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN e])
+  AND list_bool_or([x <> 0 FOR x IN e])),
+pairs AS (
+  SELECT a.r AS a, b.r AS b FROM good a JOIN good b ON a.label = b.label AND len(a.e) = len(b.e)
+  WHERE a.r <> b.r AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (
+  SELECT r, r AS s FROM v
+  UNION
+  SELECT reach.r, pairs.b FROM reach JOIN pairs ON pairs.a = reach.s),
+least AS (SELECT reach.r, min(v.vec_id) AS id FROM reach JOIN v ON v.r = reach.s GROUP BY reach.r),
+links AS (SELECT a AS r, count(*) AS n FROM pairs GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, id AS component_id, vec_id IS NOT DISTINCT FROM id AS kept
+FROM v JOIN least USING (r) LEFT JOIN links USING (r)"""
+
+ORACLE = {
+    "op8_quality": QUALITY,
+    "op10_repeats": REPEATS,
+    "op11_ranked": RANKED,
+    "op12_manifest": MANIFEST,
+    "op13_caps": CAPS,
+}

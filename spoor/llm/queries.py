@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spoor.llm.caps import link_vectors
 from spoor.llm.common import table
 from spoor.llm.decontaminate import find_leaks
 from spoor.llm.fuzzy import group_near
@@ -12,6 +13,7 @@ from spoor.llm.packing import pack
 from spoor.llm.pages import extract_pages
 from spoor.llm.pseudonyms import pseudonymise
 from spoor.llm.quality import measure_quality
+from spoor.llm.ranked import search
 from spoor.llm.repeats import repeat_digests
 from spoor.llm.secrets import secret_digests
 from spoor.llm.sharding import shard
@@ -65,6 +67,10 @@ def op10_repeats(spark, sf_dir):
     return repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked(spark, sf_dir):
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_manifest(spark, sf_dir):
     """Every document proved against the root; of every seventh a copy with one character more."""
     changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
@@ -73,6 +79,10 @@ def op12_manifest(spark, sf_dir):
     return manifest(table(spark, sf_dir, "documents"), presented={"n_chars": n_chars})
 
 
+def op13_caps(spark, sf_dir):
+    return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_sharding": op2_sharding,
@@ -84,5 +94,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_pages": op9_pages,
     "op10_repeats": op10_repeats,
+    "op11_ranked": op11_ranked,
     "op12_manifest": op12_manifest,
+    "op13_caps": op13_caps,
 }

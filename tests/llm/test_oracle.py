@@ -23,5 +23,5 @@ def test_query_equals_sql(spark, name):
 
 def test_all_operators_are_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(ORACLE) <= set(QUERIES)
