@@ -51,10 +51,11 @@ class Scratch:
         self.count = 0
         self.paths: dict[int, str] = {}
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, **options: int) -> DataFrame:
+        """``options`` are those of the Parquet writer, such as ``parquet.block.size``."""
         self.count += 1
         path = f"{self.base}/{self.count}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out

@@ -21,6 +21,7 @@ terms allow, so no task holds more than ``CELLS`` impacts.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,8 +39,8 @@ K = 20
 #: Distinct terms of the queries of one set; a longer query has a set of its own.
 TERMS = 65_536
 #: Impacts of one shard, and its documents at most.
-CELLS = 16 << 20
-SHARD = 4096
+CELLS = 4 << 20
+SHARD = 1024
 #: Documents that a block should hold.
 BLOCK = 8
 #: Postings that the first thresholds may read per query, if its rarest term has not more.
@@ -47,6 +48,14 @@ SEED_POSTINGS = 8192
 #: Dimensions in which documents of a list are compared.
 SKETCH = 32
 
+#: Rows of the index are large: small row groups, so that a reader holds few of them at once.
+_ROW_GROUPS = {
+    "parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1,
+    "parquet.page.size.row.check.min": 1,
+}
+#: Columns of the index that hold 32-bit numbers as bytes; the summaries, mostly zeros, packed.
+_NUMBERS = ("starts", "terms", "impacts", "lists", "blocks", "sizes", "members", "peaks")
+
 _SPACE = [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]
 _FOLD = bytes.maketrans(
     bytes([*_SPACE, *range(0x41, 0x5B)]), b" " * len(_SPACE) + bytes(range(0x61, 0x7B))
@@ -248,12 +257,7 @@ def make_shard(queries: _Queries, kind: pa.DataType):
     for term, df in queries.df.items():
         worth[term] = weight(queries.n, df)
     n, total, lists = queries.n, queries.total, queries.lists
-    list_int, list_long = pa.list_(pa.int32()), pa.list_(pa.int64())
-    schema = pa.schema([
-        ("docs", pa.list_(kind)), ("starts", list_long), ("terms", list_int),
-        ("impacts", list_int), ("lists", list_int), ("blocks", list_int), ("sizes", list_int),
-        ("members", list_int), ("peaks", list_int),
-    ])
+    schema = pa.schema([("docs", pa.list_(kind)), *((name, pa.binary()) for name in _NUMBERS)])
 
     def shard(rows: pa.Table) -> pa.RecordBatch:
         rows = rows.combine_chunks()
@@ -283,11 +287,11 @@ def make_shard(queries: _Queries, kind: pa.DataType):
             out["peaks"].append(peaks.ravel())
         flat = [starts, terms, values, out["lists"], out["blocks"]]
         flat += [np.concatenate(out[c]) if out[c] else [] for c in ("sizes", "members", "peaks")]
+        packed = [np.asarray(numbers, np.int32).tobytes() for numbers in flat]
+        packed[-1] = zlib.compress(packed[-1], 1)
         docs = rows["doc"].combine_chunks()
         columns = [pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs)]
-        for numbers, of in zip(flat, schema.types[1:]):
-            one = pa.array(np.asarray(numbers, np.int64), pa.int64()).cast(of.value_type)
-            columns.append(pa.ListArray.from_arrays(pa.array([0, len(one)], pa.int32()), one))
+        columns += [pa.array([one], pa.binary()) for one in packed]
         return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return shard
@@ -312,9 +316,8 @@ def _index(forward: DataFrame, queries: _Queries) -> DataFrame:
     ship_package(forward.sparkSession)
     return forward.mapInArrow(
         run,
-        f"docs array<{kind.simpleString()}>, starts array<long>, terms array<int>, "
-        "impacts array<int>, lists array<int>, blocks array<int>, sizes array<int>, "
-        "members array<int>, peaks array<int>",
+        f"docs array<{kind.simpleString()}>, "
+        + ", ".join(f"{name} binary" for name in _NUMBERS),
     )
 
 
@@ -345,6 +348,13 @@ class _Best:
             self.floor[q] = max(self.floor[q], -rows[self.k - 1][0])
 
 
+def unpack(batch: pa.RecordBatch, i: int) -> dict:
+    """A row of the index as arrays of numbers."""
+    row = {name: batch.column(name)[i].as_py() for name in ("docs", *_NUMBERS)}
+    row["peaks"] = zlib.decompress(row["peaks"])
+    return row | {name: np.frombuffer(row[name], np.int32) for name in _NUMBERS}
+
+
 class Opened:
     """What a search looked at; for tests and reports."""
 
@@ -355,15 +365,12 @@ class Opened:
 def search_shard(row: dict, queries: _Queries, best: _Best, seen: Opened) -> None:
     """Open the blocks of one shard whose bound reaches the floor, and score their documents."""
     docs = row["docs"]
-    starts = np.asarray(row["starts"])
-    place = np.repeat(np.arange(len(docs)), np.diff(starts))
-    dense = _dense(
-        len(docs), len(queries.vocabulary), place, np.asarray(row["terms"]), np.asarray(row["impacts"])
-    )
+    place = np.repeat(np.arange(len(docs)), np.diff(row["starts"]))
+    dense = _dense(len(docs), len(queries.vocabulary), place, row["terms"], row["impacts"])
     wanted = np.zeros((len(queries.ids), len(docs)), bool)
-    sizes, members, peaks = (np.asarray(row[c]) for c in ("sizes", "members", "peaks"))
+    sizes, members, peaks = row["sizes"], row["members"], row["peaks"]
     at = block = doc = 0
-    for term, blocks in zip(row["lists"], row["blocks"]):
+    for term, blocks in zip(row["lists"].tolist(), row["blocks"].tolist()):
         askers, coordinates, weights = queries.lists[term]
         n = blocks * len(coordinates)
         bounds = peaks[at : at + n].reshape(blocks, -1).astype(np.int64) @ weights
@@ -391,14 +398,7 @@ def _search(index: DataFrame, queries: _Queries, k: int) -> DataFrame:
         best, seen = _Best(queries.floor, k), Opened()
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {
-                    name: batch.column(name)[i].values.to_numpy(zero_copy_only=False)
-                    for name in ("starts", "terms", "impacts", "lists", "blocks", "sizes", "members",
-                                 "peaks")
-                }
-                row |= {"docs": batch.column("docs")[i].as_py()}
-                row |= {name: row[name].tolist() for name in ("lists", "blocks")}
-                search_shard(row, queries, best, seen)
+                search_shard(unpack(batch, i), queries, best, seen)
         found = [(queries.ids[q], x[2], -x[0]) for q, rows in enumerate(best.rows) for x in rows]
         query, doc, score = zip(*found) if found else ((), (), ())
         yield pa.RecordBatch.from_arrays(
@@ -424,7 +424,7 @@ def _search_set(docs: DataFrame, queries: _Queries, k: int, scratch: Scratch) ->
     )
     _first_floors(forward, queries, k)
     queries.choose_lists()
-    index = scratch.put(_index(forward, queries))
+    index = scratch.put(_index(forward, queries), **_ROW_GROUPS)
     scratch.drop(forward)
     found = scratch.put(_search(index, queries, k))
     scratch.drop(index)

@@ -3,7 +3,6 @@ import random
 import re
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -154,21 +153,21 @@ def test_blocks_are_skipped_and_bounds_hold():
             [[c[t] for t in c if t in numbers] for c in counts], pa.list_(pa.int64())
         ),
     })
-    shard = ranked.make_shard(queries, pa.int64())(table).to_pylist()[0]
+    shard = ranked.unpack(ranked.make_shard(queries, pa.int64())(table), 0)
     at = doc = 0
-    sizes = iter(shard["sizes"])
-    for term, blocks in zip(shard["lists"], shard["blocks"]):
+    sizes = iter(shard["sizes"].tolist())
+    for term, blocks in zip(shard["lists"].tolist(), shard["blocks"].tolist()):
         coordinates = queries.lists[term][1].tolist()
         seen = []
         for _ in range(blocks):
-            peaks = shard["peaks"][at : at + len(coordinates)]
-            members = shard["members"][doc : doc + next(sizes)]
+            peaks = shard["peaks"][at : at + len(coordinates)].tolist()
+            members = shard["members"][doc : doc + next(sizes)].tolist()
             at, doc, seen = at + len(coordinates), doc + len(members), seen + members
             for c, top in zip(coordinates, peaks):
                 assert top == max(vectors[d].get(c, 0) for d in members)
         assert sorted(seen) == [i for i, v in enumerate(vectors) if term in v]
     best, found = ranked._Best(queries.floor, 20), Opened()
-    ranked.search_shard({k: np.array(v) if k != "docs" else v for k, v in shard.items()}, queries, best, found)
+    ranked.search_shard(shard, queries, best, found)
     for q, rows_ in enumerate(best.rows):
         assert [-x[0] for x in rows_] == exact[q][:20]
     assert found.open < found.blocks / 2
