@@ -37,3 +37,19 @@ def matrix_of(column: pa.Array | pa.ChunkedArray, size: int | None = None) -> np
     if column.null_count or (lengths != size).any():
         raise ValueError(f"a vector is NULL or has not {size} entries, as others have")
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+
+
+def unit_rows(matrix: np.ndarray) -> np.ndarray:
+    """Rows of unit length in double precision; zero rows stay as they are."""
+    length = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return matrix / np.where(length == 0, 1.0, length)
+
+
+def best_columns(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, column)`` of the k greatest scores of each row; of equal ones the first columns."""
+    if scores.shape[1] <= k:
+        return tuple(x.ravel() for x in np.indices(scores.shape))
+    kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k, None]
+    above, equal = scores > kth, scores == kth
+    missing = k - above.sum(axis=1, keepdims=True)
+    return np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= missing)))

@@ -1,47 +1,63 @@
 """Rank reference vector sets for every query vector set.
 
-Scores that compare vectors need every query vector against every reference
-vector. The two sides are cut into tiles of bounded size, each pair of tiles is one
-matrix product in one task, and only what the ranking needs leaves the task: the k
-best devices per query and tile, or the number of devices ahead of the expected
-one. A label with more rows than a tile is spread over as many tiles as it needs;
-for such labels alone partial scores leave the task and are merged.
+MaxSim compares every vector of a query with every vector of a reference. Each side is a table
+of distinct vectors and a table of who holds which, so that a vector that many labels hold is
+compared once per task. Both are cut into parts of bounded size, *blocks* of queries and *tiles*
+of references; a block and a tile meet in one task, and only what the ranking needs leaves it.
+
+Tiles hold labels that lie near each other. For each tile the table knows, per ball of vectors,
+how near to its centre and how far from it the tile's members lie, which bounds every score that
+a query can reach in the tile. A query first meets the tile with its best bound. The k-th best
+score found there is a floor, and after that it meets only tiles whose bound reaches the floor.
+For the rank of the expected label, that label's own score is the floor. Results are those of
+comparing everything.
+
+A label with more vectors than a tile takes tiles of its own, and its partial scores are merged.
 """
 
 from __future__ import annotations
 
+import copy
 from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from spoor.functions.numbers import ratio
-from spoor.functions.vectors import l2_normalise, matrix_of
+from spoor.functions.vectors import best_columns, matrix_of, unit_rows
+from spoor.operators import balls
 from spoor.operators.pooling import mean_vectors
-from spoor.operators.ranking import is_ahead, order_score, top_k
+from spoor.operators.ranking import is_ahead, name_positions, order_score, top_k
 from spoor.session import ship_package, stored
 
-# Rows of one tile side; 16,384 vectors of 1,024 doubles are 128 MB.
+# Rows of one tile; its distinct vectors are at most as many.
 TILE_ROWS = 16_384
-# A block of queries has at least this many rows, if there are as many.
-MIN_BLOCK_ROWS = 1_024
-# Queries make at least this many blocks, if those are not smaller.
-LEAST_BLOCKS = 64
+# Bytes that the vectors of a tile may take in double precision.
+TILE_BYTES = 64 << 20
+# Rows of a block of queries.
+BLOCK_ROWS = 4_096
 MAX_TASKS = 20_000
-# Query rows per matrix product inside a tile.
-STEP_ROWS = 128
+# Queries scored at a time, and query vectors per matrix product.
+STEP_QUERIES = 512
+STEP_ROWS = 256
+# Parts of balls in one task of the bounds.
+SUMMARY_ROWS = 50_000
 # Scores closer than this tie, so that the name decides (see order_score).
 ORDER_DIGITS = 9
+# A bound this much below a floor closes a tile.
+SLACK = 1e-7
 
-METHODS = ("jaccard", "exact_hit_count", "mean_pool", "maxsim")
 VECTOR_METHODS = ("mean_pool", "maxsim")
+# More than the parts of any label.
+_PARTS = 1_000_000
 
 PARTS = pa.schema(
     [
@@ -56,75 +72,94 @@ PARTS = pa.schema(
     ]
 )
 PARTS_SCHEMA = from_arrow_schema(PARTS)
+OPENED_SCHEMA = "query string, unit long, bound double"
 
 
-# ---------------------------------------------------------------- tiles
+# ---------------------------------------------------------------- tables
 
 
-def _order(score: Column) -> Column:
-    """Sums of vectors may differ in the last digits, set scores are exact."""
-    return F.when(F.col("method").isin(*VECTOR_METHODS), order_score(score)).otherwise(score)
+def _distinct_vectors(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``(*keys, vid, copies)`` and ``(vid, embedding)``; equal vectors have one ``vid``.
 
+    Vectors are told apart by 128 bits of hashes, so that no vector is sorted or shuffled as a
+    key.
+    """
+    marks = {"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(1), "embedding")}
+    # New column identities: both sides may come from one bank.
+    hashed = df.toDF(*df.columns).withColumns(marks)
+    vectors = stored(
+        hashed.groupBy("h1", "h2").agg(F.any_value("embedding").alias("embedding"))
+        .withColumn("vid", F.monotonically_increasing_id())
+    )
+    rows = hashed.groupBy(*keys, "h1", "h2").agg(F.count(F.lit(1)).alias("copies"))
+    rows = rows.join(vectors.select("h1", "h2", "vid"), ["h1", "h2"]).drop("h1", "h2")
+    return stored(rows), vectors.select("vid", "embedding")
 
-def _tile_count(rows: int, tile_rows: int) -> int:
-    return max(1, -(-rows // tile_rows))
 
+def _with_columns(df: DataFrame, **kinds: str) -> DataFrame:
+    missing = {n: F.lit(None).cast(k) for n, k in kinds.items() if n not in df.columns}
+    return df.withColumns(missing)
 
-def _spread(
-    df: DataFrame, label: str, tile_rows: int, tiles: int, split: bool = True
-) -> DataFrame:
-    """Adds ``tile``, ``spans`` (tiles the label takes) and ``whole``.
 
-    A label keeps to one tile unless it has more rows than a tile, and always without
-    ``split``.
-    """
-    if tiles == 1:
-        return df.withColumns(
-            {"tile": F.lit(0), "spans": F.lit(1), "whole": F.lit(True)}
-        )
-    if not split:
-        tile = F.pmod(F.xxhash64(label), F.lit(tiles)).cast("int")
-        return df.withColumns({"tile": tile, "spans": F.lit(1), "whole": F.lit(True)})
-    large = (
-        df.groupBy(label)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > tile_rows)
-        .select(label, F.ceil(F.col("n") / tile_rows).cast("int").alias("spans"))
-    )
-    marked = df.join(large, label, "left").withColumn(
-        "spans", F.coalesce("spans", F.lit(1))
-    )
-    # Rows of one text stay together, so that texts are counted once.
-    salt = F.pmod(F.xxhash64(F.coalesce("text", F.col("row_id").cast("string"))), F.col("spans"))
-    return marked.withColumns(
-        {
-            "tile": F.pmod(F.xxhash64(label) + salt, F.lit(tiles)).cast("int"),
-            "whole": F.col("spans") == 1,
-        }
-    )
+class _Placed:
+    """Rows of one side with ``unit`` and ``part``: what is read together, and its pieces.
 
+    Labels near each other share a unit; a label with more rows than fit has a unit of its own,
+    in ``parts`` pieces (only with ``split``).
+    """
 
-def _queries(df: DataFrame) -> DataFrame:
-    """One row per distinct vector of a query, with its number of copies."""
-    keys = ["query", "expected", "text", "unseen", "embedding"]
-    # New column identities: both sides may come from one bank.
-    filled = df.toDF(*df.columns)
-    for name, kind in (("text", "string"), ("unseen", "boolean")):
-        if name not in df.columns:
-            filled = filled.withColumn(name, F.lit(None).cast(kind))
-    grouped = filled.groupBy(*keys).agg(
-        F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("copies")
-    )
-    return grouped.withColumn("embedding", l2_normalise(F.col("embedding")))
+    def __init__(self, rows, vectors, label, size, centres, split):
+        self.rows, self.vectors, self.label = rows, vectors, label
+        count = rows.count()
+        if count <= size:
+            one = {"unit": F.lit(0).cast("long"), "part": F.lit(0), "whole": F.lit(True)}
+            self.rows, self.units = rows.withColumns(one), 1 if count else 0
+            return
+        self.balls = stored(balls.assign(vectors, centres))
+        per_ball = rows.join(self.balls, "vid").groupBy(label, "ball").agg(
+            F.count(F.lit(1)).alias("n")
+        )
+        # The ball that holds most of a label.
+        labels = stored(per_ball.groupBy(label).agg(
+            F.sum("n").alias("n"), F.max_by("ball", F.struct("n", -F.col("ball"))).alias("ball")
+        ))
+        fits = (F.col("n") <= size) if split else F.lit(True)
+        held = labels.filter(fits).groupBy("ball").agg(F.sum("n")).collect()  # one row per ball
+        groups, near = balls.group_balls(
+            {r[0]: r[1] for r in held}, balls.along_a_tour(centres), size
+        )
+        pairs = [F.lit(x) for ball, found in groups.items() for x in (ball, found[0])]
+        first = F.create_map(*pairs)[F.col("ball")]
+        pairs = [F.lit(x) for ball, found in groups.items() for x in (ball, found[1])]
+        among = F.pmod(F.xxhash64(label), F.create_map(*pairs)[F.col("ball")])
+        shared = labels.filter(fits).select(
+            label, (first + among).cast("long").alias("unit"), F.lit(1).alias("parts")
+        )
+        large = labels.filter(~fits)
+        count_large = large.count() if split else 0
+        if count_large:
+            shared = shared.unionByName(large.join(name_positions(large, label), label).select(
+                label, (F.col("position") + near).alias("unit"),
+                F.ceil(F.col("n") / size).cast("int").alias("parts"),
+            ))
+        self.units = near + count_large
+        # Rows of one text stay together, so that texts are taken out together.
+        salt = F.pmod(F.xxhash64(F.coalesce("text", F.col("vid").cast("string"))), F.col("parts"))
+        self.rows = stored(
+            rows.join(shared, label)
+            .withColumns({"part": salt.cast("int"), "whole": F.col("parts") == 1}).drop("parts")
+        )
 
+    def with_vectors(self, rows: DataFrame, *place: str) -> DataFrame:
+        """``rows`` and, once for each place, the vectors that its rows hold."""
+        needed = rows.select(*place, "vid").distinct().join(self.vectors, "vid")
+        return rows.unionByName(needed, allowMissingColumns=True)
 
-def _references(df: DataFrame) -> DataFrame:
-    keys = ["device", "text", "embedding"]
-    filled = df if "text" in df.columns else df.withColumn("text", F.lit(None).cast("string"))
-    grouped = filled.groupBy(*keys).agg(
-        F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("copies")
-    )
-    return grouped.withColumn("embedding", l2_normalise(F.col("embedding")))
+    def summary(self) -> DataFrame:
+        """``(unit, ball, low, high)``: angles between the unit's vectors and the ball's centre."""
+        return self.rows.join(self.balls, "vid").groupBy("unit", "ball").agg(
+            F.min("angle").alias("low"), F.max("angle").alias("high")
+        )
 
 
 # ---------------------------------------------------------------- kernel
@@ -138,187 +173,268 @@ def _starts(labels: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, labels[1:] != labels[:-1]])
 
 
-class _Tile:
-    """The reference side of a tile, devices in name order."""
+def _split_off_vectors(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """The rows of labels, the number of each row's vector, and the unit vectors."""
+    is_vector = rows["copies"].combine_chunks().is_null()
+    vectors, labelled = rows.filter(is_vector), rows.filter(pa.compute.invert(is_vector))
+    vids = vectors["vid"].to_numpy()
+    order = np.argsort(vids)
+    at = np.searchsorted(vids[order], labelled["vid"].to_numpy())
+    units = unit_rows(matrix_of(vectors["embedding"]))[order]
+    return labelled.drop_columns("embedding"), at, units
 
-    def __init__(self, rows: pa.Table, methods: Sequence[str]):
-        rows = rows.sort_by("device")
-        labels = _names(rows, "device")
+
+class _Tile:
+    """The reference side of a task, devices in name order."""
+
+    def __init__(self, rows: pa.Table, masked: bool):
+        labelled, at, self.units = _split_off_vectors(rows)
+        labels = _names(labelled, "device")
+        order = np.argsort(labels, kind="stable")
+        labels = labels[order]
+        self.vector = at[order]
         self.starts = _starts(labels)
+        self.ends = np.r_[self.starts[1:], len(labels)]
         self.devices = labels[self.starts]
-        self.whole = rows["whole"].to_numpy()[self.starts]
-        lengths = np.diff(np.r_[self.starts, len(labels)])
-        self.column_device = np.repeat(np.arange(len(self.starts)), lengths)
-        self.matrix = matrix_of(rows["embedding"])
-        columns_of = defaultdict(list)
-        for column, text in enumerate(rows["text"].to_pylist()):
-            if text is not None:
-                columns_of[text].append(column)
-        self.columns_of = {text: np.array(at) for text, at in columns_of.items()}
-        if "mean_pool" in methods:
-            self.copies = rows["copies"].to_numpy().astype(np.float64)
-            self.weighted = self.matrix * self.copies[:, None]
-            self.sums = np.add.reduceat(self.weighted, self.starts, axis=0)
-            self.counts = np.add.reduceat(self.copies, self.starts)
-        if "jaccard" in methods or "exact_hit_count" in methods:
-            self.devices_of = {
-                text: np.unique(self.column_device[at]) for text, at in self.columns_of.items()
-            }
-            self.sizes = np.zeros(len(self.starts))
-            for at in self.devices_of.values():
-                self.sizes[at] += 1
-
-
-class _Products:
-    """Similarities of consecutive query rows with the whole tile, a step at a time."""
-
-    def __init__(self, vectors: np.ndarray, tile: _Tile):
-        self.vectors, self.tile = vectors, tile
-        self.start = self.end = 0
-        self.block = None
-
-    def rows(self, start: int, end: int) -> np.ndarray:
-        if self.block is None or start < self.start or end > self.end:
-            self.start, self.end = start, min(start + STEP_ROWS, len(self.vectors))
-            self.block = self.vectors[self.start : self.end] @ self.tile.matrix.T
-        return self.block[start - self.start : end - self.start]
-
-
-class _Query:
-    """One query: its rows ``start:end`` of the block, and what it takes out of the tile."""
-
-    def __init__(self, rows: pa.Table, start: int, end: int, tile: _Tile):
-        self.first = rows.slice(0, 1).drop_columns("embedding").to_pylist()[0]
-        self.name, self.expected = self.first["query"], self.first["expected"]
-        self.whole, self.start, self.end = self.first["whole"], start, end
-        self.row_ids = rows["row_id"].to_pylist()
-        self.copies = rows["copies"].to_numpy().astype(np.float64)
-        texts, unseen = rows["text"].to_pylist(), rows["unseen"].to_pylist()
-        self.texts = {t for t in texts if t is not None}
-        self.removed = {t for t, out in zip(texts, unseen) if out and t is not None}
-        gone = [tile.columns_of[t] for t in self.removed if t in tile.columns_of]
-        self.gone = np.concatenate(gone) if gone else np.empty(0, dtype=np.int64)
-
-
-@dataclass
-class _Scored:
-    """Scores of one query against the devices of one tile."""
-
-    method: str
-    score: np.ndarray  # per device, final for whole devices of a whole query
-    split_best: np.ndarray | None = None  # maxsim: query rows x split devices, NaN if emptied
-    acc: np.ndarray | None = None  # additive parts per device
-
-
-def _maxsim(query: _Query, products: _Products, tile: _Tile) -> _Scored:
-    total, split_best = np.zeros(len(tile.starts)), []
-    for start in range(query.start, query.end, STEP_ROWS):
-        end = min(start + STEP_ROWS, query.end)
-        sims = products.rows(start, end)
-        if len(query.gone):
-            sims = sims.copy()
-            sims[:, query.gone] = -np.inf
-        best = np.maximum.reduceat(sims, tile.starts, axis=1)
-        best[np.isneginf(best)] = np.nan
-        total += query.copies[start - query.start : end - query.start] @ best
-        split_best.append(best[:, ~tile.whole])
-    score = np.nan_to_num(total / query.copies.sum(), nan=0.0)
-    return _Scored("maxsim", score, split_best=np.concatenate(split_best))
-
-
-def _set_scores(query: _Query, tile: _Tile) -> list[_Scored]:
-    hits, sizes = np.zeros(len(tile.starts)), tile.sizes.copy()
-    for text in query.texts:
-        at = tile.devices_of.get(text)
-        if at is not None and text in query.removed:
-            sizes[at] -= 1
-        elif at is not None:
-            hits[at] += 1
-    union = len(query.texts) + sizes - hits
-    share = np.divide(hits, union, out=np.zeros_like(hits), where=union > 0)
-    parts = np.column_stack([hits, sizes])
-    return [_Scored("jaccard", share, acc=parts), _Scored("exact_hit_count", hits, acc=parts)]
-
-
-def _mean_pool(query: _Query, vectors: np.ndarray, tile: _Tile) -> _Scored:
-    mean = query.copies @ vectors[query.start : query.end] / query.copies.sum()
-    length = np.linalg.norm(mean)
-    mean = mean / length if length else mean
-    sums = tile.sums
-    if len(query.gone):
-        sums, counts = sums.copy(), tile.counts.copy()
-        at = tile.column_device[query.gone]
-        np.subtract.at(sums, at, tile.weighted[query.gone])
-        np.subtract.at(counts, at, tile.copies[query.gone])
-        sums[counts == 0] = 0.0
-    lengths = np.linalg.norm(sums, axis=1)
-    dots = sums @ mean
-    score = np.divide(dots, lengths, out=np.zeros_like(dots), where=lengths > 0)
-    return _Scored("mean_pool", score, acc=np.column_stack([dots, sums]))
+        self.device = np.repeat(np.arange(len(self.starts)), self.ends - self.starts)
+        self.whole = labelled["whole"].to_numpy(zero_copy_only=False)[order][self.starts]
+        self.copies = labelled["copies"].to_numpy()[order].astype(np.float64)
+        self.rows_of: dict[str, np.ndarray] = {}
+        if masked:
+            listed = defaultdict(list)
+            for row, text in enumerate(_names(labelled, "text")[order]):
+                if text is not None:
+                    listed[text].append(row)
+            self.rows_of = {text: np.array(at) for text, at in listed.items()}
+
+    @cached_property
+    def sums(self) -> np.ndarray:
+        """Sums of the vectors of each device."""
+        return np.add.reduceat(self.units[self.vector] * self.copies[:, None], self.starts, axis=0)
+
+    @cached_property
+    def lengths(self) -> np.ndarray:
+        return np.linalg.norm(self.sums, axis=1)
+
+    @cached_property
+    def counts(self) -> np.ndarray:
+        return np.add.reduceat(self.copies, self.starts)
+
+
+class _Block:
+    """The query side of a task: a row per query, its vectors and what it takes out."""
+
+    def __init__(self, rows: pa.Table, tile: _Tile | None):
+        labelled, at, self.units = _split_off_vectors(rows)
+        order = np.argsort(_names(labelled, "query"), kind="stable")
+        labelled, self.vector = labelled.take(pa.array(order)), at[order]
+        labels = _names(labelled, "query")
+        self.starts = _starts(labels)
+        self.ends = np.r_[self.starts[1:], len(labels)]
+        first = labelled.take(pa.array(self.starts))
+        self.first, self.names = first, labels[self.starts]
+        self.expected = _names(first, "expected")
+        self.whole = first["whole"].to_numpy(zero_copy_only=False)
+        self.copies = labelled["copies"].to_numpy().astype(np.float64)
+        self.total = np.add.reduceat(self.copies, self.starts)
+        self.vid_of = np.zeros(len(self.units), np.int64)
+        self.vid_of[self.vector] = labelled["vid"].to_numpy()
+        # Rows of the tile that each query takes out.
+        self.gone: dict[int, np.ndarray] = {}
+        if tile is not None and tile.rows_of:
+            out = labelled["unseen"].to_pylist()
+            texts = labelled["text"].to_pylist()
+            for q, (a, b) in enumerate(zip(self.starts.tolist(), self.ends.tolist())):
+                gone = {t for t, x in zip(texts[a:b], out[a:b]) if x and t in tile.rows_of}
+                if gone:
+                    self.gone[q] = np.concatenate([tile.rows_of[t] for t in gone])
+
+    def held(self, q: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct vectors of a query and how often it has each."""
+        own = slice(self.starts[q], self.ends[q])
+        held, column = np.unique(self.vector[own], return_inverse=True)
+        return held, np.bincount(column, self.copies[own])
+
+    def steps(self):
+        """Runs of queries with the vectors they hold and each query's weights of them."""
+        for a in range(0, len(self.starts), STEP_QUERIES):
+            b = min(a + STEP_QUERIES, len(self.starts))
+            rows = slice(self.starts[a], self.ends[b - 1])
+            held, column = np.unique(self.vector[rows], return_inverse=True)
+            query = np.repeat(np.arange(b - a), self.ends[a:b] - self.starts[a:b])
+            weights = np.zeros((b - a, len(held)))
+            np.add.at(weights, (query, column), self.copies[rows])
+            yield a, b, self.units[held], weights
+
+
+def _maxsim(block: _Block, tile: _Tile, a: int, b: int, units, weights) -> np.ndarray:
+    """Scores of the queries ``a:b`` against the devices of the tile."""
+    total = np.zeros((b - a, len(tile.starts)))
+    for at in range(0, len(units), STEP_ROWS):
+        products = units[at : at + STEP_ROWS] @ tile.units.T
+        best = np.maximum.reduceat(products[:, tile.vector], tile.starts, axis=1)
+        total += weights[:, at : at + STEP_ROWS] @ best
+    for q in range(a, b):
+        if q in block.gone:
+            _take_out(block, tile, q, total[q - a])
+    return total / block.total[a:b, None]
+
+
+def _rows_of(tile: _Tile, devices: np.ndarray, gone: np.ndarray):
+    """Rows that some devices keep, and the place of each row's device among them."""
+    lengths = tile.ends[devices] - tile.starts[devices]
+    rows = np.repeat(tile.ends[devices] - np.cumsum(lengths), lengths) + np.arange(lengths.sum())
+    keep = ~np.isin(rows, gone)
+    return rows[keep], np.repeat(np.arange(len(devices)), lengths)[keep]
+
+
+def _take_out(block: _Block, tile: _Tile, q: int, totals: np.ndarray) -> None:
+    """Totals anew for the devices that hold a row which the query takes out, and only those."""
+    gone = block.gone[q]
+    devices = np.unique(tile.device[gone])
+    rows, place = _rows_of(tile, devices, gone)
+    totals[devices] = 0.0
+    if not len(rows):
+        return
+    first, kept = _starts(place), tile.units[tile.vector[rows]]
+    held, weights = block.held(q)
+    for at in range(0, len(held), STEP_ROWS):
+        products = block.units[held[at : at + STEP_ROWS]] @ kept.T
+        best = np.maximum.reduceat(products, first, axis=1)
+        totals[devices[place[first]]] += weights[at : at + STEP_ROWS] @ best
+
+
+def _mean_pool(block: _Block, tile: _Tile, a: int, b: int, units, weights) -> np.ndarray:
+    means = unit_rows(weights @ units)
+    dots = means @ tile.sums.T
+    lengths = tile.lengths
+    scores = np.divide(dots, lengths, out=np.zeros_like(dots), where=lengths > 0)
+    for q in range(a, b):
+        if q not in block.gone:
+            continue
+        # Sums anew for the devices that lose a row, and only those.
+        devices, sums = _sums_without(block, tile, q)
+        length = np.linalg.norm(sums, axis=1)
+        dot = sums @ means[q - a]
+        scores[q - a, devices] = np.divide(dot, length, out=np.zeros_like(dot), where=length > 0)
+    return scores
+
+
+def _sums_without(block: _Block, tile: _Tile, q: int) -> tuple[np.ndarray, np.ndarray]:
+    gone = block.gone.get(q, np.empty(0, np.int64))
+    devices, place = np.unique(tile.device[gone], return_inverse=True)
+    sums, counts = tile.sums[devices], tile.counts[devices]
+    np.subtract.at(sums, place, tile.units[tile.vector[gone]] * tile.copies[gone, None])
+    np.subtract.at(counts, place, tile.copies[gone])
+    sums[counts == 0] = 0.0
+    return devices, sums
 
 
 class _Rows:
     """Collects output rows by column."""
 
     def __init__(self):
-        self.columns = {name: [] for name in PARTS.names}
-
-    def add(self, query, method, device, part=None, best=None, weight=None, acc=None,
-            counted=False):
-        row = (query, method, device, part, best, weight, acc, counted)
-        for values, value in zip(self.columns.values(), row):
-            values.append(value)
+        self.parts: list[pa.Table] = []
+
+    def add(self, n: int, **columns) -> None:
+        if n:
+            out = []
+            for field in PARTS:
+                values = columns.get(field.name)
+                if isinstance(values, np.ndarray):
+                    out.append(pa.array(values, field.type))
+                elif isinstance(values, list):
+                    out.append(pa.array(values, field.type))
+                else:
+                    out.append(pa.array([values] * n, field.type))
+            self.parts.append(pa.table(out, schema=PARTS))
 
     def table(self) -> pa.Table:
-        return pa.table(self.columns, schema=PARTS)
-
-
-def _emit_parts(out: _Rows, query: _Query, item: _Scored, tile: _Tile, at, key) -> None:
-    """Partial scores of the devices ``at``, to be merged across tiles."""
-    tile_id, block_id = key
-    split_column = np.cumsum(~tile.whole) - 1
-    for d in at:
-        device = tile.devices[d]
-        if item.method != "maxsim":
-            out.add(query.name, item.method, device, part=tile_id,
-                    weight=float(len(query.texts)), acc=item.acc[d].tolist())
-        elif tile.whole[d]:
-            out.add(query.name, item.method, device, part=-1 - block_id,
-                    best=float(item.score[d]), weight=float(query.copies.sum()))
-        else:
-            best = item.split_best[:, split_column[d]]
-            for row_id, weight, value in zip(query.row_ids, query.copies, best):
-                out.add(query.name, item.method, device, part=row_id,
-                        best=None if np.isnan(value) else float(value), weight=float(weight))
+        return pa.concat_tables(self.parts) if self.parts else PARTS.empty_table()
+
+
+def _best_by_row(block: _Block, tile: _Tile, q: int, held, devices: np.ndarray) -> np.ndarray:
+    """Best product of each vector of a query with each of some devices; NaN where none is left."""
+    rows, place = _rows_of(tile, devices, block.gone.get(q, np.empty(0, np.int64)))
+    best = np.full((len(held), len(devices)), np.nan)
+    if len(rows):
+        first, kept = _starts(place), tile.units[tile.vector[rows]]
+        for at in range(0, len(held), STEP_ROWS):
+            products = block.units[held[at : at + STEP_ROWS]] @ kept.T
+            best[at : at + STEP_ROWS, place[first]] = np.maximum.reduceat(products, first, axis=1)
+    return best
+
+
+def _emit_parts(out: _Rows, block: _Block, tile: _Tile, method: str, q: int, at, scores, key):
+    """Partial scores of a query and the devices ``at``, to be merged across tasks."""
+    name, whole = block.names[q], tile.whole[at]
+    if method == "mean_pool":
+        held, weights = block.held(q)
+        mean = unit_rows((weights @ block.units[held])[None])[0]
+        touched, corrected = _sums_without(block, tile, q)
+        sums = tile.sums[at]
+        for d, row in zip(touched, corrected):
+            sums[at == d] = row
+        acc = [[float(x @ mean), *x.tolist()] for x in sums]
+        out.add(len(at), query=name, method=method, device=tile.devices[at], part=key[1], acc=acc)
+        return
+    done = at[whole]
+    out.add(len(done), query=name, method=method, device=tile.devices[done], part=-1 - key[0],
+            best=scores[done], weight=block.total[q])
+    rest = at[~whole]
+    if len(rest):
+        held, weights = block.held(q)
+        best = _best_by_row(block, tile, q, held, rest)
+        out.add(
+            best.size, query=name, method=method, device=np.repeat(tile.devices[rest], len(held)),
+            part=np.tile(block.vid_of[held], len(rest)),
+            best=[None if np.isnan(x) else float(x) for x in best.T.ravel()],
+            weight=np.tile(weights, len(rest)),
+        )
 
 
-def _emit(out: _Rows, query: _Query, item: _Scored, tile: _Tile, mode: str, k: int, key) -> None:
+def _emit(out: _Rows, block, tile, method, mode, k, a, b, scores, key) -> None:
     if mode == "own":
-        at = int(np.searchsorted(tile.devices, query.expected)) if query.expected else 0
-        here = at < len(tile.devices) and tile.devices[at] == query.expected
-        _emit_parts(out, query, item, tile, [at] if here else [], key)
+        for q in range(a, b):
+            expected = block.expected[q]
+            if expected is None:
+                continue
+            at = int(np.searchsorted(tile.devices, expected))
+            if at < len(tile.devices) and tile.devices[at] == expected:
+                _emit_parts(out, block, tile, method, q, np.array([at]), scores[q - a], key)
         return
-    final = tile.whole & query.whole
-    _emit_parts(out, query, item, tile, np.flatnonzero(~final), key)
-    names, score = tile.devices[final], item.score[final]
-    order = np.round(score, ORDER_DIGITS) if item.method in VECTOR_METHODS else score
-    if mode == "top":
-        for d in np.argsort(-order, kind="stable")[:k]:
-            out.add(query.name, item.method, names[d], best=float(score[d]), weight=1.0,
-                    counted=True)
+    partial = np.flatnonzero(~tile.whole)
+    for q in range(a, b):
+        at = np.arange(len(tile.devices)) if not block.whole[q] else partial
+        if len(at):
+            _emit_parts(out, block, tile, method, q, at, scores[q - a], key)
+    rows = np.flatnonzero(block.whole[a:b])
+    final = np.flatnonzero(tile.whole)
+    if not len(rows) or not len(final):
         return
-    own = query.first["own_" + item.method]
-    if own is None:
+    names, found = tile.devices[final], scores[np.ix_(rows, final)]
+    order = np.round(found, ORDER_DIGITS)
+    if mode == "top":
+        row, column = best_columns(order, k)
+        out.add(len(row), query=block.names[a:b][rows[row]], method=method, device=names[column],
+                best=found[row, column], weight=1.0, counted=True)
         return
-    own = np.round(own, ORDER_DIGITS) if item.method in VECTOR_METHODS else own
-    ahead = (order > own) | ((order == own) & (names < query.expected))
-    if ahead.any():
-        out.add(query.name, item.method, None, part=key[0], best=float(ahead.sum()),
-                weight=1.0, counted=True)
+    own = np.round(block.first["own_" + method].to_numpy(zero_copy_only=False)[a:b][rows], ORDER_DIGITS)
+    before = np.array([
+        len(names) if e is None else int(np.searchsorted(names, e)) for e in block.expected[a:b][rows]
+    ])
+    tied = (order == own[:, None]) & (np.arange(len(names)) < before[:, None])
+    ahead = ((order > own[:, None]) | tied).sum(axis=1)  # a NULL score is ahead of none
+    hit = np.flatnonzero(ahead)
+    out.add(len(hit), query=block.names[a:b][rows[hit]], method=method, part=key[1],
+            best=ahead[hit].astype(np.float64), weight=1.0, counted=True)
 
 
-def _kernel(mode: str, methods: Sequence[str], k: int):
-    """Function for one pair of tiles.
+SCORERS = {"maxsim": _maxsim, "mean_pool": _mean_pool}
+
+
+def _kernel(mode: str, methods: Sequence[str], k: int, masked: bool):
+    """Function for one block and one tile.
 
     ``own``: parts of the score of each query's expected device. ``ahead``: number
     of devices ahead of it. ``top``: the k best devices.
@@ -328,56 +444,69 @@ def _kernel(mode: str, methods: Sequence[str], k: int):
         out = _Rows()
         if len(q) == 0 or len(r) == 0:
             return out.table()
-        key = tuple(part.as_py() for part in key)
-        tile = _Tile(r, methods)
-        q = q.sort_by([("query", "ascending"), ("row_id", "ascending")])
-        vectors = matrix_of(q["embedding"])
-        products = _Products(vectors, tile)
-        starts = _starts(_names(q, "query")).tolist()
-        for start, end in zip(starts, [*starts[1:], len(q)]):
-            query = _Query(q.slice(start, end - start), start, end, tile)
-            scored = []
-            if "maxsim" in methods:
-                scored.append(_maxsim(query, products, tile))
-            if "jaccard" in methods or "exact_hit_count" in methods:
-                scored += _set_scores(query, tile)
-            if "mean_pool" in methods:
-                scored.append(_mean_pool(query, vectors, tile))
-            for item in scored:
-                if item.method in methods:
-                    _emit(out, query, item, tile, mode, k, key)
+        block, unit, part = (x.as_py() for x in key)
+        key = (block, unit * _PARTS + part)
+        tile = _Tile(r, masked)
+        block = _Block(q, tile)
+        for a, b, units, weights in block.steps():
+            for method in methods:
+                scores = SCORERS[method](block, tile, a, b, units, weights)
+                _emit(out, block, tile, method, mode, k, a, b, scores, key)
         return out.table()
 
     return score_tiles
 
 
-# ---------------------------------------------------------------- plans
+def _bound_kernel(centres: np.ndarray, best_only: bool, masked: bool):
+    """Function for one block and the summaries of some units: bounds on maxsim.
 
+    Either the unit with the best bound of each query, or all that reach its ``floor``. Taking
+    rows out lowers scores, except that a device without rows scores zero.
+    """
+    schema = pa.schema([("query", pa.string()), ("unit", pa.int64()), ("bound", pa.float64())])
 
-def _merge_maxsim(parts: DataFrame) -> DataFrame:
-    """``_merge`` where maxsim is the only method: plain sums, no vectors."""
-    keys = ["query", "method", "device"]
-    product = F.coalesce(F.col("best") * F.col("weight"), F.lit(0.0))
-    merged = (
-        parts.groupBy(*keys, "part")
-        .agg(*[F.max(c).alias(c) for c in ("best", "weight", "counted")])
-        .groupBy(*keys)
-        .agg(
-            F.sum(product).alias("total"),
-            F.sum("weight").alias("weight"),
-            F.max("counted").alias("counted"),
-        )
-    )
-    total, weight = F.col("total"), F.col("weight")
-    score = F.when(F.col("device").isNull(), total).otherwise(ratio(total, weight))
-    return merged.select(*keys, score.alias("score"), "counted")
+    def bound_units(key, q: pa.Table, r: pa.Table) -> pa.Table:
+        if len(q) == 0 or len(r) == 0:
+            return schema.empty_table()
+        r = r.sort_by("unit")
+        unit = r["unit"].to_numpy()
+        starts = _starts(unit)
+        ball, low, high = (r[c].to_numpy() for c in ("ball", "low", "high"))
+        block, out = _Block(q, None), []
+        for a, b, units, weights in block.steps():
+            total = np.zeros((b - a, len(starts)))
+            for at in range(0, len(units), STEP_ROWS):
+                some = units[at : at + STEP_ROWS]
+                bounds = balls.upper_bounds(
+                    balls.angles(some, centres), ~some.any(axis=1), ball, low, high
+                )
+                best = np.maximum.reduceat(bounds, starts, axis=1)
+                total += weights[:, at : at + STEP_ROWS] @ best
+            total /= block.total[a:b, None]
+            if masked:
+                total = np.maximum(total, 0.0)
+            if best_only:
+                row, column = np.arange(b - a), np.argmax(total, axis=1)
+            else:
+                floor = block.first["floor"].to_numpy(zero_copy_only=False)[a:b]
+                row, column = np.nonzero(total >= floor[:, None] - SLACK)
+            out.append(pa.table(
+                [pa.array(block.names[a:b][row], pa.string()), pa.array(unit[starts][column]),
+                 pa.array(total[row, column])], schema=schema,
+            ))
+        return pa.concat_tables(out)
+
+    return bound_units
+
+
+# ---------------------------------------------------------------- plans
 
 
 def _merge(parts: DataFrame) -> DataFrame:
     """``(query, method, device, score, counted)`` from the rows of the kernel.
 
     maxsim: the best over the tiles of a device per query row, then the weighted
-    mean over rows. The other methods add up. A device without rows left scores 0.
+    mean over rows. Sums of vectors add up. A device without rows left scores 0.
     """
     keys = ["query", "method", "device"]
     best = parts.groupBy(*keys, "part").agg(
@@ -390,80 +519,186 @@ def _merge(parts: DataFrame) -> DataFrame:
     added = F.coalesce("acc", F.array(product, F.col("weight")))
     merged = best.groupBy(*keys).agg(
         vector_to_array(Summarizer.sum(array_to_vector(added))).alias("acc"),
-        F.max("weight").alias("weight"),
         F.max("counted").alias("counted"),
     )
     acc = F.col("acc")
     rest = F.slice(acc, F.lit(2), F.size(acc) - 1)
     length = F.sqrt(F.aggregate(rest, F.lit(0.0), lambda total, x: total + x * x))
-    union = F.col("weight") + acc[1] - acc[0]
-    score = (
-        F.when(F.col("counted") | (F.col("method") == "maxsim"), ratio(acc[0], acc[1]))
-        .when(F.col("method") == "jaccard", ratio(acc[0], union))
-        .when(F.col("method") == "exact_hit_count", acc[0])
-        .otherwise(ratio(acc[0], length))
-    )
+    score = F.when(
+        F.col("counted") | (F.col("method") == "maxsim"), ratio(acc[0], acc[1])
+    ).otherwise(ratio(acc[0], length))
     total = F.col("device").isNull()
     return merged.select(*keys, F.when(total, acc[0]).otherwise(score).alias("score"), "counted")
 
 
-class _Tiles:
-    def __init__(self, queries, references, methods, tile_rows, passes=1):
-        self.methods = methods
-        masked = "unseen" in queries.columns
-        ship_package(queries.sparkSession)
-        q, r = _queries(queries), _references(references)
-        if passes > 1:
-            q, r = stored(q), stored(r)
-            queries, references = q, r
-        n_q = queries.count()
-        block_rows = min(tile_rows, max(MIN_BLOCK_ROWS, n_q // LEAST_BLOCKS))
-        self.blocks = _tile_count(n_q, block_rows)
-        # Only maxsim adds up over the rows of a query, and only if the query takes nothing
-        # out of the references. Otherwise a query stays whole, however many rows it has: its
-        # products are made a step at a time.
-        split = set(methods) == {"maxsim"} and not masked
-        self.tiles = _tile_count(references.count(), tile_rows)
-        self.queries = _spread(q, "query", block_rows, self.blocks, split).withColumnRenamed(
-            "tile", "block"
+def _merge_maxsim(parts: DataFrame) -> DataFrame:
+    """``_merge`` where maxsim is the only method: plain sums, no vectors."""
+    keys = ["query", "method", "device"]
+    product = F.coalesce(F.col("best") * F.col("weight"), F.lit(0.0))
+    merged = (
+        parts.groupBy(*keys, "part")
+        .agg(*[F.max(c).alias(c) for c in ("best", "weight", "counted")])
+        .groupBy(*keys)
+        .agg(
+            F.sum(product).alias("total"),
+            F.sum("weight").alias("weight"),
+            F.max("counted").alias("counted"),
         )
-        self.references = _spread(r, "device", tile_rows, self.tiles)
+    )
+    total, weight = F.col("total"), F.col("weight")
+    score = F.when(F.col("device").isNull(), total).otherwise(ratio(total, weight))
+    return merged.select(*keys, score.alias("score"), "counted")
 
-    def _each(self, n: int, name: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
 
-    def _score(self, left: DataFrame, tile: str, mode: str, k: int = 0) -> DataFrame:
-        """Cogroup both sides by pair of tiles, as many tasks as pairs while those are few.
+@dataclass(frozen=True)
+class Pruning:
+    """How much a search looked at: pairs of a query and a unit of references."""
 
-        For the expected devices alone, a tile goes only to the blocks that ask for it.
-        """
-        if mode == "own":
-            wanted = left.select(tile, "block").distinct().toDF("tile", "block")
-            right = self.references.join(wanted, "tile")
-        else:
-            right = self.references.select("*", self._each(self.blocks, "block"))
-        tasks = min(self.tiles * self.blocks, MAX_TASKS)
-        merge = _merge_maxsim if set(self.methods) == {"maxsim"} else _merge
+    pairs: int
+    opened: int
+
+
+class DenseSearch:
+    """Queries against references, both made ready once.
+
+    ``queries (query, expected, row_id, embedding[, text, unseen])`` and
+    ``references (device, row_id, embedding[, text])``. Texts marked unseen in a
+    query are taken out of every device before that query is scored.
+    """
+
+    def __init__(
+        self, queries: DataFrame, references: DataFrame,
+        methods: Sequence[str] = ("maxsim",), tile_rows: int = TILE_ROWS,
+        block_rows: int = BLOCK_ROWS, prune: bool = True,
+    ):
+        self.methods = list(methods)
+        self.masked = "unseen" in queries.columns
+        ship_package(queries.sparkSession)
+        q = _with_columns(queries, text="string", unseen="boolean")
+        r = _with_columns(references, text="string")
+        if not self.masked:
+            none = F.lit(None).cast("string")
+            q, r = q.withColumn("text", none), r.withColumn("text", none)
+        q_rows, q_vectors = _distinct_vectors(q, ["query", "expected", "text", "unseen"])
+        r_rows, r_vectors = _distinct_vectors(r, ["device", "text"])
+        dim = r_vectors.agg(F.max(F.size("embedding"))).first()[0] or 1
+        tile_rows = max(1, min(tile_rows, TILE_BYTES // (8 * dim)))
+        block_rows = max(1, min(block_rows, tile_rows))
+        count = r_vectors.count()
+        self.centres = balls.fit_centres(r_vectors, count) if count else np.zeros((1, dim))
+        # Only maxsim adds up over the rows of a query, and only if the query takes nothing
+        # out of the references. Otherwise a query stays whole, however many rows it has.
+        split = self.methods == ["maxsim"] and not self.masked
+        self.tiles = _Placed(r_rows, r_vectors, "device", tile_rows, self.centres, True)
+        blocks = _Placed(q_rows, q_vectors, "query", block_rows, self.centres, split)
+        self.blocks = blocks
+        block = F.col("unit") * _PARTS + F.col("part")
+        self.rows = blocks.rows.withColumn("block", block).drop("unit", "part")
+        self.held = stored(self.tiles.with_vectors(self.tiles.rows, "unit", "part"))
+        self.places = stored(self.tiles.rows.select("unit", "part").distinct())
+        # One unit cannot be closed, and the bounds hold for maxsim.
+        self.prune = prune and self.methods == ["maxsim"] and self.tiles.units > 1
+        self.opened: list[DataFrame] = []
+
+    def _everywhere(self, rows: DataFrame) -> DataFrame:
+        last = F.lit(max(0, self.tiles.units - 1)).cast("long")
+        units = F.explode(F.sequence(F.lit(0).cast("long"), last))
+        return rows.select("query").distinct().withColumn("unit", units)
+
+    @cached_property
+    def _summary(self) -> tuple[int, DataFrame]:
+        """The bounds' summaries in chunks of whole units, and their number."""
+        summary = stored(self.tiles.summary())
+        chunks = max(1, -(-summary.count() // SUMMARY_ROWS))
+        return chunks, summary.withColumn(
+            "chunk", F.pmod(F.xxhash64("unit"), F.lit(chunks)).cast("int")
+        )
+
+    def _bounds(self, floors: DataFrame | None) -> DataFrame:
+        """``(query, unit)`` with the best bound, or those that reach the ``(query, floor)``."""
+        # A query whose rows are spread over several blocks has no bound of its own.
+        rows = self.rows.filter("whole")
+        rows = rows if floors is None else rows.join(floors, "query")
+        chunks, summary = self._summary
+        asked = rows.select("block").distinct().withColumn(
+            "chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
+        )
+        left = self.blocks.with_vectors(rows, "block").join(asked, "block")
+        right = summary.join(asked.select("block", "chunk").toDF("block", "chunk"), "chunk")
+        found = (
+            left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk"))
+            .applyInArrow(_bound_kernel(self.centres, floors is None, self.masked), OPENED_SCHEMA)
+        )
+        if floors is None:
+            best = Window.partitionBy("query").orderBy(F.col("bound").desc(), "unit")
+            found = found.withColumn("place", F.row_number().over(best)).filter("place = 1")
+        return found.select("query", "unit")
+
+    def _score(self, rows: DataFrame, opened: DataFrame, mode: str, k: int = 0) -> DataFrame:
+        """Every query against the units opened for it."""
+        meet = rows.join(opened, "query").join(self.places, "unit")
+        left = self.blocks.with_vectors(meet, "block", "unit", "part")
+        # New column identities, as both sides come from one table.
+        asked = meet.select("block", "unit", "part").distinct().toDF("block", "unit", "part")
+        right = self.held.join(asked, ["unit", "part"])
+        merge = _merge_maxsim if self.methods == ["maxsim"] else _merge
+        key = ["block", "unit", "part"]
+        # As many tasks as pairs of a block and a unit, while those are few.
+        tasks = max(1, min(self.blocks.units * self.tiles.units, MAX_TASKS))
         return merge(
-            left.repartition(tasks, tile, "block")
-            .groupBy(tile, "block")
-            .cogroup(right.repartition(tasks, "tile", "block").groupBy("tile", "block"))
-            .applyInArrow(_kernel(mode, self.methods, k), PARTS_SCHEMA)
+            left.repartition(tasks, *key).groupBy(*key)
+            .cogroup(right.repartition(tasks, *key).groupBy(*key))
+            .applyInArrow(_kernel(mode, self.methods, k, self.masked), PARTS_SCHEMA)
         )
 
-    def run(self, queries: DataFrame, mode: str, k: int = 0) -> DataFrame:
-        """Every block of queries against every tile of references."""
-        return self._score(queries.select("*", self._each(self.tiles, "tile")), "tile", mode, k)
+    def _open(self, pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs)
+        self.opened.append(pairs)
+        return pairs
+
+    def _several(self) -> list[DenseSearch]:
+        """One search per method where tiles can be closed for one and not for another."""
+        if len(self.methods) == 1 or self.tiles.units <= 1:
+            return []
+        found = []
+        for method in self.methods:
+            one = copy.copy(self)
+            one.methods, one.opened, one.prune = [method], [], method == "maxsim"
+            found.append(one)
+        return found
+
+    def topk(self, k: int = 5) -> DataFrame:
+        """``(query, method, device, score, rank)`` for the k best devices per query."""
+        def ranked(scored):
+            return top_k(scored, ["query", "method"], k, order_score(F.col("score")))
+
+        self.opened = []
+        if self._several():
+            found = [one.topk(k) for one in self._several()]
+            return reduce(DataFrame.unionByName, found)
+        if not self.prune:
+            opened = self._open(self._everywhere(self.rows))
+            return ranked(self._score(self.rows, opened, "top", k).drop("counted"))
+        first = self._open(
+            self._bounds(None).unionByName(self._everywhere(self.rows.filter("not whole")))
+        )
+        near = stored(ranked(self._score(self.rows, first, "top", k).drop("counted")))
+        kth = near.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"))
+        floors = self.rows.select("query").distinct().join(kth, "query", "left").select(
+            "query", F.when(F.col("n") >= k, F.col("low")).otherwise(-2.0).alias("floor")
+        )
+        rest = self._open(self._bounds(floors).join(first, ["query", "unit"], "left_anti"))
+        far = self._score(self.rows, rest, "top", k).drop("counted")
+        return ranked(near.drop("rank").unionByName(far))
 
     def own(self) -> DataFrame:
         """``(query, own_<method>...)``: score of each query's expected device.
 
         Queries meet only the tiles that hold their expected device.
         """
-        places = self.references.select(
-            F.col("device").alias("expected"), F.col("tile").alias("own_tile")
-        ).distinct()
-        scores = self._score(self.queries.join(places, "expected"), "own_tile", "own")
+        homes = self.tiles.rows.select(F.col("device").alias("expected"), "unit").distinct()
+        asked = self.rows.select("query", "expected").distinct().join(homes, "expected")
+        scores = self._score(self.rows, asked.select("query", "unit"), "own")
         return scores.groupBy("query").agg(
             *[
                 F.max(F.when(F.col("method") == m, F.col("score"))).alias("own_" + m)
@@ -471,6 +706,56 @@ class _Tiles:
             ]
         )
 
+    def ranks(self) -> DataFrame:
+        """``(query, expected, method, score, rank)`` of the expected device, from 1.
+
+        First the score of the expected device, then the number of devices ahead of it.
+        Score and rank are NULL for an unknown device.
+        """
+        self.opened = []
+        if self._several():
+            return reduce(DataFrame.unionByName, [one.ranks() for one in self._several()])
+        own = stored(self.own())
+        rows = self.rows.join(own, "query")  # those with an unknown device have no rank
+        if self.prune:
+            floors = own.select("query", F.col("own_maxsim").alias("floor"))
+            spread = self._everywhere(rows.filter("not whole"))
+            opened = self._open(self._bounds(floors).unionByName(spread))
+        else:
+            opened = self._open(self._everywhere(rows))
+        parts = self._score(rows, opened, "ahead")
+        stacked = ", ".join(f"'{m}', own_{m}" for m in self.methods)
+        expected = (
+            self.rows.select("query", "expected").distinct().join(own, "query", "left")
+            .selectExpr("query", "expected", f"stack({len(self.methods)}, {stacked}) as (method, own)")
+        )
+        better = is_ahead(
+            order_score(F.col("score")), F.col("device"), order_score(F.col("own")), F.col("expected")
+        )
+        ahead = (
+            F.when(F.col("device").isNull(), F.col("score"))
+            .when(better, F.lit(1.0))
+            .otherwise(F.lit(0.0))
+        )
+        counts = (
+            parts.join(expected.select("query", "method", "expected", "own"), ["query", "method"])
+            .groupBy("query", "method")
+            .agg(F.sum(ahead).alias("ahead"))
+        )
+        rank = (F.coalesce("ahead", F.lit(0.0)) + 1).cast("long")
+        return expected.join(counts, ["query", "method"], "left").select(
+            "query",
+            "expected",
+            "method",
+            F.col("own").alias("score"),
+            F.when(F.col("own").isNotNull(), rank).alias("rank"),
+        )
+
+    def pruning(self) -> Pruning:
+        """Pairs of queries and units in all, and those that were compared, in the last search."""
+        queries = self.rows.select("query").distinct().count()
+        return Pruning(queries * self.tiles.units, sum(df.count() for df in self.opened))
+
 
 def dense_topk(
     queries: DataFrame,
@@ -479,15 +764,8 @@ def dense_topk(
     k: int = 5,
     tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
-    """``(query, method, device, score, rank)`` for the k best devices per query.
-
-    ``queries (query, expected, row_id, embedding[, text, unseen])`` and
-    ``references (device, row_id, embedding[, text])``. Texts marked unseen in a
-    query are taken out of every device before that query is scored.
-    """
-    tiles = _Tiles(queries, references, methods, tile_rows)
-    scored = tiles.run(tiles.queries, "top", k).drop("counted")
-    return top_k(scored, ["query", "method"], k, _order(F.col("score")))
+    """``(query, method, device, score, rank)`` for the k best devices per query."""
+    return DenseSearch(queries, references, methods, tile_rows).topk(k)
 
 
 def dense_ranks(
@@ -496,42 +774,8 @@ def dense_ranks(
     methods: Sequence[str] = ("maxsim",),
     tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
-    """``(query, expected, method, score, rank)`` of the expected device, from 1.
-
-    First the score of the expected device, then the number of devices ahead of it.
-    Score and rank are NULL for an unknown device.
-    """
-    tiles = _Tiles(queries, references, methods, tile_rows, passes=2)
-    own = stored(tiles.own())
-    parts = tiles.run(tiles.queries.join(own, "query", "left"), "ahead")
-    stacked = ", ".join(f"'{m}', own_{m}" for m in methods)
-    expected = (
-        queries.select("query", "expected")
-        .distinct()
-        .join(own, "query", "left")
-        .selectExpr("query", "expected", f"stack({len(methods)}, {stacked}) as (method, own)")
-    )
-    better = is_ahead(
-        _order(F.col("score")), F.col("device"), _order(F.col("own")), F.col("expected")
-    )
-    ahead = (
-        F.when(F.col("device").isNull(), F.col("score"))
-        .when(better, F.lit(1.0))
-        .otherwise(F.lit(0.0))
-    )
-    counts = (
-        parts.join(expected.select("query", "method", "expected", "own"), ["query", "method"])
-        .groupBy("query", "method")
-        .agg(F.sum(ahead).alias("ahead"))
-    )
-    rank = (F.coalesce("ahead", F.lit(0.0)) + 1).cast("long")
-    return expected.join(counts, ["query", "method"], "left").select(
-        "query",
-        "expected",
-        "method",
-        F.col("own").alias("score"),
-        F.when(F.col("own").isNotNull(), rank).alias("rank"),
-    )
+    """``(query, expected, method, score, rank)`` of the expected device, from 1."""
+    return DenseSearch(queries, references, methods, tile_rows).ranks()
 
 
 def pooled(queries: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:

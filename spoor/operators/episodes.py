@@ -7,13 +7,16 @@ removes their texts everywhere. A ``partial`` episode keeps the first few.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoor.operators.dense import METHODS, TILE_ROWS, dense_ranks, dense_topk
+from spoor.operators.dense import TILE_ROWS, VECTOR_METHODS, dense_ranks, dense_topk
+from spoor.operators.masked import SET_METHODS, masked_ranks, masked_topk
 from spoor.operators.profiles import first_rows
 
+METHODS = (*SET_METHODS, *VECTOR_METHODS)
 STRICT, PARTIAL = "strict-unseen", "partial"
 # Defaults of the demonstration runs.
 SEED = 1729
@@ -129,8 +132,13 @@ def episode_topk(
     tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
     """``(query, method, device, score, rank)``; scores to six decimals."""
-    found = dense_topk(episode_queries(bank, episodes), bank, methods, k, tile_rows)
-    return found.withColumn("score", F.round("score", 6))
+    sets, vectors = _by_kind(methods)
+    found = []
+    if sets:
+        found.append(masked_topk(_sets(episodes), bank, sets, k))
+    if vectors:
+        found.append(dense_topk(episode_queries(bank, episodes), bank, vectors, k, tile_rows))
+    return reduce(DataFrame.unionByName, found).withColumn("score", F.round("score", 6))
 
 
 def episode_ranks(
@@ -140,7 +148,28 @@ def episode_ranks(
     tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
     """``(query, expected, method, score, rank)`` of the expected device."""
-    return dense_ranks(episode_queries(bank, episodes), bank, methods, tile_rows)
+    sets, vectors = _by_kind(methods)
+    found = []
+    if sets:
+        found.append(masked_ranks(_sets(episodes), bank, sets))
+    if vectors:
+        found.append(dense_ranks(episode_queries(bank, episodes), bank, vectors, tile_rows))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _by_kind(methods: Sequence[str]) -> tuple[list[str], list[str]]:
+    unknown = set(methods) - set(METHODS)
+    if unknown or not methods:
+        raise ValueError(f"methods must be some of {METHODS}")
+    return [m for m in methods if m in SET_METHODS], [m for m in methods if m in VECTOR_METHODS]
+
+
+def _sets(episodes: DataFrame) -> DataFrame:
+    """Episodes as input of the masked set scores."""
+    return episodes.select(
+        F.col("episode_id").alias("query"), "expected", "text",
+        (F.col("role") == "unseen").alias("unseen"),
+    )
 
 
 def episode_counts(episodes: DataFrame) -> DataFrame:

@@ -1,37 +1,52 @@
 """Rank reference sets for every query set by exact overlap of rules.
 
-Pairs come from an equi-join on the rule text, so that only pairs which share a
-rule are ever built. A rule that very many profiles share ("hot") would still
-emit queries x references pairs. The few hottest rules therefore never enter the
-join: each profile keeps them as bits of one mask, and profiles with the same mask
-and size form one *class*. Classes are compared with classes, once, and everything
-the pairs of a hot rule could say is read off the class table. Results are exact.
+Rules are told apart by how many pairs of profiles hold them.
+
+*Common* rules are held by a noticeable share of all pairs. They are never joined: each profile
+keeps them as bits, profiles with the same bits and size form a class, and classes meet in a
+grid of tiles, where a popcount gives all hits of a cell at once. A cell emits the k best
+devices or a number of devices, not pairs.
+
+*Rare* rules meet by an equi-join on the rule. A score to beat (the k-th best so far, or that of
+the expected device) asks for so many hits that a device must share one of the rarest rules of
+the query, and for a size near the query's. So only these prefixes are joined, within the
+sizes, and the other rules of the pairs found are looked up.
+
+Results are exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from spoor.functions.numbers import ratio
+from spoor.functions.vectors import best_columns
 from spoor.operators.ranking import is_ahead, name_positions, top_k
-from spoor.session import stored
-
-# A rule is hot if it alone would emit more pairs than this.
-PAIR_BUDGET = 1_000_000
-# Bits of the mask. Bounds the rules kept on the driver and the distinct masks.
-MAX_HOT_RULES = 24
+from spoor.session import ship_package, stored
+
+# A rule is common if it alone would emit more pairs than this and than this share of all.
+PAIR_BUDGET = 10_000
+HOT_SHARE = 0.001
+# Bits per profile. Bounds the rules kept on the driver.
+MAX_HOT_RULES = 4_096
+# Profiles on each side of a cell of the grid.
+GRID_ROWS = 2_048
 # Pairs that one task of the join should emit.
 PAIRS_PER_TASK = 250_000
 MAX_JOIN_TASKS = 20_000
+# Pairs per query that its rarest rules may emit before a score to beat is known.
+SEED_PAIRS = 1_024
 # References up to this size are broadcast, with this much per row beside its texts.
 BROADCAST_BYTES = 64 << 20
 ROW_BYTES = 64
 # A query with more rules than this is spread over several tasks of the join.
 QUERY_RULES_PER_TASK = 2_000
-# Positions per block when names are counted inside a class.
+# Positions of one class in one row.
 BLOCK = 16_384
 
 
@@ -57,7 +72,7 @@ def rule_pairs(queries: DataFrame, per_reference: DataFrame) -> DataFrame:
 
 
 def hot_rules(
-    counts: DataFrame, pair_budget: int, limit: int = MAX_HOT_RULES
+    counts: DataFrame, pair_budget: float, limit: int = MAX_HOT_RULES
 ) -> tuple[list[str], float]:
     """At most ``limit`` rules that would emit the most pairs, and the pairs of all others."""
     seen = Observation()
@@ -73,19 +88,7 @@ def hot_rules(
     return [row["line"] for row in rows], total - sum(row["pairs"] for row in rows)
 
 
-def _hot_bit(hot: list[str]) -> Column:
-    """The mask bit of a hot rule, NULL for any other."""
-    if not hot:
-        return F.lit(None).cast("long")
-    pairs = [F.lit(x) for i, line in enumerate(hot) for x in (line, 1 << i)]
-    return F.try_element_at(F.create_map(*pairs), F.col("line")).cast("long")
-
-
-def _profiles(rules: DataFrame, key: str, size: str, mask: str) -> DataFrame:
-    """``(key, size, mask)``: number of rules and hot rules as bits."""
-    return rules.groupBy(key).agg(
-        F.count("line").alias(size), F.coalesce(F.sum("bit"), F.lit(0)).alias(mask)
-    )
+# ---------------------------------------------------------------- join
 
 
 def _grids(counts: DataFrame) -> DataFrame:
@@ -119,9 +122,11 @@ class References:
 
     def __init__(self, references: DataFrame):
         # Several jobs read the sets, which are far smaller than what they come from.
-        self.rules = stored(references.select("device", "line").distinct())
+        rules = stored(references.select("device", "line").distinct())
+        self.profiles = stored(rules.groupBy("device").agg(F.count("line").alias("n_r")))
+        self.rules = rules.filter("line is not null")
         self.per_rule = stored(self.rules.groupBy("line").agg(F.count(F.lit(1)).alias("n_r")))
-        size = F.octet_length("device") + F.coalesce(F.octet_length("line"), F.lit(0)) + ROW_BYTES
+        size = F.octet_length("device") + F.octet_length("line") + ROW_BYTES
         self.broadcast = (self.rules.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
 
 
@@ -129,75 +134,267 @@ def prepared(references: DataFrame | References) -> References:
     return references if isinstance(references, References) else References(references)
 
 
+def join_lines(
+    left: DataFrame, ready: References, right: DataFrame | None = None,
+    condition: Column | None = None,
+) -> DataFrame:
+    """``left (query, line, ...)`` with each device that holds the line; the line goes.
+
+    ``right`` are the rules of the references, with further columns as needed, and
+    ``condition`` is part of the join, so that no other pair is emitted. The tasks are counted
+    by the pairs they may emit; the size of the rules says little about that. Where the
+    references are small enough to broadcast, a query stays in one task, so that its pairs add
+    up there without a shuffle, unless it is large. Otherwise queries and references of a rule
+    with very many pairs are cut into parts, and each pair of parts meets in a cell of its own.
+    """
+    right = ready.rules if right is None else right
+    counts = rule_pairs(left.select("query", "line"), ready.per_rule)
+    total = counts.agg(F.sum("pairs")).first()[0] or 0
+    tasks = int(min(max(1, total // PAIRS_PER_TASK), MAX_JOIN_TASKS))
+    on = ["line"]
+    if ready.broadcast:
+        sizes = left.groupBy("query").agg(F.count(F.lit(1)).alias("rules"))
+        largest = sizes.agg(F.max("rules")).first()[0] or 0
+        spread: list = ["query"]
+        if largest > QUERY_RULES_PER_TASK:
+            spread.append(F.pmod(F.xxhash64("line"), F.lit(-(-largest // QUERY_RULES_PER_TASK))))
+        left, right = left.repartition(tasks, *spread), F.broadcast(right)
+    elif tasks > 1:
+        heavy = stored(_grids(counts))
+        left = _cells(left.join(heavy, "line", "left"), "query", "q", "r")
+        right = _cells(right.join(heavy, "line", "left"), "device", "r", "q")
+        on = ["line", "cell_q", "cell_r"]
+        left, right = (df.repartition(tasks, *on) for df in (left, right))
+    met = left.join(right, on)
+    return (met if condition is None else met.filter(condition)).drop(*on)
+
+
+# ---------------------------------------------------------------- grid
+
+
+def _words(rules: DataFrame, key: str, hot: list[str], name: str) -> DataFrame:
+    """``(key, name)``: the common rules of a profile as words of 64 bits."""
+    spark, count = rules.sparkSession, -(-len(hot) // 64)
+    bits = spark.createDataFrame(list(zip(hot, range(len(hot)))), "line string, bit int")
+    held = (
+        rules.join(F.broadcast(bits), "line")  # at most max_hot rows
+        .groupBy(key, F.floor(F.col("bit") / 64).cast("int").alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, bit % 64)")).alias("bits"))
+    )
+    by_word = F.map_from_entries(F.collect_list(F.struct("word", "bits")))  # count entries
+    numbers = F.sequence(F.lit(0), F.lit(count - 1))
+    return held.groupBy(key).agg(by_word.alias("words")).select(
+        key,
+        F.transform(
+            numbers, lambda w: F.coalesce(F.try_element_at("words", w), F.lit(0).cast("long"))
+        ).alias(name),
+    )
+
+
+def _hot_hits(q: str = "words_q", r: str = "words_r") -> Column:
+    common = F.zip_with(q, r, lambda a, b: F.bit_count(a.bitwiseAND(b)))
+    return F.aggregate(common, F.lit(0), lambda total, n: total + n)
+
+
+def _popcounts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    hits = np.zeros((len(a), len(b)), np.int64)
+    for word in range(a.shape[1]):
+        hits += np.bitwise_count(a[:, word, None] & b[None, :, word])
+    return hits
+
+
+def _array_scores(method: str, hits: np.ndarray, n_q: np.ndarray, n_r: np.ndarray) -> np.ndarray:
+    """The scorers on arrays; zero without a hit."""
+    if method == "exact_hit_count":
+        return hits.astype(np.float64)
+    union = n_q[:, None] + n_r[None, :] - hits
+    return np.divide(hits, union, out=np.zeros(hits.shape), where=union > 0)
+
+
+def _bits(rows: pa.Table, name: str) -> np.ndarray:
+    column = rows[name].combine_chunks()
+    words = column.flatten().to_numpy(zero_copy_only=False)
+    return words.reshape(len(rows), -1).view(np.uint64)
+
+
+def _classes(rows: pa.Table, size: str, words: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes and bits of the distinct classes, and each row's class."""
+    both = np.column_stack([rows[size].to_numpy().astype(np.uint64), _bits(rows, words)])
+    found, inverse = np.unique(both, axis=0, return_inverse=True)
+    return found[:, 0].astype(np.int64), found[:, 1:], inverse.ravel()
+
+
+def _best_kernel(method: str, k: int):
+    """Per class of queries the k best members with a common rule, names in order on ties."""
+    schema = pa.schema([("class", pa.int64()), ("device", pa.string()), ("n_r", pa.int64()),
+                        ("hits", pa.int64())])
+
+    def best(key, q: pa.Table, r: pa.Table) -> pa.Table:
+        if len(q) == 0 or len(r) == 0:
+            return schema.empty_table()
+        r = r.sort_by("device")
+        n_r, bits, member = _classes(r, "n_r", "words_r")
+        hits = _popcounts(_bits(q, "words_q"), bits)
+        scores = _array_scores(method, hits, q["n_q"].to_numpy(), n_r)[:, member]
+        row, column = best_columns(scores, k)
+        found = scores[row, column] > 0
+        row, column = row[found], column[found]
+        return pa.table(
+            [q["class"].combine_chunks().take(pa.array(row)),
+             r["device"].combine_chunks().take(pa.array(column)),
+             pa.array(n_r[member[column]]), pa.array(hits[row, member[column]])], schema=schema,
+        )
+
+    return best
+
+
+def _ahead_kernel(method: str):
+    """Per query the devices that its score puts ahead, by their common rules.
+
+    A class with a higher score counts whole. In a class with the same score the names before
+    the expected one count. Where the expected device scores 0, every class with a hit is ahead
+    whole, but its names before the expected one are counted already, so they go off.
+    """
+    schema = pa.schema([("query", pa.string()), ("ahead", pa.int64())])
+
+    def ahead(key, q: pa.Table, r: pa.Table) -> pa.Table:
+        if len(q) == 0 or len(r) == 0:
+            return schema.empty_table()
+        n_q, query_bits, query_class = _classes(q, "n_q", "words_q")
+        n_r, bits, block_class = _classes(r, "n_r", "words_r")
+        hits = _popcounts(query_bits, bits)
+        scores = _array_scores(method, hits, n_q, n_r)[query_class]
+        listed = r["positions"].combine_chunks()
+        positions = listed.flatten().to_numpy()
+        of_class = np.repeat(block_class, np.diff(listed.offsets.to_numpy()))
+        order = np.lexsort((positions, of_class))
+        positions, of_class = positions[order], of_class[order]
+        members = np.bincount(of_class, minlength=len(n_r))
+        own = q["own"].to_numpy()
+        place = q["own_position"].to_numpy()
+        counts = (scores > own[:, None]) @ members
+        # Members of each class before a place: one search over all classes.
+        probed = (scores > 0) & ((scores == own[:, None]) | (own[:, None] == 0))
+        row, column = np.nonzero(probed)
+        starts = np.searchsorted(of_class, np.arange(len(n_r)))
+        span = int(max(positions.max(initial=0), place.max(initial=0))) + 1
+        before = np.searchsorted(of_class * span + positions, column * span + place[row])
+        before = (before - starts[column]) * np.where(own[row] == 0, -1, 1)
+        np.add.at(counts, row, before)
+        hit = np.flatnonzero(counts)
+        return pa.table(
+            [q["query"].combine_chunks().take(pa.array(hit)), pa.array(counts[hit])], schema=schema
+        )
+
+    return ahead
+
+
+def _in_grid(left: DataFrame, right: DataFrame, own: str, other: str, kernel, schema: str) -> DataFrame:
+    """Every tile of ``left`` against every tile of ``right``; rows go to tiles by a hash."""
+    ship_package(left.sparkSession)
+    tiles = [max(1, -(-df.count() // GRID_ROWS)) for df in (left, right)]
+
+    def placed(df, name, mine, others, count, other_count):
+        return df.withColumn(mine, F.pmod(F.xxhash64(name), F.lit(count)).cast("int")).withColumn(
+            others, F.explode(F.sequence(F.lit(0), F.lit(other_count - 1)))
+        )
+
+    cell = ["tile_q", "tile_r"]
+    left = placed(left, own, *cell, *tiles)
+    right = placed(right, other, *reversed(cell), *reversed(tiles))
+    tasks = min(tiles[0] * tiles[1], MAX_JOIN_TASKS)
+    left, right = (df.repartition(tasks, *cell).groupBy(*cell) for df in (left, right))
+    return left.cogroup(right).applyInArrow(kernel, schema)
+
+
+# ---------------------------------------------------------------- plans
+
+
 class _Sides:
-    """Both inputs, split into cold rules and profile classes."""
+    """Both inputs: profiles with their common rules as words, and the rare rules in order."""
 
     def __init__(self, queries, references, pair_budget, max_hot):
-        ready = prepared(references)
+        self.ready = ready = prepared(references)
         queries = stored(queries.select("query", "line").distinct())
-        references, self.broadcast = ready.rules, ready.broadcast
-        counts = rule_pairs(queries, ready.per_rule)
-        self.hot, pairs = hot_rules(counts, pair_budget, max_hot)
-        self.join_tasks = int(min(max(1, pairs // PAIRS_PER_TASK), MAX_JOIN_TASKS))
-        # Rules with more pairs than one task should emit; the hot ones never join.
-        self.heavy = _grids(counts.filter(~F.col("line").isin(self.hot)))
-        bit = _hot_bit(self.hot)
-        self.queries = queries.withColumn("bit", bit)
-        self.references = references.withColumn("bit", bit)
-        self.query_profiles = _profiles(self.queries, "query", "n_q", "mask_q")
-        self.devices = _profiles(self.references, "device", "n_r", "mask_r")
-        largest = self.query_profiles.agg(F.max("n_q")).first()[0] or 0
-        self.large_queries = largest > QUERY_RULES_PER_TASK
-
-    def cold_pairs(self, query_profiles: DataFrame, devices: DataFrame) -> DataFrame:
-        """One row per query, device and shared cold rule, with all profile columns.
-
-        The columns join the rules, of which there are far fewer than pairs. The tasks
-        are counted by the pairs they will emit; the size of the rules says little
-        about that. Where the references are small enough to broadcast, a query stays
-        in one task, so that its pairs add up and rank there without a shuffle; if any
-        query is large, all are spread by parts and add up after one.
-        """
-        cold = F.col("bit").isNull() & F.col("line").isNotNull()
-        left = self.queries.filter(cold).drop("bit").join(query_profiles, "query")
-        right = self.references.filter(cold).drop("bit").join(devices, "device")
-        if self.broadcast:
-            part = F.pmod(F.xxhash64("line"), F.ceil(F.col("n_q") / QUERY_RULES_PER_TASK))
-            spread = [F.col("query"), part] if self.large_queries else [F.col("query")]
-            left = left.repartition(self.join_tasks, *spread)
-            right = F.broadcast(right)
-        elif self.join_tasks > 1:
-            # Queries and references of a heavy rule are cut into parts, and each pair of
-            # parts meets in a cell of its own.
-            left = _cells(left.join(self.heavy, "line", "left"), "query", "q", "r")
-            right = _cells(right.join(self.heavy, "line", "left"), "device", "r", "q")
-            cell = ["line", "cell_q", "cell_r"]
-            left, right = (df.repartition(self.join_tasks, *cell) for df in (left, right))
-            return left.join(right, cell).drop(*cell)
-        return left.join(right, "line").drop("line")
-
-    def class_pairs(self, reference_classes: DataFrame) -> DataFrame:
-        """Query classes x reference classes that share at least one hot rule.
-
-        Joined on a shared bit and kept at the lowest one, so that each pair of
-        classes appears once.
-        """
-        bits = F.array(*[F.lit(1 << i).cast("long") for i in range(len(self.hot))])
-
-        def with_bit(df, mask):
-            return df.withColumn(
-                "bit", F.explode(F.filter(bits, lambda b: b.bitwiseAND(F.col(mask)) != 0))
+        sizes = queries.groupBy("query").agg(F.count("line").alias("n_q"))
+        counts = stored(rule_pairs(queries.filter("line is not null"), ready.per_rule))
+        self.count = sizes.count()
+        share = HOT_SHARE * self.count * ready.profiles.count()
+        self.hot, self.rare_pairs = hot_rules(counts, max(pair_budget, share), max_hot)
+        if self.hot:
+            none = F.array_repeat(F.lit(0).cast("long"), -(-len(self.hot) // 64))
+            words_q = _words(queries, "query", self.hot, "words_q")
+            words_r = _words(ready.rules, "device", self.hot, "words_r")
+            sizes = sizes.join(words_q, "query", "left").withColumn("words_q", F.coalesce("words_q", none))
+            devices = ready.profiles.join(words_r, "device", "left").withColumn(
+                "words_r", F.coalesce("words_r", none)
+            )
+        else:
+            none = F.array().cast("array<long>")
+            sizes = sizes.withColumn("words_q", none)
+            devices = ready.profiles.withColumn("words_r", none)
+        self.query_profiles, self.devices = stored(sizes), stored(devices)
+        bits = counts.sparkSession.createDataFrame([(x,) for x in self.hot], "line string")
+        rare = counts.join(F.broadcast(bits), "line", "left_anti").select("line", F.col("n_r").alias("held"))
+        # Rarest first.
+        by_query = Window.partitionBy("query")
+        ordered = by_query.orderBy("held", "line")
+        self.rare = stored(
+            queries.join(rare, "line").select(
+                "query", "line", F.row_number().over(ordered).alias("place"),
+                F.sum("held").over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("emitted"),
+                F.count(F.lit(1)).over(by_query).alias("n_rare"),
             )
+        )
 
-        classes = self.query_profiles.select("mask_q", "n_q").distinct()
-        common = F.col("mask_q").bitwiseAND(F.col("mask_r"))
-        lowest = common.bitwiseAND(-common)
+    def prefixes(self, floors: DataFrame, method: str) -> DataFrame:
+        """The rare rules with ``joined``: whether a device that reaches the floor could have
+        this as its first rule in common. ``floors (query, floor)``."""
+        floor, n_q = F.col("floor"), F.col("n_q")
+        share = floor * n_q if method == "jaccard" else floor
+        common = F.aggregate(
+            F.transform("words_q", lambda w: F.bit_count(w)), F.lit(0), lambda total, n: total + n
+        )
+        # Hits that are missing even if all common rules hit.
+        needed = F.greatest(F.lit(1), F.ceil(share - 1e-9) - common)
         return (
-            with_bit(classes, "mask_q")
-            .join(with_bit(reference_classes, "mask_r"), "bit")
-            .filter(F.col("bit") == lowest)
-            .withColumn("hits", F.bit_count(common))
-            .drop("bit")
+            self.rare.join(self.query_profiles, "query").join(floors, "query")
+            .withColumn("joined", F.col("place") <= F.col("n_rare") - needed + 1)
+            .select("query", "line", "n_q", "floor", "joined")
+        )
+
+    def seeds(self) -> DataFrame:
+        """The same, with the rarest rules of each query joined."""
+        joined = (F.col("emitted") <= SEED_PAIRS) | (F.col("place") == 1)
+        return self.rare.join(self.query_profiles, "query").select(
+            "query", "line", "n_q", F.lit(0.0).alias("floor"), joined.alias("joined")
+        )
+
+    def emitted(self, marked: DataFrame, method: str) -> DataFrame:
+        """``(query, device)`` once per joined rule that both hold, within the sizes."""
+        sized = self.ready.rules.join(self.ready.profiles, "device")
+        n_q, n_r, floor = F.col("n_q"), F.col("n_r"), F.col("floor")
+        # The overlap of two sets is at most the smaller one's share of the larger.
+        near = (n_r >= floor * n_q - 1e-9) & (n_q >= floor * n_r - 1e-9)
+        joined = marked.filter("joined").drop("joined")
+        condition = near if method == "jaccard" else None
+        return join_lines(joined, self.ready, sized, condition).select("query", "device")
+
+    def found(self, marked: DataFrame, method: str) -> DataFrame:
+        """``(query, device, rare)``: hits among all rare rules, of the pairs that are emitted."""
+        pairs = self.emitted(marked, method).groupBy("query", "device").agg(
+            F.count(F.lit(1)).alias("rare")
+        )
+        rest = marked.filter(~F.col("joined")).select("query", "line")
+        pairs = stored(pairs)
+        if rest.isEmpty():
+            return pairs
+        more = (
+            pairs.join(rest, "query").join(self.ready.rules, ["device", "line"])
+            .groupBy("query", "device").agg(F.count(F.lit(1)).alias("more"))
+        )
+        return pairs.join(more, ["query", "device"], "left").select(
+            "query", "device", (F.col("rare") + F.coalesce("more", F.lit(0))).alias("rare")
         )
 
 
@@ -205,13 +402,24 @@ def _score(method: str, hits: Column) -> Column:
     return SCORERS[method](hits, F.col("n_q"), F.col("n_r"))
 
 
-def _hot_hits() -> Column:
-    return F.bit_count(F.col("mask_q").bitwiseAND(F.col("mask_r")))
+def _best_of(found: DataFrame, method: str, k: int) -> DataFrame:
+    """The k best of ``(query, n_q, device, n_r, hits)``; true hits are the larger of two."""
+    scored = (
+        found.groupBy("query", "n_q", "device", "n_r")
+        .agg(F.max("hits").alias("hits"))
+        .withColumn("score", _score(method, F.col("hits")))
+    )
+    return top_k(scored, ["query"], k, F.col("score"))
+
+
+def _floors(best: DataFrame, k: int) -> DataFrame:
+    kth = best.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"))
+    return kth.select("query", F.when(F.col("n") >= k, F.col("low")).otherwise(0.0).alias("floor"))
 
 
 def overlap_topk(
     queries: DataFrame,
-    references: DataFrame,
+    references: DataFrame | References,
     method: str = "jaccard",
     k: int = 5,
     pair_budget: int = PAIR_BUDGET,
@@ -222,55 +430,69 @@ def overlap_topk(
     ``queries (query, line)`` and ``references (device, line)``; a profile without
     rules has one row with a NULL line. Devices without a hit score 0 and follow in
     name order, so the k smallest names are candidates of every query. A device
-    outside the best k by hot rules alone can only enter through a cold rule, and
+    outside the best k by common rules alone can only enter through a rare rule, and
     then the join finds it; the best k of the three sources hold the whole top k.
     """
     sides = _Sides(queries, references, pair_budget, max_hot)
-    pair = ["query", "n_q", "mask_q", "device", "n_r", "mask_r"]
-    cold = F.count(F.lit(1)) + F.bit_count(F.col("mask_q").bitwiseAND(F.col("mask_r")))
-    pairs = sides.cold_pairs(sides.query_profiles, sides.devices).groupBy(*pair)
-    found = pairs.agg(cold.alias("hits")).withColumn("score", _score(method, F.col("hits")))
-    found = top_k(found, ["query"], k, F.col("score")).select(*pair, "hits")
+    row = ["query", "n_q", "device", "n_r", "hits"]
 
     # k rows.
     first = sides.devices.orderBy("device").limit(k).collect()
     if not first:
         raise ValueError("no reference profiles")
-    fields = ("device", "n_r", "mask_r")
-    names = F.array(*[F.struct(*[F.lit(row[f]).alias(f) for f in fields]) for row in first])
-    padding = sides.query_profiles.withColumn("first", F.explode(names))
-    found = found.union(
-        padding.select("query", "n_q", "mask_q", "first.*").withColumn("hits", _hot_hits())
+    names = F.array(*[
+        F.struct(
+            F.lit(d["device"]).alias("device"), F.lit(d["n_r"]).alias("n_r"),
+            F.array(*[F.lit(w) for w in d["words_r"]]).cast("array<long>").alias("words_r"),
+        )
+        for d in first
+    ])
+    padding = sides.query_profiles.withColumn("first", F.explode(names)).select(
+        "query", "n_q", "words_q", "first.*"
     )
-
+    found = padding.withColumn("hits", _hot_hits().cast("long")).select(*row)
     if sides.hot:
-        members = top_k(
-            sides.devices.withColumn("score", F.lit(0.0)), ["mask_r", "n_r"], k
-        ).drop("score", "rank")
-        scored = sides.class_pairs(members).withColumn("score", _score(method, F.col("hits")))
-        best = top_k(scored, ["mask_q", "n_q"], k, F.col("score"))
-        found = found.union(
-            sides.query_profiles.join(best.drop("hits", "score", "rank"), ["mask_q", "n_q"])
-            .select(*pair, _hot_hits())
+        found = found.unionByName(_best_by_classes(sides, method, k).select(*row))
+    found = stored(_best_of(found, method, k).select(*row, "score"))
+
+    def with_rare(best, marked):
+        hits = (F.col("rare") + _hot_hits()).cast("long")
+        more = (
+            sides.found(marked, method).join(sides.query_profiles, "query").join(sides.devices, "device")
+            .withColumn("hits", hits).select(*row)
         )
+        return _best_of(best.select(*row).unionByName(more), method, k)
 
-    # At most 3 k rows per query. A device found twice has its true hits in the larger.
-    scored = (
-        found.groupBy("query", "n_q", "device", "n_r")
-        .agg(F.max("hits").alias("hits"))
-        .select(
-            "query",
-            "device",
-            _score(method, F.col("hits")).alias("score"),
-            F.col("hits").cast("long").alias("hit_count"),
-        )
+    if sides.rare_pairs > SEED_PAIRS * sides.count:
+        found = stored(with_rare(found, sides.seeds()).select(*row, "score"))
+    found = with_rare(found, sides.prefixes(_floors(found, k), method))
+    return found.select("query", "device", "score", F.col("hits").alias("hit_count"), "rank")
+
+
+def _best_by_classes(sides: _Sides, method: str, k: int) -> DataFrame:
+    """``(query, n_q, device, n_r, hits)``: the k best by common rules alone."""
+    classes = stored(
+        sides.query_profiles.select("n_q", "words_q").distinct()
+        .withColumn("class", F.monotonically_increasing_id())
     )
-    return top_k(scored, ["query"], k, F.col("score"))
+    # k names stand for a class.
+    names = Window.partitionBy("n_r", "words_r").orderBy("device")
+    members = stored(
+        sides.devices.withColumn("place", F.row_number().over(names)).filter(F.col("place") <= k)
+        .drop("place")
+    )
+    best = _in_grid(
+        classes, members, "class", "device", _best_kernel(method, k),
+        "class long, device string, n_r long, hits long",
+    )
+    best = best.join(classes, "class").withColumn("score", _score(method, F.col("hits")))
+    best = top_k(best, ["class"], k, F.col("score")).select("n_q", "words_q", "device", "n_r", "hits")
+    return sides.query_profiles.join(best, ["n_q", "words_q"])
 
 
 def overlap_ranks(
     queries: DataFrame,
-    references: DataFrame,
+    references: DataFrame | References,
     expected: DataFrame,
     method: str = "jaccard",
     pair_budget: int = PAIR_BUDGET,
@@ -280,17 +502,17 @@ def overlap_ranks(
 
     ``expected (query, expected)``. Score and rank are NULL for an unknown device.
     The rank counts the devices ahead in three steps and never lists them: all
-    devices as if they scored 0, then the classes that share a hot rule, then the
-    pairs that share a cold rule, each step as the change against the one before.
+    devices as if they scored 0, then the classes that share a common rule, then the
+    pairs that share a rare rule, each step as the change against the one before.
     """
     sides = _Sides(queries, references, pair_budget, max_hot)
     positions = name_positions(sides.devices, "device")
     devices = stored(sides.devices.join(positions, "device"))
 
     own_hits = (
-        expected.join(sides.queries.filter("line is not null"), "query")
+        expected.join(queries.select("query", "line").distinct().filter("line is not null"), "query")
         .join(
-            sides.references.select(F.col("device").alias("expected"), "line"),
+            sides.ready.rules.select(F.col("device").alias("expected"), "line"),
             ["expected", "line"],
         )
         .groupBy("query")
@@ -316,9 +538,17 @@ def overlap_ranks(
     ahead = own.select(
         "query", F.when(F.col("own") == 0, F.col("own_position")).otherwise(0).alias("ahead")
     )
-    ahead = ahead.union(_ahead_by_cold_rules(sides, own, devices, method))
+    scored = own.filter("own is not null")
+    ahead = ahead.union(_ahead_by_rare_rules(sides, scored, devices, method))
     if sides.hot:
-        ahead = ahead.union(_ahead_by_classes(sides, own, devices, method))
+        block = F.floor(F.col("position") / BLOCK).alias("block")
+        blocks = stored(
+            devices.groupBy("n_r", "words_r", block).agg(F.collect_list("position").alias("positions"))
+        )
+        asked = stored(scored.select("query", "n_q", "words_q", "own", "own_position"))
+        ahead = ahead.union(_in_grid(
+            asked, blocks, "query", "positions", _ahead_kernel(method), "query string, ahead long"
+        ))
     counts = ahead.groupBy("query").agg(F.sum("ahead").alias("ahead"))
     return own.join(counts, "query").select(
         "query",
@@ -328,85 +558,18 @@ def overlap_ranks(
     )
 
 
-def _ahead_by_cold_rules(sides, own, devices, method) -> DataFrame:
-    """Change in the count once the cold hits of a pair are added."""
-    known = own.filter("own is not null").drop("own_position")
-    pairs = sides.cold_pairs(known, devices.drop("position"))
-    pairs = pairs.groupBy(*pairs.columns).agg(F.count(F.lit(1)).alias("cold"))
+def _ahead_by_rare_rules(sides, own, devices, method) -> DataFrame:
+    """Change in the count once the rare hits of a pair are added."""
+    marked = sides.prefixes(own.select("query", F.col("own").alias("floor")), method)
+    pairs = (
+        sides.found(marked, method).join(own.drop("own_position"), "query")
+        .join(devices.drop("position"), "device").withColumn("common", _hot_hits())
+    )
 
     def counted(hits):
         return is_ahead(
             _score(method, hits), F.col("device"), F.col("own"), F.col("expected")
         ).cast("int")
 
-    change = counted(F.col("cold") + _hot_hits()) - counted(_hot_hits())
+    change = counted(F.col("rare") + F.col("common")) - counted(F.col("common"))
     return pairs.groupBy("query").agg(F.sum(change).cast("long").alias("ahead"))
-
-
-def _ahead_by_classes(sides, own, devices, method) -> DataFrame:
-    """Devices ahead by their hot rules, counted by class.
-
-    A class with a higher score counts whole. In a class with the same score the
-    names before the expected one count. Where the expected device scores 0, every
-    class here is ahead whole, but its names before the expected one are already
-    counted, so they go off.
-    """
-    keys = ["mask_q", "n_q"]
-    own = own.filter("own is not null")
-    classes = devices.groupBy("mask_r", "n_r").agg(F.count(F.lit(1)).alias("members"))
-    pairs = sides.class_pairs(classes).withColumn("score", _score(method, F.col("hits")))
-    # Distinct scores per query class: at most hot rules x sizes of references.
-    boards = (
-        pairs.groupBy(*keys, "score")
-        .agg(F.sum("members").alias("members"))
-        .groupBy(*keys)
-        .agg(F.collect_list(F.struct("score", "members")).alias("board"))
-    )
-    higher = F.aggregate(
-        F.filter("board", lambda c: c["score"] > F.col("own")),
-        F.lit(0).cast("long"),
-        lambda total, c: total + c["members"],
-    )
-    whole = own.join(boards, keys).select("query", higher.alias("ahead"))
-
-    probes = (
-        own.join(pairs.select(*keys, "mask_r", "n_r", "score"), keys)
-        .filter((F.col("own") == 0) | (F.col("score") == F.col("own")))
-        .select(
-            "query", "own_position", "mask_r", "n_r",
-            F.when(F.col("own") == 0, -1).otherwise(1).alias("sign"),
-        )
-    )
-    named = _members_before(devices, probes).select(
-        "query", (F.col("sign") * F.col("before")).alias("ahead")
-    )
-    return whole.union(named)
-
-
-def _members_before(devices: DataFrame, probes: DataFrame) -> DataFrame:
-    """Adds ``before``: members of the class at a lower position than the probe's.
-
-    Positions are held in blocks, so that no row holds more than one block of a class.
-    """
-    keys = ["mask_r", "n_r"]
-    block = F.floor(F.col("position") / BLOCK)
-    blocks = (
-        devices.groupBy(*keys, block.alias("block"))
-        .agg(F.collect_list("position").alias("positions"))
-    )
-    sizes = blocks.groupBy(*keys).agg(
-        F.collect_list(F.struct("block", F.size("positions").alias("n"))).alias("sizes")
-    )
-    own_block = F.floor(F.col("own_position") / BLOCK)
-    full = F.aggregate(
-        F.filter("sizes", lambda b: b["block"] < F.col("block")),
-        F.lit(0).cast("long"),
-        lambda total, b: total + b["n"],
-    )
-    inside = F.size(F.filter("positions", lambda p: p < F.col("own_position")))
-    return (
-        probes.withColumn("block", own_block)
-        .join(sizes, keys)
-        .join(blocks, [*keys, "block"], "left")
-        .withColumn("before", full + F.when(F.col("positions").isNull(), 0).otherwise(inside))
-    )

@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spoor.operators import dense, episodes
-from spoor.operators.dense import METHODS, dense_ranks, dense_topk
+from spoor.operators import balls, dense, episodes
+from spoor.operators.dense import VECTOR_METHODS, DenseSearch, dense_ranks, dense_topk
+from spoor.operators.episodes import METHODS
+from spoor.operators.masked import SET_METHODS, masked_ranks, masked_topk
 
 RNG, RND = np.random.default_rng(3), random.Random(3)
 TEXTS = [f"t{i}" for i in range(40)]
@@ -76,9 +78,7 @@ def brute():
     return tops, ranks
 
 
-@pytest.mark.parametrize("tile_rows", [16_384, 15])
-def test_against_brute_force(spark, monkeypatch, tile_rows):
-    monkeypatch.setattr(dense, "MIN_BLOCK_ROWS", 15)
+def frames(spark):
     bank = spark.createDataFrame(
         BANK, "device string, row_id long, text string, embedding array<float>"
     )
@@ -87,17 +87,102 @@ def test_against_brute_force(spark, monkeypatch, tile_rows):
         "query string, expected string, row_id long, embedding array<float>, text string,"
         " unseen boolean",
     )
-    tops, ranks = brute()
+    return queries, bank
+
+
+def same_as_brute(top, ranks, methods):
+    tops, places = brute()
     got = {}
-    for r in dense_topk(queries, bank, METHODS, 4, tile_rows).orderBy("rank").collect():
+    for r in top.orderBy("rank").collect():
         got.setdefault((r["query"], r["method"]), []).append(r["device"])
-    assert got == tops
-    found = dense_ranks(queries, bank, METHODS, tile_rows).collect()
-    assert {(r["query"], r["method"]): r["rank"] for r in found} == ranks
+    assert got == {key: names for key, names in tops.items() if key[1] in methods}
+    found = {(r["query"], r["method"]): r["rank"] for r in ranks.collect()}
+    assert found == {key: rank for key, rank in places.items() if key[1] in methods}
+
+
+@pytest.mark.parametrize("tile_rows", [16_384, 15])
+def test_against_brute_force(spark, tile_rows):
+    queries, bank = frames(spark)
+    same_as_brute(
+        dense_topk(queries, bank, VECTOR_METHODS, 4, tile_rows),
+        dense_ranks(queries, bank, VECTOR_METHODS, tile_rows), VECTOR_METHODS,
+    )
 
 
-def test_a_query_larger_than_a_tile(spark, monkeypatch):
-    monkeypatch.setattr(dense, "MIN_BLOCK_ROWS", 15)
+def test_set_scores_against_brute_force(spark):
+    queries, bank = frames(spark)
+    same_as_brute(masked_topk(queries, bank, k=4), masked_ranks(queries, bank), SET_METHODS)
+
+
+def clustered(seed=11, devices=240, groups=12, dim=16):
+    """Devices whose vectors lie around one of a few directions, and queries of the same kind."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, dim))
+
+    def rows(prefix, n, size):
+        return [
+            (f"{prefix}{i:03d}", f"d{i * 7 % devices:03d}", j, (centres[i % groups] + 0.15 * rng.normal(size=dim)).tolist())
+            for i in range(n) for j in range(size)
+        ]
+
+    queries = rows("q", 60, 4)
+    bank = [(name, j, v) for name, _, j, v in rows("d", devices, 5)]
+    return queries, bank
+
+
+def test_far_tiles_stay_closed(spark):
+    """Results are those of comparing everything, and most pairs are not compared."""
+    queries, bank = clustered()
+    q = spark.createDataFrame(queries, "query string, expected string, row_id long, embedding array<double>")
+    r = spark.createDataFrame(bank, "device string, row_id long, embedding array<double>")
+    outcomes = []
+    for prune in (True, False):
+        search = DenseSearch(q, r, tile_rows=60, block_rows=40, prune=prune)
+        top = search.topk(5).select("query", "device", "rank", F.round("score", 9)).collect()
+        opened = [search.pruning()]
+        ranks = search.ranks().select("query", "rank", F.round("score", 9)).collect()
+        opened.append(search.pruning())
+        outcomes.append((set(top), set(ranks), opened))
+    assert outcomes[0][:2] == outcomes[1][:2]
+    (top, ranks), everything = outcomes[0][2], outcomes[1][2][0]
+    assert everything.opened == everything.pairs
+    assert top.pairs == everything.pairs and top.opened < top.pairs / 2
+    assert ranks.opened < ranks.pairs
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(2)
+    x, q = (rng.normal(size=(n, 5)) for n in (300, 40))
+    x[0] = q[0] = 0
+    x, q = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) for v in (x, q))
+    centres = x[1:9]
+    away = balls.angles(x, centres)
+    ball = np.argmin(away, axis=1)
+    ball[0] = balls.ZERO
+    angle = np.where(ball >= 0, away[np.arange(len(x)), ball], 0.0)
+    held = np.unique(ball)
+    low = np.array([angle[ball == b].min() for b in held])
+    high = np.array([angle[ball == b].max() for b in held])
+    bounds = balls.upper_bounds(balls.angles(q, centres), ~q.any(axis=1), held, low, high)
+    for column, b in enumerate(held):
+        best = (q @ x[ball == b].T).max(axis=1)
+        assert (bounds[:, column] >= best - 1e-9).all()
+    assert (bounds < 0.999).any()
+
+
+def test_balls_share_groups_until_full():
+    groups, count = balls.group_balls({-1: 2, 0: 5, 1: 30, 2: 4, 3: 4}, [-1, 0, 1, 2, 3], 10)
+    assert groups == {-1: (0, 1), 0: (0, 1), 1: (1, 3), 2: (4, 1), 3: (4, 1)} and count == 5
+
+
+def test_empty_sides(spark):
+    queries, bank = frames(spark)
+    assert dense_topk(queries, bank.limit(0), VECTOR_METHODS).count() == 0
+    assert dense_topk(queries.limit(0), bank, VECTOR_METHODS).count() == 0
+    assert {r["rank"] for r in dense_ranks(queries, bank.limit(0)).collect()} == {None}
+
+
+def test_a_query_larger_than_a_tile(spark):
     bank = spark.createDataFrame(
         [(b[0], b[1], b[3]) for b in BANK], "device string, row_id long, embedding array<float>"
     )
@@ -113,9 +198,8 @@ def test_a_query_larger_than_a_tile(spark, monkeypatch):
     assert dense_ranks(queries, bank, tile_rows=15).first()["rank"] == rank
 
 
-def test_large_queries_with_all_methods(spark, monkeypatch):
+def test_large_queries_with_all_methods(spark):
     """A query of more rows than a block stays whole where its scores do not add up."""
-    monkeypatch.setattr(dense, "MIN_BLOCK_ROWS", 15)
     bank = spark.createDataFrame(
         BANK, "device string, row_id long, text string, embedding array<float>"
     )
@@ -125,8 +209,8 @@ def test_large_queries_with_all_methods(spark, monkeypatch):
         " unseen boolean",
     )
     order = ["method", "rank"]
-    whole = dense_topk(queries, bank, METHODS, 10).orderBy(order).collect()
-    tiled = dense_topk(queries, bank, METHODS, 10, tile_rows=15).orderBy(order).collect()
+    whole = dense_topk(queries, bank, VECTOR_METHODS, 10).orderBy(order).collect()
+    tiled = dense_topk(queries, bank, VECTOR_METHODS, 10, tile_rows=15).orderBy(order).collect()
     assert [(r["method"], r["device"]) for r in whole] == [(r["method"], r["device"]) for r in tiled]
     assert [r["score"] for r in tiled] == pytest.approx([r["score"] for r in whole])
 

@@ -49,13 +49,15 @@ def brute(method):
 
 @pytest.mark.parametrize("method", ["jaccard", "exact_hit_count"])
 @pytest.mark.parametrize(
-    "budget,max_hot,limit,large",
-    [(10**9, 24, 1 << 26, 2000), (30, 24, 0, 2000), (30, 2, 1 << 26, 3)],
+    "budget,max_hot,limit,large,seeds",
+    [(10**9, 4096, 1 << 26, 2000, 1024), (30, 4096, 0, 2000, 5), (30, 2, 1 << 26, 3, 0)],
 )
-def test_against_brute_force(spark, monkeypatch, method, budget, max_hot, limit, large):
+def test_against_brute_force(spark, monkeypatch, method, budget, max_hot, limit, large, seeds):
     monkeypatch.setattr(overlap, "QUERY_RULES_PER_TASK", large)
     monkeypatch.setattr(overlap, "BROADCAST_BYTES", limit)
     monkeypatch.setattr(overlap, "PAIRS_PER_TASK", 200)
+    monkeypatch.setattr(overlap, "SEED_PAIRS", seeds)
+    monkeypatch.setattr(overlap, "GRID_ROWS", 13)
     monkeypatch.setattr(overlap, "BLOCK", 7)
     queries, references = frame(spark, QUERIES, "query"), frame(spark, REFERENCES, "device")
     expected = spark.createDataFrame(list(EXPECTED.items()), "query string, expected string")
@@ -127,20 +129,22 @@ def test_unknown_method(spark):
 
 
 def test_heavy_rules_are_cut_into_cells(spark, monkeypatch):
-    """Many rules beyond the mask: no cell holds more than about the budget of pairs."""
+    """Many rules beyond the words: no cell holds more than about the budget of pairs."""
     monkeypatch.setattr(overlap, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(overlap, "PAIRS_PER_TASK", 50)
     wide = {f"w{j}" for j in range(30)}
     queries = {name: rules | wide for name, rules in QUERIES.items()}
     references = {name: rules | wide for name, rules in REFERENCES.items()}
     q, r = frame(spark, queries, "query"), frame(spark, references, "device")
-    sides = overlap._Sides(q, r, overlap.PAIR_BUDGET, 1)
-    pairs = sides.cold_pairs(sides.query_profiles, sides.devices)
+    ready = overlap.prepared(r)
+    lines = q.filter("line is not null")
+    pairs = overlap.join_lines(lines, ready)
     assert pairs.count() == sum(len(a & b) for a in queries.values() for b in references.values())
     n_q, n_r = len(queries), len(references)
-    for row in sides.heavy.filter("line like 'w%'").collect():
+    heavy = overlap._grids(overlap.rule_pairs(lines, ready.per_rule))
+    for row in heavy.filter("line like 'w%'").collect():
         assert n_q / row["parts_q"] * n_r / row["parts_r"] <= 60
-    found = overlap_topk(q, r, k=5).orderBy("rank").collect()
+    found = overlap_topk(q, ready, k=5, max_hot=1).orderBy("rank").collect()
     for name, rules in queries.items():
         scored = sorted(
             (-len(rules & other) / len(rules | other), device) for device, other in references.items()
@@ -148,6 +152,54 @@ def test_heavy_rules_are_cut_into_cells(spark, monkeypatch):
         assert [x["device"] for x in found if x["query"] == name] == [d for _, d in scored[:5]]
 
 
+def many_profiles(n, prefix, seed):
+    """Families of profiles: a few rules that all hold, many that a family holds, some of their own."""
+    rnd = random.Random(seed)
+    return {
+        f"{prefix}{i}": {f"all{j}" for j in range(6)}
+        | {f"family{i % 10}-{j}" for j in rnd.sample(range(30), 24)}
+        | {f"own{i % 37}-{j}" for j in range(4)}
+        for i in range(n)
+    }
+
+
+def test_few_pairs_are_emitted(spark, monkeypatch):
+    """Common rules emit no pair, and a score to beat keeps most others from being emitted."""
+    monkeypatch.setattr(overlap, "SEED_PAIRS", 20)
+    queries, references = many_profiles(60, "q", 1), many_profiles(200, "d", 2)
+    q, r = frame(spark, queries, "query"), frame(spark, references, "device")
+    sides = overlap._Sides(q, r, 8000, 4096)
+    assert sorted(sides.hot) == [f"all{j}" for j in range(6)]
+    every = sum(len(a & b) for a in queries.values() for b in references.values())
+    best = overlap_topk(q, r, k=3, pair_budget=8000)
+    floors = overlap._floors(best, 3)
+    seeds = sides.emitted(sides.seeds(), "jaccard").count()
+    rest = sides.emitted(sides.prefixes(floors, "jaccard"), "jaccard").count()
+    assert seeds + rest < every / 5
+    got = {}
+    for row in best.orderBy("rank").collect():
+        got.setdefault(row["query"], []).append(row["device"])
+    for name, rules in queries.items():
+        scored = sorted(
+            (-len(rules & other) / len(rules | other), device) for device, other in references.items()
+        )
+        assert got[name] == [d for _, d in scored[:3]]
+
+
+def test_words_hold_every_bit(spark):
+    """The sign bit of a word is a bit like the others."""
+    rules = [f"r{j:03d}" for j in range(130)]
+    queries = {"q": set(rules), "one": {rules[63]}}
+    references = {"a": set(rules[:70]), "b": {rules[63], rules[129]}, "c": {rules[128]}}
+    q, r = frame(spark, queries, "query"), frame(spark, references, "device")
+    sides = overlap._Sides(q, r, 0, 4096)
+    assert len(sides.hot) == 71 + 1
+    found = overlap_topk(q, r, "exact_hit_count", 3, pair_budget=0).orderBy("query", "rank").collect()
+    assert [(x["query"], x["device"], x["hit_count"]) for x in found] == [
+        ("one", "a", 1), ("one", "b", 1), ("one", "c", 0), ("q", "a", 70), ("q", "b", 2), ("q", "c", 1),
+    ]
+
+
 def test_pairs_beyond_64_bits(spark):
     counts = overlap.rule_pairs(
         spark.createDataFrame([("q", "a")], "query string, line string"),
