@@ -36,18 +36,18 @@ from spoor.functions.vectors import best_columns, matrix_of, unit_rows
 from spoor.operators import balls
 from spoor.operators.pooling import mean_vectors
 from spoor.operators.ranking import is_ahead, name_positions, order_score, top_k
-from spoor.session import ship_package, stored
+from spoor.session import measured, ship_package, stored
 
 # Rows of one tile; its distinct vectors are at most as many.
-TILE_ROWS = 16_384
+TILE_ROWS = 131_072
 # Bytes that the vectors of a tile may take in double precision.
 TILE_BYTES = 64 << 20
 # Rows of a block of queries.
 BLOCK_ROWS = 4_096
 MAX_TASKS = 20_000
 # Queries scored at a time, and query vectors per matrix product.
-STEP_QUERIES = 512
-STEP_ROWS = 256
+STEP_QUERIES = 256
+STEP_ROWS = 64
 # Parts of balls in one task of the bounds.
 SUMMARY_ROWS = 50_000
 # Scores closer than this tie, so that the name decides (see order_score).
@@ -78,8 +78,8 @@ OPENED_SCHEMA = "query string, unit long, bound double"
 # ---------------------------------------------------------------- tables
 
 
-def _distinct_vectors(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """``(*keys, vid, copies)`` and ``(vid, embedding)``; equal vectors have one ``vid``.
+def _distinct_vectors(df: DataFrame, keys: list[str]) -> _Distinct:
+    """Rows ``(*keys, vid, copies)`` and vectors ``(vid, embedding)``, each vector once.
 
     Vectors are told apart by 128 bits of hashes, so that no vector is sorted or shuffled as a
     key.
@@ -87,13 +87,26 @@ def _distinct_vectors(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFr
     marks = {"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(1), "embedding")}
     # New column identities: both sides may come from one bank.
     hashed = df.toDF(*df.columns).withColumns(marks)
-    vectors = stored(
+    vectors, seen = measured(
         hashed.groupBy("h1", "h2").agg(F.any_value("embedding").alias("embedding"))
-        .withColumn("vid", F.monotonically_increasing_id())
+        .withColumn("vid", F.monotonically_increasing_id()),
+        vectors=F.count(F.lit(1)), dim=F.max(F.size("embedding")),
     )
     rows = hashed.groupBy(*keys, "h1", "h2").agg(F.count(F.lit(1)).alias("copies"))
-    rows = rows.join(vectors.select("h1", "h2", "vid"), ["h1", "h2"]).drop("h1", "h2")
-    return stored(rows), vectors.select("vid", "embedding")
+    rows, sizes = measured(
+        rows.join(vectors.select("h1", "h2", "vid"), ["h1", "h2"]).drop("h1", "h2"),
+        rows=F.count(F.lit(1)),
+    )
+    return _Distinct(rows, vectors.select("vid", "embedding"), sizes["rows"], **seen)
+
+
+@dataclass(frozen=True)
+class _Distinct:
+    rows: DataFrame  # (label ..., vid, copies)
+    held: DataFrame  # (vid, embedding)
+    count: int  # of rows
+    vectors: int
+    dim: int | None
 
 
 def _with_columns(df: DataFrame, **kinds: str) -> DataFrame:
@@ -108,41 +121,35 @@ class _Placed:
     in ``parts`` pieces (only with ``split``).
     """
 
-    def __init__(self, rows, vectors, label, size, centres, split):
-        self.rows, self.vectors, self.label = rows, vectors, label
-        count = rows.count()
-        if count <= size:
-            one = {"unit": F.lit(0).cast("long"), "part": F.lit(0), "whole": F.lit(True)}
-            self.rows, self.units = rows.withColumns(one), 1 if count else 0
+    def __init__(self, side: _Distinct, label: str, size: int, split: bool, near=True):
+        rows, self.vectors, self.label = side.rows, side.held, label
+        self.rows = rows
+        units = -(-side.count // size)
+        one_part = {"part": F.lit(0), "whole": F.lit(True)}
+        dealt = F.pmod(F.xxhash64(label), F.lit(max(1, units)))
+        if units <= 1:
+            self.rows, self.units = rows.withColumns({"unit": F.lit(0).cast("long"), **one_part}), units
             return
-        self.balls = stored(balls.assign(vectors, centres))
-        per_ball = rows.join(self.balls, "vid").groupBy(label, "ball").agg(
-            F.count(F.lit(1)).alias("n")
-        )
-        # The ball that holds most of a label.
-        labels = stored(per_ball.groupBy(label).agg(
-            F.sum("n").alias("n"), F.max_by("ball", F.struct("n", -F.col("ball"))).alias("ball")
-        ))
+        self.centres = balls.fit_centres(self.vectors, side.vectors) if near is True else near
+        if self.centres is None:
+            labels, unit = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")), dealt
+        else:
+            labels, unit, units = self._near(size, split)
         fits = (F.col("n") <= size) if split else F.lit(True)
-        held = labels.filter(fits).groupBy("ball").agg(F.sum("n")).collect()  # one row per ball
-        groups, near = balls.group_balls(
-            {r[0]: r[1] for r in held}, balls.along_a_tour(centres), size
-        )
-        pairs = [F.lit(x) for ball, found in groups.items() for x in (ball, found[0])]
-        first = F.create_map(*pairs)[F.col("ball")]
-        pairs = [F.lit(x) for ball, found in groups.items() for x in (ball, found[1])]
-        among = F.pmod(F.xxhash64(label), F.create_map(*pairs)[F.col("ball")])
-        shared = labels.filter(fits).select(
-            label, (first + among).cast("long").alias("unit"), F.lit(1).alias("parts")
-        )
         large = labels.filter(~fits)
         count_large = large.count() if split else 0
+        self.units = units + count_large
+        if self.centres is None and not count_large:
+            self.rows = rows.withColumns({"unit": dealt, **one_part})
+            return
+        shared = labels.filter(fits).select(
+            label, unit.cast("long").alias("unit"), F.lit(1).alias("parts")
+        )
         if count_large:
             shared = shared.unionByName(large.join(name_positions(large, label), label).select(
-                label, (F.col("position") + near).alias("unit"),
+                label, (F.col("position") + units).alias("unit"),
                 F.ceil(F.col("n") / size).cast("int").alias("parts"),
             ))
-        self.units = near + count_large
         # Rows of one text stay together, so that texts are taken out together.
         salt = F.pmod(F.xxhash64(F.coalesce("text", F.col("vid").cast("string"))), F.col("parts"))
         self.rows = stored(
@@ -150,6 +157,28 @@ class _Placed:
             .withColumns({"part": salt.cast("int"), "whole": F.col("parts") == 1}).drop("parts")
         )
 
+    def _near(self, size: int, split: bool):
+        """Labels, the unit of those that fit by the ball that holds most of a label, and
+        the number of units."""
+        self.balls = stored(balls.assign(self.vectors, self.centres))
+        per_ball = self.rows.join(self.balls, "vid").groupBy(self.label, "ball").agg(
+            F.count(F.lit(1)).alias("n")
+        )
+        labels = stored(per_ball.groupBy(self.label).agg(
+            F.sum("n").alias("n"), F.max_by("ball", F.struct("n", -F.col("ball"))).alias("ball")
+        ))
+        held = labels.filter(F.col("n") <= size) if split else labels
+        held = held.groupBy("ball").agg(F.sum("n")).collect()  # one row per ball
+        groups, units = balls.group_balls(
+            {r[0]: r[1] for r in held}, balls.along_a_tour(self.centres), size
+        )
+
+        def of_ball(place):
+            pairs = [F.lit(x) for ball, found in groups.items() for x in (ball, found[place])]
+            return F.create_map(*pairs)[F.col("ball")]
+
+        return labels, of_ball(0) + F.pmod(F.xxhash64(self.label), of_ball(1)), units
+
     def with_vectors(self, rows: DataFrame, *place: str) -> DataFrame:
         """``rows`` and, once for each place, the vectors that its rows hold."""
         needed = rows.select(*place, "vid").distinct().join(self.vectors, "vid")
@@ -579,27 +608,35 @@ class DenseSearch:
         if not self.masked:
             none = F.lit(None).cast("string")
             q, r = q.withColumn("text", none), r.withColumn("text", none)
-        q_rows, q_vectors = _distinct_vectors(q, ["query", "expected", "text", "unseen"])
-        r_rows, r_vectors = _distinct_vectors(r, ["device", "text"])
-        dim = r_vectors.agg(F.max(F.size("embedding"))).first()[0] or 1
-        tile_rows = max(1, min(tile_rows, TILE_BYTES // (8 * dim)))
+        q = _distinct_vectors(q, ["query", "expected", "text", "unseen"])
+        r = _distinct_vectors(r, ["device", "text"])
+        fitting = max(1, TILE_BYTES // (8 * (r.dim or 1)))
+        # Few distinct vectors fit into any tile, however many rows hold them.
+        tile_rows = tile_rows if r.vectors <= fitting else min(tile_rows, fitting)
         block_rows = max(1, min(block_rows, tile_rows))
-        count = r_vectors.count()
-        self.centres = balls.fit_centres(r_vectors, count) if count else np.zeros((1, dim))
         # Only maxsim adds up over the rows of a query, and only if the query takes nothing
         # out of the references. Otherwise a query stays whole, however many rows it has.
         split = self.methods == ["maxsim"] and not self.masked
-        self.tiles = _Placed(r_rows, r_vectors, "device", tile_rows, self.centres, True)
-        blocks = _Placed(q_rows, q_vectors, "query", block_rows, self.centres, split)
-        self.blocks = blocks
+        self.tiles = _Placed(r, "device", tile_rows, True)
+        # Queries lie together in blocks only where tiles can be closed for them.
+        several = self.tiles.units > 1
+        self.blocks = _Placed(q, "query", block_rows, split, self.tiles.centres if several else None)
         block = F.col("unit") * _PARTS + F.col("part")
-        self.rows = blocks.rows.withColumn("block", block).drop("unit", "part")
-        self.held = stored(self.tiles.with_vectors(self.tiles.rows, "unit", "part"))
-        self.places = stored(self.tiles.rows.select("unit", "part").distinct())
+        self.rows = self.blocks.rows.withColumn("block", block).drop("unit", "part")
         # One unit cannot be closed, and the bounds hold for maxsim.
         self.prune = prune and self.methods == ["maxsim"] and self.tiles.units > 1
         self.opened: list[DataFrame] = []
 
+    @cached_property
+    def held(self) -> DataFrame:
+        """Rows and vectors of all tiles."""
+        held = self.tiles.with_vectors(self.tiles.rows, "unit", "part")
+        return stored(held) if self.tiles.units > 1 else held
+
+    @cached_property
+    def places(self) -> DataFrame:
+        return stored(self.tiles.rows.select("unit", "part").distinct())
+
     def _everywhere(self, rows: DataFrame) -> DataFrame:
         last = F.lit(max(0, self.tiles.units - 1)).cast("long")
         units = F.explode(F.sequence(F.lit(0).cast("long"), last))
@@ -627,7 +664,7 @@ class DenseSearch:
         right = summary.join(asked.select("block", "chunk").toDF("block", "chunk"), "chunk")
         found = (
             left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk"))
-            .applyInArrow(_bound_kernel(self.centres, floors is None, self.masked), OPENED_SCHEMA)
+            .applyInArrow(_bound_kernel(self.tiles.centres, floors is None, self.masked), OPENED_SCHEMA)
         )
         if floors is None:
             best = Window.partitionBy("query").orderBy(F.col("bound").desc(), "unit")
@@ -636,11 +673,18 @@ class DenseSearch:
 
     def _score(self, rows: DataFrame, opened: DataFrame, mode: str, k: int = 0) -> DataFrame:
         """Every query against the units opened for it."""
-        meet = rows.join(opened, "query").join(self.places, "unit")
+        if self.tiles.units <= 1:
+            meet = rows.withColumns({"unit": F.lit(0).cast("long"), "part": F.lit(0)})
+        else:
+            meet = rows.join(opened, "query").join(self.places, "unit")
         left = self.blocks.with_vectors(meet, "block", "unit", "part")
         # New column identities, as both sides come from one table.
         asked = meet.select("block", "unit", "part").distinct().toDF("block", "unit", "part")
-        right = self.held.join(asked, ["unit", "part"])
+        right = (
+            self.held.join(asked, ["unit", "part"]) if self.blocks.units > 1 or self.tiles.units > 1
+            # One block at most: its place is that of any of its rows.
+            else self.held.withColumn("block", F.lit(0).cast("long"))
+        )
         merge = _merge_maxsim if self.methods == ["maxsim"] else _merge
         key = ["block", "unit", "part"]
         # As many tasks as pairs of a block and a unit, while those are few.
@@ -652,7 +696,7 @@ class DenseSearch:
         )
 
     def _open(self, pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs)
+        pairs = stored(pairs) if self.prune else pairs
         self.opened.append(pairs)
         return pairs
 

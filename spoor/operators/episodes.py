@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from spoor.operators.dense import TILE_ROWS, VECTOR_METHODS, dense_ranks, dense_topk
 from spoor.operators.masked import SET_METHODS, masked_ranks, masked_topk
 from spoor.operators.profiles import first_rows
+from spoor.session import stored
 
 METHODS = (*SET_METHODS, *VECTOR_METHODS)
 STRICT, PARTIAL = "strict-unseen", "partial"
@@ -27,6 +28,16 @@ UNSEEN_COUNT = 2
 EXAMPLES = 3
 
 
+def sample_size(mode: str, query_size: int, exact_count: int, unseen_count: int) -> tuple[int, int]:
+    """How many rules of a sample stay in the references, and how many are taken out."""
+    sizes = {STRICT: (0, query_size), PARTIAL: (exact_count, unseen_count)}
+    if mode not in sizes:
+        raise ValueError(f"unknown mode: {mode}")
+    if mode == PARTIAL and sum(sizes[mode]) <= 0:
+        raise ValueError("partial mode needs at least one exact or unseen rule")
+    return sizes[mode]
+
+
 def sample_episodes(
     bank: DataFrame,
     mode: str = STRICT,
@@ -42,14 +53,8 @@ def sample_episodes(
     the device's distinct texts, a different order per episode. A device needs more
     distinct texts than the sample holds, so one row more is taken and then checked.
     """
-    if mode == STRICT:
-        kept, size = 0, query_size
-    elif mode == PARTIAL:
-        kept, size = exact_count, exact_count + unseen_count
-        if size <= 0:
-            raise ValueError("partial mode needs at least one exact or unseen rule")
-    else:
-        raise ValueError(f"unknown mode: {mode}")
+    kept, removed = sample_size(mode, query_size, exact_count, unseen_count)
+    size = kept + removed
     if episodes_per_device < 1:
         raise ValueError("episodes_per_device must be at least 1")
     numbered = first_rows(bank).withColumn(
@@ -133,7 +138,7 @@ def episode_topk(
 ) -> DataFrame:
     """``(query, method, device, score, rank)``; scores to six decimals."""
     sets, vectors = _by_kind(methods)
-    found = []
+    episodes, found = stored(episodes), []
     if sets:
         found.append(masked_topk(_sets(episodes), bank, sets, k))
     if vectors:
@@ -149,7 +154,7 @@ def episode_ranks(
 ) -> DataFrame:
     """``(query, expected, method, score, rank)`` of the expected device."""
     sets, vectors = _by_kind(methods)
-    found = []
+    episodes, found = stored(episodes), []
     if sets:
         found.append(masked_ranks(_sets(episodes), bank, sets))
     if vectors:

@@ -26,9 +26,9 @@ class _Masked:
         self.ready = References(bank.select("device", F.col("text").alias("line")))
         self.devices = self.ready.profiles
         texts = queries.filter("text is not null").groupBy("query", F.col("text").alias("line"))
-        lines = stored(texts.agg(F.max("unseen").alias("unseen")))
+        lines = texts.agg(F.max("unseen").alias("unseen"))
         sizes = lines.groupBy("query").agg(F.count(F.lit(1)).alias("n_q"))
-        self.queries = stored(
+        self.queries = (
             queries.select("query", "expected").distinct().join(sizes, "query", "left")
             .withColumn("n_q", F.coalesce("n_q", F.lit(0)))
         )

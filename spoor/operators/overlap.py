@@ -3,7 +3,7 @@
 Rules are told apart by how many pairs of profiles hold them.
 
 *Common* rules are held by a noticeable share of all pairs. They are never joined: each profile
-keeps them as bits, profiles with the same bits and size form a class, and classes meet in a
+keeps their numbers as bits, profiles with the same bits and size form a class, and classes meet in a
 grid of tiles, where a popcount gives all hits of a cell at once. A cell emits the k best
 devices or a number of devices, not pairs.
 
@@ -18,6 +18,7 @@ Results are exact.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,10 @@ from pyspark.sql import functions as F
 from spoor.functions.numbers import ratio
 from spoor.functions.vectors import best_columns
 from spoor.operators.ranking import is_ahead, name_positions, top_k
-from spoor.session import ship_package, stored
+from spoor.session import measured, ship_package, stored
 
 # A rule is common if it alone would emit more pairs than this and than this share of all.
-PAIR_BUDGET = 10_000
+PAIR_BUDGET = 1_000
 HOT_SHARE = 0.001
 # Bits per profile. Bounds the rules kept on the driver.
 MAX_HOT_RULES = 4_096
@@ -122,12 +123,20 @@ class References:
 
     def __init__(self, references: DataFrame):
         # Several jobs read the sets, which are far smaller than what they come from.
-        rules = stored(references.select("device", "line").distinct())
-        self.profiles = stored(rules.groupBy("device").agg(F.count("line").alias("n_r")))
-        self.rules = rules.filter("line is not null")
-        self.per_rule = stored(self.rules.groupBy("line").agg(F.count(F.lit(1)).alias("n_r")))
         size = F.octet_length("device") + F.octet_length("line") + ROW_BYTES
-        self.broadcast = (self.rules.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
+        self.every, seen = measured(
+            references.select("device", "line").distinct(),
+            devices=F.approx_count_distinct("device"), bytes=F.sum(size),
+        )
+        self.rules = self.every.filter("line is not null")
+        #: About the number of profiles; it decides on plans only.
+        self.count = seen["devices"]
+        self.broadcast = (seen["bytes"] or 0) <= BROADCAST_BYTES
+        self.per_rule = self.rules.groupBy("line").agg(F.count(F.lit(1)).alias("n_r"))
+
+    @cached_property
+    def profiles(self) -> DataFrame:
+        return stored(self.every.groupBy("device").agg(F.count("line").alias("n_r")))
 
 
 def prepared(references: DataFrame | References) -> References:
@@ -148,19 +157,19 @@ def join_lines(
     with very many pairs are cut into parts, and each pair of parts meets in a cell of its own.
     """
     right = ready.rules if right is None else right
-    counts = rule_pairs(left.select("query", "line"), ready.per_rule)
-    total = counts.agg(F.sum("pairs")).first()[0] or 0
-    tasks = int(min(max(1, total // PAIRS_PER_TASK), MAX_JOIN_TASKS))
+    pairs = left.join(ready.per_rule, "line").groupBy("query").agg(
+        F.count(F.lit(1)).alias("rules"), F.sum("n_r").alias("pairs")
+    )
+    largest, total = pairs.agg(F.max("rules"), F.sum("pairs")).first()
+    tasks = int(min(max(1, (total or 0) // PAIRS_PER_TASK), MAX_JOIN_TASKS))
     on = ["line"]
     if ready.broadcast:
-        sizes = left.groupBy("query").agg(F.count(F.lit(1)).alias("rules"))
-        largest = sizes.agg(F.max("rules")).first()[0] or 0
         spread: list = ["query"]
-        if largest > QUERY_RULES_PER_TASK:
+        if (largest or 0) > QUERY_RULES_PER_TASK:
             spread.append(F.pmod(F.xxhash64("line"), F.lit(-(-largest // QUERY_RULES_PER_TASK))))
         left, right = left.repartition(tasks, *spread), F.broadcast(right)
     elif tasks > 1:
-        heavy = stored(_grids(counts))
+        heavy = stored(_grids(rule_pairs(left.select("query", "line"), ready.per_rule)))
         left = _cells(left.join(heavy, "line", "left"), "query", "q", "r")
         right = _cells(right.join(heavy, "line", "left"), "device", "r", "q")
         on = ["line", "cell_q", "cell_r"]
@@ -172,28 +181,21 @@ def join_lines(
 # ---------------------------------------------------------------- grid
 
 
-def _words(rules: DataFrame, key: str, hot: list[str], name: str) -> DataFrame:
-    """``(key, name)``: the common rules of a profile as words of 64 bits."""
-    spark, count = rules.sparkSession, -(-len(hot) // 64)
-    bits = spark.createDataFrame(list(zip(hot, range(len(hot)))), "line string, bit int")
-    held = (
-        rules.join(F.broadcast(bits), "line")  # at most max_hot rows
-        .groupBy(key, F.floor(F.col("bit") / 64).cast("int").alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, bit % 64)")).alias("bits"))
-    )
-    by_word = F.map_from_entries(F.collect_list(F.struct("word", "bits")))  # count entries
-    numbers = F.sequence(F.lit(0), F.lit(count - 1))
-    return held.groupBy(key).agg(by_word.alias("words")).select(
-        key,
-        F.transform(
-            numbers, lambda w: F.coalesce(F.try_element_at("words", w), F.lit(0).cast("long"))
-        ).alias(name),
+def _profiles(rules: DataFrame, key: str, hot: list[str], size: str, bits: str) -> DataFrame:
+    """``(key, size, bits)``: number of rules, and the common ones as sorted bit numbers."""
+    if not hot:
+        none = F.array().cast("array<int>").alias(bits)
+        return rules.groupBy(key).agg(F.count("line").alias(size)).select(key, size, none)
+    listed = pa.table({"line": hot, "bit": pa.array(range(len(hot)), pa.int32())})
+    numbers = rules.sparkSession.createDataFrame(listed)
+    # At most max_hot rows on the small side, and bits in a list.
+    return rules.join(F.broadcast(numbers), "line", "left").groupBy(key).agg(
+        F.count("line").alias(size), F.sort_array(F.collect_list("bit")).alias(bits)
     )
 
 
-def _hot_hits(q: str = "words_q", r: str = "words_r") -> Column:
-    common = F.zip_with(q, r, lambda a, b: F.bit_count(a.bitwiseAND(b)))
-    return F.aggregate(common, F.lit(0), lambda total, n: total + n)
+def _hot_hits() -> Column:
+    return F.size(F.array_intersect("bits_q", "bits_r"))
 
 
 def _popcounts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -203,6 +205,15 @@ def _popcounts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return hits
 
 
+def _words(rows: pa.Table, name: str, count: int) -> np.ndarray:
+    """The bit numbers of each row as words of 64 bits."""
+    listed = rows[name].combine_chunks()
+    row = np.repeat(np.arange(len(rows)), np.diff(listed.offsets.to_numpy()))
+    held = np.zeros((len(rows), 64 * count), bool)
+    held[row, listed.flatten().to_numpy()] = True
+    return np.packbits(held, axis=1, bitorder="little").view(np.uint64)
+
+
 def _array_scores(method: str, hits: np.ndarray, n_q: np.ndarray, n_r: np.ndarray) -> np.ndarray:
     """The scorers on arrays; zero without a hit."""
     if method == "exact_hit_count":
@@ -211,44 +222,38 @@ def _array_scores(method: str, hits: np.ndarray, n_q: np.ndarray, n_r: np.ndarra
     return np.divide(hits, union, out=np.zeros(hits.shape), where=union > 0)
 
 
-def _bits(rows: pa.Table, name: str) -> np.ndarray:
-    column = rows[name].combine_chunks()
-    words = column.flatten().to_numpy(zero_copy_only=False)
-    return words.reshape(len(rows), -1).view(np.uint64)
-
-
-def _classes(rows: pa.Table, size: str, words: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sizes and bits of the distinct classes, and each row's class."""
-    both = np.column_stack([rows[size].to_numpy().astype(np.uint64), _bits(rows, words)])
+def _classes(rows: pa.Table, size: str, bits: str, count: int):
+    """Sizes and words of the distinct classes, and each row's class."""
+    both = np.column_stack([rows[size].to_numpy().astype(np.uint64), _words(rows, bits, count)])
     found, inverse = np.unique(both, axis=0, return_inverse=True)
-    return found[:, 0].astype(np.int64), found[:, 1:], inverse.ravel()
+    return found[:, 0].astype(np.int64), np.ascontiguousarray(found[:, 1:]), inverse.ravel()
 
 
-def _best_kernel(method: str, k: int):
+def _best_kernel(method: str, k: int, count: int):
     """Per class of queries the k best members with a common rule, names in order on ties."""
-    schema = pa.schema([("class", pa.int64()), ("device", pa.string()), ("n_r", pa.int64()),
-                        ("hits", pa.int64())])
+    schema = pa.schema([("n_q", pa.int64()), ("bits_q", pa.list_(pa.int32())),
+                        ("device", pa.string()), ("n_r", pa.int64()), ("hits", pa.int64())])
 
     def best(key, q: pa.Table, r: pa.Table) -> pa.Table:
         if len(q) == 0 or len(r) == 0:
             return schema.empty_table()
         r = r.sort_by("device")
-        n_r, bits, member = _classes(r, "n_r", "words_r")
-        hits = _popcounts(_bits(q, "words_q"), bits)
+        n_r, words, member = _classes(r, "n_r", "bits_r", count)
+        hits = _popcounts(_words(q, "bits_q", count), words)
         scores = _array_scores(method, hits, q["n_q"].to_numpy(), n_r)[:, member]
         row, column = best_columns(scores, k)
         found = scores[row, column] > 0
         row, column = row[found], column[found]
+        asked = q.select(["n_q", "bits_q"]).take(pa.array(row))
         return pa.table(
-            [q["class"].combine_chunks().take(pa.array(row)),
-             r["device"].combine_chunks().take(pa.array(column)),
-             pa.array(n_r[member[column]]), pa.array(hits[row, member[column]])], schema=schema,
-        )
+            [asked["n_q"], asked["bits_q"], r["device"].combine_chunks().take(pa.array(column)),
+             pa.array(n_r[member[column]]), pa.array(hits[row, member[column]])], names=schema.names,
+        ).cast(schema)
 
     return best
 
 
-def _ahead_kernel(method: str):
+def _ahead_kernel(method: str, count: int):
     """Per query the devices that its score puts ahead, by their common rules.
 
     A class with a higher score counts whole. In a class with the same score the names before
@@ -260,9 +265,9 @@ def _ahead_kernel(method: str):
     def ahead(key, q: pa.Table, r: pa.Table) -> pa.Table:
         if len(q) == 0 or len(r) == 0:
             return schema.empty_table()
-        n_q, query_bits, query_class = _classes(q, "n_q", "words_q")
-        n_r, bits, block_class = _classes(r, "n_r", "words_r")
-        hits = _popcounts(query_bits, bits)
+        n_q, query_words, query_class = _classes(q, "n_q", "bits_q", count)
+        n_r, words, block_class = _classes(r, "n_r", "bits_r", count)
+        hits = _popcounts(query_words, words)
         scores = _array_scores(method, hits, n_q, n_r)[query_class]
         listed = r["positions"].combine_chunks()
         positions = listed.flatten().to_numpy()
@@ -289,13 +294,16 @@ def _ahead_kernel(method: str):
     return ahead
 
 
-def _in_grid(left: DataFrame, right: DataFrame, own: str, other: str, kernel, schema: str) -> DataFrame:
-    """Every tile of ``left`` against every tile of ``right``; rows go to tiles by a hash."""
+def _in_grid(left: DataFrame, right: DataFrame, own: list, other: list, sizes: tuple, kernel, schema):
+    """Every tile of ``left`` against every tile of ``right``; rows go to tiles by a hash.
+
+    ``sizes`` are the rows of both sides at most.
+    """
     ship_package(left.sparkSession)
-    tiles = [max(1, -(-df.count() // GRID_ROWS)) for df in (left, right)]
+    tiles = [max(1, -(-size // GRID_ROWS)) for size in sizes]
 
     def placed(df, name, mine, others, count, other_count):
-        return df.withColumn(mine, F.pmod(F.xxhash64(name), F.lit(count)).cast("int")).withColumn(
+        return df.withColumn(mine, F.pmod(F.xxhash64(*name), F.lit(count)).cast("int")).withColumn(
             others, F.explode(F.sequence(F.lit(0), F.lit(other_count - 1)))
         )
 
@@ -315,48 +323,43 @@ class _Sides:
 
     def __init__(self, queries, references, pair_budget, max_hot):
         self.ready = ready = prepared(references)
-        queries = stored(queries.select("query", "line").distinct())
-        sizes = queries.groupBy("query").agg(F.count("line").alias("n_q"))
-        counts = stored(rule_pairs(queries.filter("line is not null"), ready.per_rule))
-        self.count = sizes.count()
-        share = HOT_SHARE * self.count * ready.profiles.count()
+        self.queries, seen = measured(
+            queries.select("query", "line").distinct(), queries=F.approx_count_distinct("query")
+        )
+        self.count = seen["queries"]
+        counts = rule_pairs(self.queries.filter("line is not null"), ready.per_rule)
+        share = HOT_SHARE * self.count * ready.count
         self.hot, self.rare_pairs = hot_rules(counts, max(pair_budget, share), max_hot)
-        if self.hot:
-            none = F.array_repeat(F.lit(0).cast("long"), -(-len(self.hot) // 64))
-            words_q = _words(queries, "query", self.hot, "words_q")
-            words_r = _words(ready.rules, "device", self.hot, "words_r")
-            sizes = sizes.join(words_q, "query", "left").withColumn("words_q", F.coalesce("words_q", none))
-            devices = ready.profiles.join(words_r, "device", "left").withColumn(
-                "words_r", F.coalesce("words_r", none)
-            )
-        else:
-            none = F.array().cast("array<long>")
-            sizes = sizes.withColumn("words_q", none)
-            devices = ready.profiles.withColumn("words_r", none)
-        self.query_profiles, self.devices = stored(sizes), stored(devices)
-        bits = counts.sparkSession.createDataFrame([(x,) for x in self.hot], "line string")
-        rare = counts.join(F.broadcast(bits), "line", "left_anti").select("line", F.col("n_r").alias("held"))
-        # Rarest first.
+        self.words = -(-len(self.hot) // 64)
+        profiles = _profiles(self.queries, "query", self.hot, "n_q", "bits_q")
+        # Without rare rules they are read in one plan only.
+        self.query_profiles = stored(profiles) if self.rare_pairs else profiles
+        self.devices = stored(_profiles(ready.every, "device", self.hot, "n_r", "bits_r"))
+
+    @cached_property
+    def rare(self) -> DataFrame:
+        """``(query, line, place, emitted, n_rare)``: rare rules of both sides, rarest first."""
+        hot = self.queries.sparkSession.createDataFrame(
+            pa.table({"line": pa.array(self.hot, pa.string())})
+        )
+        held = self.ready.per_rule.withColumnRenamed("n_r", "held").join(
+            F.broadcast(hot), "line", "left_anti"
+        )
         by_query = Window.partitionBy("query")
         ordered = by_query.orderBy("held", "line")
-        self.rare = stored(
-            queries.join(rare, "line").select(
-                "query", "line", F.row_number().over(ordered).alias("place"),
-                F.sum("held").over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("emitted"),
-                F.count(F.lit(1)).over(by_query).alias("n_rare"),
-            )
-        )
+        return stored(self.queries.join(held, "line").select(
+            "query", "line", F.row_number().over(ordered).alias("place"),
+            F.sum("held").over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("emitted"),
+            F.count(F.lit(1)).over(by_query).alias("n_rare"),
+        ))
 
     def prefixes(self, floors: DataFrame, method: str) -> DataFrame:
         """The rare rules with ``joined``: whether a device that reaches the floor could have
         this as its first rule in common. ``floors (query, floor)``."""
         floor, n_q = F.col("floor"), F.col("n_q")
         share = floor * n_q if method == "jaccard" else floor
-        common = F.aggregate(
-            F.transform("words_q", lambda w: F.bit_count(w)), F.lit(0), lambda total, n: total + n
-        )
         # Hits that are missing even if all common rules hit.
-        needed = F.greatest(F.lit(1), F.ceil(share - 1e-9) - common)
+        needed = F.greatest(F.lit(1), F.ceil(share - 1e-9) - F.size("bits_q"))
         return (
             self.rare.join(self.query_profiles, "query").join(floors, "query")
             .withColumn("joined", F.col("place") <= F.col("n_rare") - needed + 1)
@@ -372,7 +375,7 @@ class _Sides:
 
     def emitted(self, marked: DataFrame, method: str) -> DataFrame:
         """``(query, device)`` once per joined rule that both hold, within the sizes."""
-        sized = self.ready.rules.join(self.ready.profiles, "device")
+        sized = self.ready.rules.join(self.devices.select("device", "n_r"), "device")
         n_q, n_r, floor = F.col("n_q"), F.col("n_r"), F.col("floor")
         # The overlap of two sets is at most the smaller one's share of the larger.
         near = (n_r >= floor * n_q - 1e-9) & (n_q >= floor * n_r - 1e-9)
@@ -443,17 +446,21 @@ def overlap_topk(
     names = F.array(*[
         F.struct(
             F.lit(d["device"]).alias("device"), F.lit(d["n_r"]).alias("n_r"),
-            F.array(*[F.lit(w) for w in d["words_r"]]).cast("array<long>").alias("words_r"),
+            F.array(*[F.lit(b) for b in d["bits_r"]]).cast("array<int>").alias("bits_r"),
         )
         for d in first
     ])
     padding = sides.query_profiles.withColumn("first", F.explode(names)).select(
-        "query", "n_q", "words_q", "first.*"
+        "query", "n_q", "bits_q", "first.*"
     )
     found = padding.withColumn("hits", _hot_hits().cast("long")).select(*row)
     if sides.hot:
         found = found.unionByName(_best_by_classes(sides, method, k).select(*row))
-    found = stored(_best_of(found, method, k).select(*row, "score"))
+    found = _best_of(found, method, k)
+    result = ["query", "device", "score", F.col("hits").alias("hit_count"), "rank"]
+    if not sides.rare_pairs:
+        return found.select(*result)
+    found = stored(found.select(*row, "score"))
 
     def with_rare(best, marked):
         hits = (F.col("rare") + _hot_hits()).cast("long")
@@ -466,28 +473,25 @@ def overlap_topk(
     if sides.rare_pairs > SEED_PAIRS * sides.count:
         found = stored(with_rare(found, sides.seeds()).select(*row, "score"))
     found = with_rare(found, sides.prefixes(_floors(found, k), method))
-    return found.select("query", "device", "score", F.col("hits").alias("hit_count"), "rank")
+    return found.select(*result)
 
 
 def _best_by_classes(sides: _Sides, method: str, k: int) -> DataFrame:
     """``(query, n_q, device, n_r, hits)``: the k best by common rules alone."""
-    classes = stored(
-        sides.query_profiles.select("n_q", "words_q").distinct()
-        .withColumn("class", F.monotonically_increasing_id())
-    )
+    classes = sides.query_profiles.select("n_q", "bits_q").distinct()
     # k names stand for a class.
-    names = Window.partitionBy("n_r", "words_r").orderBy("device")
-    members = stored(
-        sides.devices.withColumn("place", F.row_number().over(names)).filter(F.col("place") <= k)
-        .drop("place")
-    )
+    names = Window.partitionBy("n_r", "bits_r").orderBy("device")
+    members = sides.devices.withColumn("place", F.row_number().over(names)).filter(
+        F.col("place") <= k
+    ).drop("place")
     best = _in_grid(
-        classes, members, "class", "device", _best_kernel(method, k),
-        "class long, device string, n_r long, hits long",
+        classes, members, ["n_q", "bits_q"], ["device"], (sides.count, sides.ready.count),
+        _best_kernel(method, k, sides.words),
+        "n_q long, bits_q array<int>, device string, n_r long, hits long",
     )
-    best = best.join(classes, "class").withColumn("score", _score(method, F.col("hits")))
-    best = top_k(best, ["class"], k, F.col("score")).select("n_q", "words_q", "device", "n_r", "hits")
-    return sides.query_profiles.join(best, ["n_q", "words_q"])
+    best = best.withColumn("score", _score(method, F.col("hits")))
+    best = top_k(best, ["n_q", "bits_q"], k, F.col("score")).drop("score", "rank")
+    return sides.query_profiles.join(best, ["n_q", "bits_q"])
 
 
 def overlap_ranks(
@@ -539,15 +543,18 @@ def overlap_ranks(
         "query", F.when(F.col("own") == 0, F.col("own_position")).otherwise(0).alias("ahead")
     )
     scored = own.filter("own is not null")
-    ahead = ahead.union(_ahead_by_rare_rules(sides, scored, devices, method))
+    if sides.rare_pairs:
+        ahead = ahead.union(_ahead_by_rare_rules(sides, scored, devices, method))
     if sides.hot:
+        # Lists of BLOCK positions at most.
         block = F.floor(F.col("position") / BLOCK).alias("block")
-        blocks = stored(
-            devices.groupBy("n_r", "words_r", block).agg(F.collect_list("position").alias("positions"))
+        blocks = devices.groupBy("n_r", "bits_r", block).agg(
+            F.collect_list("position").alias("positions")
         )
-        asked = stored(scored.select("query", "n_q", "words_q", "own", "own_position"))
+        asked = scored.select("query", "n_q", "bits_q", "own", "own_position")
         ahead = ahead.union(_in_grid(
-            asked, blocks, "query", "positions", _ahead_kernel(method), "query string, ahead long"
+            asked, blocks, ["query"], ["positions"], (sides.count, sides.ready.count),
+            _ahead_kernel(method, sides.words), "query string, ahead long",
         ))
     counts = ahead.groupBy("query").agg(F.sum("ahead").alias("ahead"))
     return own.join(counts, "query").select(

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -64,6 +64,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``stored``, and aggregates over the rows that are written, without another pass."""
+    seen = Observation()
+    out = stored(df.observe(seen, *[value.alias(name) for name, value in metrics.items()]))
+    return out, seen.get
+
+
 @contextmanager
 def discard_stored(spark: SparkSession) -> Iterator[None]:
     """Delete at the end what ``stored`` wrote inside, for jobs that run over and over."""
