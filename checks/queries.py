@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from spoor.functions.vectors import l2_normalise
 from spoor.operators import episodes as ep
 from spoor.operators.dense import dense_ranks, dense_topk, pooled
 from spoor.operators.encode import (
+    VectorStore,
     embed_mean,
     embed_rules,
     embed_whole,
@@ -24,11 +27,19 @@ from spoor.operators.overlap import overlap_ranks, overlap_topk
 from spoor.operators.pooling import mean_vectors
 from spoor.operators.profiles import last_wins, profile_sizes
 from spoor.operators.ranking import retrieval_metrics
-from spoor.operators.stats import corpus_counts, reduction_stats, reduction_summary
-from spoor.operators.whiten import fit_whitening
+from spoor.operators.stats import (
+    corpus_counts,
+    corpus_sketches,
+    estimated_counts,
+    reduction_stats,
+    reduction_summary,
+    sketch_error,
+)
+from spoor.operators.whiten import fit_leading, fit_whitening
 from spoor.plans.compaction import ORDER, compact
 from spoor.plans.evaluation import summarise
 from spoor.plans.retrieval import rank_sets
+from spoor.plans.whitening import Whitening
 from spoor.session import shared_dir, stored
 from spoor.sources.banks import query_bank, reference_bank, resolve_bank
 from spoor.sources.profiles import rule_lines
@@ -97,6 +108,30 @@ def corpus_rule_counts(spark, sf_dir):
     return corpus_counts(views.flows(spark, sf_dir).select("entity", "line"), "entity")
 
 
+def corpus_sketch(spark, sf_dir):
+    """Counts from a stored sketch per day of flows, beside the exact ones.
+
+    An estimate may be off by four standard errors.
+    """
+    flows = views.flows(spark, sf_dir)
+    days = flows.select("entity", "line", F.to_date("ts").alias("day"))
+    merged = estimated_counts(stored(corpus_sketches(days, "entity", "day")))
+    exact = corpus_counts(flows.select("entity", "line"), "entity")
+
+    def near(name):
+        off = F.abs(F.col(f"guess.{name}") - F.col(f"exact.{name}"))
+        return (off <= 4 * sketch_error() * F.col(f"exact.{name}") + 1).alias(f"{name}_near")
+
+    # One row each.
+    both = merged.withColumn("one", F.lit(1)).alias("guess").join(
+        exact.withColumn("one", F.lit(1)).alias("exact"), "one"
+    )
+    return both.select(
+        "guess.rule_instances", "exact.unique_rules", "exact.profiles", near("unique_rules"),
+        near("profiles"),
+    )
+
+
 def profile_sets(spark, sf_dir):
     return profile_sizes(views.flows(spark, sf_dir).select("entity", "line"), "entity")
 
@@ -324,7 +359,29 @@ def whiten_maxsim(spark, sf_dir):
 def whiten_covariance(spark, sf_dir):
     """Covariance of the whitened vectors before their last scaling, every entry."""
     bank = views.bank(spark, sf_dir).select("row_id", "embedding")
-    white = fit_whitening(bank).project(bank)
+    return _covariance(fit_whitening(bank).project(bank))
+
+
+def whiten_leading(spark, sf_dir):
+    """The same for the 16 leading directions, fitted without the others."""
+    bank = views.bank(spark, sf_dir).select("row_id", "embedding")
+    return _covariance(fit_leading(bank, 16).project(bank, 16))
+
+
+def whiten_stage(spark, sf_dir):
+    """Lengths of the vectors that a fitted, written and reread pipeline stage gives."""
+    bank = views.bank(spark, sf_dir).select("row_id", "embedding")
+    path = f"{shared_dir(spark)}/whitening-{uuid.uuid4().hex}"
+    Pipeline(stages=[Whitening(k=16)]).fit(bank).write().save(path)
+    white = PipelineModel.load(path).transform(bank)
+    length = F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x.cast("double") * x)
+    return white.select(
+        "row_id", F.size("embedding").cast("long").alias("dim"),
+        F.round(F.sqrt(length), 5).alias("length"),
+    )
+
+
+def _covariance(white):
     dim = len(white.first()["embedding"])
     # d x d sums, added up per task: each row adds the products of its entries.
     rows = white.select(
@@ -370,6 +427,21 @@ def embed_per_rule(spark, sf_dir):
     return _exploded(vectors.withColumn("pos", F.col("pos").cast("long")), "doc_id", "pos")
 
 
+def embed_in_runs(spark, sf_dir):
+    """Rules encoded in one run per language, where a run reuses the vectors of those before."""
+    store = VectorStore(spark, f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}")
+    encoder = hashed_encoder(ENCODER_DIM)
+    rows = views.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    lines = stored(rule_lines(rows, "doc_id", "lang"))
+    languages = [r["lang"] for r in lines.select("lang").distinct().orderBy("lang").collect()]
+    found = [
+        store.encode(lines.filter(F.equal_null("lang", F.lit(name))), encoder, "line")
+        for name in languages
+    ]
+    vectors = reduce(DataFrame.unionByName, found)
+    return _exploded(vectors.withColumn("pos", F.col("pos").cast("long")), "doc_id", "pos")
+
+
 def embed_mean_rules(spark, sf_dir):
     lines = rule_lines(views.documents(spark, sf_dir), "doc_id")
     return _exploded(embed_mean(lines, hashed_encoder(ENCODER_DIM), "doc_id"), "doc_id")
@@ -433,6 +505,7 @@ QUERIES = {
     "compact_profile_stats": compact_profile_stats,
     "quarantined_profiles": quarantined_profiles,
     "corpus_counts": corpus_rule_counts,
+    "corpus_sketch": corpus_sketch,
     "profile_sets": profile_sets,
     "last_wins": last_profile_wins,
     "clean_labels": clean_labels,
@@ -473,9 +546,12 @@ QUERIES = {
     "whiten_metadata": whiten_metadata,
     "whiten_covariance": whiten_covariance,
     "whiten_energy": whiten_energy,
+    "whiten_leading": whiten_leading,
+    "whiten_stage": whiten_stage,
     "whiten_apply": whiten_apply,
     "whiten_maxsim": whiten_maxsim,
     "embed_per_rule": embed_per_rule,
+    "embed_in_runs": embed_in_runs,
     "embed_mean": embed_mean_rules,
     "embed_whole": embed_whole_text,
     "runtime_window_meaning": runtime_window_meaning,

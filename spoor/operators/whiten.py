@@ -107,6 +107,16 @@ def _projector(model, vector: str):
     return project
 
 
+def _unit_rows(reference: DataFrame, vector: str) -> tuple[DataFrame, int, np.ndarray]:
+    """The unit rows as ``unit``, their number and their mean."""
+    unit = l2_normalise(F.col(vector))
+    vectors = require_rows(reference, "the reference bank is empty").select(unit.alias("unit"))
+    n, mean = vectors.agg(
+        F.count(F.lit(1)), Summarizer.mean(array_to_vector("unit"))
+    ).first()
+    return vectors, n, mean.toArray()
+
+
 def fit_whitening(
     reference: DataFrame, vector: str = "embedding", rcond: float | str | None = None
 ) -> WhiteningModel:
@@ -114,15 +124,10 @@ def fit_whitening(
 
     Each task sums its rows into one d x d product, the products are added up in a
     tree, and only that matrix reaches the driver. Directions with a singular value
-    up to ``rcond`` times the largest are dropped; by default
-    max(rows, dim) * FLOAT_EPS, which needs fewer than about 8 million rows.
+    up to ``rcond`` times the largest are dropped; by default dim * FLOAT_EPS, and with
+    ``"rows"`` max(rows, dim) * FLOAT_EPS, which needs fewer than about 8 million rows.
     """
-    unit = l2_normalise(F.col(vector))
-    vectors = require_rows(reference, "the reference bank is empty").select(unit.alias("unit"))
-    n, mean = vectors.agg(
-        F.count(F.lit(1)), Summarizer.mean(array_to_vector("unit"))
-    ).first()
-    mean = mean.toArray()
+    vectors, n, mean = _unit_rows(reference, vector)
     if rcond is None or rcond == "rows":
         threshold = (len(mean) if rcond is None else max(n, len(mean))) * FLOAT_EPS
     else:
@@ -138,3 +143,79 @@ def fit_whitening(
     values = svd.s.toArray()
     directions = svd.V.toArray().T
     return WhiteningModel(n, mean, directions, values, threshold)
+
+
+# Columns beyond k, and products with the covariance, of ``fit_leading``.
+OVERSAMPLE = 16
+PASSES = 2
+# Partial sums are added up in so many groups before the last sum.
+SUM_GROUPS = 64
+
+
+def _scatter(vectors: DataFrame, mean: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Scatter matrix of the centred rows times ``block``, in one pass over the rows.
+
+    Each task adds up one dim x columns matrix; these are added in two steps.
+    """
+    context = vectors.sparkSession.sparkContext
+    model = context.broadcast((mean, block))  # dim x columns
+    ship_package(vectors.sparkSession)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mean, block = model.value
+        total = np.zeros_like(block)
+        for batch in batches:
+            if batch.num_rows:
+                rows = matrix_of(batch.column(0), len(mean)) - mean
+                total += rows.T @ (rows @ block)
+        ends = pa.array([0, total.size], pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [pa.ListArray.from_arrays(ends, pa.array(total.ravel()))], names=["sum"]
+        )
+
+    parts = vectors.select("unit").mapInArrow(products, "sum array<double>")
+    parts = parts.select(
+        array_to_vector("sum").alias("sum"), (F.spark_partition_id() % SUM_GROUPS).alias("part")
+    )
+    some = parts.groupBy("part").agg(Summarizer.sum(F.col("sum")).alias("sum"))
+    return some.agg(Summarizer.sum(F.col("sum"))).first()[0].toArray().reshape(block.shape)
+
+
+def fit_leading(
+    reference: DataFrame, k: int = DEFAULT_K, vector: str = "embedding",
+    oversample: int = OVERSAMPLE, passes: int = PASSES, rcond: float | None = None, seed: int = 7,
+) -> WhiteningModel:
+    """The ``k`` leading directions only, by a block Krylov space.
+
+    A random block of k + ``oversample`` columns is multiplied by the scatter matrix ``passes``
+    times, and the directions are the best within the space of all these blocks, which takes one
+    pass more. Tasks and driver hold dim x columns blocks, never a dim x dim matrix. Within the
+    space the covariance is diagonal, so whitened rows have covariance one however well the
+    directions have settled.
+    """
+    vectors, n, mean = _unit_rows(reference, vector)
+    dim = len(mean)
+    columns = min(dim, k + oversample)
+    block = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, columns)))[0]
+    space = block
+    for _ in range(passes):
+        if space.shape[1] >= dim:
+            break
+        block = _scatter(vectors, mean, block)
+        # Only what is new in the block, so that the space stays well conditioned.
+        for _ in range(2):
+            block = block - space @ (space.T @ block)
+        new, sizes = np.linalg.qr(block)
+        held = np.abs(np.diag(sizes)) > 1e-10 * max(1.0, np.abs(sizes).max(initial=0.0))
+        block = new[:, held][:, : dim - space.shape[1]]
+        if not block.shape[1]:
+            break
+        space = np.column_stack([space, block])
+    inner = space.T @ _scatter(vectors, mean, space)
+    energy, turn = np.linalg.eigh((inner + inner.T) / 2)
+    order = np.argsort(-energy)[:k]
+    values = np.sqrt(np.maximum(energy[order], 0.0))
+    threshold = dim * FLOAT_EPS if rcond is None else float(rcond)
+    kept = values > threshold * values.max(initial=0.0)
+    directions = (space @ turn[:, order]).T[kept]
+    return WhiteningModel(n, mean, directions, values[kept], threshold)

@@ -4,21 +4,25 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from spoor.operators import episodes as ep
 from spoor.operators.dense import dense_topk
 from spoor.operators.encode import (
+    VectorStore,
     embed_mean,
     embed_rules,
     encode_distinct,
     hashed_encoder,
     model_encoder,
 )
-from spoor.operators.whiten import WhiteningModel, fit_whitening
+from spoor.operators.stats import corpus_sketches, estimated_counts, sketch_error
+from spoor.operators.whiten import WhiteningModel, fit_leading, fit_whitening
 from spoor.plans.banks import embed_folder, whiten_bank
 from spoor.plans.evaluation import evaluate
 from spoor.plans.retrieval import rank_banks
+from spoor.plans.whitening import Whitening
 from spoor.sources.banks import read_whole_embeddings, resolve_bank
 
 
@@ -255,3 +259,84 @@ def test_whole_embeddings(spark, tmp_path):
     (tmp_path / "b.json").write_text(json.dumps({**item, "embedding_dim": 4}))
     with pytest.raises(Exception, match="wrong embedding length"):
         read_whole_embeddings(spark, str(tmp_path)).select("embedding").collect()
+
+
+def test_leading_directions_equal_those_of_the_whole_fit(spark):
+    rng = np.random.default_rng(4)
+    basis = np.linalg.qr(rng.normal(size=(24, 24)))[0]
+    rows = (rng.normal(size=(400, 24)) * 0.7 ** np.arange(24)) @ basis + 0.3
+    bank = spark.createDataFrame(
+        [(i, r.tolist()) for i, r in enumerate(rows)], "row_id long, embedding array<double>"
+    ).repartition(5)
+    whole, few = fit_whitening(bank), fit_leading(bank, 4, oversample=2, passes=3)
+    assert few.components.shape == (4, 24) and few.reference_rows == 400
+    assert few.singular_values == pytest.approx(whole.singular_values[:4], rel=1e-6)
+    overlap = np.abs((few.components * whole.components[:4]).sum(axis=1))
+    assert overlap == pytest.approx(np.ones(4), abs=1e-5)
+    white = np.array([r["embedding"] for r in few.project(bank, 4).collect()])
+    assert np.cov(white.T) == pytest.approx(np.eye(4), abs=1e-8)
+
+
+def test_leading_directions_of_a_flat_bank(spark):
+    """A bank of lower rank than asked for: directions without energy are dropped."""
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(60, 2)) @ rng.normal(size=(2, 9))
+    bank = spark.createDataFrame(
+        [(i, r.tolist()) for i, r in enumerate(rows)], "row_id long, embedding array<double>"
+    )
+    assert fit_leading(bank, 6).rank == fit_whitening(bank).rank == 2
+
+
+def test_whitening_as_a_pipeline_stage(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    bank = spark.createDataFrame(
+        [(i, r.tolist(), "x") for i, r in enumerate(rng.normal(size=(80, 6)))],
+        "row_id long, vec array<double>, note string",
+    )
+    for leading in (False, True):
+        fitted = Pipeline(stages=[Whitening(vectorCol="vec", k=3, leadingOnly=leading)]).fit(bank)
+        path = str(tmp_path / f"stage-{leading}")
+        fitted.write().save(path)
+        again = PipelineModel.load(path)
+        a, b = (m.transform(bank).orderBy("row_id").collect() for m in (fitted, again))
+        assert a == b and {len(r["vec"]) for r in a} == {3} and a[0]["note"] == "x"
+    stage = Whitening(vectorCol="vec", k=3)
+    stage.write().save(str(tmp_path / "unfitted"))
+    assert Whitening.load(str(tmp_path / "unfitted")).getOrDefault("k") == 3
+
+
+def test_known_texts_are_not_encoded_again(spark, tmp_path):
+    asked = []
+
+    def encoder(texts):
+        asked.append(sorted(r["text"] for r in texts.collect()))
+        return hashed_encoder(8)(texts)
+
+    rows = spark.createDataFrame([(1, "a b"), (2, "c"), (3, "a b")], "id long, line string")
+    more = rows.union(spark.createDataFrame([(4, "d"), (5, "c")], "id long, line string"))
+    store = VectorStore(spark, str(tmp_path / "vectors"))
+    first = store.encode(rows, encoder, "line").orderBy("id").collect()
+    assert store.encoded == 2 and asked == [["a b", "c"]]
+    assert first == encode_distinct(rows, hashed_encoder(8), "line").orderBy("id").collect()
+    assert store.encode(rows, encoder, "line").orderBy("id").collect() == first
+    assert store.encoded == 0 and len(asked) == 1
+    again = VectorStore(spark, str(tmp_path / "vectors"))
+    found = again.encode(more, encoder, "line").orderBy("id").collect()
+    assert again.encoded == 1 and asked[1:] == [["d"]]
+    assert found == encode_distinct(more, hashed_encoder(8), "line").orderBy("id").collect()
+
+
+def test_sketches_of_batches_merge(spark):
+    rows = [(i % 3, f"p{i % 500}", f"r{i * 7 % 4000}") for i in range(9000)]
+    rows += [(0, "p0", None)]
+    lines = spark.createDataFrame(rows, "batch int, profile string, line string").repartition(4)
+    stored_rows = corpus_sketches(lines, "profile", "batch")
+    assert stored_rows.count() == 3
+    merged, exact = estimated_counts(stored_rows).first(), (9000, 4000, 500)
+    assert merged["rule_instances"] == exact[0]
+    assert merged["unique_rules"] == pytest.approx(exact[1], rel=4 * sketch_error())
+    assert merged["profiles"] == pytest.approx(exact[2], rel=4 * sketch_error())
+    none = estimated_counts(corpus_sketches(lines.limit(0), "profile", "batch")).first()
+    assert tuple(none) == (0, 0, 0)
+    per = estimated_counts(stored_rows, "batch").collect()
+    assert sum(r["rule_instances"] for r in per) == 9000
