@@ -28,6 +28,7 @@ from spoor.llm.common import Scratch, over_batches, salted_rank
 SIZE = 1024
 END_ID = 0
 RANKS = "byte_bpe_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
 #: The one added token of the vocabulary, which tokenizers reads as a single id.
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 
@@ -37,6 +38,7 @@ ROOM = 8
 #: ``ids`` are those of a rest, which may have to be cut; full pieces never are.
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 _encoders: dict[str, object] = {}
+_tokenizers: list = []
 
 
 def _encoder(path: str):
@@ -52,15 +54,25 @@ def _encoder(path: str):
     return _encoders[path]
 
 
+def _encode(part: str, path: str) -> np.ndarray:
+    try:
+        return _encoder(path).encode_to_numpy(part, disallowed_special=())
+    except ValueError:  # the pattern gives up on white space of some hundred thousand characters
+        if not _tokenizers:
+            from tokenizers import Tokenizer
+
+            _tokenizers.append(Tokenizer.from_file(public_tokenizers.path(TOKENIZER)))
+        return np.array(_tokenizers[0].encode(part, add_special_tokens=False).ids, "<u4")
+
+
 def token_ids(text: str, path: str) -> np.ndarray:
     """The ids of a text as unsigned 32-bit numbers, with the end id."""
-    encoder = _encoder(path)
     parts: list[np.ndarray] = []
     for k, part in enumerate(text.split(SPECIAL)):
         if k:
             parts.append(np.array([SPECIAL_ID], "<u4"))
         if part:
-            parts.append(encoder.encode_to_numpy(part, disallowed_special=()))
+            parts.append(_encode(part, path))
     return np.concatenate([*parts, np.array([END_ID], "<u4")]).astype("<u4", copy=False)
 
 

@@ -1,7 +1,7 @@
 """Shards of nearly equal bytes by histogram sort.
 
-Rows are sorted by a hash of their text, then by a hash of their id, so equal texts stand
-together. Splitters are found before any row moves: in each round the exact bytes below many
+Rows are sorted by a hash of their text, then by a hash of their id and row, so equal texts
+stand together. Splitters are found before any row moves: in each round the exact bytes below many
 candidate boundaries are counted in one pass over the keys, and only the interval that holds a
 splitter's target is probed again, until each splitter is within the tolerance. A boundary
 between two texts is preferred; a group of equal texts is cut, by its ids, only where no such
@@ -111,8 +111,8 @@ def shard(
     """``key, size, text_crc32, shard, slot``, one row per document; slots follow the sort.
 
     A null text has no bytes, and 8 like each row. Null ids and repeated rows are rows like
-    others; rows with both text and id in common are never parted by a splitter. Shards may be
-    empty in a small table; an empty table gives no rows.
+    others, and rows with both text and id in common are parted where a splitter falls among them.
+    Shards may be empty in a small table; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
@@ -121,7 +121,8 @@ def shard(
         (F.octet_length(body) + 8).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
         _hash(body).alias("by_text"),
-        _hash(F.col(key)).alias("by_id"),
+        # The row's number, written with it, tells rows with one text and one id apart.
+        _hash(F.struct(F.col(key), F.monotonically_increasing_id())).alias("by_id"),
     ))
     total = keys.agg(F.sum("size")).first()[0] or 0
     number = F.lit(0)

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -30,6 +31,13 @@ def test_ids_of_any_text(text):
     assert token_ids(text, public_tokenizers.path(RANKS)).tolist() == ids_of(text)
 
 
+@pytest.mark.parametrize("unit", [" ", "\n", "\t", "\u00a0", "\r\n", "a", "7", "!", "é", "漢"])
+def test_a_million_of_one_kind(unit):
+    text = "x" + unit * 1_000_000 + "y<|endoftext|> z"
+    path = public_tokenizers.path(RANKS)
+    assert token_ids(text, path)[:-1].tolist() == ids_of(text)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 50), max_size=20))
 def test_plan_places_each_piece_once(histogram):
