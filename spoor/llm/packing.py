@@ -35,6 +35,9 @@ SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 #: Ids that a pack may lack: beyond that it is filled up by cutting.
 ROOM = 8
 
+#: Cut pieces that are broadcast, about 100 bytes each, to where their ids are.
+BROADCAST_PIECES = 100_000
+
 #: ``ids`` are those of a rest, which may have to be cut; full pieces never are.
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 _encoders: dict[str, object] = {}
@@ -197,6 +200,10 @@ def pack(
         F.floor(position / size).alias("sequence_id"), (position % size).alias("offset"),
     ))
     crosses = F.col("offset") + F.col("length") > size
+    split = placed.filter(crosses)
+    # At most one per sequence; a few are sent to the ids, so that the ids stay where they are.
+    if split.count() <= BROADCAST_PIECES:
+        split = F.broadcast(split)
     whole = placed.filter(~crosses).drop("piece")
     head = F.lit(size) - F.col("offset")
     parts = F.array(
@@ -205,7 +212,7 @@ def pack(
         F.struct(head.alias("at"), (F.col("length") - head).alias("n"),
                  (F.col("sequence_id") + 1).alias("in"), F.lit(0).cast("long").alias("place")),
     )
-    cut = placed.filter(crosses).join(pieces.select("piece", "ids"), "piece").select(
+    cut = split.join(pieces.select("piece", "ids"), "piece").select(
         key, "start", "doc_tokens", "ids", F.explode(parts).alias("p")
     )
     data = F.substring("ids", (F.col("p.at") * 4 + 1).cast("int"), (F.col("p.n") * 4).cast("int"))
