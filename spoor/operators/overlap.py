@@ -133,10 +133,8 @@ class References:
         self.count = seen["devices"]
         self.broadcast = (seen["bytes"] or 0) <= BROADCAST_BYTES
         self.per_rule = self.rules.groupBy("line").agg(F.count(F.lit(1)).alias("n_r"))
-
-    @cached_property
-    def profiles(self) -> DataFrame:
-        return stored(self.every.groupBy("device").agg(F.count("line").alias("n_r")))
+        # Not stored on first use: that may be in a micro-batch, which deletes what it stores.
+        self.profiles = self.every.groupBy("device").agg(F.count("line").alias("n_r"))
 
 
 def prepared(references: DataFrame | References) -> References:

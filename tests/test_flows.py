@@ -60,10 +60,10 @@ def test_stream_equals_batch_on_closed_windows(spark, tmp_path):
         str(tmp_path / "out"), str(tmp_path / "state"), k=2, trigger={"availableNow": True},
     )
     query.awaitTermination()
-    # The micro-batches leave nothing behind in the shared folder but the references,
-    # which were made ready once.
+    # The micro-batches leave nothing behind in the shared folder but the rules of the
+    # references, which were made ready once.
     left = set(os.listdir(urlparse(shared_dir(spark)).path)) - before
-    assert len([name for name in left if name.startswith("spoor-")]) == 2
+    assert len([name for name in left if name.startswith("spoor-")]) == 1
     columns = ["window_start", "entity", "device", "score", "hit_count", "rank"]
     stream = spark.read.parquet(str(tmp_path / "out")).select(columns).collect()
     best = {(r["window_start"], r["entity"]): (r["device"], r["score"]) for r in batch if r["rank"] == 1}
