@@ -3,11 +3,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from spoor.llm import repeats
-from spoor.llm.repeats import GRAM, WINDOW, blocks_of, cut, mark_repeats, remove_repeats, repeat_digests
+from spoor.llm.repeats import GRAM, WINDOW, blocks_of, cut, mark_repeats, remove_repeats, repeat_digests, shared_runs
 
 from .conftest import odd_texts
 
@@ -70,15 +71,15 @@ def test_blocks_cover_all_windows_and_depend_on_nearby_text(monkeypatch, chunk):
     rng = random.Random(2)
     for text in [*odd_texts(), *passages(rng, 20), "a" * 400, "ab" * 300]:
         data = (text or "").encode()[:5000]
-        keys, first, n = blocks_of(data)
+        keys, first, n, off = blocks_of(data)
         windows = max(0, len(data) - WINDOW + 1)
         assert first.tolist() == np.cumsum([0, *n.tolist()])[: len(n)].tolist()
         assert n.sum() == windows and (n <= WINDOW - GRAM + 1).all()
         # The key of a window is that of the window alone.
-        for key, a, b in zip(keys, first, n):
+        for key, a, b, o in zip(keys, first, n, off):
             for i in (a, a + b - 1):
-                alone, _, _ = blocks_of(data[i : i + WINDOW])
-                assert alone[0] == key
+                alone, _, _, place = blocks_of(data[i : i + WINDOW])
+                assert alone[0] == key and i + place[0] == a + o
 
 
 def test_cut():
@@ -97,13 +98,19 @@ def test_equals_brute_force(spark):
     assert result(df) == want
 
 
-def test_crowded_keys_and_more_batches(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "KEY_BLOCKS", 3)
+@pytest.mark.parametrize("blocks", [3, repeats.KEY_BLOCKS])
+def test_crowded_keys_and_more_batches(spark, monkeypatch, blocks):
+    monkeypatch.setattr(repeats, "KEY_BLOCKS", blocks)
+    scans = []
+    scan = repeats.Family.scan
+    monkeypatch.setattr(
+        repeats.Family, "scan", lambda self, name: (scans.append(len(self.arrays)), scan(self, name))[1]
+    )
     rows = corpus(random.Random(5), 60)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     runs = mark_repeats(
         df.select(F.col("doc_id").alias("doc"), F.lit(0).alias("tag"),
-                  F.col("text").cast("binary").alias("body")), batches=7,
+                  F.col("text").cast("binary").alias("body")), unit=20,
     ).collect()
     found = {r["doc"]: [tuple(x) for x in r["runs"]] for r in runs}
     got = []
@@ -111,6 +118,8 @@ def test_crowded_keys_and_more_batches(spark, monkeypatch):
         n, spans, left = cut(text.encode(), found.get(doc, []))
         got.append((str(doc), len(text.encode()), n, spans, hashlib.sha256(left).hexdigest()))
     assert sorted(got) == brute(rows)
+    # Each batch but the first meets one array that holds all before it.
+    assert len(scans) >= 3 and scans == [0] + [1] * (len(scans) - 1)
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
@@ -122,7 +131,7 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert remove_repeats(no_docs).collect() == []
 
 
-def test_rows_of_one_id_and_blocks_of_one_key_have_wide_hashes(spark):
+def test_rows_of_one_id_and_texts_alike_are_told_apart(spark):
     import zlib
 
     # Two texts of one id that agree in 20 bits of their checksum, one with a repeat.
@@ -138,7 +147,46 @@ def test_rows_of_one_id_and_blocks_of_one_key_have_wide_hashes(spark):
     rows = [(1, shared), (None, pair[0]), (None, pair[1])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert result(df) == brute(rows)
-    docs = df.select(F.col("doc_id").alias("doc"), F.lit(0).alias("tag"),
-                     F.col("text").cast("binary").alias("body")).filter("doc = 1")
-    hashes = [r["hash"] for r in repeats._blocks(docs).collect()]
-    assert max(abs(h) for h in hashes) > 1 << 32
+
+
+def table(rows):
+    """Suffixes at a fixed anchor of texts (doc, text, off)."""
+    names = ["doc", "tag", "at", "n", "off", "before", "suffix"]
+    cells = [(d, 0, 0, len(t) - WINDOW + 1, o, t[:o], t[o:]) for d, t, o in rows]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*cells), types)], names)
+
+
+def test_sorted_suffixes_share_the_windows_of_their_bytes():
+    rng = random.Random(6)
+    anchor = bytes(range(100, 116))
+    for _ in range(40):
+        rows = []
+        for doc in range(30):
+            # Zero bytes and short alphabets: common starts of all lengths, padding-like ends.
+            off = rng.randint(0, 34)
+            before = bytes(rng.choices([0, 1], [9, 1], k=off))
+            after = bytes(rng.choices([0, 1], [9, 1], k=rng.randint(34 - off, 34)))
+            rows.append((doc // 2, before + anchor + after, off))
+        older, newer = rows[:14], rows[14:]
+        seen = {}
+        for doc, text, _ in rows:
+            for i in range(len(text) - WINDOW + 1):
+                seen[text[i : i + WINDOW]] = min(doc, seen.get(text[i : i + WINDOW], doc))
+        want = Counter(
+            (doc, i) for doc, text, _ in newer for i in range(len(text) - WINDOW + 1)
+            if seen[text[i : i + WINDOW]] < doc
+        )
+        runs = shared_runs(table(older), table(newer)).to_pylist()
+        assert Counter((r["doc"], r["at"] + j) for r in runs for j in range(r["n"])) == want
+
+
+def test_copies_of_a_row_without_id_send_their_marks_once(spark):
+    text = "".join(f"{i:03d}" for i in range(400))
+    rows = [(1, text)] + [(None, text + "!")] * 200 + [(None, "x" * 500)] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert result(df) == brute(rows)
+    base = df.select(F.coalesce("doc_id", F.lit(repeats.LAST)).alias("doc"),
+                     F.xxhash64("text").alias("tag"), F.col("text").cast("binary").alias("body"))
+    runs = mark_repeats(base.dropDuplicates(["doc", "tag"])).collect()
+    assert len(runs) == 1 and len(runs[0]["runs"]) < len(text) // 10
