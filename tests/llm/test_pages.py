@@ -54,3 +54,67 @@ def test_window_sums_choose_with_and_without_an_article():
     far = "<div class=ad>x</div>" * 9
     assert main_text(f"<div>{text}</div>{far}<article><p>Card. {LONG}</p></article>") == want
     assert main_text(f"<main>{menu}<div>{text}</div></main>") == want
+
+
+@pytest.mark.parametrize("html, want", [
+    (f'<div class="content has-sidebar"><p>{LONG}</p></div>', LONG),
+    (f'<article><div class="social-science"><p>{LONG}</p></div></article>', LONG),
+    (f'<div class="sidebar-left main-nav">{LONG}</div><p>One {LONG}</p>', f"One {LONG}"),
+    (f"<div id='comments-list'>{LONG}</div><div class='ad_slot_3'>{LONG}</div><p>One {LONG}</p>", f"One {LONG}"),
+    (f"<form><article><p>{LONG}</p><p>{LONG}</p></article><input></form>", f"{LONG}\n\n{LONG}"),
+    (f"<form><div>{LONG}</div><div>End</div></form><p>x</p>", f"{LONG}\n\nEnd\n\nx"),
+    (f"<datalist><option>A<option>B</datalist><p>{LONG}</p>", LONG),
+    (f"<object data=x><p>{LONG}</p>", LONG), (f"<title>T<body><p>{LONG}</p>", LONG),
+    (f"<title>T</title><select><option>A</select><p>{LONG}</p>", LONG),
+    (f"<object><p>Fallback</p></object><p>{LONG}</p>", LONG),
+    (f"<article><p>{LONG}</p><p><a href=/x>Linked words</a></p><p>{LONG}</p></article>",
+     f"{LONG}\n\nLinked words\n\n{LONG}"),
+    (f"<div><p>{LONG}</p><p><a href=/x>Linked words</a></p><p>{LONG}</p></div>",
+     f"{LONG}\n\nLinked words\n\n{LONG}"),
+    (f"<p><a href=#m>Skip to content</a></p><div>{LONG}</div>", LONG),
+    ("<article>" + f"<p>{LONG}</p>" * 8 + "<div class=ad>x</div>" * 7 + "<p>The end.</p></article>",
+     "\n\n".join([LONG] * 8 + ["The end."])),
+])
+def test_main_text_is_not_lost(html, want):
+    assert main_text(html) == want
+
+
+@pytest.mark.parametrize("tag", ["<svg/>", "<canvas/>", "<object>", "<option>", "<title>", "<svg>",
+                                 "<form>", "<fieldset></fieldset>"])
+def test_time_is_linear_in_tags(tag):
+    import time
+
+    start = time.process_time()
+    main_text(tag * 40_000)
+    assert time.process_time() - start < 6
+
+
+def test_kept_lines_are_those_of_window_sums():
+    """Against a plain reading of the sums, line by line."""
+    import random
+
+    from spoor.llm.pages import LINKS, SHARE, SURGE, WINDOW, kept_lines
+
+    rng = random.Random(3)
+    for _ in range(300):
+        lines = []
+        for _ in range(rng.randint(0, 60)):
+            size = rng.choice([0, 0, 0, 5, 30, 200])
+            lines.append(("x" * size, size if rng.random() < 0.2 else 0, 0))
+        size = [0 if n > LINKS * max(len(t), 1) else len(t) for t, n, _ in lines]
+        half = WINDOW // 2
+        sums = [sum(size[max(0, i - half) : i + half + 1]) for i in range(len(lines))]
+        regions, run = [], []
+        for i in range(len(lines) + 1):
+            if i < len(lines) and sums[i]:
+                run.append(i)
+            elif run:
+                regions.append(run)
+                run = []
+        totals = [sum(size[i] for i in r) for r in regions]
+        want = [
+            lines[i][0] for r, total in zip(regions, totals)
+            if total == max(totals) or max(sums[i] for i in r) >= SURGE and total >= SHARE * max(totals)
+            for i in r if size[i]
+        ]
+        assert kept_lines(lines) == want
