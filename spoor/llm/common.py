@@ -22,6 +22,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns on the way that no column of ``df`` has, in either case of letters."""
+    taken = {c.lower() for c in df.columns}
+    mark = "__"
+    while any(f"{mark}{name}" in taken for name in names):
+        mark += "_"
+    return [f"{mark}{name}" for name in names]
+
+
 def over_batches(
     df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table],
     schema: str | StructType,

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoor.llm.common import Scratch, find_words, over_batches
+from spoor.llm.common import Scratch, find_words, free_names, over_batches
 from spoor.llm.components import components
 from spoor.llm.golay import near_codewords
 
@@ -252,17 +252,18 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     in every column one stays.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
+    a, b, row, n = free_names(docs, "a", "b", "row", "n")
     marks = docs.withColumns(
-        {"__a": F.xxhash64(*columns), "__b": F.xxhash64(F.lit(1), *reversed(columns))}
+        {a: F.xxhash64(*columns), b: F.xxhash64(F.lit(1), *reversed(columns))}
     )
     rows = marks.select(
-        F.struct(F.col(key).isNull().alias("last"), key, "__a", "__b").alias("__row"), text
+        F.struct(F.col(key).isNull().alias("last"), key, a, b).alias(row), text
     )
-    chosen = group_near(rows, "__row", text).select("component_id.__a", "component_id.__b").distinct()
-    once = Window.partitionBy("__a", "__b").orderBy("__a")
+    chosen = group_near(rows, row, text).select(f"component_id.{a}", f"component_id.{b}").distinct()
+    once = Window.partitionBy(a, b).orderBy(a)
     return (
-        marks.join(chosen, ["__a", "__b"], "left_semi")
-        .withColumn("__n", F.row_number().over(once))
-        .filter("__n = 1")
-        .drop("__a", "__b", "__n")
+        marks.join(chosen, [a, b], "left_semi")
+        .withColumn(n, F.row_number().over(once))
+        .filter(F.col(n) == 1)
+        .drop(a, b, n)
     )

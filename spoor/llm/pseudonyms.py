@@ -17,10 +17,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spoor.llm.common import free_names
 from spoor.llm.spans import matches, pieces
 
 ROUNDS = 8
-KEY = "spoor"
 
 #: The forms, tried in this order at each place.
 FORMS = {
@@ -55,10 +55,6 @@ ANY = "|".join([*(form for kind, form in FORMS.items() if kind != "card"), RUN])
 #: Digits by group of the usual cards, and how their numbers start.
 GROUPINGS = ("4 4 4 4", "4 4 4 4 3", "4 6 5", "4 6 4")
 ISSUERS = "^(?:[3-6]|2[2-7])"
-#: Longest run, in groups, of which every window is tried as a card of unusual grouping; in a
-#: longer one, like a table of numbers, only the longest window from each group is.
-ODD_GROUPS = 12
-
 #: A 400-year cycle of the calendar has 189 * 773 days; dates outside it stay.
 FIRST_DAY, LEFT_DAYS, RIGHT_DAYS = "1700-01-01", 189, 773
 
@@ -250,6 +246,29 @@ def _email(value: Column, key: str) -> Column:
     return F.concat(_fpe(name, key, "email"), F.regexp_extract(value, r"(\.[A-Za-z]+)$", 1))
 
 
+def _valid_ssn(value: Column) -> Column:
+    return ~value.rlike("^(?:000|666|9)|-00-|-0000$")
+
+
+def _ssn(value: Column, key: str) -> Column:
+    """Valid numbers are permuted among themselves, by their place in a list of all of them."""
+    area, group, serial = (
+        F.substring(value, at, n).cast("long") for at, n in ((1, 3), (5, 2), (8, 4))
+    )
+    areas = area - F.when(area > 666, 2).otherwise(1)
+    left, right = _chain(areas * 99 + group - 1, serial - 1, (898 * 99, 9999), key, "ssn")
+
+    def written(s):
+        place = F.floor(s["l"] / 99)
+        return F.concat_ws(
+            "-", F.lpad((place + F.when(place >= 665, 2).otherwise(1)).cast("string"), 3, "0"),
+            F.lpad((s["l"] % 99 + 1).cast("string"), 2, "0"),
+            F.lpad((s["r"] + 1).cast("string"), 4, "0"),
+        )
+
+    return _let(F.struct(left.alias("l"), right.alias("r")), written)
+
+
 def _phone(value: Column, key: str) -> Column:
     """The country code stays; digits after it are permuted."""
     code = F.regexp_extract(value, r"^(\+[0-9]{1,3}(?=[ .(-])[ .-]?|\+[0-9]{2}|)", 1)
@@ -268,7 +287,7 @@ def kind_of(value: Column) -> Column:
         .when(whole("iban"), F.when(_mod97(value) == 1, "iban"))
         .when(whole("ipv4"), F.when(octets, "ipv4"))
         .when(whole("date"), F.when(_day(value).isNotNull(), "date"))
-        .when(whole("ssn"), F.when(~value.rlike("^(?:000|666|9)|-00-|-0000$"), "ssn"))
+        .when(whole("ssn"), F.when(_valid_ssn(value), "ssn"))
         .when(
             F.length(_digits(value)).between(13, 19) & ~value.contains("+") & ~value.contains("(")
             & ~value.contains("."),
@@ -278,7 +297,7 @@ def kind_of(value: Column) -> Column:
     )
 
 
-def pseudonym(value: Column, kind: Column, key: str = KEY) -> Column:
+def pseudonym(value: Column, kind: Column, key: str) -> Column:
     return (
         F.when(kind == "email", _email(value, key))
         .when(kind == "iban", _let(
@@ -288,22 +307,20 @@ def pseudonym(value: Column, kind: Column, key: str = KEY) -> Column:
         .when(kind == "ipv4", _ipv4(value, key))
         .when(kind == "date", _date(value, key))
         .when(kind == "card", _card(value, key))
-        .when(kind == "ssn", _fpe(value, key, "ssn"))
+        .when(kind == "ssn", _ssn(value, key))
         .when(kind == "phone", _phone(value, key))
         .otherwise(value)
     )
 
 
-def _window_at(rest: Column, i: Column, n: Column, all_groups: Column) -> Column:
-    """The first ``n`` groups of ``rest``, which starts at group ``i`` of a run of
-    ``all_groups``, as (rank, turn, at, size); the rank is lower for a surer find, null for none."""
+def _window_at(rest: Column, i: Column, n: Column) -> Column:
+    """The first ``n`` groups of ``rest``, which starts at group ``i`` of a run, as (rank, turn,
+    at, size); the rank is lower for a surer find, null for none."""
     def judged(part):
         usual = F.array_join(F.transform(part, F.length), " ").isin(*GROUPINGS)
 
         def rank(digits):
-            last = F.length(digits) + F.coalesce(F.length(F.try_element_at(rest, n + 1)), F.lit(20))
-            odd = (all_groups <= ODD_GROUPS) | (last > 19)
-            card = digits.rlike("^[0-9]{13,19}$") & ((n == 1) | usual | odd)
+            card = digits.rlike("^[0-9]{13,19}$")
             return F.when(
                 digits.rlike("^[A-Z]") & F.array_join(part, " ").rlike(f"^{SPACED_IBAN}$"),
                 F.when(_mod97(digits) == 1, 0),
@@ -327,7 +344,7 @@ def _chosen(groups: Column) -> Column:
         return _let(F.slice(groups, i + 1, F.lit(20)), lambda rest: F.array_min(F.filter(
             F.transform(
                 F.sequence(F.lit(1), F.least(F.size(rest), F.lit(19))),
-                lambda n: _window_at(rest, i, n, F.size(groups)),
+                lambda n: _window_at(rest, i, n),
             ),
             lambda w: w["rank"].isNotNull(),
         )))
@@ -403,10 +420,12 @@ def _run(value: Column) -> Column:
 
 
 def pseudonymise(
-    docs: DataFrame, text: str = "text", key: str = KEY, kinds: str | None = None
+    docs: DataFrame, text: str = "text", *, key: str, kinds: str | None = None
 ) -> DataFrame:
     """``docs`` with the personal values of ``text`` replaced; other columns stay as they are.
 
+    Whoever knows ``key`` can invert the pseudonyms; there is no default.
+
     ``kinds`` names an optional new column with the kinds replaced, in order of place. A null
     text stays null, an empty one empty. Matches that fail their check stay as they are.
     """
@@ -424,17 +443,18 @@ def pseudonymise(
             )), "").alias("new"),
         ))
 
-    marked = docs.withColumn("__found", F.when(body.rlike(r"[0-9@]"), found)).withColumn(
-        "__new", F.when(F.size("__found") > 0, F.transform("__found", judged))
+    found_in, new_in = free_names(docs, "found", "new")
+    marked = docs.withColumn(found_in, F.when(body.rlike(r"[0-9@]"), found)).withColumn(
+        new_in, F.when(F.size(found_in) > 0, F.transform(found_in, judged))
     )
     between = pieces(body, ANY)
-    rest = F.concat(F.transform("__new", lambda n: n["new"]), F.array(F.lit("")))
+    rest = F.concat(F.transform(new_in, lambda n: n["new"]), F.array(F.lit("")))
     written = F.array_join(F.zip_with(between, rest, lambda a, b: F.concat(a, b)), "")
-    out = marked.withColumn(text, F.when(F.col("__new").isNotNull(), written).otherwise(body))
+    out = marked.withColumn(text, F.when(F.col(new_in).isNotNull(), written).otherwise(body))
     if kinds:
         names = F.when(
-            F.col("__new").isNotNull(),
-            F.flatten(F.transform("__new", lambda n: n["kinds"])),
+            F.col(new_in).isNotNull(),
+            F.flatten(F.transform(new_in, lambda n: n["kinds"])),
         ).otherwise(F.array().cast("array<string>"))
         out = out.withColumn(kinds, names)
-    return out.drop("__found", "__new")
+    return out.drop(found_in, new_in)

@@ -20,6 +20,11 @@ from spoor.llm.sharding import shard
 from spoor.llm.toxicity import score_toxicity
 
 
+def secret_key(spark) -> str:
+    """The key of pseudonyms; a run on real data sets its own, the default is for test tables."""
+    return spark.conf.get("spoor.pseudonyms.key", "spoor")
+
+
 def op1_secrets(spark, sf_dir):
     return secret_digests(table(spark, sf_dir, "documents"))
 
@@ -49,7 +54,7 @@ def op6_decontamination(spark, sf_dir):
 
 def op7_pseudonyms(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return pseudonymise(docs, kinds="kinds").select("doc_id", "text", "kinds")
+    return pseudonymise(docs, key=secret_key(spark), kinds="kinds").select("doc_id", "text", "kinds")
 
 
 def op8_quality(spark, sf_dir):

@@ -1,9 +1,14 @@
+import hashlib
 import random
 import re
 
+import pytest
+
 from pyspark.sql import functions as F
 
-from spoor.llm.pseudonyms import KEY, kind_of, pseudonym, pseudonymise
+from spoor.llm.pseudonyms import ROUNDS, kind_of, pseudonym, pseudonymise
+
+KEY = "spoor"
 
 
 def luhn(number):
@@ -18,7 +23,7 @@ def card(rng, n=16):
 
 def replaced(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    rows = pseudonymise(df, kinds="kinds").orderBy("doc_id").collect()
+    rows = pseudonymise(df, key=KEY, kinds="kinds").orderBy("doc_id").collect()
     return [r["text"] for r in rows], [r["kinds"] for r in rows]
 
 
@@ -85,10 +90,10 @@ def test_what_fails_its_check_stays(spark):
 
 def test_odd_rows_and_other_columns(odd_docs, no_docs):
     before = odd_docs.collect()
-    after = pseudonymise(odd_docs).collect()
-    assert pseudonymise(odd_docs).columns == odd_docs.columns
+    after = pseudonymise(odd_docs, key=KEY).collect()
+    assert pseudonymise(odd_docs, key=KEY).columns == odd_docs.columns
     assert sorted(map(str, before)) == sorted(map(str, after))
-    assert pseudonymise(no_docs).collect() == []
+    assert pseudonymise(no_docs, key=KEY).collect() == []
 
 
 def test_key_decides(spark):
@@ -124,3 +129,79 @@ def test_numbers_beside_a_card_or_iban_do_not_hide_it(spark):
         f"12 {same}", f"2024 {same}", f"{same} 2024", f"12 {same} 05 24 123"
     ]
     assert new[12].replace(" ", "") == bare and new[13] == f"IBAN {new[12]} EUR 50"
+
+
+def test_cards_of_unusual_grouping_are_found_in_runs_of_any_length(spark):
+    base = "4111111 111111111"
+    new, _ = replaced(spark, [base + " 22" * n for n in (0, 3, 12, 40)])
+    assert not any(base in text for text in new)
+
+
+def feistel(value, kind, key=KEY):
+    """The permutation of letters and digits, worked out without Spark."""
+    def place(c):
+        for first, size in (("0", 10), ("a", 26), ("A", 26)):
+            if 0 <= ord(c) - ord(first) < size:
+                return ord(first), size
+        return None
+
+    middle = (len(value) + 1) // 2
+    halves = [value[:middle], value[middle:]]
+    for turn in range(ROUNDS):
+        moved = 0 if turn % 2 else 1
+        seed = f"{key}|{kind}|{turn}|{halves[1 - moved]}"
+        digest = hashlib.sha512(seed.encode()).digest()
+        out = ""
+        for i, c in enumerate(halves[moved]):
+            at = place(c)
+            out += c if at is None else chr(at[0] + (ord(c) - at[0] + digest[i % 64]) % at[1])
+        halves[moved] = out
+    return "".join(halves)
+
+
+def valid_ssn(value):
+    a, b, c = value.split("-")
+    return a not in ("000", "666") and a[0] != "9" and b != "00" and c != "0000"
+
+
+def test_pseudonyms_are_those_of_the_permutation(spark):
+    rng = random.Random(9)
+    ssns = set()
+    while len(ssns) < 1500:
+        value = f"{rng.randint(1, 899):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}"
+        if valid_ssn(value):
+            ssns.add(value)
+    ssns = sorted(ssns)
+    mails = [f"User.{n}_x@mail{n}.Example.org" for n in range(40)]
+    cards = [card(rng) for _ in range(40)]
+    new, _ = replaced(spark, [*ssns, *mails, *cards])
+    every = [f"{a:03d}-{b:02d}" for a in range(1, 900) if a != 666 for b in range(1, 100)]
+    places = {head: place for place, head in enumerate(every)}
+    for value, out in zip(ssns, new):
+        halves = [places[value[:6]], int(value[7:]) - 1]
+        for turn in range(ROUNDS):
+            moved = 0 if turn % 2 else 1
+            seed = f"{KEY}|ssn|{turn}|{halves[1 - moved]}"
+            number = int(hashlib.sha256(seed.encode()).hexdigest()[:13], 16)
+            halves[moved] = (halves[moved] + number) % (len(every), 9999)[moved]
+        assert out == f"{every[halves[0]]}-{halves[1] + 1:04d}" and valid_ssn(out)
+    assert len(set(new[:1500])) == 1500
+    for value, out in zip(mails, new[1500:]):
+        name, end = value.rsplit(".", 1)
+        assert out == f"{feistel(name, 'email')}.{end}"
+    for value, out in zip(cards, new[1540:]):
+        assert out[:-1] == feistel(value[:-1], "card") and luhn(out)
+
+
+def test_a_key_is_asked_for_and_no_column_is_lost(spark):
+    from spoor.llm.fuzzy import keep_one
+
+    df = spark.createDataFrame(
+        [(1, "call +1 (988) 555-2485 now", 1, 2, 3, 4, 5)],
+        "doc_id long, text string, __found int, __New int, __a int, __b int, __n int",
+    )
+    with pytest.raises(TypeError):
+        pseudonymise(df)
+    out = pseudonymise(df, key="k")
+    assert out.columns == df.columns and out.first()[2:] == (1, 2, 3, 4, 5)
+    assert keep_one(df).columns == df.columns and keep_one(df).first()[2:] == (1, 2, 3, 4, 5)
