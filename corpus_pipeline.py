@@ -21,6 +21,7 @@ from spoor.llm.fuzzy import keep_one
 from spoor.llm.packing import pack
 from spoor.llm.pseudonyms import pseudonymise
 from spoor.llm.quality import keep_good
+from spoor.llm.queries import secret_key
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal numbers, dates and addresses are replaced; the length column follows."""
-    out = pseudonymise(docs)
+    out = pseudonymise(docs, key=secret_key(spark))
     if "n_chars" in out.columns:
         kind = out.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.length("text").cast(kind))
