@@ -19,6 +19,7 @@ form a block, on average 17 windows in 66 bytes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -38,7 +39,7 @@ UNIT = 1_000_000
 #: Blocks of an anchor whose suffixes are sorted in one task; anchors with more are spread.
 KEY_BLOCKS = 10_000
 #: Anchors dealt to one cell, sampled suffixes of a cell of an array, and anchors in a piece.
-CELL_ANCHORS, CELL_SUFFIXES, PIECE = 400_000, 50_000, 1 << 20
+CELL_ANCHORS, CELL_SUFFIXES, PIECE = 400_000, 50_000, 1 << 18
 #: Bytes of a text whose blocks are worked out at a time.
 CHUNK = 1 << 22
 #: A null id counts as larger than any other.
@@ -169,10 +170,17 @@ def _anchors(docs: DataFrame, cells: int) -> DataFrame:
             out.append((int(cell[a]), _pack([c[a:b] for c in columns], ANCHORS), b""))
         return out
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def packed(parts: list[tuple]) -> pa.RecordBatch:
+        cells_of, anchors, marks = zip(*piece(parts))
+        return pa.record_batch(
+            [pa.array(cells_of, pa.int64()), pa.array(anchors, pa.binary()),
+             pa.array(marks, pa.binary())], ["cell", "anchors", "marks"],
+        )
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         docs, tags, bodies = batch.columns
         docs, tags = docs.to_numpy(), tags.to_numpy()
-        out, parts, size = [], [], 0
+        parts, size = [], 0
         hashed = xxhash.xxh64_intdigest
         for row in np.argsort(docs, kind="stable").tolist():
             data = bodies[row].as_py()
@@ -187,21 +195,21 @@ def _anchors(docs: DataFrame, cells: int) -> DataFrame:
             )
             parts.append((
                 key, digest, np.full(len(key), docs[row], np.int64),
-                np.full(len(key), tags[row], np.int64), first, n, off,
+                np.full(len(key), tags[row], np.int64), first.astype(np.int32),
+                n.astype(np.int8), off.astype(np.int8),
             ))
             size += len(key)
             if size >= PIECE:
-                out += piece(parts)
+                yield packed(parts)
                 parts, size = [], 0
         if parts:
-            out += piece(parts)
-        cells_of, anchors, marks = zip(*out) if out else ((), (), ())
-        return pa.record_batch(
-            [pa.array(cells_of, pa.int64()), pa.array(anchors, pa.binary()),
-             pa.array(marks, pa.binary())], ["cell", "anchors", "marks"],
-        )
+            yield packed(parts)
 
-    return over_batches(docs, work, "cell long, anchors binary, marks binary")
+    ship_package(docs.sparkSession)
+    return docs.mapInArrow(
+        lambda batches: (out for batch in batches for out in work(batch)),
+        "cell long, anchors binary, marks binary",
+    )
 
 
 def judge(cell: pa.Table) -> pa.Table:
