@@ -12,13 +12,12 @@ ACL_PATH = "$['ietf-access-control-list:access-lists'].acl"
 ACE_PATH = "$.aces.ace"
 
 
-def parse_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents with their ``acls``, and apart from them those without any.
+def reasoned(documents: DataFrame) -> DataFrame:
+    """Documents with their ``acls``, size and, where they have none, the ``reason``.
 
-    The second DataFrame is the quarantine, with a ``reason``: text that is no JSON
-    object, or one without the list of access lists. ``acls`` is NULL for them in the
-    first. A document that is too large for one VARIANT, or that repeats a key, is
-    read list by list.
+    Without access lists are texts that are no JSON object, or one without the list of them.
+    ``acls`` is NULL for them, and only they keep their text. A document that is too large for
+    one VARIANT, or that repeats a key, is read list by list.
     """
     text = F.col("text")
     whole = F.try_variant_get(F.try_parse_json(text), ACL_PATH, "array<variant>")
@@ -26,12 +25,25 @@ def parse_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     is_object = F.json_object_keys(text).isNotNull()
     acls = F.coalesce(whole, F.when(is_object, F.transform(lists, F.try_parse_json)))
     reason = F.when(is_object, "no access lists").otherwise("no JSON object")
-    return (
-        documents.withColumn("acls", acls),
-        documents.filter(acls.isNull()).withColumn("reason", reason),
+    others = [c for c in documents.columns if c != "text"]
+    sized = documents.withColumns({"acls": acls, "original_size": F.length(text).cast("long")})
+    lacks = F.col("acls").isNull()
+    return sized.select(
+        *others, F.when(lacks, text).alias("text"), "acls", "original_size",
+        F.when(lacks, reason).alias("reason"),
     )
 
 
+def parse_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents with their ``acls``, and apart from them those without any, with a reason.
+
+    The second DataFrame is the quarantine; ``acls`` is NULL for its rows in the first.
+    """
+    found = reasoned(documents)
+    bad = found.filter("reason is not null")
+    return found.drop("reason"), bad.drop("acls", "original_size")
+
+
 def entries(parsed: DataFrame, *keys: str) -> DataFrame:
     """``(*keys, acl_pos, ace_pos, acl_name, ace)``, one row per entry.
 

@@ -16,8 +16,13 @@ def flattened_sizes(lines: DataFrame, *keys: str) -> DataFrame:
 
 
 def reduction_stats(documents: DataFrame, lines: DataFrame, key: str = "path") -> DataFrame:
-    """Characters per document before and after, difference and percent."""
-    sizes = documents.select(key, F.length("text").cast("long").alias("original_size"))
+    """Characters per document before and after, difference and percent.
+
+    Parsed documents bring their ``original_size``, others their ``text``.
+    """
+    known = "original_size" in documents.columns
+    size = F.col("original_size") if known else F.length("text").cast("long")
+    sizes = documents.select(key, size.alias("original_size"))
     after = F.coalesce("flattened_size", F.lit(0)).cast("long")
     joined = sizes.join(flattened_sizes(lines, key), key, "left").withColumn(
         "flattened_size", after

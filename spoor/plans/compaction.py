@@ -6,8 +6,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spoor.operators.flatten import entries, ordered_distinct, parse_documents, render
+from spoor.operators.flatten import (
+    entries, ordered_distinct, parse_documents, reasoned, render,
+)
 from spoor.operators.stats import reduction_stats, reduction_summary
+from spoor.session import stored
+from spoor.sources.listing import Opener
 from spoor.sources.profiles import read_documents
 from spoor.sources.sinks import write_lines, write_report, write_rule_texts
 
@@ -30,22 +34,27 @@ def compact(documents: DataFrame, key: str = "path") -> Compacted:
     return Compacted(lines, stats, reduction_summary(stats), bad)
 
 
-def compact_folder(spark: SparkSession, source: str, target: str) -> Compacted:
+def compact_folder(
+    spark: SparkSession, source: str, target: str, opener: Opener | None = None
+) -> Compacted:
     """Compact every profile below ``source``; results go below ``target``.
 
-    A profile without rules keeps a row with a NULL line, and a text without rules.
+    A profile without rules keeps a row with a NULL line, and a text without rules. Documents
+    are read and parsed once. With an ``opener`` their folders are listed by tasks, see
+    ``sources.listing``.
     """
-    compacted = compact(read_documents(spark, source))
-    profiles = compacted.stats.select("path")
-    write_lines(profiles.join(compacted.lines, "path", "left"), f"{target}/lines", ORDER)
-    write_report(compacted.quarantine, f"{target}/quarantine")
-    # The other sinks read the lines just written instead of parsing again.
+    parsed = stored(reasoned(read_documents(spark, source, opener)))
+    profiles = parsed.filter("reason is null")
+    found = ordered_distinct(render(entries(profiles, "path"), "path"), ["path"], ORDER)
+    write_lines(profiles.select("path").join(found, "path", "left"), f"{target}/lines", ORDER)
+    quarantine = parsed.filter("reason is not null").select("path", "text", "reason")
+    write_report(quarantine, f"{target}/quarantine")
+    # The other sinks read the lines just written instead of rendering again.
     written = spark.read.parquet(f"{target}/lines")
     lines = written.filter("line is not null")
-    parsed, _ = parse_documents(read_documents(spark, source))
-    stats = reduction_stats(parsed.filter("acls is not null"), lines)
+    stats = reduction_stats(profiles, lines)
     write_rule_texts(written, f"{target}/texts", ORDER)
     write_report(stats, f"{target}/reduction_stats")
     stats = spark.read.schema(stats.schema).json(f"{target}/reduction_stats")
     write_report(reduction_summary(stats), f"{target}/reduction_summary")
-    return Compacted(lines, stats, reduction_summary(stats), compacted.quarantine)
+    return Compacted(lines, stats, reduction_summary(stats), quarantine)

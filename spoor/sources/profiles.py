@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spoor.functions.labels import clean_label, expected_label, file_stem
 from spoor.functions.text import lines, strip
 from spoor.sources.guards import require_rows
+from spoor.sources.listing import Opener, list_files, read_listed
 
 
 def _relative(folder: str, file: Column | None = None) -> Column:
@@ -21,12 +22,17 @@ def _relative(folder: str, file: Column | None = None) -> Column:
     return F.regexp_replace(F.url_decode(escaped), prefix, "")
 
 
-def _files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
+def _files(
+    spark: SparkSession, folder: str, glob: str, opener: Opener | None = None
+) -> DataFrame:
     """``(path, text)`` of all matching files below ``folder``, those of zero bytes included.
 
-    Spark's scan leaves out files of zero bytes, but its file index lists them; the
-    names are on the driver with the index anyway.
+    With an ``opener`` the files are listed and read by tasks, and the driver sees no name.
+    Without one Spark's scan reads them, from any store that Spark knows. The scan leaves out
+    files of zero bytes, but its file index, which is on the driver, lists them.
     """
+    if opener is not None:
+        return read_listed(list_files(spark, folder, glob, opener), folder, opener)
     scan = spark.read.text(folder, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
     found = scan.select(_relative(folder).alias("path"), F.col("value").alias("text"))
     listed = spark.createDataFrame([(name,) for name in scan.inputFiles()], "file string")
@@ -49,18 +55,25 @@ def _joined_parts(files: DataFrame) -> DataFrame:
     return plain.unionByName(parts.withColumnRenamed("name", "path"))
 
 
-def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """``(path, text)`` of every ``*.json`` below ``folder``."""
-    return require_rows(_files(spark, folder, "*.json"), f"no profiles in {folder}")
+def read_documents(
+    spark: SparkSession, folder: str, opener: Opener | None = None
+) -> DataFrame:
+    """``(path, text)`` of every ``*.json`` below ``folder``.
+
+    Give an ``opener`` such as ``listing.arrow_files`` where there are very many files.
+    """
+    return require_rows(_files(spark, folder, "*.json", opener), f"no profiles in {folder}")
 
 
-def read_rule_files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
+def read_rule_files(
+    spark: SparkSession, folder: str, recursive: bool = True, opener: Opener | None = None
+) -> DataFrame:
     """``(path, text)`` of every ``*.txt``; the whole text in one string.
 
     A blank file counts as a profile, also one of zero bytes. Folders written by
     ``write_rule_texts`` count as one file per profile.
     """
-    files = _joined_parts(_files(spark, folder, "*.txt"))
+    files = _joined_parts(_files(spark, folder, "*.txt", opener))
     if not recursive:
         files = files.filter(~F.col("path").contains("/"))
     return require_rows(files, f"no rule texts in {folder}")
