@@ -1,9 +1,12 @@
 """Runtime traces: schema, window matching, and the stream against the batch."""
 
 import os
+import shutil
 from datetime import datetime
 from urllib.parse import urlparse
 
+import pytest
+
 from spoor.session import shared_dir
 from spoor.sources.flows import flow_rules, read_flows, stream_flows
 from spoor.operators.encode import hashed_encoder
@@ -12,7 +15,11 @@ from spoor.streaming.runtime import (
     match_stream_by_meaning,
     match_windows,
     match_windows_by_meaning,
+    read_commits,
+    read_late,
+    read_matches,
 )
+from spoor.streaming.late import STORE
 
 HEADER = (
     "flow_idx,first_seen,device_ip,remote_ip,ip_protocol,device_port,remote_port,direction,"
@@ -127,3 +134,89 @@ def test_matching_by_meaning_in_batch_and_stream(spark, tmp_path):
         if r["window_start"] < datetime(2020, 1, 23)
     }
     assert {(r["window_start"], r["entity"], r["device"], round(r["score"], 6)) for r in stream} == closed
+
+
+def trace_file(folder, name, rows):
+    """``rows`` are (day, rule); several files of one entity are told apart by their folder."""
+    folder.mkdir(parents=True, exist_ok=True)
+    text = HEADER + "".join(row(i, d, r) for i, (d, r) in enumerate(rows))
+    (folder / f"{name}_runtime_aces.csv").write_text(text)
+
+
+@pytest.fixture
+def rocks(spark):
+    before = spark.conf.get(STORE[0])
+    spark.conf.set(*STORE)
+    yield
+    spark.conf.set(STORE[0], before)
+
+
+def run_stream(spark, source, out, state, **options):
+    query = match_stream(
+        flow_rules(stream_flows(spark, str(source))), references(spark), "7 days", "1 day",
+        str(out), str(state), k=2, trigger={"availableNow": True}, **options,
+    )
+    query.awaitTermination()
+    return query
+
+
+def test_late_rows_are_handed_on(spark, tmp_path, rocks):
+    """Every flow of a closed window is matched once or late once; nothing is dropped."""
+    source, out, state = (tmp_path / n for n in ("in", "out", "state"))
+    columns = ["window_start", "entity", "device", "score", "hit_count", "rank"]
+    first = [(1, "a"), (1, "a"), (2, "b"), (9, "c"), (27, "z")]
+    trace_file(source / "1", "Cam_0011", first)
+    run_stream(spark, source, out, state, late=True)
+    batch = match_windows(
+        flow_rules(read_flows(spark, str(source))), references(spark), "7 days", k=2
+    ).filter("window_start < '2020-01-23'")
+    closed = sorted(batch.collect())
+    assert sorted(read_matches(spark, str(out)).select(columns).collect()) == closed
+    assert read_late(spark, str(out)).count() == 0
+
+    # The windows from 26 December and 2 January have closed; that from the 23rd is open.
+    trace_file(source / "2", "Cam_0011", [(1, "a"), (1, "a"), (3, "q"), (28, "b")])
+    trace_file(source / "2", "Plug_0022", [(1, "d"), (28, "d")])
+    run_stream(spark, source, out, state, late=True)
+    late = {(r["window_start"].day, r["entity"], r["line"]): r["flows"] for r in
+            read_late(spark, str(out)).collect()}
+    assert late == {
+        (26, "Cam_0011", "a"): 2, (2, "Cam_0011", "q"): 1, (26, "Plug_0022", "d"): 1,
+    }
+    assert sorted(read_matches(spark, str(out)).select(columns).collect()) == closed
+    assert sum(r["late_rules"] for r in read_commits(spark, str(out)).collect()) == 3
+
+    # A last file closes the window from the 23rd, with the rules of all runs in it.
+    (source / "3").mkdir()
+    far = HEADER + "0,2020-03-01 10:00:00.0,10.0.0.1,10.0.0.2,6,1,2,egress,True,True,a\n"
+    (source / "3" / "Cam_0011_runtime_aces.csv").write_text(far)
+    run_stream(spark, source, out, state, late=True)
+    last = read_matches(spark, str(out)).filter("window_start = '2020-01-23' and rank = 1")
+    assert {(r["entity"], r["device"], r["score"]) for r in last.collect()} == {
+        ("Cam_0011", "cam", 1 / 4), ("Plug_0022", "plug", 1.0),
+    }
+
+
+def test_late_rows_need_their_state_store(spark, tmp_path):
+    source = tmp_path / "in"
+    trace_file(source, "Cam_0011", [(1, "a")])
+    with pytest.raises(ValueError, match="RocksDB"):
+        run_stream(spark, source, tmp_path / "out", tmp_path / "state", late=True)
+
+
+def test_readers_see_whole_batches_once(spark, tmp_path):
+    """Attempts without a commit do not count, and of two committed ones one does."""
+    source, out = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    write_traces(source)
+    run_stream(spark, source, out, tmp_path / "state")
+    want = sorted(read_matches(spark, str(out)).collect())
+    assert want
+    done = read_commits(spark, str(out)).first()
+    written = out / f"batch={done['batch']}" / f"attempt={done['attempt']}"
+    shutil.copytree(written, out / f"batch={done['batch']}" / "attempt=a-cut-off")
+    shutil.copytree(written, out / "batch=77" / "attempt=a-not-there-yet")
+    assert sorted(read_matches(spark, str(out)).collect()) == want
+    again = spark.createDataFrame([(done["batch"], "a-cut-off", 1, 0)], read_commits(spark, str(out)).schema)
+    again.write.mode("append").json(f"{out}/_commits")
+    assert sorted(read_matches(spark, str(out)).collect()) == want
