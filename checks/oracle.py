@@ -552,4 +552,11 @@ FROM documents d JOIN bags b USING (text)""",
     "runtime_window_match": _windows(closed=False),
     "runtime_window_meaning": MEANING,
     "runtime_stream_match": _windows(closed=True),
+    "runtime_stream_late": f"""WITH {FLOWS},
+first AS (SELECT max(ts) - INTERVAL 1 DAY AS watermark FROM flows WHERE ts >= {SPLIT}),
+buckets AS (
+  SELECT entity, line, time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS w
+  FROM flows WHERE ts < {SPLIT} AND entity IS NOT NULL AND line IS NOT NULL)
+SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, entity, line, count(*) AS flows
+FROM buckets WHERE w + INTERVAL 7 DAY <= (SELECT watermark FROM first) GROUP BY ALL""",
 }

@@ -43,7 +43,10 @@ from spoor.plans.whitening import Whitening
 from spoor.session import shared_dir, stored
 from spoor.sources.banks import query_bank, reference_bank, resolve_bank
 from spoor.sources.profiles import rule_lines
-from spoor.streaming.runtime import match_stream, match_windows, match_windows_by_meaning
+from spoor.streaming.late import STORE
+from spoor.streaming.runtime import (
+    match_stream, match_windows, match_windows_by_meaning, read_late, read_matches,
+)
 
 ENCODER_DIM = 32
 # Small enough that every rule of the test tables counts as hot.
@@ -493,7 +496,33 @@ def runtime_stream_match(spark, sf_dir):
         trigger={"availableNow": True},
     )
     query.awaitTermination()
-    return _windows_out(spark.read.parquet(f"{base}/out").drop("batch"))
+    return _windows_out(read_matches(spark, f"{base}/out"))
+
+
+def runtime_stream_late(spark, sf_dir):
+    """Flows that came after their window had closed: all from before the split, as they are
+    delivered after those from the split on."""
+    events = views.table(spark, sf_dir, "events")
+    base = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+    early = F.col("ts") < F.to_timestamp(F.lit(views.SPLIT))
+    store = spark.conf.get(STORE[0])
+    spark.conf.set(*STORE)
+    try:
+        for arrived in (events.filter(~early), events.filter(early)):
+            arrived.write.mode("append").parquet(f"{base}/in")
+            query = match_stream(
+                views.event_flows(spark.readStream.schema(events.schema).parquet(f"{base}/in")),
+                views.reference_sets(spark, sf_dir),
+                WINDOW, DELAY, f"{base}/out", f"{base}/state",
+                trigger={"availableNow": True}, late=True,
+            )
+            query.awaitTermination()
+    finally:
+        spark.conf.set(STORE[0], store)
+    late = read_late(spark, f"{base}/out").groupBy("window_start", "entity", "line").agg(
+        F.sum("flows").alias("flows")
+    )
+    return late.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
 QUERIES = {
@@ -557,6 +586,7 @@ QUERIES = {
     "runtime_window_meaning": runtime_window_meaning,
     "runtime_window_match": runtime_window_match,
     "runtime_stream_match": runtime_stream_match,
+    "runtime_stream_late": runtime_stream_late,
 }
 
 
