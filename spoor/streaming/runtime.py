@@ -105,7 +105,7 @@ def match_stream(
     made ready once, when the stream starts. With ``late``, flows behind the watermark are kept
     for ``read_late`` instead of dropped.
     """
-    ready = prepared(references)
+    ready = prepared(references).leading(k)
     return _started(
         flows, width, delay, target, checkpoint, trigger, late,
         lambda rules: _ranked(rules, ready, method, k),

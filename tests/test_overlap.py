@@ -207,3 +207,49 @@ def test_pairs_beyond_64_bits(spark):
     )
     doubled = counts.union(counts).union(counts)
     assert overlap.hot_rules(doubled, 1e20, 1) == ([], pytest.approx(2.7e19))
+
+
+@pytest.mark.parametrize("method", ["jaccard", "exact_hit_count"])
+def test_copies_of_profiles_meet_once(spark, monkeypatch, method):
+    """Pairs that are emitted follow the different profiles, not their copies."""
+    seen = []
+
+    class Spy(overlap._Sides):
+        def __init__(self, *args):
+            super().__init__(*args)
+            seen.append(self.rare_pairs)
+
+    monkeypatch.setattr(overlap, "_Sides", Spy)
+    monkeypatch.setattr(overlap, "BLOCK", 3)
+    monkeypatch.setattr(overlap, "PAIRS_PER_TASK", 20)
+
+    def copies(sets, n):
+        return {f"{name}-{i:02d}": rules for name, rules in sets.items() for i in range(n)}
+
+    few = {n: QUERIES[n] for n in sorted(QUERIES)[:8]}, {n: REFERENCES[n] for n in sorted(REFERENCES)[:30:2]}
+    tops, ranks = {}, {}
+    for n in (5, 12):
+        queries, references = (copies(sets, n) for sets in few)
+        # Members of a class ask for different names, of the same class and of others.
+        names = sorted(references)
+        expected = {q: names[(7 * i) % len(names)] if i % 9 else "unknown" for i, q in enumerate(queries)}
+        q, r = frame(spark, queries, "query"), frame(spark, references, "device")
+        asked = spark.createDataFrame(list(expected.items()), "query string, expected string")
+        options = {"pair_budget": 0, "max_hot": 3}
+        top = overlap_topk(q, r, method, 5, **options).orderBy("query", "rank").collect()
+        rank = overlap_ranks(q, r, asked, method, **options).collect()
+        for name, query in queries.items():
+            scored = []
+            for device, rules in references.items():
+                hits, union = len(query & rules), len(query | rules)
+                score = float(hits) if method == "exact_hit_count" else hits / union if union else 0.0
+                scored.append((-score, device))
+            scored.sort()
+            tops[name] = [d for _, d in scored[:5]]
+            order = [d for _, d in scored]
+            ranks[name] = order.index(expected[name]) + 1 if expected[name] in references else None
+        assert all([t["device"] for t in top if t["query"] == name] == tops[name] for name in queries)
+        assert {t["query"]: t["rank"] for t in rank} == {name: ranks[name] for name in queries}
+    # Five names of a class of references stand for any number; ranks have a name for each.
+    assert seen[0] == seen[2]
+    assert seen[1] <= 8 * 15 * 9 and seen[3] <= 8 * 15 * 9 * 2
