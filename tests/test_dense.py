@@ -246,3 +246,33 @@ def test_repeated_reference_rows_do_not_change_maxsim(spark):
     doubled = bank.union(bank.withColumn("row_id", F.col("row_id") + 5000))
     a, b = (dense_topk(queries, x).orderBy("query", "rank").collect() for x in (bank, doubled))
     assert [r["device"] for r in a] == [r["device"] for r in b]
+
+
+def test_copies_of_banks_meet_once(spark, monkeypatch):
+    """What is compared follows the different banks, not their copies."""
+    seen = []
+
+    class Spy(dense.DenseSearch):
+        def __init__(self, *args):
+            super().__init__(*args)
+            seen.append(self.tiles.rows.count())
+
+    monkeypatch.setattr(dense, "DenseSearch", Spy)
+    rnd = np.random.default_rng(5)
+    banks = {f"b{i}": rnd.normal(size=(2, 4)).round(2) for i in range(5)}
+    names = [f"{name}-{i}" for name in banks for i in range(6)]
+    wanted = {q: names[(5 * i) % len(names)] if i % 7 else "unknown" for i, q in enumerate(names)}
+    rows = [
+        (name, wanted[name], at, [float(x) for x in vector])
+        for name in names for at, vector in enumerate(banks[name[:-2]])
+    ]
+    bank = spark.createDataFrame(rows, "query string, expected string, row_id long, embedding array<double>")
+    references = bank.select(F.col("query").alias("device"), "row_id", "embedding")
+    ranks = {r["query"]: r["rank"] for r in dense_ranks(bank, references).collect()}
+    unit = {name: b / np.linalg.norm(b, axis=1, keepdims=True) for name, b in banks.items()}
+    for query in names:
+        best = {r: (unit[query[:-2]] @ unit[r].T).max(axis=1).mean().round(9) for r in banks}
+        order = sorted(names, key=lambda d: (-best[d[:-2]], d))
+        assert ranks[query] == (order.index(wanted[query]) + 1 if wanted[query] != "unknown" else None)
+    # Five banks of two rows.
+    assert seen == [10]
