@@ -982,8 +982,10 @@ def _of_classes(bank: DataFrame, classes: DataFrame, key: str) -> DataFrame:
 def pooled(queries: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both banks reduced to one unit mean vector per label.
 
-    One vector on each side makes maxsim the cosine of the two means.
+    One vector on each side makes maxsim the cosine of the two means. The means are written: their
+    last bits follow the order in which the parts of a group arrive, so a second run of the
+    aggregate would give other vectors, and a search reads its banks several times.
     """
     q = mean_vectors(queries, "query", "expected").withColumn("row_id", F.lit(0).cast("long"))
     r = mean_vectors(references, "device").withColumn("row_id", F.lit(0).cast("long"))
-    return q, r
+    return stored(q), stored(r)

@@ -276,3 +276,20 @@ def test_copies_of_banks_meet_once(spark, monkeypatch):
         assert ranks[query] == (order.index(wanted[query]) + 1 if wanted[query] != "unknown" else None)
     # Five banks of two rows.
     assert seen == [10]
+
+
+def test_pooled_means_are_those_of_one_run(spark):
+    """Rows that arrive in another order in each run give means that differ in their last bits."""
+    arrival = F.udf(lambda: random.random(), "double").asNondeterministic()
+    numbers = np.random.default_rng(5).normal(size=(400, 8)) * 10.0 ** np.arange(-4, 4)
+    bank = spark.createDataFrame(
+        [(f"d{i % 4}", i, v.tolist()) for i, v in enumerate(numbers)],
+        "device string, row_id long, embedding array<double>",
+    )
+    shuffled = bank.withColumn("at", arrival()).repartitionByRange(6, "at").drop("at")
+    queries = shuffled.withColumnRenamed("device", "query").withColumn("expected", F.col("query"))
+    banks = dense.pooled(queries, shuffled)
+    assert dense_topk(*banks, k=2).count() == 8
+    assert {(r["expected"], r["rank"]) for r in dense_ranks(*banks).collect()} == {
+        (f"d{i}", 1) for i in range(4)
+    }
