@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 FOLDS = 5
 LEXICON_ROWS, FIT_ROWS = 10_000, 10_000
+#: What words are made of, in a pattern.
+LETTERS = r"\p{L}\p{N}_"
 #: Lengths of stems, in characters.
 STEMS = (4, 5, 6)
 #: Learned words: least documents, least distance from chance in standard errors, most words.
@@ -74,24 +76,45 @@ def _stem(size: int):
 
 
 def words(text: Column) -> Column:
-    """The distinct words of a text in lower case, and their stems with a star."""
-    return F.array_distinct(_tokens(text))
-
-
-def _tokens(text: Column) -> Column:
-    """The same with stems that may repeat, for an intersection, which drops repeats itself.
+    """The distinct words of a text in lower case, and their stems with a star.
 
     A stem is the start of a longer word: voters and classifier can go by it where a word is
     inflected or joined to others.
     """
-    found = F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"))
+    found = F.array_distinct(F.split(F.lower(text), rf"[^{LETTERS}]+"))
     stems = [
         F.transform(
             F.filter(found, _longer_than(size)), _stem(size)
         )
         for size in STEMS
     ]
-    return F.concat(found, *stems)
+    return F.array_distinct(F.concat(found, *stems))
+
+
+def _strings(values: list[str]) -> Column:
+    """An array of constants; as one JSON text, so that a long list is no large expression."""
+    return F.from_json(F.lit(json.dumps(values)), "array<string>")
+
+
+def wanted_words(text: Column, wanted: list[str]) -> Column:
+    """Those of some ``words`` that a text has, in the order of ``words``.
+
+    Stems are taken from the text by a pattern that eats a longer word whole, and only where one
+    of their length is wanted; stems of every word would be by far the dearest step.
+    """
+    lower = F.lower(text)
+    whole = [w for w in wanted if not w.endswith("*")]
+    found = F.array_intersect(F.split(lower, rf"[^{LETTERS}]+"), _strings(whole))
+    stems = []
+    for size in STEMS:
+        if starts := [w[:-1] for w in wanted if w.endswith("*") and len(w) == size + 1]:
+            longer = F.regexp_extract_all(lower, F.lit(rf"([{LETTERS}]{{{size}}})[{LETTERS}]+"), 1)
+            stems.append(F.transform(F.array_intersect(longer, _strings(starts)), _starred))
+    return F.concat(found, *stems) if stems else found
+
+
+def _starred(stem: Column) -> Column:
+    return F.concat(stem, F.lit("*"))
 
 
 def _sampled(df: DataFrame, key: str, rows: int, wanted: int) -> DataFrame:
@@ -137,7 +160,7 @@ def vote_patterns(
             lexicons[f"learned_{part}"] = mine
     every = sorted({w for ws in lexicons.values() for w in ws})
     body = F.coalesce(F.col(text), F.lit(""))
-    hits = F.array_intersect(_tokens(body), F.array(*map(F.lit, every)))
+    hits = wanted_words(body, every)
     df = docs.select(
         key, hits.alias("__hits"), *(body.rlike(form).alias(n) for n, form in PATTERNS.items())
     )
@@ -326,9 +349,9 @@ def fit_classifier(
 def score(text: Column, weights: dict[str, float], intercept: float) -> Column:
     """The classifier's probability: only the words with a weight are looked at."""
     chosen = sorted(weights)
-    known = F.from_json(F.lit(json.dumps(chosen)), "array<string>")
+    known = _strings(chosen)
     values = F.from_json(F.lit(json.dumps([weights[w] for w in chosen])), "array<double>")
-    hits = F.array_intersect(_tokens(text), known)
+    hits = wanted_words(text, chosen)
     total = F.aggregate(
         hits, F.lit(float(intercept)),
         lambda acc, w: acc + F.get(values, (F.array_position(known, w) - 1).cast("int")),

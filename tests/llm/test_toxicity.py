@@ -2,8 +2,9 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from spoor.llm.toxicity import LabelModel, score_toxicity
+from spoor.llm.toxicity import LabelModel, score, score_toxicity, wanted_words, words
 
 PLAIN = [f"{a}{b}" for a in "ba ko li mu ne po ra su ti vo".split() for b in "na ro st li mer den".split()]
 BAD = ["idiot", "scum", "pathetic", "zorgish", "zorgable"]
@@ -79,3 +80,23 @@ def test_label_model_recovers_accuracies_and_joins_copies():
         assert abs(found[name][0] - a) < 0.02 and abs(found[name][1] - b) < 0.03
     got = model.posterior(codes) > 0.5
     assert (got == y).mean() > 0.97
+
+
+def test_wanted_words_are_those_of_all_words(spark, odd_docs):
+    more = spark.createDataFrame(
+        [("𝒜bcdefgh 𝒜bcd abcdefg𝒜 abcd ab_cd1 a-bcdef",), ("*abcd* abcde*",)], "text string"
+    )
+    body = F.coalesce("text", F.lit(""))
+    texts = odd_docs.select("text").union(more).withColumn("every", words(body)).localCheckpoint()
+    every = sorted({w for r in texts.collect() for w in r["every"]})
+    for wanted in (every, every[::2], every[1::3], [w for w in every if "*" in w][:2], []):
+        kept = F.array_intersect("every", F.array(*map(F.lit, wanted)).cast("array<string>"))
+        rows = texts.select(wanted_words(body, wanted).alias("ours"), kept.alias("theirs")).collect()
+        assert all(r["ours"] == r["theirs"] for r in rows)
+
+
+def test_a_score_makes_no_stems_that_have_no_weight(spark):
+    texts = spark.createDataFrame([("some words",)], "text string")
+    plan = texts.select(score(F.col("text"), {"idiot": 1.0, "zorg*": 2.0}, 0.0))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "{4}" in text and "{5}" not in text and "{6}" not in text and "filter(" not in text
