@@ -340,3 +340,18 @@ def test_sketches_of_batches_merge(spark):
     assert tuple(none) == (0, 0, 0)
     per = estimated_counts(stored_rows, "batch").collect()
     assert sum(r["rule_instances"] for r in per) == 9000
+
+
+def test_texts_are_encoded_without_shuffling_their_tokens(spark):
+    """Rows, distinct texts and vectors are shuffled, once each; a blank text has a zero vector."""
+    lines = spark.createDataFrame(
+        [(1, 0, "a b a"), (1, 1, "c"), (2, 0, "a b a"), (2, 1, " "), (3, 0, "")],
+        "doc long, pos int, line string",
+    )
+    found = encode_distinct(lines, hashed_encoder(8), "line")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3 and "token" in plan
+    rows = {(r["doc"], r["pos"]): r["embedding"] for r in found.collect()}
+    assert len(rows) == 5 and rows[1, 0] == rows[2, 0] != rows[1, 1]
+    assert not any(rows[2, 1]) and not any(rows[3, 0])
+    assert abs(sum(x * x for x in rows[1, 0]) - 1) < 1e-6
