@@ -44,12 +44,23 @@ def parse_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.drop("reason"), bad.drop("acls", "original_size")
 
 
+def document_sizes(parsed: DataFrame, *keys: str) -> DataFrame:
+    """``(*keys, original_size)`` of the documents with access lists.
+
+    Others leave through an explode, as a filter would parse every document twice (see ``render``).
+    """
+    size = F.when(F.col("acls").isNotNull(), F.col("original_size"))
+    return parsed.select(*keys, F.explode(F.array_compact(F.array(size))).alias("original_size"))
+
+
 def entries(parsed: DataFrame, *keys: str) -> DataFrame:
     """``(*keys, acl_pos, ace_pos, acl_name, ace)``, one row per entry.
 
-    Entries that are no objects are skipped; a list without entries yields none.
+    Entries that are no objects are skipped; a list without entries yields none. The outer explode
+    only keeps Spark from adding a filter on ``acls``, which would be pushed to the scan and parse
+    every document a second time there; what it adds for a document without lists has no entries.
     """
-    acls = parsed.select(*keys, F.posexplode("acls").alias("acl_pos", "acl"))
+    acls = parsed.select(*keys, F.posexplode_outer("acls").alias("acl_pos", "acl"))
     name = F.coalesce(F.try_variant_get("acl", "$.name", "string"), F.lit(""))
     aces = F.try_variant_get("acl", ACE_PATH, "array<variant>")
     is_object = F.try_variant_get("ace", "$", "map<string, variant>").isNotNull()

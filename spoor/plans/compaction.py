@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from spoor.operators.flatten import (
-    entries, ordered_distinct, parse_documents, reasoned, render,
+    document_sizes, entries, ordered_distinct, parse_documents, reasoned, render,
 )
 from spoor.operators.stats import reduction_stats, reduction_summary
 from spoor.session import stored
@@ -30,7 +30,7 @@ def compact(documents: DataFrame, key: str = "path") -> Compacted:
     """``documents (key, text)`` to distinct lines in first-occurrence order."""
     parsed, bad = parse_documents(documents)
     lines = ordered_distinct(render(entries(parsed, key), key), [key], ORDER)
-    stats = reduction_stats(parsed.filter("acls is not null"), lines, key)
+    stats = reduction_stats(document_sizes(parsed, key), lines, key)
     return Compacted(lines, stats, reduction_summary(stats), bad)
 
 

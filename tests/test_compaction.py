@@ -212,3 +212,15 @@ def test_labels(spark):
     df = spark.createDataFrame([(p,) for p in paths], "p string")
     assert {r[0]: r[1] for r in df.select("p", expected_label(F.col("p"))).collect()} == paths
     assert df.select(file_stem(F.lit("d/.x.txt"))).first()[0] == ".x"
+
+
+def test_documents_are_parsed_once_and_not_in_the_scan(spark):
+    """No filter on the parsed lists is pushed below them, where it would parse them again."""
+    texts = [(1, '{"ietf-access-control-list:access-lists":{"acl":[]}}'), (2, "{"), (3, None)]
+    documents = spark.createDataFrame(texts, "path long, text string").repartition(2, "path")
+    found = compact(documents)
+    for df, parses in ((found.lines, 1), (found.stats, 2)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        assert sum("parseJson" in line for line in plan) == parses
+        assert not any("parseJson" in line and "Filter" in line for line in plan)
+    assert [r["path"] for r in found.stats.collect()] == [1]
