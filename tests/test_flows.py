@@ -3,8 +3,10 @@
 import os
 import shutil
 from datetime import datetime
+from types import SimpleNamespace
 from urllib.parse import urlparse
 
+import pyarrow as pa
 import pytest
 
 from spoor.session import shared_dir
@@ -19,6 +21,7 @@ from spoor.streaming.runtime import (
     read_late,
     read_matches,
 )
+from spoor.streaming import late
 from spoor.streaming.late import STORE
 
 HEADER = (
@@ -220,3 +223,65 @@ def test_readers_see_whole_batches_once(spark, tmp_path):
     again = spark.createDataFrame([(done["batch"], "a-cut-off", 1, 0)], read_commits(spark, str(out)).schema)
     again.write.mode("append").json(f"{out}/_commits")
     assert sorted(read_matches(spark, str(out)).collect()) == want
+
+
+class _Calls:
+    """List, value and timer state of one key, with the number of calls."""
+
+    def __init__(self):
+        self.values, self.calls = [], 0
+
+    def getListState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        self.sizes = _Calls()
+        return self.sizes
+
+    def registerTimer(self, _):
+        self.calls += 1
+
+    def exists(self):
+        self.calls += 1
+        return bool(self.values)
+
+    def get(self):
+        self.calls += 1
+        return iter(self.values) if hasattr(self, "sizes") else self.values[0]
+
+    def put(self, values):
+        self.calls, self.values = self.calls + 1, list(values)
+
+    def appendValue(self, value):
+        self.calls += 1
+        self.values.append(value)
+
+    def update(self, value):
+        self.put([value])
+
+    def clear(self):
+        self.put([])
+
+
+def test_rules_of_a_window_take_few_calls_of_state(monkeypatch):
+    """Calls follow the batches, not the rules, and what is held follows the distinct rules."""
+    monkeypatch.setattr(late, "SPARE_ROWS", 50)
+    n, state, processor = 300, _Calls(), late.OpenWindow()
+    processor.init(state)
+    rows = pa.RecordBatch.from_pydict({
+        "started": [0] * n, "ended": [10**6] * n, "bucket": [3] * n,
+        "entity": [f"e{i % 30}" for i in range(n)], "line": [f"r{i % 10}" for i in range(n)],
+        "flows": [1] * n,
+    })
+    packed = pa.Table.from_batches(late._packed(iter([rows, rows])))
+    assert len(packed) == 1
+    times = SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    for _ in range(20):
+        key = (0, 10**6, 3)
+        assert not list(processor.handleInputRows(key, iter([packed.to_pandas()]), times))
+    assert state.calls + state.sizes.calls < 20 * 8
+    assert sum(len(late._from_bytes(chunk)) for (chunk,) in state.values) <= 2 * 30 + 50
+    closed = list(processor.handleExpiredTimer(key, times, None))
+    found = pa.concat_tables([late._from_bytes(c) for df in closed for c in df["chunk"]])
+    assert len(found) == 30 and set(found["flows"].to_pylist()) == {20 * 2 * n // 30}
+    assert not state.values and not any(df["late"].any() for df in closed)
