@@ -49,8 +49,9 @@ TILE_ROWS = 131_072
 MAX_TILES = 32
 # Bytes that the vectors of a tile may take in double precision.
 TILE_BYTES = 64 << 20
-# Rows of a block of queries.
+# Rows of a block of queries; fewer, but not below the least, where that gives MAX_TILES blocks.
 BLOCK_ROWS = 4_096
+LEAST_BLOCK_ROWS = 1_024
 MAX_TASKS = 20_000
 # Queries scored at a time, and query vectors per matrix product.
 STEP_QUERIES = 256
@@ -61,6 +62,9 @@ STEP_COLUMNS = 4_096
 SUMMARY_ROWS = 50_000
 # Scores closer than this tie, so that the name decides (see order_score).
 ORDER_DIGITS = 9
+# Rows of references that are packed at a time, and bytes of a pack about.
+PACK_ROWS = 65_536
+PACK_BYTES = 4 << 20
 # A bound this much below a floor closes a tile.
 SLACK = 1e-7
 
@@ -81,6 +85,7 @@ PARTS = pa.schema(
     ]
 )
 PARTS_SCHEMA = from_arrow_schema(PARTS)
+PACKED = "unit long, part int, pack binary"
 OPENED_SCHEMA = "query string, unit long, bound double"
 # What is known of a class: places of the expected names of queries, and places of names.
 FACTS = {"query": ["first", "last"], "device": ["members", "low", "high"]}
@@ -205,8 +210,52 @@ class _Placed:
 # ---------------------------------------------------------------- kernel
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """``(unit, part, pack)``: the rows of tiles as Arrow tables in bytes.
+
+    A tile goes to every block that opens it, and a few packs travel faster than many rows.
+    """
+    def work(batches):
+        held: list[pa.Table] = []
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            if sum(map(len, held)) >= PACK_ROWS:
+                yield from _packs(pa.concat_tables(held))
+                held = []
+        if held:
+            yield from _packs(pa.concat_tables(held))
+
+    return rows.mapInArrow(work, PACKED)
+
+
+def _packs(rows: pa.Table):
+    place = np.column_stack([rows["unit"].to_numpy(), rows["part"].to_numpy()])
+    order = np.lexsort(place.T[::-1])
+    rows, place = rows.drop_columns(["unit", "part"]).take(pa.array(order)), place[order]
+    starts = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]).any(axis=1)][: len(place)])
+    step = max(1, len(rows) * PACK_BYTES // max(1, rows.nbytes))
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(place)]):
+        for at in range(a, b, step):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as writer:
+                writer.write_table(rows.slice(at, min(step, b - at)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([place[a, 0]], pa.int64()), pa.array([place[a, 1]], pa.int32()),
+                 pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                names=["unit", "part", "pack"],
+            )
+
+
+def _unpacked(packs: pa.Table) -> pa.Table:
+    return pa.concat_tables(
+        [pa.ipc.open_stream(pack.as_buffer()).read_all() for pack in packs["pack"]]
+    )
+
+
 def _names(rows: pa.Table, column: str) -> np.ndarray:
-    return np.array(rows[column].to_pylist(), dtype=object)
+    coded = rows[column].combine_chunks().dictionary_encode()
+    names = np.array([*coded.dictionary.to_pylist(), None], dtype=object)
+    return names[coded.indices.fill_null(len(names) - 1).to_numpy()]
 
 
 def _starts(labels: np.ndarray) -> np.ndarray:
@@ -216,12 +265,16 @@ def _starts(labels: np.ndarray) -> np.ndarray:
 def _split_off_vectors(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
     """The rows of labels, the number of each row's vector, and the unit vectors."""
     is_vector = rows["copies"].combine_chunks().is_null()
-    vectors, labelled = rows.filter(is_vector), rows.filter(pa.compute.invert(is_vector))
+    labelled = rows.drop_columns("embedding").filter(pa.compute.invert(is_vector))
+    vectors = rows.select(["vid", "embedding"]).filter(is_vector)
     vids = vectors["vid"].to_numpy()
     order = np.argsort(vids)
-    at = np.searchsorted(vids[order], labelled["vid"].to_numpy())
-    units = unit_rows(matrix_of(vectors["embedding"]))[order]
-    return labelled.drop_columns("embedding"), at, units
+    at = order[np.searchsorted(vids[order], labelled["vid"].to_numpy())]
+    units = matrix_of(vectors["embedding"])
+    # In place and a part at a time: the vectors are most of a task's memory.
+    for first in range(0, len(units), STEP_COLUMNS):
+        units[first : first + STEP_COLUMNS] = unit_rows(units[first : first + STEP_COLUMNS])
+    return labelled, at, units
 
 
 class _Tile:
@@ -233,6 +286,9 @@ class _Tile:
         order = np.argsort(labels, kind="stable")
         labels = labels[order]
         self.vector = at[order]
+        if len(self.vector) <= len(self.units):
+            # In the order of the rows, so that no second copy is needed.
+            self.units, self.vector = self.units[self.vector], np.arange(len(self.vector))
         self.starts = _starts(labels)
         self.ends = np.r_[self.starts[1:], len(labels)]
         self.devices = labels[self.starts]
@@ -261,7 +317,7 @@ class _Tile:
         products = some @ self.units.T if shared else None
         for at in range(0, len(self.vector), STEP_COLUMNS):
             rows = self.vector[at : at + STEP_COLUMNS]
-            found = products[:, rows] if shared else some @ self.ordered[at : at + STEP_COLUMNS].T
+            found = products[:, rows] if shared else some @ self.units[at : at + STEP_COLUMNS].T
             device = self.device[at : at + STEP_COLUMNS]
             met = slice(device[0], device[-1] + 1)
             np.maximum(
@@ -269,10 +325,6 @@ class _Tile:
             )
         return best
 
-    @cached_property
-    def ordered(self) -> np.ndarray:
-        return self.units[self.vector]
-
     @cached_property
     def sums(self) -> np.ndarray:
         """Sums of the vectors of each device."""
@@ -348,8 +400,11 @@ def _rows_of(tile: _Tile, devices: np.ndarray, gone: np.ndarray):
     """Rows that some devices keep, and the place of each row's device among them."""
     lengths = tile.ends[devices] - tile.starts[devices]
     rows = np.repeat(tile.ends[devices] - np.cumsum(lengths), lengths) + np.arange(lengths.sum())
+    place = np.repeat(np.arange(len(devices)), lengths)
+    if not len(gone):
+        return rows, place
     keep = ~np.isin(rows, gone)
-    return rows[keep], np.repeat(np.arange(len(devices)), lengths)[keep]
+    return rows[keep], place[keep]
 
 
 def _take_out(block: _Block, tile: _Tile, q: int, totals: np.ndarray) -> None:
@@ -417,6 +472,26 @@ class _Rows:
         return pa.concat_tables(self.parts) if self.parts else PARTS.empty_table()
 
 
+def _own_maxsim(block: _Block, tile: _Tile, a: int, b: int) -> np.ndarray:
+    """Scores of the queries ``a:b`` against their expected devices; NaN at all others."""
+    scores = np.full((b - a, len(tile.starts)), np.nan)
+    for q in range(a, b):
+        at = _place_of_expected(block, tile, q)
+        if at is not None and tile.whole[at]:
+            held, weights = block.held(q)
+            best = _best_by_row(block, tile, q, held, np.array([at]))[:, 0]
+            scores[q - a, at] = weights @ np.nan_to_num(best) / block.total[q]
+    return scores
+
+
+def _place_of_expected(block: _Block, tile: _Tile, q: int) -> int | None:
+    expected = block.expected[q]
+    if expected is None:
+        return None
+    at = int(np.searchsorted(tile.devices, expected))
+    return at if at < len(tile.devices) and tile.devices[at] == expected else None
+
+
 def _best_by_row(block: _Block, tile: _Tile, q: int, held, devices: np.ndarray) -> np.ndarray:
     """Best product of each vector of a query with each of some devices; NaN where none is left."""
     rows, place = _rows_of(tile, devices, block.gone.get(q, np.empty(0, np.int64)))
@@ -460,11 +535,8 @@ def _emit_parts(out: _Rows, block: _Block, tile: _Tile, method: str, q: int, at,
 def _emit(out: _Rows, block, tile, method, mode, k, a, b, scores, key) -> None:
     if mode == "own":
         for q in range(a, b):
-            expected = block.expected[q]
-            if expected is None:
-                continue
-            at = int(np.searchsorted(tile.devices, expected))
-            if at < len(tile.devices) and tile.devices[at] == expected:
+            at = _place_of_expected(block, tile, q)
+            if at is not None:
                 _emit_parts(out, block, tile, method, q, np.array([at]), scores[q - a], key)
         return
     partial = np.flatnonzero(~tile.whole)
@@ -525,11 +597,14 @@ def _kernel(mode: str, methods: Sequence[str], k: int, masked: bool):
             return out.table()
         block, unit, part = (x.as_py() for x in key)
         key = (block, unit * _PARTS + part)
-        tile = _Tile(r, masked)
+        tile = _Tile(_unpacked(r), masked)
         block = _Block(q, tile)
         for a, b, units, weights in block.steps():
             for method in methods:
-                scores = SCORERS[method](block, tile, a, b, units, weights)
+                if (mode, method) == ("own", "maxsim"):
+                    scores = _own_maxsim(block, tile, a, b)
+                else:
+                    scores = SCORERS[method](block, tile, a, b, units, weights)
                 _emit(out, block, tile, method, mode, k, a, b, scores, key)
         return out.table()
 
@@ -663,12 +738,11 @@ class DenseSearch:
         r = _distinct_vectors(r, ["device", "text", *FACTS["device"][: 3 * self.classes]])
         fitting = min(TILE_ROWS, max(1, TILE_BYTES // (8 * (r.dim or 1))))
         block_rows = min(block_rows, tile_rows)
-        tile_rows, block_rows = (
-            max(size, min(fitting, -(-side.count // MAX_TILES)))
-            for size, side in ((tile_rows, r), (block_rows, q))
-        )
+        tile_rows = max(tile_rows, min(fitting, -(-r.count // MAX_TILES)))
         # Few distinct vectors fit into any tile, however many rows hold them.
         tile_rows = tile_rows if r.vectors <= fitting else min(tile_rows, fitting)
+        dealt = -(-q.count // MAX_TILES)
+        block_rows = max(min(block_rows, max(LEAST_BLOCK_ROWS, dealt)), min(fitting, dealt))
         block_rows = max(1, min(block_rows, tile_rows))
         # Only maxsim adds up over the rows of a query, and only if the query takes nothing
         # out of the references. Otherwise a query stays whole, however many rows it has.
@@ -685,9 +759,9 @@ class DenseSearch:
 
     @cached_property
     def held(self) -> DataFrame:
-        """Rows and vectors of all tiles."""
-        held = self.tiles.with_vectors(self.tiles.rows, "unit", "part")
-        return stored(held) if self.tiles.units > 1 else held
+        """Rows and vectors of all tiles, packed."""
+        held = _packed(self.tiles.with_vectors(self.tiles.rows, "unit", "part"))
+        return stored(held) if self.tiles.units > 1 or self.blocks.units > 1 else held
 
     @cached_property
     def places(self) -> DataFrame:
@@ -743,8 +817,8 @@ class DenseSearch:
         )
         merge = _merge_maxsim if self.methods == ["maxsim"] else _merge
         key = ["block", "unit", "part"]
-        # As many tasks as pairs of a block and a unit, while those are few.
-        tasks = max(1, min(self.blocks.units * self.tiles.units, MAX_TASKS))
+        # More tasks than pairs of a block and a unit, while those are few, so that few share one.
+        tasks = max(1, min(2 * self.blocks.units * self.tiles.units, MAX_TASKS))
         return merge(
             left.repartition(tasks, *key).groupBy(*key)
             .cogroup(right.repartition(tasks, *key).groupBy(*key))

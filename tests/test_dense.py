@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -293,3 +294,38 @@ def test_pooled_means_are_those_of_one_run(spark):
     assert {(r["expected"], r["rank"]) for r in dense_ranks(*banks).collect()} == {
         (f"d{i}", 1) for i in range(4)
     }
+
+
+def test_tiles_travel_as_packs(spark):
+    """A tile goes to many blocks, so its rows are packed; nothing is lost by that."""
+    queries, bank = clustered()
+    q = spark.createDataFrame(queries, "query string, expected string, row_id long, embedding array<double>")
+    r = spark.createDataFrame(bank, "device string, row_id long, embedding array<double>")
+    search = DenseSearch(q, r, tile_rows=300)
+    held = search.held.toArrow()
+    assert len(held) < len(bank) / 20
+    rows = dense._unpacked(held)
+    assert rows["copies"].drop_null().to_pylist() == [1] * len(bank)
+    assert len(rows) - rows["embedding"].null_count == len(set(rows["vid"].to_pylist()))
+
+
+def test_own_scores_meet_the_expected_device_only(spark, monkeypatch):
+    """The first pass of a rank compares no query with devices that it does not expect."""
+    rng = np.random.default_rng(5)
+    bank = [(f"d{i % 7}", i, rng.normal(size=4).tolist()) for i in range(60)]
+    asked = [(f"q{i % 5}", f"d{i % 5}", i, rng.normal(size=4).tolist()) for i in range(40)]
+    q = spark.createDataFrame(asked, "query string, expected string, row_id long, embedding array<double>")
+    r = spark.createDataFrame(bank, "device string, row_id long, embedding array<double>")
+    search = DenseSearch(q, r)
+    left = search.blocks.with_vectors(search.rows, "block").toArrow()
+    key = tuple(pa.scalar(x) for x in (0, 0, 0))
+    monkeypatch.setattr(dense._Tile, "best", lambda *_: pytest.fail("all devices are compared"))
+    found = dense._kernel("own", ["maxsim"], 0, False)(key, left, search.held.toArrow())
+    for row in found.to_pylist():
+        a, b = (
+            np.array([unit(np.array(x[-1])) for x in rows if x[at] == row[name]])
+            for rows, at, name in ((asked, 0, "query"), (bank, 0, "device"))
+        )
+        assert row["device"] == "d" + row["query"][1:]
+        assert row["best"] == pytest.approx((a @ b.T).max(axis=1).mean())
+    assert len(found) == 5
