@@ -8,6 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Neighbouring columns whose greatest score is taken together.
+GROUP = 32
+
+
 def norm(vector: Column) -> Column:
     return F.sqrt(
         F.aggregate(
@@ -49,6 +53,19 @@ def best_columns(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """``(row, column)`` of the k greatest scores of each row; of equal ones the first columns."""
     if scores.shape[1] <= k:
         return tuple(x.ravel() for x in np.indices(scores.shape))
+    groups = scores.shape[1] // GROUP
+    if groups >= 2 * k:
+        # The k-th best of the groups' maxima is a floor; mostly few scores reach it.
+        tops = scores[:, : groups * GROUP].reshape(len(scores), groups, GROUP).max(axis=2)
+        reach = scores >= np.partition(tops, groups - k, axis=1)[:, groups - k, None]
+        if np.count_nonzero(reach) <= scores.size // GROUP:
+            row, column = np.nonzero(reach)
+            order = np.lexsort((column, -scores[row, column], row))
+            row, column = row[order], column[order]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, column = row[kept], column[kept]
+            order = np.lexsort((column, row))
+            return row[order], column[order]
     kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k, None]
     above, equal = scores > kth, scores == kth
     missing = k - above.sum(axis=1, keepdims=True)

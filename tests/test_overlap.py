@@ -1,9 +1,12 @@
 """Exact overlap ranking against brute force, with and without hot rules."""
 
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 
+from spoor.functions.vectors import best_columns
 from spoor.operators import overlap
 from spoor.operators.overlap import overlap_ranks, overlap_topk
 from spoor.operators.ranking import name_positions, retrieval_metrics
@@ -253,3 +256,21 @@ def test_copies_of_profiles_meet_once(spark, monkeypatch, method):
     # Five names of a class of references stand for any number; ranks have a name for each.
     assert seen[0] == seen[2]
     assert seen[1] <= 8 * 15 * 9 and seen[3] <= 8 * 15 * 9 * 2
+
+
+def test_kernels_of_the_grid_keep_no_table_of_words():
+    """Common bits are counted some rows at a time, and a list needs no partition of all scores."""
+    rng = np.random.default_rng(2)
+    a, b = (rng.integers(0, 1 << 62, size=(n, 5), dtype=np.uint64) for n in (300, 2_000))
+    tracemalloc.start()
+    hits = overlap._popcounts(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * hits.nbytes
+    plain = np.array([[sum(bin(int(x & y)).count("1") for x, y in zip(p, q)) for q in b[:50]] for p in a[:20]])
+    assert (hits[:20, :50] == plain).all()
+    rng = np.random.default_rng(3)
+    for scores in (hits.astype(float), np.zeros((3, 2_000)), rng.random((40, 1_999))):
+        row, column = best_columns(scores, 5)
+        wanted = [sorted(np.lexsort((np.arange(len(x)), -x))[:5]) for x in scores]
+        assert (column.reshape(-1, 5) == wanted).all() and (row == np.repeat(np.arange(len(scores)), 5)).all()
