@@ -6,7 +6,7 @@ query, and all items at or above the threshold are wanted, not the best few. Ite
 blocks of like items. Per term and block the index knows the greatest weight; the sum of those
 over the terms of a passage bounds every score in the block. As in WAND the bound is first taken
 over the rarer terms, with the most that the common terms could add, so that most passages open
-no block. In an opened block the items are scored exactly.
+no block. Passages that open a block are scored on its items together, as a product of matrices.
 
 A passage is two neighbouring segments, and a segment is at least as long as the longest item:
 every run of words as long as an item lies within one passage.
@@ -18,6 +18,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,19 @@ COMMON = 0.2
 INDEX_BYTES = 32 << 20
 #: Words that are looked up at a time.
 WORDS = 1 << 20
+#: Cells (segment, term) that are marked at a time.
+MARKS = 4 << 20
+#: Cells (term, item) of the blocks whose weights are kept as matrices.
+CELLS = 4 << 20
 
 words_of = re.compile(r"\w+").findall
+#: ASCII characters in lower case, those of no word as spaces.
+PLAIN = {n: chr(n).lower() if re.match(r"\w", chr(n)) else " " for n in range(128)}
+
+
+def lower_words_of(text: str) -> list[str]:
+    """The words of the text in lower case; ASCII texts take a shorter way to the same words."""
+    return text.translate(PLAIN).split() if text.isascii() else words_of(text.lower())
 
 
 def parts_of(text: str) -> tuple[list[str], list[str]]:
@@ -79,7 +91,7 @@ class Index:
     def _weigh(self, df: Counter) -> None:
         n = len(self.items)
         mean = sum(len(q) + len(a) for _, q, a in self.items) / max(n, 1)
-        self.vectors = []
+        self.vectors, self.matrices, self.cells = [], {}, 0
         for _, q, a in self.items:
             counts = Counter(q + a)
             length = K1 * (1 - B + B * (len(q) + len(a)) / mean)
@@ -129,7 +141,7 @@ class Index:
         segments that end a document. Passage p is segments p and p + 1.
         """
         known = (ids >= 0) & (ids < self.rare)
-        pairs = np.unique(segment[known] * self.rare + ids[known])
+        pairs = _distinct(segment[known] * self.rare + ids[known])
         segments, terms = np.divmod(pairs, max(self.rare, 1))
         counts = self.start[terms + 1] - self.start[terms]
         ends = np.cumsum(counts)
@@ -140,22 +152,68 @@ class Index:
         # The bound of a passage adds those of its two segments.
         segments, blocks = np.divmod(cells, max(self.blocks, 1))
         first = np.concatenate([cells, cells[(segments > 0)] - self.blocks])
-        first = np.unique(first)
+        first = _distinct(first)
         bound = _lookup(cells, sums, first) + np.where(
             last[first // max(self.blocks, 1)], 0.0, _lookup(cells, sums, first + self.blocks)
         )
         keep = bound + self.extra[first % max(self.blocks, 1)] >= self.threshold - 1e-9
         return np.stack(np.divmod(first[keep], max(self.blocks, 1)), axis=1)
 
-    def scores(self, present: np.ndarray, block: int) -> list[tuple[int, float]]:
-        """The items of a block that reach the threshold, given which terms a passage has."""
+    def reached(
+        self, opened: np.ndarray, ids: np.ndarray, segment: np.ndarray, last: np.ndarray
+    ) -> list[tuple[int, int]]:
+        """Pairs (passage, place) of the items in opened blocks that reach the threshold, up to
+        rounding, in order. ``opened`` is what ``opened`` returns, the others are its arguments."""
+        size = len(self.terms)
+        step = max(1, MARKS // max(size, 1) - 1)
+        marks = np.zeros((min(step, len(last)) + 1, size), bool)
+        known = np.flatnonzero(ids >= 0)
+        ids, segment = ids[known], segment[known]
         found = []
-        for place in range(block * BLOCK, min(len(self.items), (block + 1) * BLOCK)):
-            ids, weights = self.vectors[place]
-            score = float(weights[present[ids]].sum())
-            if score >= self.threshold - 1e-9:
-                found.append((place, score))
-        return found
+        for lowest in np.unique(opened[:, 0] // step) * step:
+            # A passage reaches into the segment after it.
+            begin, end = np.searchsorted(segment, [lowest, lowest + step + 1])
+            here = (segment[begin:end] - lowest, ids[begin:end])
+            marks[here] = True
+            mine = opened[slice(*np.searchsorted(opened[:, 0], [lowest, lowest + step]))]
+            mine = mine[np.argsort(mine[:, 1], kind="stable")]
+            blocks, starts = np.unique(mine[:, 1], return_index=True)
+            for block, group in zip(blocks.tolist(), np.split(mine[:, 0], starts[1:])):
+                terms, weights = self._matrix(block)
+                rows = (group - lowest)[:, None]
+                present = marks[rows, terms]
+                on = np.flatnonzero(~last[group])
+                present[on] |= marks[rows[on] + 1, terms]
+                row, column = np.nonzero(present @ weights >= self.threshold - 1e-6)
+                found += zip(group[row].tolist(), (column + block * BLOCK).tolist())
+            marks[here] = False
+        return sorted(found)
+
+    def _matrix(self, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of a block's items, and their weights by (term, item)."""
+        if block not in self.matrices:
+            if self.cells > CELLS:
+                self.matrices.clear()
+                self.cells = 0
+            vectors = self.vectors[block * BLOCK : (block + 1) * BLOCK]
+            terms = np.unique(np.concatenate([ids for ids, _ in vectors]))
+            weights = np.zeros((len(terms), len(vectors)))
+            for column, (ids, w) in enumerate(vectors):
+                weights[np.searchsorted(terms, ids), column] = w
+            self.matrices[block] = terms, weights
+            self.cells += weights.size
+        return self.matrices[block]
+
+    def score(self, present: np.ndarray, place: int) -> float:
+        """The score of an item, given which terms a passage has."""
+        ids, weights = self.vectors[place]
+        return float(weights[present[ids]].sum())
+
+
+def _distinct(numbers: np.ndarray) -> np.ndarray:
+    """The distinct numbers in order; here sorting is far faster than the hashes of ``np.unique``."""
+    numbers = np.sort(numbers)
+    return numbers[np.concatenate([numbers[:1] == numbers[:1], numbers[1:] != numbers[:-1]])]
 
 
 def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -189,7 +247,8 @@ def search(index: Index, texts: list[str | None]) -> list[tuple]:
         lengths = np.array([len(w) for _, w in group])
         segments = -(-lengths // size)
         bases = np.concatenate([[0], np.cumsum(segments)])
-        ids = np.fromiter((get(w, -1) for _, ws in group for w in ws), np.int64, lengths.sum())
+        words = chain.from_iterable(w for _, w in group)
+        ids = np.fromiter(map(get, words, repeat(-1)), np.int64, lengths.sum())
         starts = np.concatenate([[0], np.cumsum(lengths)])
         inside = np.arange(len(ids)) - np.repeat(starts[:-1], lengths)
         segment = np.repeat(bases[:-1], lengths) + inside // size
@@ -197,7 +256,8 @@ def search(index: Index, texts: list[str | None]) -> list[tuple]:
         last[bases[1:] - 1] = True
         present = np.zeros(len(index.terms) + 1, bool)
         now = -1
-        for passage, block in index.opened(ids, segment, last).tolist():
+        opened = index.opened(ids, segment, last)
+        for passage, place in index.reached(opened, ids, segment, last):
             if passage != now:
                 now = passage
                 member = int(np.searchsorted(bases, passage, "right")) - 1
@@ -209,7 +269,8 @@ def search(index: Index, texts: list[str | None]) -> list[tuple]:
                 present[:] = False
                 present[seen] = True
                 present[-1] = False  # where unknown words went
-            for place, score in index.scores(present, block):
+            score = index.score(present, place)
+            if score >= index.threshold - 1e-9:
                 item, question, answer = index.items[place]
                 shares = [_overlap(p, grams, words) for p in (question + answer, question, answer)]
                 parts = [s for s in shares[1:] if s is not None]
@@ -221,7 +282,7 @@ def search(index: Index, texts: list[str | None]) -> list[tuple]:
 
     group, count = [], 0
     for number, text in enumerate(texts):
-        words = words_of((text or "").lower())
+        words = lower_words_of(text or "")
         if words:
             group.append((number, words))
             count += len(words)

@@ -1,8 +1,12 @@
+import cProfile
+import pstats
 import random
 
 from pyspark.sql import Row
 
-from spoor.llm.decontaminate import Index, find_leaks, grams_of, parts_of, search, words_of
+from spoor.llm.decontaminate import (
+    Index, find_leaks, grams_of, lower_words_of, parts_of, search, words_of,
+)
 
 
 def vocabulary(rng, n=3000):
@@ -55,6 +59,58 @@ def test_bounds_open_every_block_that_holds_a_hit():
                     )
 
 
+def test_items_of_opened_blocks_score_as_by_definition(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(11)
+    words = vocabulary(rng, 300)
+    items = [Row(item=i, text=made(rng, words, rng.randint(5, 40))) for i in range(60)]
+    index = Index(items, 0.35)
+    size = max(64, index.longest)
+    texts = [words_of(made(rng, words, rng.randint(1, 700))) for _ in range(20)]
+    tokens = [w for t in texts for w in t]
+    ids = np.array([index.terms.get(w, -1) for w in tokens])
+    counts = [-(-len(t) // size) for t in texts]
+    segment = np.concatenate([
+        np.arange(len(t)) // size + sum(counts[:n]) for n, t in enumerate(texts)
+    ])
+    last = np.zeros(sum(counts), bool)
+    last[np.cumsum(counts) - 1] = True
+    passages = [t[i : i + 2 * size] for t in texts for i in range(0, len(t), size)]
+    opened = index.opened(ids, segment, last)
+    wanted = sorted(
+        (p, place)
+        for p, block in opened.tolist()
+        for by_item in [scores(index, passages[p])]
+        for place in range(block * 8, min(len(items), block * 8 + 8))
+        if by_item[index.items[place][0]] >= 0.35
+    )
+    assert len(wanted) > 20
+    # Marks of a few segments at a time, or few matrices kept, change nothing.
+    for marks, cells in ((16 << 20, 4 << 20), (1, 1), (3 * len(index.terms), 5000)):
+        monkeypatch.setattr("spoor.llm.decontaminate.MARKS", marks)
+        monkeypatch.setattr("spoor.llm.decontaminate.CELLS", cells)
+        assert index.reached(opened, ids, segment, last) == wanted
+
+
+def test_search_makes_no_calls_per_word_or_opened_block():
+    rng = random.Random(12)
+    words = vocabulary(rng, 500)
+    index = Index([Row(item=i, text=made(rng, words, 40)) for i in range(100)], 0.5)
+    texts = [made(rng, words, 500) for _ in range(100)]
+    profile = cProfile.Profile()
+    profile.runcall(search, index, texts)
+    assert pstats.Stats(profile).total_calls < 0.5 * sum(len(words_of(t)) for t in texts)
+
+
+def test_words_of_ascii_and_other_texts():
+    every = "".join(map(chr, range(128)))
+    for text in (every, every[::-1], "A_b-C9\x1cd\x85e", "Éa ß\u2028İx", ""):
+        assert lower_words_of(text) == words_of(text.lower())
+    for n in range(128):
+        assert lower_words_of(f"A{chr(n)}b") == words_of(f"A{chr(n)}b".lower())
+
+
 def brute(items, texts, overlap=0.8):
     found = set()
     for number, text in enumerate(texts):
