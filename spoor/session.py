@@ -72,11 +72,14 @@ def measured(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
 
 
 @contextmanager
-def discard_stored(spark: SparkSession) -> Iterator[None]:
-    """Delete at the end what ``stored`` wrote inside, for jobs that run over and over."""
+def discard_stored(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete at the end what ``stored`` wrote inside, for jobs that run over and over.
+
+    Gives the list of the folders; those taken off it stay.
+    """
     token = _opened.set([])
     try:
-        yield
+        yield _opened.get()
     finally:
         paths = _opened.get()
         _opened.reset(token)

@@ -105,7 +105,10 @@ def match_stream(
     made ready once, when the stream starts. With ``late``, flows behind the watermark are kept
     for ``read_late`` instead of dropped.
     """
-    ready = prepared(references).leading(k)
+    with discard_stored(flows.sparkSession) as written:
+        ready = prepared(references).leading(k)
+        # The names kept were written last; what they come from is not read again.
+        del written[-1:]
     return _started(
         flows, width, delay, target, checkpoint, trigger, late,
         lambda rules: _ranked(rules, ready, method, k),

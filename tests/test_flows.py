@@ -9,7 +9,8 @@ from urllib.parse import urlparse
 import pyarrow as pa
 import pytest
 
-from spoor.session import shared_dir
+from spoor.operators.overlap import prepared
+from spoor.session import discard_stored, shared_dir
 from spoor.sources.flows import flow_rules, read_flows, stream_flows
 from spoor.operators.encode import hashed_encoder
 from spoor.streaming.runtime import (
@@ -285,3 +286,15 @@ def test_rules_of_a_window_take_few_calls_of_state(monkeypatch):
     found = pa.concat_tables([late._from_bytes(c) for df in closed for c in df["chunk"]])
     assert len(found) == 30 and set(found["flows"].to_pylist()) == {20 * 2 * n // 30}
     assert not state.values and not any(df["late"].any() for df in closed)
+
+
+def test_only_the_names_kept_stay_of_references(spark):
+    """What references come from is deleted once a stream has made them ready; they stay readable."""
+    folder = urlparse(shared_dir(spark)).path
+    before = set(os.listdir(folder))
+    with discard_stored(spark) as written:
+        ready = prepared(references(spark)).leading(1)
+        assert len(written) > 1
+        del written[-1:]
+    assert len(set(os.listdir(folder)) - before) == 1
+    assert ready.every.count() and ready.profiles.count()
