@@ -49,23 +49,42 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(length == 0, 1.0, length)
 
 
-def best_columns(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(row, column)`` of the k greatest scores of each row; of equal ones the first columns."""
+def best_columns(
+    scores: np.ndarray, k: int, digits: int | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, column)`` of the k greatest scores of each row; of equal ones the first columns.
+
+    With ``digits`` scores count as rounded, and only those are rounded that may be among the k.
+    """
     if scores.shape[1] <= k:
         return tuple(x.ravel() for x in np.indices(scores.shape))
     groups = scores.shape[1] // GROUP
     if groups >= 2 * k:
         # The k-th best of the groups' maxima is a floor; mostly few scores reach it.
-        tops = scores[:, : groups * GROUP].reshape(len(scores), groups, GROUP).max(axis=2)
-        reach = scores >= np.partition(tops, groups - k, axis=1)[:, groups - k, None]
-        if np.count_nonzero(reach) <= scores.size // GROUP:
-            row, column = np.nonzero(reach)
-            order = np.lexsort((column, -scores[row, column], row))
+        width = groups * GROUP
+        tops = scores[:, :width].reshape(len(scores), groups, GROUP).max(axis=2)
+        floor = np.partition(tops, groups - k, axis=1)[:, groups - k, None]
+        if digits is not None:
+            floor = floor - 2 * 10.0**-digits
+        row, group = np.nonzero(tops >= floor)
+        rest, last = np.nonzero(scores[:, width:] >= floor)
+        if GROUP * len(row) + len(rest) <= max(scores.size // 4, GROUP * k * len(scores)):
+            column = (GROUP * group[:, None] + np.arange(GROUP)).ravel()
+            row = np.r_[np.repeat(row, GROUP), rest]
+            column = np.r_[column, width + last]
+            found = scores[row, column]
+            reach = found >= floor[row, 0]
+            row, column, found = row[reach], column[reach], found[reach]
+            if digits is not None:
+                found = np.round(found, digits)
+            order = np.lexsort((column, -found, row))
             row, column = row[order], column[order]
             kept = np.arange(len(row)) - np.searchsorted(row, row) < k
             row, column = row[kept], column[kept]
             order = np.lexsort((column, row))
             return row[order], column[order]
+    if digits is not None:
+        scores = np.round(scores, digits)
     kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k, None]
     above, equal = scores > kth, scores == kth
     missing = k - above.sum(axis=1, keepdims=True)

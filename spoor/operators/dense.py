@@ -49,6 +49,11 @@ TILE_ROWS = 131_072
 MAX_TILES = 32
 # Bytes that the vectors of a tile may take in double precision.
 TILE_BYTES = 64 << 20
+# Rows of a tile or block whose vectors are few, and tiles that such sides are cut into at least.
+FEW_VECTORS_ROWS = 1 << 20
+LEAST_TILES = 16
+# Bytes of the best products of all vectors of a block with a tile, to be kept for all its queries.
+BEST_BYTES = 128 << 20
 # Rows of a block of queries; fewer, but not below the least, where that gives MAX_TILES blocks.
 BLOCK_ROWS = 4_096
 LEAST_BLOCK_ROWS = 1_024
@@ -67,6 +72,8 @@ PACK_ROWS = 65_536
 PACK_BYTES = 4 << 20
 # A bound this much below a floor closes a tile.
 SLACK = 1e-7
+# Scores farther apart than this keep their order when they are rounded.
+NEAR = 2e-9
 
 VECTOR_METHODS = ("mean_pool", "maxsim")
 # More than the parts of any label.
@@ -258,6 +265,16 @@ def _names(rows: pa.Table, column: str) -> np.ndarray:
     return names[coded.indices.fill_null(len(names) - 1).to_numpy()]
 
 
+def _coded(rows: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """The names of a column in order, a missing one last, and each row's place among them."""
+    coded = rows[column].combine_chunks().dictionary_encode()
+    names = np.array([*coded.dictionary.to_pylist(), None], dtype=object)
+    order = np.argsort(names[:-1], kind="stable")
+    place = np.full(len(names), len(order))
+    place[order] = np.arange(len(order))
+    return names[np.r_[order, len(order)]], place[coded.indices.fill_null(len(order)).to_numpy()]
+
+
 def _starts(labels: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, labels[1:] != labels[:-1]])
 
@@ -282,7 +299,7 @@ class _Tile:
 
     def __init__(self, rows: pa.Table, masked: bool):
         labelled, at, self.units = _split_off_vectors(rows)
-        labels = _names(labelled, "device")
+        names, labels = _coded(labelled, "device")
         order = np.argsort(labels, kind="stable")
         labels = labels[order]
         self.vector = at[order]
@@ -291,7 +308,7 @@ class _Tile:
             self.units, self.vector = self.units[self.vector], np.arange(len(self.vector))
         self.starts = _starts(labels)
         self.ends = np.r_[self.starts[1:], len(labels)]
-        self.devices = labels[self.starts]
+        self.devices = names[labels[self.starts]]
         self.device = np.repeat(np.arange(len(self.starts)), self.ends - self.starts)
         self.whole = labelled["whole"].to_numpy(zero_copy_only=False)[order][self.starts]
         self.copies = labelled["copies"].to_numpy()[order].astype(np.float64)
@@ -301,6 +318,7 @@ class _Tile:
             self.members, self.low, self.high = (
                 labelled[c].to_numpy()[order][self.starts] for c in ("members", "low", "high")
             )
+        self.best_of: np.ndarray | None = None
         self.rows_of: dict[str, np.ndarray] = {}
         if masked:
             listed = defaultdict(list)
@@ -344,13 +362,13 @@ class _Block:
 
     def __init__(self, rows: pa.Table, tile: _Tile | None):
         labelled, at, self.units = _split_off_vectors(rows)
-        order = np.argsort(_names(labelled, "query"), kind="stable")
-        labelled, self.vector = labelled.take(pa.array(order)), at[order]
-        labels = _names(labelled, "query")
+        names, labels = _coded(labelled, "query")
+        order = np.argsort(labels, kind="stable")
+        labelled, self.vector, labels = labelled.take(pa.array(order)), at[order], labels[order]
         self.starts = _starts(labels)
         self.ends = np.r_[self.starts[1:], len(labels)]
         first = labelled.take(pa.array(self.starts))
-        self.first, self.names = first, labels[self.starts]
+        self.first, self.names = first, names[labels[self.starts]]
         self.expected = _names(first, "expected")
         self.whole = first["whole"].to_numpy(zero_copy_only=False)
         self.copies = labelled["copies"].to_numpy().astype(np.float64)
@@ -374,7 +392,7 @@ class _Block:
         return held, np.bincount(column, self.copies[own])
 
     def steps(self):
-        """Runs of queries with the vectors they hold and each query's weights of them."""
+        """Runs of queries with the numbers of the vectors they hold and each query's weights."""
         for a in range(0, len(self.starts), STEP_QUERIES):
             b = min(a + STEP_QUERIES, len(self.starts))
             rows = slice(self.starts[a], self.ends[b - 1])
@@ -382,14 +400,26 @@ class _Block:
             query = np.repeat(np.arange(b - a), self.ends[a:b] - self.starts[a:b])
             weights = np.zeros((b - a, len(held)))
             np.add.at(weights, (query, column), self.copies[rows])
-            yield a, b, self.units[held], weights
+            yield a, b, held, weights
 
 
-def _maxsim(block: _Block, tile: _Tile, a: int, b: int, units, weights) -> np.ndarray:
+def _maxsim(block: _Block, tile: _Tile, a: int, b: int, held, weights) -> np.ndarray:
     """Scores of the queries ``a:b`` against the devices of the tile."""
-    total = np.zeros((b - a, len(tile.starts)))
-    for at in range(0, len(units), STEP_ROWS):
-        total += weights[:, at : at + STEP_ROWS] @ tile.best(units[at : at + STEP_ROWS])
+    if tile.best_of is None and 8 * len(block.units) * len(tile.starts) <= BEST_BYTES:
+        # Once for all queries of the block.
+        tile.best_of = np.empty((len(block.units), len(tile.starts)))
+        for at in range(0, len(block.units), STEP_ROWS):
+            tile.best_of[at : at + STEP_ROWS] = tile.best(block.units[at : at + STEP_ROWS])
+    if tile.best_of is not None:
+        best = tile.best_of if len(held) == len(tile.best_of) else tile.best_of[held]
+        if not block.gone:
+            return (weights / block.total[a:b, None]) @ best
+        total = weights @ best
+    else:
+        total = np.zeros((b - a, len(tile.starts)))
+        for at in range(0, len(held), STEP_ROWS):
+            some = block.units[held[at : at + STEP_ROWS]]
+            total += weights[:, at : at + STEP_ROWS] @ tile.best(some)
     for q in range(a, b):
         if q in block.gone:
             _take_out(block, tile, q, total[q - a])
@@ -423,8 +453,8 @@ def _take_out(block: _Block, tile: _Tile, q: int, totals: np.ndarray) -> None:
         totals[devices[place[first]]] += weights[at : at + STEP_ROWS] @ best
 
 
-def _mean_pool(block: _Block, tile: _Tile, a: int, b: int, units, weights) -> np.ndarray:
-    means = unit_rows(weights @ units)
+def _mean_pool(block: _Block, tile: _Tile, a: int, b: int, held, weights) -> np.ndarray:
+    means = unit_rows(weights @ block.units[held])
     dots = means @ tile.sums.T
     lengths = tile.lengths
     scores = np.divide(dots, lengths, out=np.zeros_like(dots), where=lengths > 0)
@@ -548,10 +578,11 @@ def _emit(out: _Rows, block, tile, method, mode, k, a, b, scores, key) -> None:
     final = np.flatnonzero(tile.whole)
     if not len(rows) or not len(final):
         return
-    names, found = tile.devices[final], scores[np.ix_(rows, final)]
-    order = np.round(found, ORDER_DIGITS)
+    names, found = tile.devices[final], scores
+    if len(rows) < len(scores) or len(final) < scores.shape[1]:
+        found = scores[np.ix_(rows, final)]
     if mode == "top":
-        row, column = best_columns(order, k)
+        row, column = best_columns(found, k, ORDER_DIGITS)
         out.add(len(row), query=block.names[a:b][rows[row]], method=method, device=names[column],
                 best=found[row, column], weight=1.0, counted=True)
         return
@@ -559,8 +590,17 @@ def _emit(out: _Rows, block, tile, method, mode, k, a, b, scores, key) -> None:
     if tile.members is not None:
         first, last = (block.first[c].to_numpy()[a:b][rows] for c in ("first", "last"))
         members, low, high = tile.members[final], tile.low[final], tile.high[final]
-        ahead = (order > own[:, None]) @ members
-        row, column = np.nonzero(order == own[:, None])
+        sure = found > own[:, None] + NEAR
+        # Few are members of several names, mostly.
+        ahead = sure.sum(axis=1)
+        several = np.flatnonzero(members > 1)
+        ahead += (sure[:, several] * (members[several] - 1)).sum(axis=1)
+        row, column = np.nonzero((found >= own[:, None] - NEAR) & ~sure)
+        close = np.round(found[row, column], ORDER_DIGITS)
+        above = close > own[row]
+        np.add.at(ahead, row[above], members[column[above]])
+        tied = close == own[row]
+        row, column = row[tied], column[tied]
         below = high[column] < first[row]
         np.add.at(ahead, row[below], members[column[below]])
         # The others are counted by name.
@@ -571,6 +611,7 @@ def _emit(out: _Rows, block, tile, method, mode, k, a, b, scores, key) -> None:
         out.add(len(hit), query=block.names[a:b][rows[hit]], method=method, part=key[1],
                 best=ahead[hit].astype(np.float64), weight=1.0, counted=True)
         return
+    order = np.round(found, ORDER_DIGITS)
     before = np.array([
         len(names) if e is None else int(np.searchsorted(names, e)) for e in block.expected[a:b][rows]
     ])
@@ -599,12 +640,12 @@ def _kernel(mode: str, methods: Sequence[str], k: int, masked: bool):
         key = (block, unit * _PARTS + part)
         tile = _Tile(_unpacked(r), masked)
         block = _Block(q, tile)
-        for a, b, units, weights in block.steps():
+        for a, b, held, weights in block.steps():
             for method in methods:
                 if (mode, method) == ("own", "maxsim"):
                     scores = _own_maxsim(block, tile, a, b)
                 else:
-                    scores = SCORERS[method](block, tile, a, b, units, weights)
+                    scores = SCORERS[method](block, tile, a, b, held, weights)
                 _emit(out, block, tile, method, mode, k, a, b, scores, key)
         return out.table()
 
@@ -627,15 +668,22 @@ def _bound_kernel(centres: np.ndarray, best_only: bool, masked: bool):
         starts = _starts(unit)
         ball, low, high = (r[c].to_numpy() for c in ("ball", "low", "high"))
         block, out = _Block(q, None), []
-        for a, b, units, weights in block.steps():
-            total = np.zeros((b - a, len(starts)))
+
+        def best_of(units):
+            best = np.empty((len(units), len(starts)))
             for at in range(0, len(units), STEP_ROWS):
                 some = units[at : at + STEP_ROWS]
                 bounds = balls.upper_bounds(
                     balls.angles(some, centres), ~some.any(axis=1), ball, low, high
                 )
-                best = np.maximum.reduceat(bounds, starts, axis=1)
-                total += weights[:, at : at + STEP_ROWS] @ best
+                best[at : at + STEP_ROWS] = np.maximum.reduceat(bounds, starts, axis=1)
+            return best
+
+        # Once for all queries of the block, where that fits.
+        fits = 8 * len(block.units) * len(starts) <= BEST_BYTES
+        every = best_of(block.units) if fits else None
+        for a, b, held, weights in block.steps():
+            total = weights @ (best_of(block.units[held]) if every is None else every[held])
             total /= block.total[a:b, None]
             if masked:
                 total = np.maximum(total, 0.0)
@@ -744,6 +792,12 @@ class DenseSearch:
         dealt = -(-q.count // MAX_TILES)
         block_rows = max(min(block_rows, max(LEAST_BLOCK_ROWS, dealt)), min(fitting, dealt))
         block_rows = max(1, min(block_rows, tile_rows))
+        # Each side travels once per part of the other, so parts are as large as a task bears.
+        large = min(FEW_VECTORS_ROWS, -(-r.count // LEAST_TILES))
+        if r.vectors <= fitting < large:
+            tile_rows = max(tile_rows, large)
+        if q.vectors <= fitting:
+            block_rows = max(block_rows, min(FEW_VECTORS_ROWS, -(-q.count // MAX_TILES), tile_rows))
         # Only maxsim adds up over the rows of a query, and only if the query takes nothing
         # out of the references. Otherwise a query stays whole, however many rows it has.
         split = self.methods == ["maxsim"] and not self.masked
@@ -1037,14 +1091,18 @@ def dense_ranks(
 def _classed(bank: DataFrame, *keys: str) -> DataFrame:
     """``(*keys, class)``: labels with the same vectors, each as often, share a class.
 
-    A class is told from others by its rows and sums of two hashes of 64 bits.
+    A class is told from others by its rows and sums of two hashes of 64 bits, and has a short
+    name, as it comes with every row.
     """
     marks = [
         F.sum(h.cast("decimal(20,0)")).cast("string")
         for h in (F.xxhash64("embedding"), F.xxhash64(F.lit(1), "embedding"))
     ]
-    name = F.concat_ws("/", F.count(F.lit(1)).cast("string"), *marks)
-    return stored(bank.groupBy(*keys).agg(name.alias("class")))
+    held = F.concat_ws("/", F.count(F.lit(1)).cast("string"), *marks)
+    labels = stored(bank.groupBy(*keys).agg(held.alias("held")))
+    number = F.conv(F.monotonically_increasing_id().cast("string"), 10, 36)
+    names = stored(labels.select("held").distinct().withColumn("class", number))
+    return stored(labels.join(names, "held").drop("held"))
 
 
 def _of_classes(bank: DataFrame, classes: DataFrame, key: str) -> DataFrame:

@@ -63,7 +63,8 @@ def _ranked_vectors(rules: DataFrame, bank: DataFrame, encoder: Encoder, k: int)
         "query", F.lit(None).cast("string").alias("expected"),
         F.xxhash64("query", "line").alias("row_id"), "embedding",
     )
-    return _by_window(dense_topk(vectors, bank, ("maxsim",), k))
+    # The search reads them several times, and the flows behind them are dear to read.
+    return _by_window(dense_topk(stored(vectors), bank, ("maxsim",), k))
 
 
 def match_windows(

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from spoor.functions.vectors import best_columns
 from spoor.operators import balls, dense, episodes
 from spoor.operators.dense import VECTOR_METHODS, DenseSearch, dense_ranks, dense_topk
 from spoor.operators.episodes import METHODS
@@ -329,3 +330,58 @@ def test_own_scores_meet_the_expected_device_only(spark, monkeypatch):
         assert row["device"] == "d" + row["query"][1:]
         assert row["best"] == pytest.approx((a @ b.T).max(axis=1).mean())
     assert len(found) == 5
+
+
+def test_products_are_taken_once_for_a_block(spark, monkeypatch):
+    """Queries of a block share the best products of their vectors, however many steps they take."""
+    calls = []
+
+    class Spy(dense._Tile):
+        def best(self, some):
+            calls.append(len(some))
+            return super().best(some)
+
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(9, 4))
+    def side(label, n):
+        rows = [(f"{label}{i:03d}", int(v)) for i in range(n) for v in rng.choice(9, 4, replace=False)]
+        return rows, pa.table({
+            label: pa.array([r[0] for r in rows]), "vid": pa.array([r[1] for r in rows], pa.int64()),
+            "copies": pa.array([1] * len(rows), pa.int64()), "whole": pa.array([True] * len(rows)),
+            "embedding": pa.nulls(len(rows), pa.list_(pa.float64())),
+            **{c: pa.nulls(len(rows), pa.string()) for c in ("text", "expected")},
+            "unseen": pa.nulls(len(rows), pa.bool_()),
+        })
+
+    held = pa.table({"vid": pa.array(range(9), pa.int64()), "embedding": pa.array(vectors.tolist())})
+    (asked, q), (known, r) = side("query", 40), side("device", 90)
+    q, r = (pa.concat_tables([t, held], promote_options="default") for t in (q, r))
+    r = r.append_column("unit", pa.array([0] * len(r), pa.int64()))
+    r = r.append_column("part", pa.array([0] * len(r), pa.int32()))
+    monkeypatch.setattr(dense, "_Tile", Spy)
+    monkeypatch.setattr(dense, "STEP_QUERIES", 6)
+    packs = pa.Table.from_batches(list(dense._packs(r)))
+    key = tuple(pa.scalar(0) for _ in range(3))
+    found = dense._kernel("top", ["maxsim"], 3, False)(key, q, packs).to_pylist()
+    assert sum(calls) == 9
+    units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    def of(rows):
+        names = {}
+        for name, v in rows:
+            names.setdefault(name, []).append(v)
+        return names
+    for name, vids in of(asked).items():
+        scores = {d: np.mean((units[vids] @ units[w].T).max(axis=1)) for d, w in of(known).items()}
+        best = sorted(scores, key=lambda d: (-round(scores[d], 9), d))[:3]
+        assert sorted(x["device"] for x in found if x["query"] == name) == sorted(best)
+
+
+def test_rounded_scores_tie_in_lists():
+    """Scores that differ beyond the digits tie, and the first columns win, by either way of taking them."""
+    rng = np.random.default_rng(6)
+    for levels in (3, 400, 10**6):
+        scores = rng.integers(0, levels, (30, 700)) / levels + rng.uniform(-4e-10, 4e-10, (30, 700))
+        row, column = best_columns(scores, 4, 9)
+        plain = np.round(scores, 9)
+        wanted = [sorted(np.lexsort((np.arange(700), -x))[:4]) for x in plain]
+        assert (column.reshape(-1, 4) == wanted).all() and (row == np.repeat(np.arange(30), 4)).all()
